@@ -4,19 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op9_simhash
+from . import op3_line_rules, op6_reply_trees, op8_telephony, op9_simhash, op10_trie_bpe
 from .common import table
 
 
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op3_line_rules.verdicts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *op3_line_rules.FIGURES, "base_failed", "kept")
+
+
+def op6_reply_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))
+    return op6_reply_trees.digests(op6_reply_trees.formatted(op6_reply_trees.thread_messages(rows)))
+
+
+def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_telephony.stored_features(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_trie_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return op10_trie_bpe.digests(op10_trie_bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash_groups,)}
+    return {f.__name__: f for f in (op3_line_frequency, op6_reply_paths, op8_telephony_audio, op9_simhash_groups, op10_trie_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_frequency": op3_line_rules.ORACLE_SQL, "op6_reply_paths": op6_reply_trees.ORACLE_SQL}
