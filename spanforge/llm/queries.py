@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_line_rules, op6_reply_trees, op8_telephony, op9_simhash, op10_trie_bpe
+from . import op3_line_rules, op5_warc, op6_reply_trees, op8_telephony, op9_simhash, op10_trie_bpe
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *op3_line_rules.FIGURES, "base_failed", "kept")
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op6_reply_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -37,7 +41,7 @@ def op10_trie_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_frequency, op6_reply_paths, op8_telephony_audio, op9_simhash_groups, op10_trie_encoding)}
+    return {f.__name__: f for f in (op3_line_frequency, op5_warc_index, op6_reply_paths, op8_telephony_audio, op9_simhash_groups, op10_trie_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:
