@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_line_rules, op5_warc, op6_reply_trees, op8_telephony, op9_simhash, op10_trie_bpe
+from . import op3_line_rules, op4_suffix_buckets, op5_warc, op6_reply_trees, op7_fm_index, op8_telephony, op9_simhash, op10_trie_bpe
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *op3_line_rules.FIGURES, "base_failed", "kept")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_suffix_buckets.digests(op4_suffix_buckets.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_warc.archived(table(spark, sf_dir, "pages"))
 
@@ -27,6 +31,10 @@ def op6_reply_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_reply_trees.digests(op6_reply_trees.formatted(op6_reply_trees.thread_messages(rows)))
 
 
+def op7_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_fm_index.digests(op7_fm_index.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_telephony.stored_features(table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def op10_trie_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_frequency, op5_warc_index, op6_reply_paths, op8_telephony_audio, op9_simhash_groups, op10_trie_encoding)}
+    return {f.__name__: f for f in (op3_line_frequency, op4_suffix_dedup, op5_warc_index, op6_reply_paths, op7_fm_dedup, op8_telephony_audio, op9_simhash_groups, op10_trie_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:
