@@ -45,28 +45,24 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     edges = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = edges.select("tree", F.col("id").alias("parent"))
     rooted = edges.join(known.withColumn("there", F.lit(True)), ["tree", "parent"], "left")
-    jump = written(rooted.select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("steps")), "reply-jumps")
-    jumps, open_now = [jump], jump.where("up is not null").count()
-    while open_now:
-        above = jump.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
-        jump = written(
-            jump.join(above, ["tree", "up"], "left").select(
-                "tree", "id", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")
-            ),
-            "reply-jumps",
-        )
-        still = jump.where("up is not null").count()
-        if still == open_now:  # only messages on or below a cycle are left
+    reach = written(rooted.select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("steps")), "reply-jumps")
+    at_root, jumps = reach.where("up is null"), []
+    below, n_below = reach.where("up is not null"), reach.where("up is not null").count()
+    while n_below:
+        jumps.append(below)
+        above = at_root.unionByName(below).select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
+        reach = written(below.join(above, ["tree", "up"]).select("tree", "id", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("steps") + F.col("steps2")).alias("steps")), "reply-jumps")
+        at_root, below = at_root.unionByName(reach.where("up is null")), reach.where("up is not null")
+        still = below.count()
+        if still == n_below:  # only messages on or below a cycle are left
             break
-        open_now = still
-        jumps.append(jump)
+        n_below = still
     parents = rooted.where("there").select("tree", F.col("parent").alias("id")).distinct()
-    leaves = jump.where("up is null").join(parents, ["tree", "id"], "left_anti")
+    leaves = at_root.join(parents, ["tree", "id"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("steps"), "id")
     paths = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("tree", F.col("id").alias("leaf"), "id", (F.col("steps") - 1).alias("place"))
     for level, jump in enumerate(jumps):
-        up = jump.where("up is not null").select("tree", "id", "up")
-        paths = paths.union(paths.join(up, ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), F.col("place") - 2**level))
+        paths = paths.union(paths.join(jump.select("tree", "id", "up"), ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), F.col("place") - 2**level))
         if level % 4 == 3:
             paths = written(paths, "reply-paths")
     return paths
