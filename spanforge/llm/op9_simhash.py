@@ -23,11 +23,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components
-from .common import partitions, real_id, sort_id, utf8, written
+from .common import keyed_texts, partitions, real_id, utf8, written
 
 BITS = 64
 #: Upper-case ASCII to lower case, every other byte as it is.
@@ -55,16 +55,16 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(_id, fp): a signed 64-bit fingerprint for each row."""
+    """(_id, _h, fp): a signed 64-bit fingerprint for each row, and a hash of its text."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             raw = data.tobytes()
             prints = np.fromiter((fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())), np.uint64, len(offsets) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["_id", "_h", "fp"])
 
-    return docs.select(sort_id(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, "_id long, fp long")
+    return keyed_texts(docs, id_col, text_col).mapInArrow(run, "_id long, _h long, fp long")
 
 
 def block_masks(n: int, distance: int) -> list[int]:
@@ -152,15 +152,19 @@ def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return shared.join(hubs, "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
+def printed(name: str) -> Column:
+    return F.lpad(F.lower(F.hex(name)), 16, "0")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, bucket_limit: int = 20000) -> DataFrame:
-    """(doc id, fingerprint hex, component_id): one row for each input row, components over all links."""
+    """(doc id, fingerprint hex, component_id, group, text_hash): one row for each input row; group names a component."""
     prints = written(with_fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     nodes = written(prints.groupBy("fp").agg(F.min("_id").alias("first_id")), "simhash-nodes")
     edges = written(links(nodes.select("fp"), distance, bucket_limit), "simhash-links")
     roots = components.roots(edges)
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    members = named.join(lowest, "root").select("fp", "component_id")
+    members = named.join(lowest, "root").select("fp", "root", "component_id")
     return prints.join(members, "fp").select(
-        real_id("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real_id("component_id").alias("component_id")
+        real_id("_id").alias(id_col), printed("fp").alias("fingerprint"), real_id("component_id").alias("component_id"), printed("root").alias("group"), F.col("_h").alias("text_hash")
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_packing, op3_line_rules, op4_suffix_buckets, op5_warc, op6_reply_trees, op7_fm_index, op8_telephony, op9_simhash, op10_trie_bpe
+from . import op1_packing, op2_langid, op3_line_rules, op4_suffix_buckets, op5_warc, op6_reply_trees, op7_fm_index, op8_telephony, op9_simhash, op10_trie_bpe
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_langid.identified(table(spark, sf_dir, "documents"))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op3_line_rules.verdicts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *op3_line_rules.FIGURES, "base_failed", "kept")
@@ -53,7 +57,7 @@ def op10_trie_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_line_frequency, op4_suffix_dedup, op5_warc_index, op6_reply_paths, op7_fm_dedup, op8_telephony_audio, op9_simhash_groups, op10_trie_encoding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_line_frequency, op4_suffix_dedup, op5_warc_index, op6_reply_paths, op7_fm_dedup, op8_telephony_audio, op9_simhash_groups, op10_trie_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:
