@@ -39,7 +39,8 @@ def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> Symbols:
     a *= np.uint64(0xC2B2AE3D27D4EB4F)
     a ^= a >> np.uint64(29)
     a += c
-    return Symbols(mixed(a), offsets, lambda p, q: data[p:q].tobytes())
+    raw = data.tobytes()
+    return Symbols(mixed(a), offsets, lambda p, q: raw[p:q])
 
 
 def refined(start: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
@@ -66,9 +67,10 @@ def refined(start: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
         names, inverse = np.unique(pair, return_inverse=True)
         fresh = np.full(n, -1, np.int64)
         fresh[at] = bucket[at]
-        fresh[open_now] = n + inverse
-        _, compact = np.unique(fresh[at], return_inverse=True)
-        fresh[at] = compact
+        fresh[open_now] = len(size) + inverse
+        named = np.zeros(len(size) + len(names), np.int64)
+        named[fresh[at]] = 1
+        fresh[at] = (np.cumsum(named) - 1)[fresh[at]]
         bucket, depth = fresh, depth + step
     return bucket
 
@@ -94,8 +96,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for batch in batches:
             out = []
-            for h, text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                raw, gone = text.encode(), own_spans(h, spans)
+            for text, gone in zip(batch.column(2).to_pylist(), own_spans(batch.column(1), batch.column(3))):
+                raw = text.encode()
                 cuts = [0, *(x for s in gone for x in s), len(raw)]
                 out.append((len(raw), [{"a": a, "b": b} for a, b in gone], b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))))
             n, gone, kept = zip(*out) if out else ((), (), ())

@@ -150,8 +150,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for batch in batches:
             out = []
-            for h, text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                words, gone = text.encode().split(), own_spans(h, spans)
+            for text, gone in zip(batch.column(2).to_pylist(), own_spans(batch.column(1), batch.column(3))):
+                words = text.encode().split()
                 cuts = [0, *(x for s in gone for x in s), len(words)]
                 kept = [w for a, b in zip(cuts[::2], cuts[1::2]) for w in words[a:b]]
                 out.append((len(words), [{"a": a, "b": b} for a, b in gone], len(words) - len(kept), b" ".join(kept).decode()))

@@ -165,33 +165,46 @@ def rows_of(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def answer(batches):
-    """Rows (_id, numbers): the runs of a document whose anchor another document has too."""
-    asked, known = [], []
-    for batch in batches:
-        for kind, data in zip(batch.column(1).to_pylist(), batch.column(2)):
-            if kind == 0:
-                key, at, number = unpacked(data.as_buffer(), "u8", "i8", "u4")
-                asked.append((key, np.cumsum(at), number))
-            else:
-                known.append(tuple(unpacked(data.as_buffer(), "i8", "u4")))
-    if asked:
-        key, at, number = (np.concatenate(x) for x in zip(*asked))
-        order = np.argsort(key, kind="stable")
-        key, at, number = key[order], at[order], number[order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        shared = np.repeat(np.minimum.reduceat(at, starts) != np.maximum.reduceat(at, starts), np.diff(np.append(starts, len(key))))
-        known.append((at[shared], number[shared]))
-    if known:
-        at, number = (np.concatenate(x) for x in zip(*known))
-        order = np.lexsort((number, at))
-        at, number = at[order], number[order]
-        cuts = np.flatnonzero(np.diff(at)) + 1
-        bounds = np.concatenate([[0], cuts, [len(at)]]) if len(at) else np.zeros(1, np.int64)
-        raw = number.astype("<u4").tobytes()
-        for a in range(0, len(bounds) - 1, 10_000):
-            part = bounds[a : a + 10_001]
-            yield pa.RecordBatch.from_arrays([pa.array(at[part[:-1]]), pa.array([raw[4 * x : 4 * y] for x, y in zip(part[:-1].tolist(), part[1:].tolist())], pa.binary())], ["_id", "numbers"])
+def answer(n: int) -> Callable:
+    """Rows (bucket, data), packed ids and run numbers: the runs whose anchor another document has too."""
+
+    def run(batches):
+        asked, known = [], []
+        for batch in batches:
+            for kind, data in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if kind == 0:
+                    key, at, number = unpacked(data.as_buffer(), "u8", "i8", "u4")
+                    asked.append((key, np.cumsum(at), number))
+                else:
+                    known.append(tuple(unpacked(data.as_buffer(), "i8", "u4")))
+        if asked:
+            key, at, number = (np.concatenate(x) for x in zip(*asked))
+            order = np.argsort(key, kind="stable")
+            key, at, number = key[order], at[order], number[order]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            shared = np.repeat(np.minimum.reduceat(at, starts) != np.maximum.reduceat(at, starts), np.diff(np.append(starts, len(key))))
+            known.append((at[shared], number[shared]))
+        if known:
+            at, number = (np.concatenate(x) for x in zip(*known))
+            order = np.lexsort((number, at))
+            at, number = at[order], number[order]
+            yield rows_of([(b, packed(delta(at[p]), number[p])) for b, p in split(spread(at, n))], ["bucket", "data"], [pa.int32(), pa.binary()])
+
+    return run
+
+
+def gather(batches):
+    """Rows (_id, numbers): the candidate runs of each document of the bucket."""
+    parts = [unpacked(data.as_buffer(), "i8", "u4") for batch in batches for data in batch.column(1)]
+    if not parts:
+        return
+    at, number = np.concatenate([np.cumsum(x) for x, _ in parts]), np.concatenate([x for _, x in parts])
+    order = np.lexsort((number, at))
+    at, raw = at[order], number[order].astype("<u4").tobytes()
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
+    for a in range(0, len(bounds) - 1, 10_000):
+        part = bounds[a : a + 10_001]
+        yield pa.RecordBatch.from_arrays([pa.array(at[part[:-1]]), pa.array([raw[4 * x : 4 * y] for x, y in zip(part[:-1].tolist(), part[1:].tolist())], pa.binary())], ["_id", "numbers"])
 
 
 def offer(method: Method, n: int) -> Callable:
@@ -203,27 +216,29 @@ def offer(method: Method, n: int) -> Callable:
             data, offsets = utf8(batch.column(2))
             ids, marks, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             first_of: dict[bytes, int] = {}
-            contexts, hashes, owner, known = [], [], [], []
+            contexts, hashes, least, owner, known = [], [], [], [], []
             for a, b in text_slices(offsets, SLICE_BYTES):
                 symbols = method.read(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 row, number, first, last, key = runs(symbols, L, method.gram)
                 starts = np.append(np.searchsorted(row, np.arange(b - a)), len(row))
-                chosen = [np.unique(np.frombuffer(b"".join(numbers[i].as_py()), "<u4")).astype(np.int64) for i in range(a, b)]
+                chosen = [np.unique(np.frombuffer(x, "<u4")).astype(np.int64) for x in numbers.slice(a, b - a).to_pylist()]
                 chosen = np.concatenate([x[x < z - y] + y for x, y, z in zip(chosen, starts[:-1], starts[1:])] or [np.zeros(0, np.int64)])
                 base = symbols.bounds[row[chosen]]
-                for r, p, q, k, z in zip(row[chosen].tolist(), first[chosen].tolist(), (last[chosen] + L).tolist(), (key[chosen] & KEY).tolist(), base.tolist()):
-                    text, me = symbols.context(p, q), int(ids[a + r])
+                who = a + row[chosen]
+                for me, mark, p, q, k, z in zip(ids[who].tolist(), marks[who].tolist(), first[chosen].tolist(), (last[chosen] + L).tolist(), (key[chosen] & KEY).tolist(), base.tolist()):
+                    text = symbols.context(p, q)
                     seen = first_of.setdefault(text, len(contexts))
-                    if seen < len(contexts) and owner[hashes[seen][1]][0] < me:
-                        known.append((me, int(marks[a + r]), p - z, q - z))
-                        continue
                     if seen == len(contexts):
                         contexts.append(text)
-                        hashes.append((k, len(owner)))
-                    owner.append((me, int(marks[a + r]), p - z, seen))
+                        hashes.append(k)
+                        least.append(me)
+                    elif least[seen] < me:
+                        known.append((me, mark, p - z, q - z))
+                        continue
+                    owner.append((me, mark, p - z, seen))
             out = []
             if contexts:
-                keys = np.array([k for k, _ in hashes], np.uint64)
+                keys = np.array(hashes, np.uint64)
                 owners = np.array(owner, np.int64)
                 by_context = np.argsort(owners[:, 3], kind="stable")
                 bounds = np.searchsorted(owners[by_context, 3], np.arange(len(contexts) + 1))
@@ -256,17 +271,17 @@ def joined(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[at, 0], spans[at, 1], spans[at, 2], reach[np.append(at[1:], len(spans)) - 1]])
 
 
-def decide(method: Method, shard_bytes: int = 1_000_000) -> Callable:
-    """Rows (_id, _h, a, b): the spans of the buckets' documents that repeat, in symbols."""
+def decide(method: Method, n: int, shard_bytes: int = 1_000_000) -> Callable:
+    """Rows (bucket, data), packed id, hash, from and to: the spans of the bucket's documents that repeat, in symbols."""
     L = method.window
 
     def run(batches):
         number_of: dict[bytes, int] = {}
-        texts, keys, owners = [], [], []
+        texts, keys, owners, found_before = [], [], [], []
         for batch in batches:
             for kind, data, sizes, text in zip(batch.column(1).to_pylist(), *(batch.column(i) for i in (2, 3, 4))):
                 if kind:
-                    yield spans_batch(np.column_stack(unpacked(data.as_buffer(), "i8", "i8", "i8", "i8")))
+                    found_before.append(np.column_stack(unpacked(data.as_buffer(), "i8", "i8", "i8", "i8")))
                     continue
                 me, mark, at, local = unpacked(data.as_buffer(), "i8", "i8", "u4", "u4")
                 key, size = unpacked(sizes.as_buffer(), "u8", "u4")
@@ -279,35 +294,33 @@ def decide(method: Method, shard_bytes: int = 1_000_000) -> Callable:
                         texts.append(piece)
                         keys.append(int(key[i]))
                 owners.append(np.column_stack([index[local], me, mark, at]))
+        if found_before:
+            yield spans_batch(np.concatenate(found_before), n)
         if not texts:
             return
         owners = np.concatenate(owners)
         owners = owners[np.lexsort((owners[:, 1], owners[:, 0]))]
-        bounds = np.searchsorted(owners[:, 0], np.arange(len(texts) + 1))
-        least = owners[bounds[:-1], 1]
+        least = owners[np.searchsorted(owners[:, 0], np.arange(len(texts))), 1]
+        first = owners[:, 1] == least[owners[:, 0]]
+        windows, found = np.zeros(len(texts), np.int64), []
         order = np.argsort(np.array(keys, np.uint64), kind="stable")
         for part in shards(order, [keys[i] for i in order.tolist()], [len(texts[i]) for i in order.tolist()], shard_bytes):
-            own = [texts[i] for i in part.tolist()]
-            smallest, windows = method.smallest(own, least[part], L)
-            cuts = np.concatenate([[0], np.cumsum(windows)])
-            lower = smallest < np.repeat(least[part], windows)
-            out = []
-            # the smallest owner of a context loses the windows that another context has for a smaller id, all others lose all
-            for j, i in enumerate(part.tolist()):
-                rows = owners[bounds[i] : bounds[i + 1]]
-                rest = rows[rows[:, 1] > least[i]]
-                if len(rest):
-                    out.append(np.column_stack([rest[:, 1], rest[:, 2], rest[:, 3], rest[:, 3] + windows[j] + L - 1]))
-            span_of = pieces(lower, cuts)
-            if len(span_of):
-                context, a, b = span_of.T
-                for c, x, y in zip(context.tolist(), a.tolist(), b.tolist()):
-                    i = int(part[c])
-                    rows = owners[bounds[i] : bounds[i + 1]]
-                    rows = rows[rows[:, 1] == least[i]]
-                    out.append(np.column_stack([rows[:, 1], rows[:, 2], rows[:, 3] + x, rows[:, 3] + y + L - 1]))
-            if out:
-                yield spans_batch(joined(np.concatenate(out)))
+            smallest, windows[part] = method.smallest([texts[i] for i in part.tolist()], least[part], L)
+            cuts = np.concatenate([[0], np.cumsum(windows[part])])
+            spans = pieces(smallest < np.repeat(least[part], windows[part]), cuts)
+            spans[:, 0] = part[spans[:, 0]]
+            found.append(spans)
+        # the smallest owner of a context loses the windows that another context has for a smaller id, all others lose all
+        rest = owners[~first]
+        yield spans_batch(np.column_stack([rest[:, 1], rest[:, 2], rest[:, 3], rest[:, 3] + windows[rest[:, 0]] + L - 1]), n)
+        found, own = np.concatenate(found), owners[first]
+        if len(found):
+            found = found[np.argsort(found[:, 0], kind="stable")]
+            start, stop = np.searchsorted(own[:, 0], found[:, 0]), np.searchsorted(own[:, 0], found[:, 0], side="right")
+            many = stop - start
+            row = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            at = own[row]
+            yield spans_batch(np.column_stack([at[:, 1], at[:, 2], at[:, 3] + np.repeat(found[:, 1], many), at[:, 3] + np.repeat(found[:, 2], many) + L - 1]), n)
 
     return run
 
@@ -335,23 +348,41 @@ def shards(order: np.ndarray, keys: list[int], sizes: list[int], limit: int) ->
         yield order[start:]
 
 
-def spans_batch(spans: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(spans[:, i])) for i in range(4)], ["_id", "_h", "a", "b"])
+def spans_batch(spans: np.ndarray, n: int) -> pa.RecordBatch:
+    spans = joined(spans)
+    rows = [(b, packed(*(spans[p, i].copy() for i in range(4)))) for b, p in split(spread(spans[:, 0], n))]
+    return rows_of(rows, ["bucket", "data"], [pa.int32(), pa.binary()])
+
+
+def gather_spans(batches):
+    """Rows (_id, spans): hash, from and to of each span of an id, as packed 64-bit numbers."""
+    parts = [np.column_stack(unpacked(data.as_buffer(), "i8", "i8", "i8", "i8")) for batch in batches for data in batch.column(1)]
+    if not parts:
+        return
+    spans = joined(np.concatenate(parts))
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(spans[:, 0])) + 1, [len(spans)]])
+    raw = np.ascontiguousarray(spans[:, 1:]).tobytes()
+    for a in range(0, len(bounds) - 1, 10_000):
+        part = bounds[a : a + 10_001]
+        yield pa.RecordBatch.from_arrays([pa.array(spans[part[:-1], 0].copy()), pa.array([raw[24 * x : 24 * y] for x, y in zip(part[:-1].tolist(), part[1:].tolist())], pa.binary())], ["_id", "spans"])
 
 
 def with_spans(docs: DataFrame, method: Method, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _h, text, spans): each row with the spans (h, a, b) of all rows of its id; those of its own hash are its own."""
+    """(_id, _h, text, spans): each row with the packed spans of all rows of its id; those of its own hash are its own."""
     n = partitions(docs.sparkSession)
     texts = keyed_texts(docs, id_col, text_col)
     asked = texts.select("_id", "text").mapInArrow(ask(method, n), "bucket int, kind int, data binary").repartitionById(n, F.col("bucket"))
-    answers = asked.mapInArrow(answer, "_id long, numbers binary").groupBy("_id").agg(F.collect_list("numbers").alias("numbers"))
+    answers = asked.mapInArrow(answer(n), "bucket int, data binary").repartitionById(n, F.col("bucket")).mapInArrow(gather, "_id long, numbers binary")
     offered = texts.join(answers, "_id").select("_id", "_h", "text", "numbers").mapInArrow(offer(method, n), "bucket int, kind int, data binary, sizes binary, texts binary")
-    spans = offered.repartitionById(n, F.col("bucket")).mapInArrow(decide(method), "_id long, _h long, a long, b long")
-    found = spans.groupBy("_id").agg(F.collect_list(F.struct("_h", "a", "b")).alias("spans"))
+    decided = offered.repartitionById(n, F.col("bucket")).mapInArrow(decide(method, n), "bucket int, data binary")
+    found = decided.repartitionById(n, F.col("bucket")).mapInArrow(gather_spans, "_id long, spans binary")
     return texts.join(found, "_id", "left").select("_id", "_h", "text", "spans")
 
 
-def own_spans(h: int, spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Disjoint maximal spans of the row with hash h."""
-    mine = np.array([(0, 0, s["a"], s["b"]) for s in spans or () if s["_h"] == h], np.int64).reshape(-1, 4)
-    return [(int(a), int(b)) for a, b in joined(mine)[:, 2:]]
+def own_spans(hashes: pa.Array, spans: pa.Array) -> list[list[tuple[int, int]]]:
+    """Disjoint maximal spans of each row of a batch of with_spans, from those of all rows of its id."""
+    out = []
+    for h, raw in zip(hashes.to_pylist(), spans.to_pylist()):
+        found = np.frombuffer(raw or b"", np.int64).reshape(-1, 3)
+        out.append([(a, b) for own, a, b in found.tolist() if own == h])
+    return out
