@@ -277,7 +277,8 @@ def parse(lines: DataFrame, owner: Column | None = None, emu: bool = False) -> D
     split = split.withColumn("_mods", modifiers(F.col("_trail"))).withColumn("_trail_spell", F.when((F.col("_trail") != "") & ~only_modifiers(F.col("_trail")), F.col("_trail")))
     tests = [F.col(BODY if r.body else LINE).rlike(r.pattern) for r in RULES]
     rule = case([(test & r.test() if r.test else test, F.lit(i)) for i, (test, r) in enumerate(zip(tests, RULES))])
-    ruled = split.withColumn("_rule", rule).where("_rule is not null")
+    # a filter on the rule would be pushed below it and evaluate the whole CASE twice; a generator is not
+    ruled = split.withColumn("_rule", F.explode(F.array_compact(F.array(rule))))
     # the groups of the rule's match, by one expression for all rules; patterns are padded to the same number of groups
     most = max(re.compile(r.pattern).groups for r in RULES)
     pattern = F.get(F.array(*[F.lit(r.pattern + "()" * (most - re.compile(r.pattern).groups)) for r in RULES]), F.col("_rule"))
@@ -286,8 +287,11 @@ def parse(lines: DataFrame, owner: Column | None = None, emu: bool = False) -> D
     kind = F.get(F.array(*[F.lit(r.kind) for r in RULES]), F.col("_rule"))
     group = lambda n: F.get("_g", F.lit(n - 1))
     columns = {name: case([(F.col("_rule") == i, r.fields[name](group).cast(t)) for i, r in enumerate(RULES) if name in r.fields], F.lit(None).cast(t)) for name, t in FIELDS.items()}
-    found = ruled.select("session_id", "line_no", "ts", kind.alias("kind"), *[c.alias(n) for n, c in columns.items()])
-    return found.where("kind is not null and (amount is null or amount between 0 and 4294967295)")
+    # the fields are too much for one generated method; a higher-order function keeps their projection out of whole-stage
+    # code, and then Spark splits it into methods
+    found = ruled.select("session_id", "line_no", "ts", F.get(F.array_compact(F.array(kind)), F.lit(0)).alias("_kind"), *[c.alias(n) for n, c in columns.items()])
+    valid = F.when(F.col("amount").isNull() | F.col("amount").between(0, 4294967295), F.col("_kind"))
+    return found.select("session_id", "line_no", "ts", F.explode(F.array_compact(F.array(valid))).alias("kind"), *FIELDS)
 
 
 def instance_zone(c: Column) -> Column:

@@ -234,7 +234,7 @@ def _series(spark, d, width):
     return events(spark, d).groupBy("event_type", bucket(F.col("s"), width).alias("at")).agg(F.sum("cents").alias("value"))
 
 
-_SERIES = f"WITH {E} SELECT event_type, s - (s + 62135596800) % {{0}} AS "at", CAST(sum(cents) AS BIGINT) AS value FROM e GROUP BY 1, 2"
+_SERIES = f'WITH {E} SELECT event_type, s - (s + 62135596800) % {{0}} AS "at", CAST(sum(cents) AS BIGINT) AS value FROM e GROUP BY 1, 2'
 
 
 @query(_SERIES.format(7))
@@ -484,7 +484,7 @@ def mention_scan(spark, d):
     return feeds.mentions(table(spark, d, "conversations").select("conv_id", "turn", "text"), names, ["conv_id", "turn"], longest=2)
 
 
-@query(f"WITH {E} SELECT event_type, s // 3600 * 3600 AS "at", count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM e GROUP BY 1, 2")
+@query(f'WITH {E} SELECT event_type, s // 3600 * 3600 AS "at", count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM e GROUP BY 1, 2')
 def stream_equals_batch(spark, d):
     return live.bucketed_totals(spark, f"{d}/events.parquet")
 
