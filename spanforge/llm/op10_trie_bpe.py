@@ -154,6 +154,11 @@ class TrieEncoder:
                 end -= size[state[end]]
             self.kept[text] = struct.pack(f"<{len(ids)}I", *reversed(ids))
 
+    def forget(self) -> None:
+        """Leave nothing but the vocabulary in a worker that waits for its next task."""
+        self.kept.clear()
+        self.apart.clear()
+
     def pieces(self, text: str) -> list[str]:
         """Words and special strings of a text in order."""
         if self.split is None or not any(s in text for s in self.specials):
@@ -195,6 +200,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             for a, b in text_slices(offsets, SLICE_BYTES):
                 ids = bpe.encode(texts.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["id", "ids", "decoded"])
+        bpe.forget()
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, f"id {kind.simpleString()}, ids binary, decoded string").withColumnRenamed("id", id_col)

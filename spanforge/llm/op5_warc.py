@@ -29,11 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, real_id, shared_path, sort_id, written
+from .common import partitions, real_id, shared_path, sort_id, text_slices, utf8, written
 
 BREAK = "\r\n"
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=timezone.utc)
 RECORDS_PER_FILE = 2000
+SLICE_BYTES = 1_000_000
 CAPTURES_PER_RANGE = 100_000
 
 
@@ -82,8 +83,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(4)))
-            yield pa.RecordBatch.from_arrays([pa.array([record(*row) for row in rows], pa.string())], ["value"])
+            _, offsets = utf8(batch.column(2))
+            for a, b in text_slices(offsets, SLICE_BYTES):
+                rows = zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(4)))
+                yield pa.RecordBatch.from_arrays([pa.array([record(*row) for row in rows], pa.string())], ["value"])
 
     named.mapInArrow(run, "value string").write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 

@@ -52,7 +52,8 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         jumps.append(below)
         above = at_root.unionByName(below).select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
         reach = written(below.join(above, ["tree", "up"]).select("tree", "id", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("steps") + F.col("steps2")).alias("steps")), "reply-jumps")
-        at_root, below = at_root.unionByName(reach.where("up is null")), reach.where("up is not null")
+        # one table again: a union that grew with every round would make each plan larger than the one before
+        at_root, below = written(at_root.unionByName(reach.where("up is null")), "reply-roots"), reach.where("up is not null")
         still = below.count()
         if still == n_below:  # only messages on or below a cycle are left
             break
@@ -63,7 +64,7 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     paths = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("tree", F.col("id").alias("leaf"), "id", (F.col("steps") - 1).alias("place"))
     for level, jump in enumerate(jumps):
         paths = paths.union(paths.join(jump.select("tree", "id", "up"), ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), F.col("place") - 2**level))
-        if level % 4 == 3:
+        if level % 2:
             paths = written(paths, "reply-paths")
     return paths
 

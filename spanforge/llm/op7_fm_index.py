@@ -57,7 +57,7 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> Symbols:
     word = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     n = len(word)
     gram = np.zeros(n, np.uint64)
-    for i in range(GRAM):
+    for i in range(min(GRAM, n)):
         gram[: n - i] = gram[: n - i] * np.uint64(0xC2B2AE3D27D4EB4F) + word[i:]
     raw = data.tobytes()
     first, last = starts.tolist(), ends.tolist()
