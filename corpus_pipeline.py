@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import op1_packing, op2_langid, op3_line_rules, op4_suffix_buckets, op9_simhash
+from spanforge.llm import near_copies, op1_packing, op2_langid, op3_line_rules, op4_suffix_buckets
 from spanforge.llm.common import sort_id, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,9 +39,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest id stays."""
-    groups = op9_simhash.simhash_groups(docs).withColumn("_id", sort_id("doc_id"))
-    first = groups.groupBy("group").agg(F.min(F.struct("_id", "text_hash")).alias("k")).select(F.col("k._id").alias("_id"), F.col("k.text_hash").alias("_h"))
+    """Of each group of documents linked by a similarity of 0.8 or more (five-word shingles) the one of smallest id stays."""
+    first = near_copies.near_groups(docs).groupBy("group").agg(F.min(F.struct("_id", "_h")).alias("k")).select(F.col("k._id").alias("_id"), F.col("k._h").alias("_h"))
     return keyed(docs).dropDuplicates(["_id", "_h"]).join(first, ["_id", "_h"], "left_semi").select(*COLUMNS)
 
 
