@@ -32,8 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines above their host's limit go from the others."""
-    kept = op3_line_rules.verdicts(docs).where("kept").dropDuplicates(["_id", "_h"]).select("_id", "_h", "removed_lines")
+    """Rejected documents go; lines in more than LINE_DOCS texts of a host, whatever its size, go from the others."""
+    kept = op3_line_rules.verdicts(docs, line_share=0.0).where("kept").dropDuplicates(["_id", "_h"]).select("_id", "_h", "removed_lines")
     left = op3_line_rules.without_lines(keyed(docs).join(kept, ["_id", "_h"]).select(*COLUMNS, "removed_lines"))
     return left.select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
 
