@@ -89,7 +89,7 @@ def destinations(labels: DataFrame, keys: list[str], label: str = "label") -> Da
     return labels.select(*keys, F.explode(parts).alias("p")).select(*keys, F.trim("p").alias("destination")).where("length(destination) > 2")
 
 
-def routes(edges: DataFrame, start: str, most_hops: int = 64) -> DataFrame:
+def routes(edges: DataFrame, start: str) -> DataFrame:
     """(node, hops, via): fewest hops from start over undirected edges (a, b), and the neighbour before node in ordinal order.
 
     One frontier join a hop, small against what is reached so far; it stops when nothing new is reached.
@@ -98,7 +98,7 @@ def routes(edges: DataFrame, start: str, most_hops: int = 64) -> DataFrame:
     spark = edges.sparkSession
     reached = spark.createDataFrame([(start, 0, None)], "node string, hops int, via string")
     frontier, hops = reached, 0
-    while hops < most_hops:
+    while True:
         hops += 1
         step = frontier.join(both, frontier.node == both.a).select(F.col("b").alias("node"), F.col("a").alias("via"))
         fresh = step.join(reached.select("node"), "node", "left_anti").groupBy("node").agg(F.min("via").alias("via")).select("node", F.lit(hops).alias("hops"), "via")
@@ -106,6 +106,8 @@ def routes(edges: DataFrame, start: str, most_hops: int = 64) -> DataFrame:
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if hops % 16 == 0:  # a long way's union of frontiers is kept shallow
+            reached = cut(reached, spark)
     return reached
 
 

@@ -29,6 +29,7 @@ class Scope:
     skipFirstSeconds: int | None = None
     maxSeconds: int | None = None
     playedTimeOnly: bool = False
+    openFights: bool = False  # the fights that are open when the query runs, or the last one
 
 
 @dataclass
@@ -97,6 +98,13 @@ def ranges_of(world: World, scope: Scope) -> DataFrame:
     return spark.createDataFrame([(i, at(r["begin"]), at(r["end"])) for i, r in enumerate(scope.timeRanges)], "range int, b long, e long")
 
 
+def open_fights(world: World) -> DataFrame:
+    """(id): all open fights, or the last one where none is open."""
+    now = world.fights.where("not closed").select("id")
+    last = world.fights.orderBy(F.desc("last_activity"), F.desc("id")).limit(1).select("id", F.lit(0).alias("_k"))
+    return now.unionByName(last.join(now.limit(1).select(F.lit(0).alias("_k")), "_k", "left_anti").select("id"))
+
+
 def units(world: World, spec: QuerySpec) -> DataFrame:
     """(unit, name, b, e): the stretches of seconds that count, with the fight's name where a unit is a fight."""
     scope, source = spec.scope, spec.source
@@ -116,7 +124,7 @@ def units(world: World, spec: QuerySpec) -> DataFrame:
     elif source in PROGRESSION and not scope.fightIds:
         found = world.presence().select(none.alias("name"), "b", "e")
     else:
-        chosen = fights.where(F.col("id").isin(*scope.fightIds)) if scope.fightIds else fights
+        chosen = fights.join(open_fights(world), "id", "left_semi") if scope.openFights else fights.where(F.col("id").isin(*scope.fightIds)) if scope.fightIds else fights
         found = chosen.select("name", "b", "e")
     keys = ["name", "_k"]
     found = found.withColumn("_k", F.lit(0)).withColumn("unit", F.xxhash64("name", "b", "e"))
@@ -279,10 +287,7 @@ def canned(name: str) -> QuerySpec:
 
 def live_meter(world: World) -> QuerySpec:
     """Damage by player over the fights that are open, or the last one."""
-    open_now = [r["id"] for r in world.fights.where("not closed").select("id").limit(64).collect()]
-    if not open_now:
-        open_now = [r["id"] for r in world.fights.orderBy(F.desc("last_activity"), F.desc("id")).limit(1).collect()]
-    return QuerySpec("damage", Scope(fightIds=open_now), ["player"], ["total", "dps"], petRollup=True)
+    return QuerySpec("damage", Scope(openFights=True), ["player"], ["total", "dps", "sdps", "percentOfTotal"], petRollup=True)
 
 
 def with_seconds(events: DataFrame) -> DataFrame:
