@@ -66,15 +66,18 @@ def attribute(casts: DataFrame, landings: DataFrame, keys: list[str], order: lis
     ).select(*keys, "_cast.*", "amount", "landed")
 
 
-def mentions(texts: DataFrame, names: DataFrame, id_cols: list[str], text_col: str = "text", name_col: str = "name", longest: int = 6) -> DataFrame:
+def mentions(texts: DataFrame, names: DataFrame, id_cols: list[str], text_col: str = "text", name_col: str = "name") -> DataFrame:
     """(ids, name, at): dictionary names in texts, longest first, never overlapping, each once a text.
 
     Words are trimmed of punctuation.  Names of several words match in any case; a name of one word matches in its own
-    case and not beside a capitalised word.  Texts' word runs join the names by equality, so the dictionary may grow.
+    case and not beside a capitalised word.  Texts' word runs, of each length that a name has, join the names by
+    equality, so the dictionary may grow.
     """
     words = F.filter(F.transform(F.split(F.col(text_col), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
-    cut = texts.select(*id_cols, words.alias("_w"))
-    runs = cut.select(*id_cols, "_w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("_n")).where("_n <= size(_w)")
+    known = names.select(F.col(name_col).alias("name"), F.size(F.split(name_col, " ")).alias("_n"), F.lower(name_col).alias("_key")).distinct()
+    lengths = known.where("_n is not null").agg(F.sort_array(F.collect_set("_n")).alias("_lengths"))
+    cut = texts.select(*id_cols, words.alias("_w")).crossJoin(F.broadcast(lengths))
+    runs = cut.select(*id_cols, "_w", F.explode("_lengths").alias("_n")).where("_n <= size(_w)")
     placed = runs.select(*id_cols, "_w", "_n", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1)).alias("at"))
     capital = lambda c: F.coalesce(c.rlike(r"^\p{Lu}"), F.lit(False))
     here = placed.select(
@@ -82,7 +85,6 @@ def mentions(texts: DataFrame, names: DataFrame, id_cols: list[str], text_col: s
         F.array_join(F.slice("_w", F.col("at"), F.col("_n")), " ").alias("_run"),
         (capital(F.get("_w", F.col("at") - 2)) | capital(F.get("_w", F.col("at") + F.col("_n") - 1))).alias("_beside"),
     )
-    known = names.select(F.col(name_col).alias("name"), F.size(F.split(name_col, " ")).alias("_n"), F.lower(name_col).alias("_key")).distinct()
     met = here.withColumn("_key", F.lower("_run")).join(known, ["_key", "_n"]).where((F.col("_n") > 1) | ((F.col("_run") == F.col("name")) & ~F.col("_beside")))
     found = met.groupBy(*id_cols).agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("n"), "at", "name"))).alias("_found"))
     # greedy: keep a hit if its words are free; the accumulator holds hits kept so far, each name once
