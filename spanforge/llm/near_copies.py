@@ -1,14 +1,20 @@
 """Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 At 0.8 two SimHash fingerprints differ in about 10 of 64 bits, in some pairs in 14 and more, and pigeonhole blocks for
-14 bits take thousands of masks a text.  So candidates are blocked by MinHash bands (24 of 3 values: a pair of
-similarity 0.8 shares none with a probability of 3e-8), kept where their fingerprints differ in at most FAR bits (the
-mean and five deviations; small sets, whose fingerprints scatter more, are always kept), and linked only after their
-shingle sets have been compared.
+14 bits take thousands of masks a text.  So operator 9's links find the closest copies, and an exact filter the rest:
 
-Each bucket is compared with its smallest member first.  What that links is contracted, and only pairs of a bucket
-that are still in different components are compared in the second round, so a large group of copies costs one
-comparison a member.
+1. Shingles have one global order, from rare to frequent by a table of SLOTS counters over all documents (its size
+   doesn't depend on the corpus; collisions change the order, not the result), then by hash.
+2. A similar pair shares a shingle among the first fifth of both, its prefixes.  At the first shared one, what is left
+   of both is long enough for the overlap that 0.8 takes; a pair that fails this at every shared shingle isn't similar.
+3. First round: operator 9's links, and each posting of a shingle against the shingle's hub, which is the text with the
+   fewest rarer shingles of its own: in a group of edited copies, the original.  What is verified is contracted.
+4. Second round: the pairs of a shingle's texts that are still in different components.
+
+Candidates link only after their shingle sets have been compared.  Texts of one shingle are never gathered whole:
+hubs are an aggregate and a join, and in the second round a shingle of more than CELL texts is compared in cells of
+two blocks of them.  A group of n texts costs n candidates in the first round; in the second, those of its texts that
+are unlike its hub are compared with the others inside the task, and only pairs that pass the filter leave it.
 
 Defined cases: texts equal word by word (ASCII case aside) are one node; a text of fewer than five words is one shingle;
 texts without words are one node.
@@ -20,40 +26,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import components
+from . import components, op9_simhash
 from .common import keyed_texts, partitions, utf8, written
-from .op9_simhash import LOWER, fingerprint
+from .op9_simhash import LOWER, majority, shingle_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, BAND_ROWS = 24, 3
-#: Candidates of at least SMALL_SET shingles go if their fingerprints differ in more bits than this.
-FAR, SMALL_SET = 24, 100
-_rng = np.random.default_rng(42)
-FACTORS = _rng.integers(0, 2**64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
-MIXERS = _rng.integers(0, 2**64, (BANDS, BAND_ROWS), np.uint64) | np.uint64(1)
-
-
-def shingles(text: bytes) -> np.ndarray:
-    """The distinct XXH64 hashes of a text's shingles, sorted."""
-    words = text.translate(LOWER).split()
-    if len(words) <= SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = [0, *(ends[:-1] + 1).tolist()]
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist())), np.uint64, len(words) - SHINGLE + 1))
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of MinHash values."""
-    least = np.full(len(FACTORS), 2**64 - 1, np.uint64)
-    for a in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[None, a : a + 4096] * FACTORS[:, None]).min(axis=1), out=least)
-    mixed = ((least.reshape(BANDS, BAND_ROWS) ^ (least.reshape(BANDS, BAND_ROWS) >> np.uint64(31))) * MIXERS).sum(axis=1, dtype=np.uint64)
-    return mixed ^ (mixed >> np.uint64(29))
+#: Counters of the frequency table, and the parts in which it is summed.
+SLOTS, PARTS = 1 << 21, 16
+#: Texts of a shingle that one task compares; beyond it they are compared block by block.
+CELL = 20000
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -61,63 +46,138 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """(_id, _h, node, n, fp, keys): node names a normalised text."""
+def prefix_length(n: int) -> int:
+    """Sets that share at least four fifths of both share one of so many first members."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def rows_and_counts(docs: DataFrame) -> DataFrame:
+    """Rows (_id, _h, node, fp): node names a normalised text; and rows (part, data): packed counters of shingles' documents."""
 
     def run(batches):
+        counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            raw, rows = data.tobytes(), []
+            raw, node, fp = data.tobytes(), [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                hashes = shingles(raw[a:b])
-                node = xxhash.xxh64_intdigest(b" ".join(raw[a:b].translate(LOWER).split()), 7)
-                rows.append((node, len(hashes), fingerprint(raw[a:b], SHINGLE), band_keys(hashes).view(np.int64).tolist() if len(hashes) else []))
-            node, n, fp, keys = zip(*rows) if rows else ((), (), (), ())
+                hashes = shingle_hashes(raw[a:b], SHINGLE)
+                node.append(xxhash.xxh64_intdigest(b" ".join(raw[a:b].translate(LOWER).split()), 7))
+                fp.append(majority(hashes))
+                slots = (np.unique(hashes) % np.uint64(SLOTS)).astype(np.int64)
+                np.add.at(counts, slots, 1)
+            n = len(node)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(node), pa.array(n, pa.int32()), signed(fp), pa.array(keys, pa.list_(pa.int64()))], ["_id", "_h", "node", "n", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(node), signed(fp), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        used = [(i, c) for i, c in enumerate(np.split(counts, PARTS)) if c.any()]
+        none = pa.nulls(len(used), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i for i, _ in used], pa.int32()), pa.array([zstandard.compress(c.tobytes(), 1) for _, c in used], pa.binary())], names)
 
-    return keyed_texts(docs).mapInArrow(run, "_id long, _h long, node long, n int, fp long, keys array<long>")
+    names = ["_id", "_h", "node", "fp", "part", "data"]
+    return keyed_texts(docs).mapInArrow(run, "_id long, _h long, node long, fp long, part int, data binary")
 
 
-def candidates(postings: DataFrame, first: bool) -> DataFrame:
-    """Pairs (a, b) of postings (key, node, root, n, fp): first, those with the smallest node of a bucket; then the others of different roots."""
+def frequencies(packed: DataFrame) -> np.ndarray:
+    """The counters of all tasks as one table of SLOTS entries."""
+
+    def run(frames):
+        sums: dict[int, np.ndarray] = {}
+        for pdf in frames:
+            for part, data in zip(pdf["part"], pdf["data"]):
+                own = np.frombuffer(zstandard.decompress(data), np.uint32)
+                sums[part] = sums[part] + own if part in sums else own
+        yield pd.DataFrame({"part": list(sums), "data": [zstandard.compress(x.tobytes(), 1) for x in sums.values()]})
+
+    out = np.zeros((PARTS, SLOTS // PARTS), np.uint32)
+    for r in packed.repartition(PARTS, "part").mapInPandas(run, "part int, data binary").collect():
+        out[r["part"]] = np.frombuffer(zstandard.decompress(r["data"]), np.uint32)
+    return out.ravel()
 
-    def pairs(node, root, n, fp):
-        a, b = [], []
-        for i in range(1 if first else len(node) - 1):
-            if not first and i == 0:
-                continue
-            m, k = n[i + 1 :], n[i]
-            near = (np.minimum(m, k) >= SIMILAR * np.maximum(m, k)) & (root[i + 1 :] != root[i])
-            near &= (np.minimum(m, k) < SMALL_SET) | (np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= FAR)
-            at = i + 1 + np.flatnonzero(near)
-            b.append(node[at])
-            a.append(np.full(len(at), node[i]))
-        return a, b
+
+def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(_id, _h, node, n, keys): the shingles of each row's prefix, rare ones first, and the size of its set."""
+    table = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        # rows come sorted by (key, node); the last bucket of a batch may go on in the next one
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            raw, node, n, keys = data.tobytes(), [], [], []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                hashes = np.unique(shingle_hashes(raw[a:b], SHINGLE))
+                node.append(xxhash.xxh64_intdigest(b" ".join(raw[a:b].translate(LOWER).split()), 7))
+                n.append(len(hashes))
+                # hashes are sorted and the sort is stable
+                order = np.argsort(table.value[(hashes % np.uint64(SLOTS)).astype(np.int64)], kind="stable")
+                keys.append(hashes[order[: prefix_length(len(hashes))]].view(np.int64) if len(hashes) else np.zeros(0, np.int64))
+            bounds = np.cumsum([0, *map(len, keys)])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], ["_id", "_h", "node", "n", "keys"])
+
+    return keyed_texts(docs).mapInArrow(run, "_id long, _h long, node long, n int, keys array<long>")
+
+
+def room(n: Column, at: Column, other_n: Column, other_at: Column) -> Column:
+    """Whether what is left from a shared shingle on can make two sets similar: the overlap takes 4/9 of both sizes."""
+    return 9 * F.least(n - at, other_n - other_at) >= 4 * (n + other_n)
+
+
+def hub_pairs(postings: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each text with the hub of each shingle in its prefix."""
+    hubs = postings.groupBy("key").agg(F.min(F.struct("at", "node", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = postings.join(hubs.select("key", "hub"), "key").where(F.col("node") != F.col("hub.node"))
+    return met.where(room(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def link_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that operator 9 links: fingerprints four bits apart at most, and equal ones."""
+    worded = nodes.where("n > 0")
+    first = written(worded.groupBy("fp").agg(F.min("node").alias("hub")), "near-prints")
+    same = worded.join(first, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    near = written(op9_simhash.links(first.select("fp")), "near-simhash")
+    one, two = first.select(F.col("fp").alias("a"), F.col("hub").alias("x")), first.select(F.col("fp").alias("b"), F.col("hub").alias("y"))
+    return same.union(near.join(one, "a").join(two, "b").select("x", "y"))
+
+
+def rest_pairs(rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of a shingle that pass the filter and have different roots; postings have node, root, n, at, key."""
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high")
+    blocks = F.ceil(F.col("c") / CELL).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    cell = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, block).alias("x"), F.greatest(x, block).alias("y"))))
+    dealt = rooted.join(mixed.select("key", "c"), "key").select("key", "node", "root", "n", "at", cell.alias("cell")).select("key", "cell.x", "cell.y", "node", "root", "n", "at")
+
+    def run(frames):
+        # rows come sorted by (key, x, y); the last cell of a batch may go on in the next one
         held = None
-        for pdf in batches:
+        for pdf in frames:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            cut = (np.flatnonzero(np.diff(pdf["key"].to_numpy())) + 1).tolist()
+            names = [pdf[c].to_numpy() for c in ("key", "x", "y")]
+            cut = (np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in names])) + 1).tolist()
             held = pdf.iloc[cut[-1] if cut else 0 :]
-            yield found(pdf, [0, *cut])
+            yield compared(pdf, [0, *cut])
         if held is not None and len(held):
-            yield found(held, [0, len(held)])
+            yield compared(held, [0, len(held)])
 
-    def found(pdf, cuts):
-        node, root, n, fp = (pdf[c].to_numpy() for c in ("node", "root", "n", "fp"))
+    def compared(pdf: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        node, root, n, at = (pdf[c].to_numpy().astype(np.int64) for c in ("node", "root", "n", "at"))
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip(cuts, cuts[1:]):
-            if e - s > (1 if first else 2):
-                a, b = pairs(node[s:e], root[s:e], n[s:e], fp[s:e].astype(np.int64).view(np.uint64))
-                out_a += a
-                out_b += b
+            own, left = root[s:e], n[s:e] - at[s:e]
+            names, sizes = np.unique(own, return_counts=True)
+            if len(names) < 2:
+                continue
+            # every pair of two roots has a text that isn't of the commonest one
+            common = own == names[sizes.argmax()]
+            place = np.arange(e - s)
+            for i in np.flatnonzero(~common).tolist():
+                near = (9 * np.minimum(left, left[i]) >= 4 * (n[s:e] + n[s + i])) & (own != own[i]) & (common | (place > i))
+                found = s + np.flatnonzero(near)
+                if len(found):
+                    out_a.append(np.minimum(node[found], node[s + i]))
+                    out_b.append(np.maximum(node[found], node[s + i]))
         return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
-    width = 4 * partitions(postings.sparkSession)
-    return postings.repartition(width, "key").sortWithinPartitions("key", "node").mapInPandas(run, "a long, b long").distinct()
+    width = 4 * partitions(rooted.sparkSession)
+    return dealt.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -131,8 +191,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = []
             for i in range(batch.num_rows):
                 if (x := a[i].as_py()) != last:
-                    last, sets = x, shingles(ta[i].as_py().encode())
-                keep.append(similar(sets, shingles(tb[i].as_py().encode())))
+                    last, sets = x, np.unique(shingle_hashes(ta[i].as_py().encode(), SHINGLE))
+                keep.append(similar(sets, np.unique(shingle_hashes(tb[i].as_py().encode(), SHINGLE))))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
@@ -141,20 +201,24 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """(_id, _h, group): one row for each input row; rows of one group are linked by near copies."""
-    rows = written(described(docs), "near-rows")
-    kept = rows.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("k"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    nodes = written(kept.select("node", "k._id", "k._h", "n", "fp", "keys"), "near-nodes")
-
-    def links(postings: DataFrame, first: bool) -> DataFrame:
-        pairs = written(candidates(postings, first), "near-pairs")
+    first = written(rows_and_counts(docs), "near-rows")
+    rows = first.where("part is null")
+    counts = frequencies(first.where("part is not null").select("part", "data"))
+    cut = prefixes(docs, counts).groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    prints = rows.groupBy("node").agg(F.first("fp").alias("fp"))
+    nodes = written(cut.join(prints, "node").select("node", "k._id", "k._h", "n", "fp", "keys"), "near-nodes")
+    postings = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
+
+    def links(found: DataFrame) -> DataFrame:
+        pairs = written(found, "near-pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         places = nodes.select("node", "_id", "_h").join(wanted, "node", "left_semi")
         texts = keyed_texts(docs).join(places, ["_id", "_h"]).select("node", "text").dropDuplicates(["node"])
         return written(verified(pairs, texts), "near-links")
 
-    one = links(nodes.select(F.explode("keys").alias("key"), "node", F.col("node").alias("root"), "n", "fp"), True)
+    one = links(hub_pairs(postings).union(link_pairs(nodes)).distinct())
     roots = components.roots(one)
-    rooted = nodes.select("node", "n", "fp", "keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    two = links(rooted.select(F.explode("keys").alias("key"), "node", "root", "n", "fp"), False)
+    rooted = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    two = links(rest_pairs(rooted))
     roots = components.roots(one.union(two))
     return rows.select("_id", "_h", "node").join(roots, "node", "left").select("_id", "_h", F.coalesce("root", "node").alias("group"))

@@ -34,26 +34,40 @@ BITS = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Majority of the bits of XXH64 (seed 42) over the shingles of a text; bit i of the result is bit i of the hashes."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of a text, repeats included; a text of fewer words is one shingle."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     n = len(words) - shingle + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())], np.uint64, n)
+    return np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())], np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half the hashes; 0 where there are none."""
+    n = len(hashes)
+    if n == 0:
+        return 0
+    if n == 1:
+        return int(hashes[0])
     ones = np.zeros(BITS, np.int64)
     for a in range(0, n, 65536):
         ones += np.unpackbits(hashes[a : a + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Majority of the bits of a text's shingle hashes; bit i of the result is bit i of the hashes."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(_id, _h, fp): a signed 64-bit fingerprint for each row, and a hash of its text."""
 
