@@ -51,29 +51,37 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
+def node_of(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(text.translate(LOWER).split()), 7)
+
+
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(SLOTS)).astype(np.int64)
+
+
+def signed(x: list[int]) -> pa.Array:
+    return pa.array(np.array(x, np.uint64).view(np.int64))
+
+
 def rows_and_counts(docs: DataFrame) -> DataFrame:
-    """Rows (_id, _h, node, fp): node names a normalised text; and rows (part, data): packed counters of shingles' documents."""
+    """Rows (_id, _h, node): node names a normalised text; and rows (part, data): packed counters of shingles' documents."""
 
     def run(batches):
         counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            raw, node, fp = data.tobytes(), [], []
+            raw, node = data.tobytes(), []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                hashes = shingle_hashes(raw[a:b], SHINGLE)
-                node.append(xxhash.xxh64_intdigest(b" ".join(raw[a:b].translate(LOWER).split()), 7))
-                fp.append(majority(hashes))
-                slots = (np.unique(hashes) % np.uint64(SLOTS)).astype(np.int64)
-                np.add.at(counts, slots, 1)
+                node.append(node_of(raw[a:b]))
+                np.add.at(counts, slots(np.unique(shingle_hashes(raw[a:b], SHINGLE))), 1)
             n = len(node)
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(node), signed(fp), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(node), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         used = [(i, c) for i, c in enumerate(np.split(counts, PARTS)) if c.any()]
         none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i for i, _ in used], pa.int32()), pa.array([zstandard.compress(c.tobytes(), 1) for _, c in used], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _ in used], pa.int32()), pa.array([zstandard.compress(c.tobytes(), 1) for _, c in used], pa.binary())], names)
 
-    names = ["_id", "_h", "node", "fp", "part", "data"]
-    return keyed_texts(docs).mapInArrow(run, "_id long, _h long, node long, fp long, part int, data binary")
+    names = ["_id", "_h", "node", "part", "data"]
+    return keyed_texts(docs).mapInArrow(run, "_id long, _h long, node long, part int, data binary")
 
 
 def frequencies(packed: DataFrame) -> np.ndarray:
@@ -94,25 +102,27 @@ def frequencies(packed: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(_id, _h, node, n, keys): the shingles of each row's prefix, rare ones first, and the size of its set."""
+    """(_id, _h, node, n, fp, keys): size, fingerprint and prefix of each row's shingles, rare ones first."""
     table = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            raw, node, n, keys = data.tobytes(), [], [], []
+            raw, node, n, fp, keys = data.tobytes(), [], [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                hashes = np.unique(shingle_hashes(raw[a:b], SHINGLE))
-                node.append(xxhash.xxh64_intdigest(b" ".join(raw[a:b].translate(LOWER).split()), 7))
+                every = shingle_hashes(raw[a:b], SHINGLE)
+                hashes = np.unique(every)
+                node.append(node_of(raw[a:b]))
                 n.append(len(hashes))
+                fp.append(majority(every))
                 # hashes are sorted and the sort is stable
-                order = np.argsort(table.value[(hashes % np.uint64(SLOTS)).astype(np.int64)], kind="stable")
+                order = np.argsort(table.value[slots(hashes)], kind="stable")
                 keys.append(hashes[order[: prefix_length(len(hashes))]].view(np.int64) if len(hashes) else np.zeros(0, np.int64))
             bounds = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], ["_id", "_h", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(node), pa.array(n, pa.int32()), signed(fp), lists], ["_id", "_h", "node", "n", "fp", "keys"])
 
-    return keyed_texts(docs).mapInArrow(run, "_id long, _h long, node long, n int, keys array<long>")
+    return keyed_texts(docs).mapInArrow(run, "_id long, _h long, node long, n int, fp long, keys array<long>")
 
 
 def room(n: Column, at: Column, other_n: Column, other_at: Column) -> Column:
@@ -120,10 +130,17 @@ def room(n: Column, at: Column, other_n: Column, other_at: Column) -> Column:
     return 9 * F.least(n - at, other_n - other_at) >= 4 * (n + other_n)
 
 
+def shared_postings(nodes: DataFrame) -> DataFrame:
+    """(key, node, n, at): the prefix shingles that two texts or more have in their prefixes."""
+    postings = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    return written(postings.join(shared, "key"), "near-postings")
+
+
 def hub_pairs(postings: DataFrame) -> DataFrame:
     """Pairs (a, b) of each text with the hub of each shingle in its prefix."""
-    hubs = postings.groupBy("key").agg(F.min(F.struct("at", "node", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = postings.join(hubs.select("key", "hub"), "key").where(F.col("node") != F.col("hub.node"))
+    hubs = postings.groupBy("key").agg(F.min(F.struct("at", "node", "n")).alias("hub"))
+    met = postings.join(hubs, "key").where(F.col("node") != F.col("hub.node"))
     return met.where(room(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
@@ -204,10 +221,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     first = written(rows_and_counts(docs), "near-rows")
     rows = first.where("part is null")
     counts = frequencies(first.where("part is not null").select("part", "data"))
-    cut = prefixes(docs, counts).groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    prints = rows.groupBy("node").agg(F.first("fp").alias("fp"))
-    nodes = written(cut.join(prints, "node").select("node", "k._id", "k._h", "n", "fp", "keys"), "near-nodes")
-    postings = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    cut = prefixes(docs, counts).groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("k"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")])
+    nodes = written(cut.select("node", "k._id", "k._h", "n", "fp", "keys"), "near-nodes")
+    postings = shared_postings(nodes)
 
     def links(found: DataFrame) -> DataFrame:
         pairs = written(found, "near-pairs")
