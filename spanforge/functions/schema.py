@@ -11,7 +11,7 @@ AVOIDED = DAMAGE_KINDS[5:]
 MODIFIERS = {
     name: 1 << bit
     for bit, name in enumerate(
-        ("Critical", "Lucky", "Twincast", "Flurry", "Rampage", "WildRampage", "Riposte", "Strikethrough", "DoubleBow", "Assassinate", "Headshot", "FinishingBlow", "SlayUndead", "Locked")
+        ("Critical", "Lucky", "Twincast", "Flurry", "Rampage", "WildRampage", "Riposte", "Strikethrough", "DoubleBowShot", "Assassinate", "Headshot", "FinishingBlow", "SlayUndead", "Locked")
     )
 }
 
@@ -19,7 +19,7 @@ MODIFIERS = {
 FIELDS = {
     "actor": "string", "target": "string", "amount": "bigint", "potential": "bigint", "damage_kind": "string", "sub_type": "string", "modifiers": "int",
     "school": "string", "is_spell": "boolean", "actor_owner": "string", "target_owner": "string", "spell": "string", "over_time": "boolean", "cast_kind": "string",
-    "song": "boolean", "emote": "string", "ability": "string", "stance": "string", "success": "boolean", "channel": "string", "text": "string", "custom_channel": "string",
+    "song": "boolean", "emote": "string", "ability": "string", "stance": "string", "success": "boolean", "improved": "boolean", "channel": "string", "text": "string", "custom_channel": "string",
     "zone": "string", "welcome": "boolean", "raid": "boolean", "joined": "boolean", "level": "int", "class_text": "string", "percent": "double", "party": "boolean",
     "aa_point": "boolean", "aa_total": "int", "faction": "string", "delta": "int", "better": "boolean", "capped": "boolean", "item": "string", "source": "string",
     "copper": "bigint", "quantity": "int", "sold": "boolean", "attitude": "string",

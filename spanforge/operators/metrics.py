@@ -100,7 +100,7 @@ COUNTERS: dict[str, Counter] = {
     "rampage": count_if(lambda: melee() & has("Rampage", "WildRampage")),
     "riposte": count_if(lambda: melee() & has("Riposte")),
     "strikethrough": count_if(lambda: melee() & has("Strikethrough")),
-    "double_bow": count_if(lambda: melee() & has("DoubleBow")),
+    "double_bow": count_if(lambda: melee() & has("DoubleBowShot")),
     "assassinate": count_if(lambda: landed() & has("Assassinate")),
     "headshot": count_if(lambda: landed() & has("Headshot")),
     "finishing_blow": count_if(lambda: landed() & has("FinishingBlow")),

@@ -55,6 +55,15 @@ CASES = [
     ("You told Far.Mara, 'hi'", "Chat", {"channel": "tell", "actor": "Me", "target": "Mara"}),
     ("Odo tells Fen.road:3, 'on my way'", "Chat", {"channel": "custom", "custom_channel": "fen.road"}),
     ("ok", None, {}),
+    ("Mara has shielded herself from 58 points of damage.", "Damage", {"damage_kind": "Absorb", "target": "Mara", "actor": None, "amount": 0}),
+    ("You are scorched by a drake.  You have taken 79 points of damage.", "Damage", {"damage_kind": "DamageOverTime", "target": "Me", "amount": 79, "actor": None}),
+    ("Mara has taken 12 damage from Ash by Night by Odo.", "Damage", {"sub_type": "Ash by Night", "actor": "Odo"}),
+    ("An old troll is focused on attacking Mara due to an improved taunt.", "Taunt", {"actor": "Mara", "improved": True}),
+    ("Odo hits an old troll for 99999999999999999999 points of damage.", None, {}),
+    ("Tarn (Owner: Mara) hit an old troll for 7 points of non-melee damage. (Quake)", "Damage", {"actor": "Tarn", "actor_owner": "Mara", "sub_type": "Quake", "target_owner": None}),
+    ("An old troll hit Tarn (Owner: Mara) for 7 points of fire damage by Flare.", "Damage", {"actor_owner": None, "target_owner": "Mara", "target": "Tarn"}),
+    ("Mara slashes an old troll for 1 point of damage. (Double Bow Shot)", "Damage", {"modifiers": MODIFIERS["DoubleBowShot"]}),
+    ("", None, {}),
 ]
 
 
@@ -87,3 +96,34 @@ def test_readers(spark, tmp_path):
 def test_zone_instances(spark):
     row = spark.createDataFrame([("Grey Fen 3 (Hard)",), ("Grey Fen",)], "z string").select(grammar.instance_zone(F.col("z")).alias("i")).collect()
     assert [tuple(r["i"]) for r in row] == [("Grey Fen", 3, "Hard"), ("Grey Fen", None, None)]
+
+
+def test_announced_criticals_of_emulator_logs(spark):
+    texts = ["Odo scores a critical hit!", "Mara hits a troll for 5 points of damage.", "Odo hits a troll for 7 points of damage.", "Odo hits a troll for 8 points of damage.", "Mara lands a Crippling Blow!(9)", "Mara bashes a troll for 9 points of damage."]
+    rows = spark.createDataFrame([("s", i, x) for i, x in enumerate(texts)], "session_id string, line_no long, action string").withColumn("ts", F.lit("2024-03-09 20:00:00").cast("timestamp_ntz"))
+    found = {r["line_no"]: r["modifiers"] for r in grammar.parse(rows, F.lit("Me"), emu=True).collect()}
+    assert found == {1: 0, 2: MODIFIERS["Critical"], 3: 0, 5: MODIFIERS["Critical"]}
+    assert {r["line_no"] for r in grammar.parse(rows, F.lit("Me")).collect()} == {1, 2, 3, 5}
+
+
+def test_many_entries_on_a_line_keep_their_order(spark, tmp_path):
+    stamp = lambda s: f"[Sat Mar 09 20:{s // 60:02d}:{s % 60:02d} 2024] "
+    first = "".join(f"{stamp(i)}e{i:03d}" for i in range(300))
+    (tmp_path / "eqlog_Mara_fen.txt").write_text(first + "\n" + f"{stamp(300)}e300\n{stamp(301)}e301\n")
+    found = source.read(spark, str(tmp_path / "eqlog_Mara_fen.txt")).orderBy("line_no").collect()
+    assert [r["action"] for r in found] == [f"e{i:03d}" for i in range(302)] and len({r["line_no"] for r in found}) == 302
+
+
+def test_one_pass_is_scan_and_parse(spark):
+    stamp = lambda s, day="09": f"[Sat Mar {day} 20:00:{s:02d} 2024] "
+    texts = [stamp(i % 60) + case[0] for i, case in enumerate(CASES)] + [
+        stamp(1) + "Mara died." + stamp(2) + "Odo died.\r", "noise " + stamp(3) + "Odo died.", stamp(4, "32") + "Odo died.", stamp(61) + "Odo died.", "[Sat Feb 29 20:00:04 2023] Odo died.", "[Thu Feb 29 20:00:04 2024] Odo died.",
+        stamp(5) + "Jos\xe9 died.", stamp(6) + "x" * 70000, "", None, stamp(7),
+    ]
+    raw = spark.createDataFrame([("s", i, None if x is None else x.encode("latin-1")) for i, x in enumerate(texts)], "session_id string, line_no long, value binary")
+    one = grammar.parse_text(raw, F.lit("Me"))
+    # the text column of a log file holds the file's bytes
+    two = grammar.parse(source.entries(raw).withColumn("line_no", F.col("line_no") * 4096 + F.col("part")), F.lit("Me"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=lambda r: r[1])
+    assert rows(one) == rows(two) and one.count() > 50
+    assert {"Mara", "Odo", "José"} <= {r["target"] for r in one.where("kind = 'Death'").collect()}
