@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY = 86400
+HOUR, DAY = 3600, 86400
 
 
 def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -15,14 +15,25 @@ def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
     return opened.groupBy(*keys, "_island").agg(F.min("b").alias("b"), F.max("e").alias("e")).drop("_island")
 
 
-def merge(df: DataFrame, keys: list[str]) -> DataFrame:
+def merge(df: DataFrame, keys: list[str], width: int = HOUR) -> DataFrame:
     """Union of the intervals of each key: overlapping ones and those that touch within a second become one.
 
-    Intervals of one key and day merge first, so a key that holds most rows is spread over its days.
+    Intervals are cut at the hours and merged hour by hour, so one key that holds most rows is spread over its hours;
+    only stretches that reach an hour's edge, two an hour at most, are then joined along the whole key.
     """
-    clean = df.select(*keys, F.least("b", "e").alias("b"), F.greatest("b", "e").alias("e"))
-    by_day = _islands(clean.withColumn("_day", F.floor(F.col("b") / DAY)), [*keys, "_day"]).drop("_day")
-    return _islands(by_day, keys)
+    low, high = F.least("b", "e"), F.greatest("b", "e")
+    hours = df.select(*keys, low.alias("_b"), high.alias("_e"), F.explode(F.sequence(F.floor(low / width), F.floor(high / width))).alias("_hour"))
+    begin = F.col("_hour") * width
+    cut = hours.select(*keys, "_hour", F.greatest("_b", begin).alias("b"), F.least("_e", begin + (width - 1)).alias("e"))
+    inside = _islands(cut, [*keys, "_hour"])
+    edge = (F.pmod("b", F.lit(width)) == 0) | (F.pmod("e", F.lit(width)) == width - 1)
+    marked = inside.select(*keys, "b", "e", edge.alias("_edge"))
+    # stretches away from the edges are groups of their own; hashing them apart keeps a key's window to its edges
+    apart = F.when(F.col("_edge"), F.lit(0)).otherwise(F.xxhash64("b"))
+    w = Window.partitionBy(*keys, "_apart").orderBy("b")
+    new = F.when(F.col("_edge") & F.coalesce(F.lag("e").over(w) == F.col("b") - 1, F.lit(False)), 0).otherwise(1)
+    joined = marked.withColumn("_apart", apart).withColumn("_new", new).withColumn("_group", F.sum("_new").over(w))
+    return joined.groupBy(*keys, "_apart", "_group").agg(F.min("b").alias("b"), F.max("e").alias("e")).drop("_apart", "_group")
 
 
 def total(b: str = "b", e: str = "e") -> Column:
@@ -32,10 +43,14 @@ def total(b: str = "b", e: str = "e") -> Column:
 
 def trim(df: DataFrame, keys: list[str], skip: int = 0, most: int | None = None) -> DataFrame:
     """Leave out the first `skip` seconds of each key's concatenated timeline and keep at most `most` after them."""
-    order = Window.partitionBy(*keys).orderBy("b")
     length = F.col("e") - F.col("b") + 1
-    before = F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = df.withColumn("_before", before)
+    # seconds of the days before, from one row a day, and of the day's own intervals before each
+    dated = df.withColumn("_day", F.floor(F.col("b") / DAY))
+    days = dated.groupBy(*keys, "_day").agg(F.sum(length).alias("_secs"))
+    past = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_past", F.coalesce(F.sum("_secs").over(past), F.lit(0))).drop("_secs")
+    own = Window.partitionBy(*keys, "_day").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dated.withColumn("_own", F.coalesce(F.sum(length).over(own), F.lit(0))).join(days, [*keys, "_day"]).withColumn("_before", F.col("_own") + F.col("_past"))
     b = F.col("b") + F.greatest(F.lit(0), F.lit(skip) - F.col("_before"))
     e = F.col("e") if most is None else F.least(F.col("e"), F.col("b") + F.lit(skip + most) - F.col("_before") - 1)
     return placed.select(*[c for c in df.columns if c not in ("b", "e")], b.alias("b"), e.alias("e")).where("b <= e")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import cut
+
 
 def npc_key(c: Column) -> Column:
     """Name without a leading article and outer blanks, in lower case; an article alone stays."""
@@ -102,22 +104,15 @@ def routes(edges: DataFrame, start: str) -> DataFrame:
         hops += 1
         step = frontier.join(both, frontier.node == both.a).select(F.col("b").alias("node"), F.col("a").alias("via"))
         fresh = step.join(reached.select("node"), "node", "left_anti").groupBy("node").agg(F.min("via").alias("via")).select("node", F.lit(hops).alias("hops"), "via")
-        frontier = cut(fresh, spark)
+        frontier = cut(fresh)
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
         if hops % 16 == 0:  # a long way's union of frontiers is kept shallow
-            reached = cut(reached, spark)
+            reached = cut(reached)
     return reached
 
 
-def cut(df: DataFrame, spark) -> DataFrame:
-    """df without its lineage, in the cluster's checkpoint folder where there is one."""
-    if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
-        return df.cache()
-    return df.checkpoint()
-
-
 def bounds(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y", "z") for n, f in (("min", F.min), ("max", F.max))])
 

@@ -41,9 +41,11 @@ def stretches(series: DataFrame, keys: list[str], width: int, at: str = "at") ->
 def top_and_other(df: DataFrame, label: str, value: str, n: int = 8) -> DataFrame:
     """(label, value) of the n largest sums, the rest as one row "Other (m)"."""
     sums = df.groupBy(label).agg(F.sum(value).alias(value))
-    top = sums.orderBy(F.desc(value), label).limit(n)
-    rest = sums.join(F.broadcast(top.select(label)), label, "left_anti").agg(F.sum(value).alias(value), F.count(F.lit(1)).alias("m")).where("m > 0")
-    return top.select(F.col(label).cast("string").alias(label), value).unionByName(rest.select(F.format_string("Other (%d)", "m").alias(label), value))
+    top = sums.orderBy(F.desc(value), label).limit(n).select(F.col(label).alias("_label"), F.lit(True).alias("_top"))
+    # a null label is a label like any other
+    told = sums.join(F.broadcast(top), F.col(label).eqNullSafe(F.col("_label")), "left")
+    rest = told.where("_top is null").agg(F.sum(value).alias(value), F.count(F.lit(1)).alias("m")).where("m > 0")
+    return told.where("_top").select(F.col(label).cast("string").alias(label), value).unionByName(rest.select(F.format_string("Other (%d)", "m").alias(label), value))
 
 
 def drop_rates(drops: DataFrame, kills: DataFrame, source: str = "target", item: str = "item", victim: str = "victim") -> DataFrame:

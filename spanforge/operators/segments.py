@@ -79,3 +79,27 @@ def within(points: DataFrame, spans: DataFrame, keys: list[str], values: list[st
     """points joined with the spans (b, e) that hold their second; spans are dealt to the buckets they touch."""
     dealt = spans.select(*keys, "b", "e", *values).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("b") / width), F.floor(F.col("e") / width))))
     return points.withColumn("_bucket", F.floor(F.col("s") / width)).join(dealt, [*keys, "_bucket"]).where("s between b and e").drop("_bucket")
+
+
+def ranked(df: DataFrame, order: list[tuple[Column, bool]], name: str = "rank") -> DataFrame:
+    """df with the place of each row in a total order of (column, descending), from 1.
+
+    Rows are dealt by range of the order and counted in each part; only the parts' sizes meet in one task.
+    """
+    named = df.select("*", *[c.alias(f"_o{i}") for i, (c, _) in enumerate(order)])
+    by = [F.col(f"_o{i}").desc() if down else F.col(f"_o{i}").asc() for i, (_, down) in enumerate(order)]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = named.repartitionByRange(n, *by).withColumn("_part", F.spark_partition_id())
+    dealt = cut(dealt)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
+    return placed.join(F.broadcast(before.select("_part", "_before")), "_part").select(*df.columns, (F.col("_own") + F.col("_before")).cast("long").alias(name))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the cluster's checkpoint folder; as it is where there is none."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
+        return df
+    return df.checkpoint()

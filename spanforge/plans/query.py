@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from ..functions.timeutil import bucket, moment, seconds
 from ..operators import intervals, metrics, segments
 
+HOUR = 3600
+NO_STANCE = "(no stance)"
 PROGRESSION = ("experience", "faction", "loot", "considers")
 FLAGS = {"critical": "Critical", "lucky": "Lucky", "twincast": "Twincast", "riposte": "Riposte", "rampage": "Rampage"}
 
 
 @dataclass
 class Scope:
-    fightIds: list[int] = field(default_factory=list)
+    fightIds: list[int] | None = None  # none of them and an empty list mean all fights, but progression takes play sessions for none
     timeRanges: list[dict] = field(default_factory=list)
     lastSeconds: int | None = None
     skipFirstSeconds: int | None = None
@@ -56,7 +58,7 @@ class QuerySpec:
         return cls(**{**raw, "scope": Scope(**(raw.get("scope") or {})), "filters": [Filter(**f) for f in raw.get("filters") or []]})
 
     def to_json(self) -> str:
-        lean = lambda x: {k: lean(v) for k, v in x.items() if v not in (None, [], {})} if isinstance(x, dict) else [lean(v) for v in x] if isinstance(x, list) else x
+        lean = lambda x: {k: lean(v) for k, v in x.items() if v not in (None, [], {}) or (k == "fightIds" and v == [])} if isinstance(x, dict) else [lean(v) for v in x] if isinstance(x, list) else x
         return json.dumps(lean(asdict(self)))
 
 
@@ -121,13 +123,12 @@ def units(world: World, spec: QuerySpec) -> DataFrame:
             cut = met.select("range", "name", F.greatest("f.b", "r.b").alias("b"), F.least("f.e", "r.e").alias("e"))
             found = cut.unionByName(found.join(cut.select("range").distinct(), "range", "left_anti"))
         found = found.drop("range")
-    elif source in PROGRESSION and not scope.fightIds:
+    elif source in PROGRESSION and scope.fightIds is None and not scope.openFights:
         found = world.presence().select(none.alias("name"), "b", "e")
     else:
         chosen = fights.join(open_fights(world), "id", "left_semi") if scope.openFights else fights.where(F.col("id").isin(*scope.fightIds)) if scope.fightIds else fights
         found = chosen.select("name", "b", "e")
-    keys = ["name", "_k"]
-    found = found.withColumn("_k", F.lit(0)).withColumn("unit", F.xxhash64("name", "b", "e"))
+    found = found.withColumn("_k", F.lit(0))
     if scope.playedTimeOnly:
         found = intervals.intersect(found, world.presence().withColumn("_k", F.lit(0)), ["_k"])
     if scope.skipFirstSeconds or scope.maxSeconds is not None:
@@ -135,31 +136,51 @@ def units(world: World, spec: QuerySpec) -> DataFrame:
         found = intervals.intersect(found, intervals.trim(union, ["_k"], scope.skipFirstSeconds or 0, scope.maxSeconds), ["_k"])
     if source not in ("damage", "tanking"):
         found = intervals.merge(found, ["_k"]).select(none.alias("name"), "_k", "b", "e")
-    row = Window.orderBy("b", "e", "name")
-    return found.select("name", "b", "e").withColumn("unit", F.row_number().over(row).cast("long")).select("unit", "name", "b", "e")
+    return found.select(F.xxhash64("name", "b", "e").alias("unit"), "name", "b", "e")
 
 
-def routed(rows: DataFrame, source: str, owner: str) -> DataFrame:
-    """The source's rows with the actor that they count for; name is the fight of their unit, if it is one."""
-    fight = F.col("name").isNotNull()
-    kind, none = F.col("kind"), F.lit("Unknown")
-    if source == "damage":
-        ranged = ~F.coalesce("target_player", F.lit(False)) & ~F.col("actor_npc") & ~F.coalesce("is_spell", F.lit(False))
-        return rows.where((kind == "Damage") & F.col("actor").isNotNull() & F.when(fight, F.col("target") == F.col("name")).otherwise(ranged)).withColumn("who", F.col("actor"))
-    if source == "tanking":
-        return rows.where((kind == "Damage") & F.when(fight, F.col("actor") == F.col("name")).otherwise(F.col("actor_npc"))).withColumn("who", F.col("target"))
-    simple = {
-        "healing": ("Heal", F.coalesce("actor", "spell", none)), "casts": ("Cast", F.col("actor")), "deaths": ("Death", F.col("target")), "experience": ("Experience", F.lit(owner)),
-        "faction": ("Faction", F.col("faction")), "loot": ("Loot", F.col("actor")), "considers": ("Consider", F.col("target")),
-    }
-    wanted, who = simple[source]
-    return rows.where(kind == wanted).withColumn("who", who)
+#: Kind of event and who it counts for, of the sources that aren't damage.
+ROUTES = {
+    "healing": ("Heal", lambda owner: F.coalesce("actor", "spell", F.lit("Unknown"))), "casts": ("Cast", lambda owner: F.col("actor")), "deaths": ("Death", lambda owner: F.col("target")),
+    "experience": ("Experience", lambda owner: F.lit(owner)), "faction": ("Faction", lambda owner: F.col("faction")), "loot": ("Loot", lambda owner: F.col("actor")), "considers": ("Consider", lambda owner: F.col("target")),
+}
+
+
+def scoped(world: World, spec: QuerySpec, events: DataFrame) -> DataFrame:
+    """The source's rows in the scope's units, with unit, ub and ue (its first and last second) and who they count for.
+
+    Units that are fights join on the enemy's name and a stretch of five minutes; others are few or disjoint and join on
+    the hour.
+    """
+    scope, source = spec.scope, spec.source
+    spans = units(world, spec).withColumn("ub", F.col("b")).withColumn("ue", F.col("e"))
+    values = ["unit", "ub", "ue"]
+    if source not in ("damage", "tanking"):
+        kind, who = ROUTES[source]
+        return segments.within(events.where(F.col("kind") == kind), spans, [], values, HOUR).withColumn("who", who(world.owner))
+    hits = events.where("kind = 'Damage'")
+    side, other = ("target", "actor") if source == "damage" else ("actor", "target")
+    parts = []
+    if not scope.lastSeconds:
+        named = hits.withColumn("_name", F.col(side)).where("_name is not null")
+        parts.append(segments.within(named, spans.where("name is not null").withColumnRenamed("name", "_name"), ["_name"], values, 300).drop("_name"))
+    if scope.lastSeconds or scope.timeRanges:
+        ranged = ~F.coalesce("target_player", F.lit(False)) & ~F.col("actor_npc") & ~F.coalesce("is_spell", F.lit(False)) if source == "damage" else F.col("actor_npc")
+        parts.append(segments.within(hits.where(ranged), spans.where("name is null").drop("name"), [], values, HOUR))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return (rows.where("actor is not null") if source == "damage" else rows).withColumn("who", F.col(other))
 
 
 def kind_label() -> Column:
     return F.col("damage_kind")
 
 
+def own_side(owner: str) -> Column:
+    """Whether the one that a row counts for is the log's owner or a pet of theirs, whose stance the log knows."""
+    mine = F.coalesce(F.when(F.col("who") == F.col("actor"), F.col("_actor_owner")).when(F.col("who") == F.col("target"), F.col("_target_owner")), "who")
+    return F.coalesce(F.lower(mine) == owner.lower(), F.lit(False)) | F.coalesce(F.lower("who") == owner.lower(), F.lit(False))
+
+
 def dimension(dim: str, source: str, owner: str) -> Column:
     kind, none = F.col("kind"), F.lit("Unknown")
     if dim == "player":
@@ -180,7 +201,7 @@ def dimension(dim: str, source: str, owner: str) -> Column:
     if dim == "damageType":
         return F.coalesce(F.when(kind == "Damage", F.coalesce("school", kind_label())), none)
     if dim == "stance":
-        return F.when(F.col("owner") == owner, F.coalesce("held", F.lit("(no stance)"))).otherwise(F.lit("(not you)"))
+        return F.when(own_side(owner), F.coalesce("held", F.lit(NO_STANCE))).otherwise(F.lit("(not you)"))
     return none
 
 
@@ -195,9 +216,25 @@ def series_value(source: str) -> Column | None:
 
 
 def stance_spans(world: World) -> DataFrame:
+    """(held, b, e): the owner's stances from switch to switch, the last one to the log's end; unknown before the first."""
     own = world.events.where((F.col("kind") == "Stance") & (F.lower("actor") == world.owner.lower()))
-    last = world.events.agg(F.max("s").alias("_last"))
-    return segments.steps(own, ["session_id"], ["line_no"], "stance", keep_repeats=True).crossJoin(F.broadcast(last)).select("session_id", F.col("stance").alias("held"), "b", F.coalesce("e", "_last").alias("e"))
+    whole = world.events.agg(F.min("s").alias("_first"), F.max("s").alias("_last"))
+    held = segments.steps(own, ["session_id"], ["line_no"], "stance", keep_repeats=True).crossJoin(F.broadcast(whole))
+    known = held.select(F.col("stance").alias("held"), "b", F.coalesce("e", "_last").alias("e"))
+    first = held.agg(F.min("b").alias("_b"), F.first("_first").alias("b")).where("b < _b").select(F.lit(NO_STANCE).alias("held"), "b", (F.col("_b") - 1).alias("e"))
+    return known.unionByName(first).where("e >= b")
+
+
+def with_stance(world: World, rows: DataFrame) -> DataFrame:
+    """Rows of units with held and the stretch (hb, he) of it that they touch, within their unit and the play session."""
+    key = lambda df: df.withColumn("_k", F.lit(0))
+    pieces = intervals.intersect(key(stance_spans(world)), key(world.presence()), ["_k"]).withColumn("hb", F.col("b")).withColumn("he", F.col("e"))
+    seconds_of = segments.within(rows.select("s").distinct(), pieces, [], ["held", "hb", "he"], HOUR).select("s", "held", "hb", "he").dropDuplicates(["s"])
+    return rows.join(seconds_of, "s", "left").withColumn("hb", F.greatest("hb", "ub")).withColumn("he", F.least("he", "ue"))
+
+
+def no_path() -> Column:
+    return F.expr("cast(array() as array<string>)")
 
 
 @dataclass
@@ -208,14 +245,10 @@ class Compiled:
 
 def compile_query(world: World, spec: QuerySpec) -> Compiled:
     names = list(spec.metrics) or list(metrics.DEFAULTS[spec.source])
-    scope_units = units(world, spec)
-    events = sided(world)
-    if "stance" in spec.groupBy or any(f.dim == "stance" for f in spec.filters) or any(n.startswith("stance") for n in names):
-        spans = stance_spans(world)
-        held = segments.within(events.select("session_id", "s").distinct(), spans, ["session_id"], ["held"]).groupBy("session_id", "s").agg(F.max_by("held", "b").alias("held"), F.max("b").alias("held_from"))
-        events = events.join(held, ["session_id", "s"], "left")
-    rows = segments.within(events.withColumn("_one", F.lit(0)), scope_units.withColumn("_one", F.lit(0)), ["_one"], ["unit", "name"])
-    rows = routed(rows, spec.source, world.owner)
+    stances = "stance" in spec.groupBy or any(f.dim == "stance" for f in spec.filters) or any(n.startswith("stance") for n in names)
+    rows = scoped(world, spec, sided(world))
+    if stances:
+        rows = with_stance(world, rows)
     for f in spec.filters:
         if f.flag:
             test = flag(f.flag)
@@ -234,44 +267,59 @@ def compile_query(world: World, spec: QuerySpec) -> Compiled:
             rows = rows.withColumn(f"d{i}", dimension(dim, spec.source, world.owner))
             dims.append(f"d{i}")
     wanted = metrics.needed(names) | ({"total"} if "percentOfTotal" in names else set())
-    base = rows.groupBy(*dims, "unit").agg(*metrics.parts(wanted), F.min("s").alias("b"), F.max("s").alias("e"), F.min(F.struct("s", "line_no")).alias("first_seen"))
-    levels = [rolled(base, dims[:n], wanted, dims) for n in range(len(dims) + 1)]
-    if spec.petRollup:
-        levels = [flattened(level, levels, dims) for level in levels]
-    whole = levels[0]
-    for level in levels[1:]:
-        whole = whole.unionByName(level)
-    root = levels[0].select(F.col("active").alias("raid"), *([F.col("total").alias("root_total")] if "total" in wanted else []))
-    c = {n: F.col(n) for n in [*(wanted & metrics.COUNTERS.keys()), "active", "raid"]} | {"root_total": F.col("root_total"), "stance": F.lit(0), "stance_scope": F.lit(0)}
-    valued = whole.crossJoin(F.broadcast(root)).select("level", "path", "label", "first_seen", *[metrics.metric(n, c).alias(n) for n in names])
+    touched = [F.collect_set(F.when(own_side(world.owner) & F.col("hb").isNotNull(), F.struct(F.col("hb").alias("b"), F.col("he").alias("e")))).alias("touched")] if stances else []
+    # a group of one unit touches as many stances as were held in it
+    base = rows.groupBy(*dims, "unit").agg(*metrics.parts(wanted), F.min("s").alias("b"), F.max("s").alias("e"), F.min(F.struct("s", "line_no")).alias("first_seen"), *touched)
+    for d in [d for d in dims if d.endswith("_actor")]:
+        base = flattened(base, dims, d)
+    tree = segments.cut(leveled(base, dims, wanted, stances))
+    active = seconds_of_paths(tree.select("path", "b", "e"), "active")
+    whole = tree.groupBy("path").agg(*metrics.merged(wanted, final=True), F.min("first_seen").alias("first_seen"), F.max("label").alias("label")).join(active, "path")
+    if stances:
+        held = seconds_of_paths(tree.select("path", F.explode("touched").alias("t")).select("path", "t.b", "t.e"), "stance")
+        whole = whole.join(held, "path", "left").withColumn("stance", F.coalesce("stance", F.lit(0)))
+    else:
+        whole = whole.withColumn("stance", F.lit(0))
+    root = whole.where("size(path) = 0").select(F.col("active").alias("raid"), F.col("stance").alias("stance_scope"), *([F.col("total").alias("root_total")] if "total" in wanted else []))
+    c = {n: F.col(n) for n in [*(wanted & metrics.COUNTERS.keys()), "active", "raid", "root_total", "stance", "stance_scope"]}
+    valued = whole.join(F.broadcast(root)).select(F.size("path").alias("level"), "path", "label", "first_seen", *[metrics.metric(n, c).alias(n) for n in names])
     parent = Window.partitionBy("level", F.slice("path", 1, F.greatest(F.col("level") - 1, F.lit(0)))).orderBy(F.desc(names[0]), "first_seen")
     ranked = valued.withColumn("rank", F.row_number().over(parent)).drop("first_seen")
     series = None
     if spec.bucketSeconds and (value := series_value(spec.source)) is not None:
         keyed = rows.withColumn("at", bucket(F.col("s"), spec.bucketSeconds)).withColumn("_v", value)
-        series = keyed.groupBy(*dims, "at").agg(F.sum("_v").alias("value")).select(F.array(*dims).alias("path") if dims else F.expr("cast(array() as array<string>)").alias("path"), moment(F.col("at")).alias("at"), "value")
+        series = keyed.groupBy(*dims, "at").agg(F.sum("_v").alias("value")).select(F.array(*dims).alias("path") if dims else no_path().alias("path"), moment(F.col("at")).alias("at"), "value")
     return Compiled(ranked, series)
 
 
-def rolled(base: DataFrame, prefix: list[str], wanted: set[str], dims: list[str]) -> DataFrame:
-    """One level of the tree: merged counters, and active seconds as the union of its units' first-to-last stretches."""
-    keyed = base.withColumn("_all", F.lit(0))
-    keys = [*prefix, "_all"]
-    actors = [F.count_distinct(dims[len(prefix)]).alias("_actors"), F.min(dims[len(prefix)]).alias("_actor")] if len(prefix) < len(dims) and dims[len(prefix)].endswith("_actor") else [F.lit(1).alias("_actors"), F.lit(None).cast("string").alias("_actor")]
-    counted = keyed.groupBy(*keys).agg(*metrics.merged(wanted, final=True), F.min("first_seen").alias("first_seen"), *actors)
-    stretches = keyed.groupBy(*keys, "unit").agg(F.min("b").alias("b"), F.max("e").alias("e"))
-    active = intervals.merge(stretches, keys).groupBy(*keys).agg(intervals.total().alias("active"))
-    on = [counted[k].eqNullSafe(active[k]) for k in keys]
-    met = counted.join(active, on).select(*[counted[k] for k in keys], *[counted[k] for k in counted.columns if k not in keys], active["active"])
-    path = F.array(*prefix) if prefix else F.expr("cast(array() as array<string>)")
-    label = F.col(prefix[-1]) if prefix else F.lit("Total")
-    return met.select(F.lit(len(prefix)).alias("level"), path.alias("path"), label.alias("label"), *[c for c in met.columns if c not in keys])
-
-
-def flattened(level: DataFrame, levels: list[DataFrame], dims: list[str]) -> DataFrame:
-    """Owner labels, and no level of actors beneath an owner that has one actor only."""
-    owner = (F.col("_actors") > 1) | (F.col("_actor") != F.col("label"))
-    return level.withColumn("label", F.when(owner & F.col("_actor").isNotNull(), F.concat("label", F.lit(" +Pets"))).otherwise(F.col("label")))
+def flattened(base: DataFrame, dims: list[str], actor: str) -> DataFrame:
+    """base with {actor}_lone: whether the owner before has no actor but itself, so that their level of actors goes."""
+    upto = dims[: dims.index(actor)]
+    one = base.groupBy(*upto).agg((F.min(actor).eqNullSafe(F.max(actor)) & F.min(actor).eqNullSafe(F.first(upto[-1]))).alias(f"{actor}_lone"))
+    named = one.select(*[F.col(k).alias(f"_j_{k}") for k in upto], f"{actor}_lone")
+    on = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in upto]
+    return base.join(named, on).drop(*[f"_j_{k}" for k in upto])
+
+
+def leveled(base: DataFrame, dims: list[str], wanted: set[str], stances: bool) -> DataFrame:
+    """One row for each unit and node of the tree that it is in: path (empty for the total), label and the unit's counters."""
+    steps, labels = [no_path()], [no_path()]
+    for i, d in enumerate(dims):
+        lone = F.col(f"{d}_lone") if d.endswith("_actor") else None
+        pets = f"{dims[i + 1]}_lone" if i + 1 < len(dims) and dims[i + 1].endswith("_actor") else None
+        label = F.when(F.col(pets), F.col(d)).otherwise(F.concat(d, F.lit(" +Pets"))) if pets else F.col(d)
+        for into, value in ((steps, F.col(d)), (labels, label)):
+            into.append(F.array(value) if lone is None else F.when(lone, no_path()).otherwise(F.array(value)))
+    placed = base.withColumn("_path", F.concat(*steps)).withColumn("_labels", F.concat(*labels))
+    levels = placed.withColumn("_level", F.explode(F.sequence(F.lit(0), F.size("_path"))))
+    path, label = F.slice("_path", 1, F.col("_level")), F.when(F.col("_level") == 0, F.lit("Total")).otherwise(F.get("_labels", F.col("_level") - 1))
+    keyed = levels.withColumn("path", path).withColumn("label", label)
+    touched = [F.flatten(F.collect_set("touched")).alias("touched")] if stances else []
+    return keyed.groupBy("path", "unit").agg(*metrics.merged(wanted), F.min("b").alias("b"), F.max("e").alias("e"), F.min("first_seen").alias("first_seen"), F.first("label").alias("label"), *touched)
+
+
+def seconds_of_paths(stretches: DataFrame, name: str) -> DataFrame:
+    return intervals.merge(stretches, ["path"]).groupBy("path").agg(intervals.total().alias(name))
 
 
 def canned(name: str) -> QuerySpec:

@@ -69,7 +69,11 @@ def test_pets_count_for_owners(world):
     rows = compile_query(world, QuerySpec("damage", groupBy=["player"], metrics=["total"], petRollup=True)).rows.collect()
     owners = {r["label"]: r["total"] for r in rows if r["level"] == 1}
     assert owners == {"Raider01": 625, "Raider02 +Pets": 130}
-    assert {tuple(r["path"]): r["total"] for r in rows if r["level"] == 2} == {("Raider01", "Raider01"): 625, ("Raider02", "Raider02"): 100, ("Raider02", "Rex"): 30}
+    # an owner whose only actor is themselves has no level of actors
+    assert {tuple(r["path"]): r["total"] for r in rows if r["level"] == 2} == {("Raider02", "Raider02"): 100, ("Raider02", "Rex"): 30}
+    deep = compile_query(world, QuerySpec("damage", groupBy=["player", "spell"], metrics=["total"], petRollup=True)).rows.collect()
+    paths = {tuple(r["path"]) for r in deep}
+    assert ("Raider01", "Crushes") in paths and ("Raider02", "Rex", "Bites") in paths and ("Raider01", "Raider01", "Crushes") not in paths
 
 
 def test_tanking_healing_loot(world):
@@ -95,10 +99,35 @@ def test_filters_scope_and_series(world):
     assert result(ranged)[()]["total"] == 260
 
 
+def test_stance_metrics(spark, world):
+    def switch(line, second, stance, actor="Raider01"):
+        return event(line, second, "Stance", actor=actor, stance=stance)
+
+    import datetime
+
+    names = ["session_id", "line_no", "ts", "kind", *FIELDS]
+    more = [switch(20, 4, "bold"), switch(21, 4, "bright"), switch(22, 7, "calm"), switch(23, 7, "wild", "A dragon")]
+    rows = [tuple(datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=r["second"]) if n == "ts" else r.get(n) for n in names) for r in more]
+    held = World(world.events.unionByName(with_seconds(spark.createDataFrame(rows, EVENT_DDL))), world.fights, world.pets, world.npcs, world.verified, world.owner)
+    found = result(compile_query(held, QuerySpec("damage", groupBy=["stance"], metrics=["total", "stanceSeconds", "stanceDps", "stanceUptime"])))
+    # the fight lasts from second 2 to 9: unknown 2-3, bright 4-6, calm 7-9
+    assert {k: (r["total"], r["stanceSeconds"]) for k, r in found.items()} == {(): (755, 8), ("(no stance)",): (300, 2), ("bright",): (0, 3), ("calm",): (325, 3), ("(not you)",): (130, 0)}
+    assert found["calm",]["stanceDps"] == pytest.approx(325 / 3) and found["bright",]["stanceUptime"] == pytest.approx(37.5)
+
+
+def test_plan_has_no_single_task(spark, world):
+    spec = QuerySpec("damage", Scope(playedTimeOnly=True, maxSeconds=60), ["player", "spell"], petRollup=True)
+    plan = compile_query(world, spec).rows._jdf.queryExecution().toString()
+    assert "No Partition Defined" not in plan and "CartesianProduct" not in plan
+
+
 def test_spec_round_trip_and_canned():
     spec = QuerySpec("damage", Scope(fightIds=[3], maxSeconds=60), ["player"], ["dps"], [Filter("player", ["A"], exclude=True)], 5, True)
     assert QuerySpec.from_json(spec.to_json()) == spec
     assert canned("DeathLog").source == "deaths"
+    for ids in (None, [], [1]):
+        spec = QuerySpec("loot", Scope(fightIds=ids))
+        assert QuerySpec.from_json(spec.to_json()) == spec
 
 
 def test_every_metric_has_its_counters(spark):
