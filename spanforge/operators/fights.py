@@ -63,8 +63,12 @@ def assigned(rows: DataFrame) -> DataFrame:
     return numbered.withColumn("_opened", ~F.first("ends").over(begins)).where("_opened").drop("_gap", "_barrier", "_piece", "_hurt", "_opened")
 
 
-def fights(rows: DataFrame, players: DataFrame, pet_map: DataFrame) -> DataFrame:
-    """One row for each fight, without those whose enemy turned out to be a player or a pet."""
+def fights(rows: DataFrame, players: DataFrame, pet_map: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """One row for each fight, without those whose enemy turned out to be a player or a pet.
+
+    A fight is closed by its enemy's death, a later zone line or idle time up to the session's last event (events; without
+    them, up to the last fight's).
+    """
     keys = ["session_id", "zone_change", "npc", "fight"]
     damage = F.col("damaging")
     found = rows.groupBy(*keys).agg(
@@ -76,11 +80,15 @@ def fights(rows: DataFrame, players: DataFrame, pet_map: DataFrame) -> DataFrame
         F.count(F.when(~damage & ~F.col("ends"), 1)).alias("taunts"),
     )
     real = found.join(players.select("session_id", F.col("name").alias("npc")), ["session_id", "npc"], "left_anti").join(pet_map.select(F.col("pet").alias("npc")), "npc", "left_anti")
-    latest = Window.partitionBy("session_id")
-    idle = F.max("last_activity").over(latest) - F.col("last_activity")
-    closed = F.col("dead") | (F.max("zone_change").over(latest) > F.col("zone_change")) | (idle > IDLE_UNDAMAGED) | (F.col("has_damage") & (idle > IDLE))
+    if events is None:
+        ends = found.groupBy("session_id").agg(F.max("last_activity").alias("_end"), F.max("zone_change").alias("_zones"))
+    else:
+        ends = events.groupBy("session_id").agg(F.max("s").alias("_end"), F.count(F.when(F.col("kind") == "Zone", 1)).alias("_zones"))
+    idle = F.col("_end") - F.col("last_activity")
+    closed = F.col("dead") | (F.col("_zones") > F.col("zone_change")) | (idle > IDLE_UNDAMAGED) | (F.col("has_damage") & (idle > IDLE))
+    real = real.join(ends, "session_id")
     order = Window.partitionBy("session_id").orderBy("first_line")
-    return real.withColumn("closed", closed).withColumn("id", F.row_number().over(order)).withColumnRenamed("npc", "name")
+    return real.withColumn("closed", closed).withColumn("id", F.row_number().over(order)).withColumnRenamed("npc", "name").drop("_end", "_zones")
 
 
 def actor_totals(rows: DataFrame) -> DataFrame:

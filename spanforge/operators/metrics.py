@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.schema import AVOIDED, LANDED, MODIFIERS
+from ..functions.schema import AVOIDED, LANDED, MODIFIERS  # noqa: F401
 from ..functions.timeutil import ratio
 
 #: Attacks that flurry rates are measured against, and the bow.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import bucket, ratio, seconds
-from ..operators import feeds, intervals, learned, lookup, present, segments
+from ..operators import feeds, intervals, learned, lookup, metrics, present, segments
 from ..streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,10 +70,11 @@ def actor_summary(spark, d):
     e = events(spark, d)
     tot = e.groupBy("user_id").agg(F.sum("cents").alias("total"), F.count(F.lit(1)).alias("hits"))
     met = tot.join(active(e, ["user_id"]), "user_id").crossJoin(F.broadcast(e.agg(F.sum("cents").alias("root"))))
-    return met.select(
+    rated = met.select(
         "user_id", "total", "hits", r6(F.col("total") / F.col("hits")).alias("avg_hit"), r6(100.0 * F.col("total") / F.col("root")).alias("percent_of_total"),
-        "active_seconds", r6(F.col("total") / F.col("active_seconds")).alias("dps"), F.row_number().over(Window.orderBy(F.desc("total"), "user_id")).cast("long").alias("rank"),
+        "active_seconds", r6(F.col("total") / F.col("active_seconds")).alias("dps"),
     )
+    return segments.ranked(rated, [(F.col("total"), True), (F.col("user_id"), False)])
 
 
 @query(f"""WITH {E} SELECT event_type, user_id, CAST(2 - grouping(user_id) - grouping(event_type) AS BIGINT) AS level, CAST(sum(cents) AS BIGINT) AS total, count(*) AS hits,
@@ -124,13 +125,17 @@ def flag_filter_exclude(spark, d):
   SELECT user_id, hits, crits, lucky, round(100.0 * crits / hits, 6) AS crit_rate, CASE WHEN crits > 0 THEN round(100.0 * lucky / crits, 6) ELSE 0 END AS lucky_rate,
     CASE WHEN crits > lucky THEN round((crit_total - coalesce(lucky_total, 0)) / (crits - lucky), 6) ELSE 0 END AS avg_crit FROM c""")
 def crit_rates(spark, d):
-    crit, lucky = F.col("k").bitwiseAND(F.lit(1)) != 0, F.col("k").bitwiseAND(F.lit(3)) == 3
-    n = lambda t: F.count(F.when(t, 1))
-    c = events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("hits"), n(crit).alias("crits"), n(lucky).alias("lucky"), F.sum(F.when(crit, F.col("cents")).otherwise(0)).alias("ct"), F.sum(F.when(lucky, F.col("cents")).otherwise(0)).alias("lt"))
-    return c.select(
-        "user_id", "hits", "crits", "lucky", r6(ratio(F.col("crits"), F.col("hits"), 100.0)).alias("crit_rate"), r6(ratio(F.col("lucky"), F.col("crits"), 100.0)).alias("lucky_rate"),
-        r6(ratio(F.col("ct") - F.col("lt"), F.col("crits") - F.col("lucky"))).alias("avg_crit"),
-    )
+    k = F.col("k")
+    bits = F.when(k.bitwiseAND(F.lit(1)) != 0, metrics.MODIFIERS["Critical"]).otherwise(0) + F.when(k.bitwiseAND(F.lit(3)) == 3, metrics.MODIFIERS["Lucky"]).otherwise(0)
+    hits = events(spark, d).select("user_id", F.lit("Damage").alias("kind"), F.lit("Melee").alias("damage_kind"), F.col("cents").alias("amount"), bits.alias("modifiers"))
+    return _metrics(hits, {"hits": "hits", "crits": "critHits", "lucky": "luckyHits", "crit_rate": "critRate", "lucky_rate": "luckyRate", "avg_crit": "avgCrit"})
+
+
+def _metrics(rows: DataFrame, named: dict[str, str]) -> DataFrame:
+    """Metrics of the catalog for each user."""
+    c = rows.groupBy("user_id").agg(*metrics.parts(metrics.needed(list(named.values()))))
+    value = lambda m: metrics.metric(m, {n: F.col(n) for n in c.columns})
+    return c.select("user_id", *[(value(m) if m[-4:].lower() != "rate" and not m.startswith("avg") and m not in ("meleeAccuracy",) else r6(value(m))).alias(n) for n, m in named.items()])
 
 
 @query(f"""WITH {E}, c AS (SELECT user_id, count(*) AS attempts, count(*) FILTER (event_type = 'purchase') AS landed, count(*) FILTER (event_type = 'error') AS misses, count(*) FILTER (event_type = 'view') AS parries FROM e GROUP BY 1)
@@ -492,8 +497,12 @@ def stream_equals_batch(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import combat  # noqa: F401  registers its queries here
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import combat  # noqa: F401
+
     return dict(ORACLES)

@@ -229,7 +229,9 @@ def with_stance(world: World, rows: DataFrame) -> DataFrame:
     """Rows of units with held and the stretch (hb, he) of it that they touch, within their unit and the play session."""
     key = lambda df: df.withColumn("_k", F.lit(0))
     pieces = intervals.intersect(key(stance_spans(world)), key(world.presence()), ["_k"]).withColumn("hb", F.col("b")).withColumn("he", F.col("e"))
-    seconds_of = segments.within(rows.select("s").distinct(), pieces, [], ["held", "hb", "he"], HOUR).select("s", "held", "hb", "he").dropDuplicates(["s"])
+    # a second that two play sessions share counts for the first
+    first = segments.within(rows.select("s").distinct(), pieces, [], ["held", "hb", "he"], HOUR).groupBy("s").agg(F.min(F.struct("hb", "he", "held")).alias("p"))
+    seconds_of = first.select("s", "p.held", "p.hb", "p.he")
     return rows.join(seconds_of, "s", "left").withColumn("hb", F.greatest("hb", "ub")).withColumn("he", F.least("he", "ue"))
 
 

@@ -29,12 +29,12 @@ def rows(df):
     return columns, sorted((tuple(plain(v) for v in r) for r in df[columns].astype(object).itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, sf, db, name):
     assert rows(catalog.QUERIES[name](spark, sf).toPandas()) == rows(db.execute(catalog.ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_has_rows(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 
