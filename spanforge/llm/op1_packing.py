@@ -77,6 +77,16 @@ class WordTokenizer:
         self.words, self.plain_words, self.ascii_words = regex.compile(WORDS), re.compile(PLAIN_WORDS), re.compile(ASCII_WORDS)
         self.odd, self.bytes = other_numerals(), byte_characters()
         self.kept: dict[str, bytes] = {}
+        self.assigned: set[str] = set()
+
+    def unsure(self, text: str) -> bool:
+        """Whether the text has a character that this Python's tables don't assign; the library's may."""
+        if text.isascii():
+            return False
+        new = set(text) - self.assigned
+        odd = {c for c in new if unicodedata.category(c) == "Cn"}
+        self.assigned |= new - odd
+        return bool(odd)
 
     def pieces(self, text: str) -> list[str]:
         if "<|" in text:
@@ -95,7 +105,8 @@ class WordTokenizer:
         self.kept.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
+        whole = {i for i, t in enumerate(texts) if self.unsure(t)}
+        cut = [[] if i in whole else self.pieces(t) for i, t in enumerate(texts)]
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
         # a word is normalised already, so the library's model can take it by itself
@@ -105,7 +116,7 @@ class WordTokenizer:
                 self.kept[word] = array("I", [self.specials[word]]).tobytes()
             else:
                 self.kept[word] = array("I", [t.id for t in tokenize(word.encode().decode("latin-1").translate(self.bytes))]).tobytes()
-        return [b"".join(map(self.kept.__getitem__, words)) for words in cut]
+        return [array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() if i in whole else b"".join(map(self.kept.__getitem__, words)) for i, (t, words) in enumerate(zip(texts, cut))]
 
 
 @lru_cache(2)

@@ -90,8 +90,11 @@ def smallest_ids(contexts: list[bytes], ids: np.ndarray, length: int) -> tuple[n
 METHOD = Method(LENGTH, GRAM, byte_symbols, smallest_ids)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, _h, n_bytes, spans, kept): the removed spans in bytes and the bytes that are left of each row's text."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """(id, _h, n_bytes, spans, kept): the removed spans in bytes and the bytes that are left of each row's text.
+
+    as_text: what is left as a text; a character of which a part went goes whole.
+    """
 
     def run(batches):
         for batch in batches:
@@ -99,12 +102,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text, gone in zip(batch.column(2).to_pylist(), own_spans(batch.column(1), batch.column(3))):
                 raw = text.encode()
                 cuts = [0, *(x for s in gone for x in s), len(raw)]
-                out.append((len(raw), [{"a": a, "b": b} for a, b in gone], b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))))
+                left = [raw[a:b] for a, b in zip(cuts[::2], cuts[1::2])]
+                out.append((len(raw), [{"a": a, "b": b} for a, b in gone], "".join(x.decode(errors="ignore") for x in left) if as_text else b"".join(left)))
             n, gone, kept = zip(*out) if out else ((), (), ())
             span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(gone, span), pa.array(kept, pa.binary())], ["_id", "_h", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(gone, span), pa.array(kept, pa.string() if as_text else pa.binary())], ["_id", "_h", "n_bytes", "spans", "kept"])
 
-    found = with_spans(docs, METHOD, id_col, text_col).mapInArrow(run, "_id long, _h long, n_bytes long, spans array<struct<a: long, b: long>>, kept binary")
+    found = with_spans(docs, METHOD, id_col, text_col).mapInArrow(run, "_id long, _h long, n_bytes long, spans array<struct<a: long, b: long>>, kept " + ("string" if as_text else "binary"))
     return found.select(real_id("_id").alias(id_col), "_h", "n_bytes", "spans", "kept")
 
 

@@ -1,9 +1,11 @@
 """WARC archives and their capture index (operator 5).
 
-Pages become WARC records: the one of smallest id among equal payloads is a response, the others revisit it.  Spark's
-text sink writes them, one record a value with CRLF CRLF between records, so every file is a plain gzipped WARC file
-of bounded size.  Reading parses each file by Content-Length into a run of captures, sorted by URL key, timestamp and
-id.  The index is an external merge: runs are dealt over ranges of the sort key (the range bounds include timestamp and
+Pages become WARC records: the one of smallest id among equal payloads is a response, the others revisit it.  Each
+record is a gzip member of its own (a record of 16 MiB or more is several), and Spark's text sink writes them one after
+another: a member's last byte is the highest of its 32-bit length and so 0 below 16 MiB, and that 0 is the sink's line
+separator.  So every file is a plain .warc.gz whose records can be fetched by the compressed offset and length that the
+index gives.  Pages above LARGE_BYTES are a file each; the others share files of about FILE_BYTES.  Reading inflates a
+file member by member into a run of captures, sorted by URL key, timestamp and id.  The index is an external merge: runs are dealt over ranges of the sort key (the range bounds include timestamp and
 id, so one very common URL or host spreads over many ranges), and each range merges its slice of all runs with a loser
 tree.  Ranges in order, and positions in a range, give the global capture history.
 
@@ -33,7 +35,10 @@ from .common import partitions, real_id, shared_path, sort_id, text_slices, utf8
 
 BREAK = "\r\n"
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=timezone.utc)
-RECORDS_PER_FILE = 2000
+#: Payload bytes of an average file, most records of a file, and payloads that are a file each.
+FILE_BYTES, RECORDS_PER_FILE, LARGE_BYTES = 1 << 26, 2000, 1 << 22
+#: Uncompressed bytes of a gzip member; the highest byte of the length stays 0.
+MEMBER_BYTES = (1 << 24) - 1
 SLICE_BYTES = 1_000_000
 CAPTURES_PER_RANGE = 100_000
 
@@ -74,33 +79,67 @@ def record(page_id: int, url: str | None, html: str, refers_to: int | None) -> s
     return BREAK.join([*fields, "Content-Type: application/http; msgtype=response", f"Content-Length: {size}", "", block])
 
 
+def members(data: bytes) -> bytes:
+    """data as gzip members, without the last byte, which is 0."""
+    out = []
+    for at in range(0, len(data), MEMBER_BYTES):
+        press = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(press.compress(data[at : at + MEMBER_BYTES]) + press.flush())
+    return b"".join(out)[:-1]
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0) -> None:
     """Archives of all pages under path, a folder that Spark can write to."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    page = pages.select(sort_id(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("size"))
-    first = page.where(F.col("size") >= min_revisit_bytes).groupBy("sha1", "size").agg(F.min("id").alias("first"))
-    named = page.join(first, ["sha1", "size"], "left").select("id", "url", "html", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
+    page = pages.select(sort_id(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.unhex(F.sha2(html.cast("binary"), 256)).alias("digest"), F.octet_length(html).alias("size"))
+    first = page.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.min("id").alias("first"))
+    named = page.join(first, ["digest", "size"], "left").select("id", "url", "html", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"), "size")
+    seen = page.agg(F.avg("size"), F.max("size")).first()
+    mean, most = (seen[0] or 0.0), (seen[1] or 0)
 
     def run(batches):
         for batch in batches:
             _, offsets = utf8(batch.column(2))
             for a, b in text_slices(offsets, SLICE_BYTES):
                 rows = zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(4)))
-                yield pa.RecordBatch.from_arrays([pa.array([record(*row) for row in rows], pa.string())], ["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([members((record(*row) + BREAK * 2).encode()) for row in rows], pa.binary())], ["value"])
 
-    named.mapInArrow(run, "value string").write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    def write(part: DataFrame, records_per_file: int) -> None:
+        packed = part.select("id", "url", "html", "refers_to").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+        packed.write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
 
+    write(named.where(F.col("size") < LARGE_BYTES), max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / max(1.0, mean)))))
+    if most >= LARGE_BYTES:
+        write(named.where(F.col("size") >= LARGE_BYTES), 1)
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """Header fields, block, offset and length of each record of a WARC file, by Content-Length alone."""
+
+def inflated(data: memoryview) -> Iterator[tuple[bytes, int, int]]:
+    """Uncompressed bytes, offset and length of each gzip member."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split(BREAK)
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        start, size = end + 4, int(fields["Content-Length"])
-        yield fields, data[start : start + size], at, start + size - at
-        at = start + size + 4
+        member, start, out = zlib.decompressobj(31), at, []
+        while not member.eof:
+            out.append(member.decompress(data[at : at + 65536]))
+            at = min(at + 65536, len(data))
+            if at == len(data) and not member.eof:
+                out.append(member.flush())
+                if not member.eof:
+                    raise ValueError("the archive ends inside a member")
+        at -= len(member.unused_data)
+        yield b"".join(out), start, at - start
+
+
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """Header fields, block, compressed offset and length of each record of a WARC file."""
+    parts = inflated(memoryview(data))
+    for raw, at, size in parts:
+        end = raw.index(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in raw[:end].decode().split(BREAK)[1:])
+        start, length = end + 4, int(fields["Content-Length"])
+        while len(raw) < start + length + 4:  # a large record goes on in the next member
+            more, _, extra = next(parts)
+            raw, size = raw + more, size + extra
+        yield fields, raw[start : start + length], at, size
 
 
 CAPTURE = "run string, url_key string, captured string, id long, record_type string, refers_to long, payload_bytes long, payload_digest string, record_offset long, record_length long"
@@ -117,7 +156,7 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
         for pdf in frames:
             for name, content in zip(pdf["path"], pdf["content"]):
                 rows = []
-                for fields, block, offset, length in records(zlib.decompress(content, 31)):
+                for fields, block, offset, length in records(content):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     http = dict(x.split(": ", 1) for x in head.decode().split(BREAK)[1:])
                     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -127,7 +166,7 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name.rpartition("/")[2], url_key(fields.get("WARC-Target-URI", "")), fields["WARC-Date"], page_of(fields["WARC-Record-ID"]), kind, refers, int(http["Content-Length"]), digest, offset, length))
                 yield pd.DataFrame(sorted(rows, key=lambda r: r[1:4]), columns=[c.split()[0] for c in CAPTURE.split(", ")]).astype({"refers_to": "Int64"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CAPTURE)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInPandas(run, CAPTURE)
 
 
 class LoserTree:

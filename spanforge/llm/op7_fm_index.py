@@ -5,7 +5,8 @@ The dataflow of repeats.py brings windows that may repeat, with the stretch of w
 their anchor.  A bucket is cut into shards; each shard's stretches are indexed once: the Burrows-Wheeler transform of
 their words as a wavelet matrix with rank counts, one bit vector a level.  The stretches are then streamed through
 backward search, all windows side by side, which gives the matching statistic of each place up to the threshold; where
-it reaches the threshold, the interval of the index names every occurrence and so the smallest id.
+it reaches the threshold, the interval of the index is the window's name, and the smallest id of an interval is kept
+beside it.
 
 Defined cases: a null text has no words; texts of fewer words than a window lose nothing; equal ids never remove from
 each other; a null id counts as the largest; repeated rows are treated alike; an empty table gives no rows.
@@ -76,8 +77,8 @@ class FmIndex:
             later[: n - step] = rank[step:] + 1
             _, rank = np.unique(rank * np.int64(n + int(words.max()) + 2) + later, return_inverse=True)
             reach += step
-        self.suffixes = np.argsort(rank, kind="stable")
-        transform = words[self.suffixes - 1]
+        # the suffix array is needed for the transform alone and not kept
+        transform = words[np.argsort(rank, kind="stable") - 1]
         self.size = n
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(words))]).astype(np.int64)
         self.levels = []
@@ -133,12 +134,11 @@ def smallest_ids(contexts: list[bytes], ids: np.ndarray, length: int) -> tuple[n
     low, high, match = index.intervals(words, ends, length)
     if (match < length).any():
         raise AssertionError("a window of the shard isn't in its own index")
-    owner = np.searchsorted(bounds, index.suffixes, side="right") - 1
-    id_of = np.append(ids[np.maximum(owner, 0)], np.iinfo(np.int64).max)
-    each, which = np.unique(low, return_index=True)
-    edges = np.column_stack([low[which], high[which]]).ravel()
-    least = np.minimum.reduceat(id_of, edges)[::2]
-    return least[np.searchsorted(each, low)], windows
+    # every occurrence of a window was searched itself, so those with one interval are all there are of it
+    names, which = np.unique(low, return_inverse=True)
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, np.repeat(ids, windows))
+    return least[which], windows
 
 
 METHOD = Method(LENGTH, GRAM, word_symbols, smallest_ids)

@@ -301,20 +301,22 @@ def decide(method: Method, n: int, shard_bytes: int = 1_000_000) -> Callable:
         owners = np.concatenate(owners)
         owners = owners[np.lexsort((owners[:, 1], owners[:, 0]))]
         least = owners[np.searchsorted(owners[:, 0], np.arange(len(texts))), 1]
-        first = owners[:, 1] == least[owners[:, 0]]
-        windows, found = np.zeros(len(texts), np.int64), []
+        windows, worst, found = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
         order = np.argsort(np.array(keys, np.uint64), kind="stable")
         for part in shards(order, [keys[i] for i in order.tolist()], [len(texts[i]) for i in order.tolist()], shard_bytes):
             smallest, windows[part] = method.smallest([texts[i] for i in part.tolist()], least[part], L)
             cuts = np.concatenate([[0], np.cumsum(windows[part])])
+            worst[part] = np.maximum.reduceat(smallest, cuts[:-1])
             spans = pieces(smallest < np.repeat(least[part], windows[part]), cuts)
             spans[:, 0] = part[spans[:, 0]]
             found.append(spans)
-        # the smallest owner of a context loses the windows that another context has for a smaller id, all others lose all
-        rest = owners[~first]
+        # an owner loses the windows whose smallest id is below its own: all of them if their largest such id is, and
+        # otherwise it is the context's smallest owner, as no window's smallest id is above that
+        whole = owners[:, 1] > worst[owners[:, 0]]
+        rest, own = owners[whole], owners[~whole]
         yield spans_batch(np.column_stack([rest[:, 1], rest[:, 2], rest[:, 3], rest[:, 3] + windows[rest[:, 0]] + L - 1]), n)
-        found, own = np.concatenate(found), owners[first]
-        if len(found):
+        found = np.concatenate(found)
+        if len(found) and len(own):
             found = found[np.argsort(found[:, 0], kind="stable")]
             start, stop = np.searchsorted(own[:, 0], found[:, 0]), np.searchsorted(own[:, 0], found[:, 0], side="right")
             many = stop - start

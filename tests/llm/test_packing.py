@@ -61,3 +61,14 @@ def test_configurations_are_feasible():
         assert (config * sizes).sum() <= 2048
         left -= config * times
     assert (left >= 0).all()
+
+
+def test_characters_newer_than_this_python(docs_of):
+    """Letters that are unassigned here go to the library, which may lower or cut them otherwise."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [f"Ab {chr(c)}{chr(c)}x Cd" for c in (0x1C89, 0xA7CB, 0xA7CC, 0x10D50, 0x378, 0xE9, 0x3A3)]
+    got = op1_packing.tokenizer(path).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]

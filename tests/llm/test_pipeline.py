@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanforge.llm import op1_packing, op2_langid, op3_line_rules, op9_simhash, queries
+from spanforge.llm import op1_packing, op2_langid, op3_line_rules, queries
+from test_near_copies import brute_force
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -30,8 +31,8 @@ def test_stages_follow_their_operators(spark, sf, documents):
     found = op2_langid.identified(documents).where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5))
     assert ids(results[0]) == ids(found)
     assert ids(results[1]) == ids(op3_line_rules.verdicts(results[0]).where("kept"))
-    groups = op9_simhash.simhash_groups(results[1])
-    assert ids(results[2]) == {r["component_id"] for r in groups.collect()}
+    # the stage's rule is its own: five words and a similarity of 0.8, not the four bits of the registered query
+    assert ids(results[2]) == brute_force([(r["doc_id"], r["text"] or "") for r in results[1].select("doc_id", "text").collect()])
     texts = {r["doc_id"]: r["text"] for r in results[2].collect()}
     seen, want = set(), {}
     for i in sorted(texts):
@@ -56,3 +57,12 @@ def test_stages_take_awkward_rows(spark, docs_of, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.written(stage(spark, docs, sf), "stage-test")
         docs.collect()
+
+
+def test_suffix_stage_keeps_what_the_author_wrote(spark, docs_of, sf):
+    shared = "\u00e9" * 30  # 60 bytes; the second copy loses whole characters only
+    rows = [(1, "x" + shared), (2, "a\ufffdb " + shared + " z\ufffd"), (3, "\u00e9" + "y" * 60), (4, "\u0169" + "y" * 60)]
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_dedup(spark, docs_of(rows), sf).collect()}
+    assert found[1] == "x" + shared and found[2] == "a\ufffdb  z\ufffd" and found[3] == "\u00e9" + "y" * 60
+    # the last byte of the first character repeats with the y's, so the other one goes too
+    assert found[4] == ""

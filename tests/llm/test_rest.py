@@ -1,9 +1,11 @@
 """Operators 3, 5, 6, 8, 9 and 10: brute force, round trips, awkward rows; SQL equality is in test_oracles."""
 
 import base64
+import gzip
 import hashlib
 import random
 import struct
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -54,6 +56,26 @@ def test_warc_round_trip(spark):
     assert op5_warc.archived(pages.limit(0)).collect() == []
 
 
+def test_warc_members_large_records_and_offsets(spark, tmp_path):
+    from pathlib import Path
+
+    rng = random.Random(5)
+    big = "".join(rng.choice("abcdefgh <>") for _ in range(1 << 16)) * 320  # 20 MiB: two members
+    rows = [(i, f"http://h{i % 7}.org/{i}", f"<p>{i % 11}</p>") for i in range(500)] + [(900, "http://h.org/big", big), (901, "http://h.org/again", big), (902, None, "x" * (1 << 22))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = str(tmp_path / "warc")
+    op5_warc.write_archives(pages, folder)
+    found = op5_warc.capture_runs(spark, folder).collect()
+    assert len(found) == len(rows) and {r["refers_to"] for r in found if r["id"] == 901} == {900}
+    for r in found:
+        if r["id"] % 50 == 0 or r["id"] >= 900:  # each record by itself, from its place in the compressed file
+            raw = (Path(folder) / r["run"]).read_bytes()[r["record_offset"] : r["record_offset"] + r["record_length"]]
+            text = gzip.decompress(raw)
+            assert text.startswith(b"WARC/1.1\r\n") and f"<urn:page:{r['id']}>".encode() in text[:300] and text.endswith(b"\r\n\r\n")
+            if r["record_type"] == "response":
+                assert text[:-4].endswith(dict((a, c) for a, _, c in rows)[r["id"]].encode())
+
+
 def test_warc_minimum_size(spark):
     pages = spark.createDataFrame([(1, "u", "same"), (2, "v", "same")], "page_id long, url string, html string")
     assert {r["record_type"] for r in op5_warc.archived(pages, min_revisit_bytes=5).collect()} == {"response"}
@@ -97,10 +119,32 @@ def test_telephony_round_trip(docs_of):
         raw = texts[r["n_bytes"]]
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         assert (r["payload_bytes"], r["payload_sha256"]) == (len(payload), hashlib.sha256(payload).hexdigest())
-        assert len(r["pcm"]) == 2 * int(r["feature"].split("samples=")[1].split(";")[0])
+        codec = op8_telephony.CODECS[zlib.crc32(payload) % 3]
+        head = {"ulaw": (7, 8000, 1, 8), "alaw": (6, 8000, 1, 8), "adpcm": (17, 8000 * 576 // 1145, 576, 4)}[codec]
+        form = struct.pack("<HHIIHH", head[0], 1, 8000, *head[1:]) + (struct.pack("<HH", 2, 1145) if codec == "adpcm" else struct.pack("<H", 0))
+        media = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(payload)) + payload
+        media = b"RIFF" + struct.pack("<I", len(media)) + media
+        assert (r["media_bytes"], r["media_sha256"], r["tail_crc32"]) == (len(media), hashlib.sha256(media).hexdigest(), zlib.crc32(payload[-32:]))
+        pcm = np.frombuffer(r["pcm"], "<i2").astype(np.int64)
+        samples = len(payload) if codec != "adpcm" else len(payload) // 576 * 1145
+        crossed = int(((pcm[1:] < 0) != (pcm[:-1] < 0)).sum())
+        assert len(pcm) == 2 * samples
+        assert r["feature"] == f"{codec};rate=16000;samples={2 * samples};peak={abs(pcm).max()};power={(pcm * pcm).sum()};crossings={crossed};pcm_crc32={zlib.crc32(r['pcm'])}"
     assert op8_telephony.stored_features(docs_of([])).collect() == []
 
 
+def test_resampling_is_a_low_pass_filter():
+    weights = op8_telephony.half_band()
+    assert weights.sum() == 32768 and (weights == weights[::-1]).all()
+    t = np.arange(4000)
+    tone = np.round(10000 * np.sin(2 * np.pi * 0.05 * t)).astype(np.int16)
+    want = 10000 * np.sin(2 * np.pi * 0.025 * np.arange(8000))
+    got = op8_telephony.resampled(tone)
+    assert (got[::2] == tone).all() and abs(got.astype(float) - want)[40:-40].max() < 60
+    naive = np.array([sum(int(w) * int(tone[min(max(i + k - 7, 0), 3999)]) for k, w in enumerate(weights)) + 16384 >> 15 for i in range(0, 4000, 97)])
+    assert (got[1::2][::97] == naive).all()
+
+
 def test_telephony_codecs():
     assert op8_telephony.TABLES["ulaw"][[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
     assert op8_telephony.TABLES["alaw"][[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
