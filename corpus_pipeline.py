@@ -46,11 +46,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated byte strings go; a character of which a part went goes whole."""
-    found = op4_suffix_buckets.deduplicated(docs).withColumn("_id", sort_id("doc_id")).select("_id", "_h", F.expr("try_validate_utf8(cast(kept as string))").alias("whole"), "kept")
-    text = F.coalesce("whole", F.make_valid_utf8(F.col("kept").cast("string")))
+    found = op4_suffix_buckets.deduplicated(docs, as_text=True).withColumn("_id", sort_id("doc_id")).select("_id", "_h", F.col("kept").alias("text"))
     rest = keyed(docs).dropDuplicates(["_id", "_h"]).select("doc_id", "lang", "source", "_id", "_h")
-    left = found.join(rest, ["_id", "_h"]).select("doc_id", F.when(F.col("whole").isNotNull(), text).otherwise(F.replace(text, F.lit("�"), F.lit(""))).alias("text"), "lang", "source")
-    return left.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    return found.join(rest, ["_id", "_h"]).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
