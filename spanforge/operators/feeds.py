@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,14 +78,14 @@ def mentions(texts: DataFrame, names: DataFrame, id_cols: list[str], text_col: s
     known = names.select(F.col(name_col).alias("name"), F.size(F.split(name_col, " ")).alias("_n"), F.lower(name_col).alias("_key")).distinct()
     lengths = known.where("_n is not null").agg(F.sort_array(F.collect_set("_n")).alias("_lengths"))
     cut = texts.select(*id_cols, words.alias("_w")).crossJoin(F.broadcast(lengths))
-    runs = cut.select(*id_cols, "_w", F.explode("_lengths").alias("_n")).where("_n <= size(_w)")
-    placed = runs.select(*id_cols, "_w", "_n", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1)).alias("at"))
     capital = lambda c: F.coalesce(c.rlike(r"^\p{Lu}"), F.lit(False))
-    here = placed.select(
-        *id_cols, "at", "_n",
-        F.array_join(F.slice("_w", F.col("at"), F.col("_n")), " ").alias("_run"),
-        (capital(F.get("_w", F.col("at") - 2)) | capital(F.get("_w", F.col("at") + F.col("_n") - 1))).alias("_beside"),
-    )
+    # runs are built inside the row, so that a run's row doesn't carry the text
+    run = lambda n: lambda i: F.struct(
+        i.alias("at"), n.alias("_n"), F.array_join(F.slice("_w", i, n), " ").alias("_run"), (capital(F.get("_w", i - 2)) | capital(F.get("_w", i + n - 1))).alias("_beside")
+    )
+    fitting = F.filter("_lengths", lambda n: n <= F.size("_w"))
+    runs = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), run(n))))
+    here = cut.select(*id_cols, F.explode(runs).alias("_r")).select(*id_cols, "_r.*")
     met = here.withColumn("_key", F.lower("_run")).join(known, ["_key", "_n"]).where((F.col("_n") > 1) | ((F.col("_run") == F.col("name")) & ~F.col("_beside")))
     found = met.groupBy(*id_cols).agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("n"), "at", "name"))).alias("_found"))
     # greedy: keep a hit if its words are free; the accumulator holds hits kept so far, each name once
@@ -94,35 +95,24 @@ def mentions(texts: DataFrame, names: DataFrame, id_cols: list[str], text_col: s
     return found.select(*id_cols, F.explode(kept).alias("k")).select(*id_cols, "k.name", "k.at")
 
 
-def fuzzy_score(query: str, names: pd.Series) -> pd.Series:
-    """A score for each name, higher for better, NaN where the query's tokens (any order) don't all occur.
+def token_score(low: Column, token: str) -> Column:
+    """Score of a token of lower-case letters in a lower-case name, null where its letters don't follow each other there.
 
     A token inside the name beats one whose letters merely follow each other; earlier and fuller matches score more.
     """
-    def one(name: str | None) -> float:
-        low, total = (name or "").lower(), 0.0
-        for token in query.lower().split():
-            at = low.find(token)
-            if at >= 0:
-                total += 100 - min(at, 50) + (20 if at == 0 or not low[at - 1].isalnum() else 0)
-                continue
-            place, gaps = -1, 0
-            for c in token:
-                nxt = low.find(c, place + 1)
-                if nxt < 0:
-                    return float("nan")
-                gaps += nxt - place - 1
-                place = nxt
-            total += max(1, 30 - gaps)
-        return total
-
-    return names.map(one).astype(float)
+    at = F.locate(token, low) - 1
+    ahead = F.substring(low, at, 1)
+    inside = 100 - F.least(at, F.lit(50)) + F.when((at == 0) | ~ahead.rlike(r"[\p{L}\p{N}]"), 20).otherwise(0)
+    # the shortest beginning of the name that has the letters in order
+    reach = F.length(F.regexp_extract(low, "(?s)^(" + "".join(".*?" + re.escape(c) for c in token) + ")", 1))
+    spread = F.when(reach > 0, F.greatest(F.lit(1), 30 + len(token) - reach))
+    return F.when(at >= 0, inside).otherwise(spread)
 
 
 def fuzzy(df: DataFrame, column: str, query: str) -> DataFrame:
-    """Rows whose column matches the query, with their score, best first."""
-    @F.pandas_udf("double")
-    def score(names: pd.Series) -> pd.Series:
-        return fuzzy_score(query, names)
-
-    return df.withColumn("score", score(F.col(column))).where(~F.isnan("score")).orderBy(F.desc("score"), column)
+    """Rows whose column holds all of the query's tokens, in any order, with their score, best first."""
+    low = F.lower(F.coalesce(F.col(column), F.lit("")))
+    score = F.lit(0)
+    for token in query.lower().split():
+        score = score + token_score(low, token)
+    return df.withColumn("score", score.cast("double")).where("score is not null").orderBy(F.desc("score"), column)

@@ -476,7 +476,14 @@ def json_extract(spark, d):
     return events(spark, d).select("event_id", "k", (F.col("k") % 10).alias("target"))
 
 
-@query()
+def _token(token: str) -> str:
+    lazy = "".join(".*?" + c for c in token)
+    return f"""CASE WHEN strpos(low, '{token}') > 0 THEN 100 - least(strpos(low, '{token}') - 1, 50) + CASE WHEN strpos(low, '{token}') = 1 OR NOT regexp_matches(substr(low, strpos(low, '{token}') - 1, 1), '[\\p{{L}}\\p{{N}}]') THEN 20 ELSE 0 END
+      WHEN regexp_extract(low, '^({lazy})', 1) <> '' THEN greatest(1, 30 + {len(token)} - length(regexp_extract(low, '^({lazy})', 1))) END"""
+
+
+@query(f"""WITH n AS (SELECT p_partkey, p_name, lower(p_name) AS low FROM part), sc AS (SELECT p_partkey, p_name, CAST({_token('rd')} + {_token('wdg')} AS DOUBLE) AS score FROM n)
+  SELECT * FROM sc WHERE score IS NOT NULL""")
 def fuzzy_filter(spark, d):
     return feeds.fuzzy(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "rd wdg")
 

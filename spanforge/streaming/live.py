@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -29,18 +30,29 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
-def run_to_end(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Everything that is there now, through the stream into a table in memory, whose rows are bounded by the result."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def folder_of(spark: SparkSession, name: str) -> str:
+    """A folder of its own where driver and executors share one; a temporary one on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spanforge-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def run_to_end(df: DataFrame, name: str) -> DataFrame:
+    """The complete result of everything that is there now, through the stream into a table; a replayed batch writes the same."""
+    folder = folder_of(df.sparkSession, name)
+    q = df.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
 def bucketed_totals(spark: SparkSession, path: str) -> DataFrame:
     """Hourly counts and sums of each event type, by a stateful stream over the files."""
     rows = parquet_stream(spark, path).select("event_type", seconds("ts").alias("s"), F.round(F.col("value") * 100).cast("long").alias("cents"))
     totals = rows.groupBy("event_type", (F.floor(F.col("s") / 3600) * 3600).alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("total"))
-    return run_to_end(totals, "complete", f"totals_{uuid.uuid4().hex[:12]}")
+    return run_to_end(totals, "totals")
 
 
 def windowed(events: DataFrame, every: str, late: str = LATE) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.operators import feeds, fights, identity, learned, lookup, present, segments, spells
+from spanforge.operators import feeds, fights, identity, intervals, learned, lookup, present, segments, spells
 
 
 def rows_of(df):
@@ -150,3 +150,49 @@ def test_spell_book(spark):
     assert found == {1: ("Landed", "Me", "Soothe", 1), 2: ("Landed", "A troll", None, 2), 4: ("WearOff", "Me", "Rest", 1), 5: ("Landed", "Mara", "Soothe", 1)}
     secs = spark.createDataFrame([(7, 0, 10), (50, 5, 10), (3, 20, 10), (1, 0, 0)], "f int, c int, l int").select(spells.duration(F.col("f"), F.col("c"), F.col("l"))).collect()
     assert [r[0] for r in secs] == [60, None, 120, 0]
+
+
+def test_top_and_other_counts_null_once(spark):
+    df = spark.createDataFrame([(None, 10), ("a", 5), ("b", 1)], "k string, v long")
+    assert sorted(map(tuple, present.top_and_other(df, "k", "v", 2).collect()), key=str) == [("Other (1)", 1), ("a", 5), (None, 10)]
+
+
+def test_fuzzy_scores(spark):
+    def plain(name, query):
+        low, total = (name or "").lower(), 0
+        for token in query.split():
+            at = low.find(token)
+            if at >= 0:
+                total += 100 - min(at, 50) + (20 if at == 0 or not low[at - 1].isalnum() else 0)
+                continue
+            place = -1
+            for c in token:
+                place = low.find(c, place + 1)
+                if place < 0:
+                    return None
+            total += max(1, 30 - (place + 1 - len(token)))
+        return float(total)
+
+    names = ["Red Widget", "rod.wedge", "widget", None, "", "bird (w) dog", "x" * 60 + "rd wdg", "Ring rd"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = {r["i"]: r["score"] for r in feeds.fuzzy(df, "n", "rd wdg").collect()}
+    assert got == {i: s for i, n in enumerate(names) if (s := plain(n, "rd wdg")) is not None}
+
+
+def test_ranks_over_many_parts(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), (F.col("id") % 3).alias("g"))
+    got = segments.ranked(df, [(F.col("g"), True), (F.col("v"), False)]).collect()
+    want = sorted(((r["g"], r["v"]) for r in df.collect()), key=lambda x: (-x[0], x[1]))
+    assert [(r["g"], r["v"]) for r in sorted(got, key=lambda r: r["rank"])] == want and {r["rank"] for r in got} == set(range(1, 1001))
+
+
+def test_merged_intervals_against_seconds(spark):
+    rng = __import__("random").Random(3)
+    rows = [(k, b, b + rng.choice([0, 5, 3000, 9000])) for k in "ab" for b in (rng.randrange(40000) for _ in range(60))] + [("a", 3599, 3600), ("b", 7300, 7199), ("c", 0, 3599), ("c", 3600, 3600), ("c", 3602, 3602)]
+    found = intervals.merge(spark.createDataFrame(rows, "k string, b long, e long"), ["k"]).collect()
+    want = {}
+    for k, b, e in rows:
+        want.setdefault(k, set()).update(range(min(b, e), max(b, e) + 1))
+    got = sorted((r["k"], r["b"], r["e"]) for r in found)
+    assert {k: {s for x, b, e in got if x == k for s in range(b, e + 1)} for k in want} == want
+    assert all(a[0] != z[0] or z[1] > a[2] + 1 for a, z in zip(got, got[1:]))
