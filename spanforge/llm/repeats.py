@@ -25,12 +25,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, partitions, text_slices, utf8
+from .common import NULL_ID, keyed_texts, partitions, text_slices, utf8
 
 SLICE_BYTES = 1_500_000
 #: Windows of a long text are cut into pieces of so many, which also keeps positions below the 24 bits beside a hash.
 PIECE = 1 << 21
 PLACE = np.uint64((1 << 24) - 1)
+#: From here on ids stand for null ids, told apart by their texts' hashes but equal in rank.
+NULLS = 2**63 - 2**40
 KEY = np.uint64((1 << 48) - 1)
 
 
@@ -54,6 +56,11 @@ class Method:
     smallest: Callable[[list[bytes], np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 
 
+def rank(ids: np.ndarray) -> np.ndarray:
+    """What of two documents decides which is smaller: the id, with null ids equal and last."""
+    return np.minimum(ids, NULLS)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x *= np.uint64(0xD6E8FEB86659FD93)
@@ -147,8 +154,8 @@ def ask(method: Method, n: int) -> Callable:
             key, at, number = key[order], at[order], number[order].astype(np.uint32)
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(starts, len(key)))
-            least, most = np.repeat(at[starts], sizes), np.repeat(np.maximum.reduceat(at, starts), sizes)
-            asked, known = np.flatnonzero(at == least), np.flatnonzero(least != most)
+            least, most = np.repeat(rank(at[starts]), sizes), np.repeat(rank(np.maximum.reduceat(at, starts)), sizes)
+            asked, known = np.flatnonzero(rank(at) == least), np.flatnonzero(least != most)
             out = [(b, 0, packed(key[asked[p]], delta(at[asked[p]]), number[asked[p]])) for b, p in split((key[asked] % np.uint64(n)).astype(np.int64))]
             out += [(b, 1, packed(at[known[p]], number[known[p]])) for b, p in split(spread(at[known], n))]
             yield rows_of(out, ["bucket", "kind", "data"], [pa.int32(), pa.int32(), pa.binary()])
@@ -182,7 +189,8 @@ def answer(n: int) -> Callable:
             order = np.argsort(key, kind="stable")
             key, at, number = key[order], at[order], number[order]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            shared = np.repeat(np.minimum.reduceat(at, starts) != np.maximum.reduceat(at, starts), np.diff(np.append(starts, len(key))))
+            low, high = (rank(f.reduceat(at, starts)) for f in (np.minimum, np.maximum))
+            shared = np.repeat(low != high, np.diff(np.append(starts, len(key))))
             known.append((at[shared], number[shared]))
         if known:
             at, number = (np.concatenate(x) for x in zip(*known))
@@ -231,8 +239,8 @@ def offer(method: Method, n: int) -> Callable:
                     if seen == len(contexts):
                         contexts.append(text)
                         hashes.append(k)
-                        least.append(me)
-                    elif least[seen] < me:
+                        least.append(min(me, NULLS))
+                    elif least[seen] < min(me, NULLS):
                         known.append((me, mark, p - z, q - z))
                         continue
                     owner.append((me, mark, p - z, seen))
@@ -300,7 +308,7 @@ def decide(method: Method, n: int, shard_bytes: int = 1_000_000) -> Callable:
             return
         owners = np.concatenate(owners)
         owners = owners[np.lexsort((owners[:, 1], owners[:, 0]))]
-        least = owners[np.searchsorted(owners[:, 0], np.arange(len(texts))), 1]
+        least = rank(owners[np.searchsorted(owners[:, 0], np.arange(len(texts))), 1])
         windows, worst, found = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
         order = np.argsort(np.array(keys, np.uint64), kind="stable")
         for part in shards(order, [keys[i] for i in order.tolist()], [len(texts[i]) for i in order.tolist()], shard_bytes):
@@ -312,7 +320,7 @@ def decide(method: Method, n: int, shard_bytes: int = 1_000_000) -> Callable:
             found.append(spans)
         # an owner loses the windows whose smallest id is below its own: all of them if their largest such id is, and
         # otherwise it is the context's smallest owner, as no window's smallest id is above that
-        whole = owners[:, 1] > worst[owners[:, 0]]
+        whole = rank(owners[:, 1]) > worst[owners[:, 0]]
         rest, own = owners[whole], owners[~whole]
         yield spans_batch(np.column_stack([rest[:, 1], rest[:, 2], rest[:, 3], rest[:, 3] + windows[rest[:, 0]] + L - 1]), n)
         found = np.concatenate(found)
@@ -370,15 +378,19 @@ def gather_spans(batches):
 
 
 def with_spans(docs: DataFrame, method: Method, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _h, text, spans): each row with the packed spans of all rows of its id; those of its own hash are its own."""
+    """(_id, _h, text, spans): each row with the packed spans of all rows of its id; those of its own hash are its own.
+
+    Rows of null id are looked up by their texts' hashes.  Ids of NULLS and above rank as null ids do.
+    """
     n = partitions(docs.sparkSession)
-    texts = keyed_texts(docs, id_col, text_col)
+    null = F.col("_id") == NULL_ID
+    texts = keyed_texts(docs, id_col, text_col).select(F.when(null, NULLS + F.pmod("_h", F.lit(2**40))).otherwise(F.col("_id")).alias("_id"), "_h", "text", null.alias("_null"))
     asked = texts.select("_id", "text").mapInArrow(ask(method, n), "bucket int, kind int, data binary").repartitionById(n, F.col("bucket"))
     answers = asked.mapInArrow(answer(n), "bucket int, data binary").repartitionById(n, F.col("bucket")).mapInArrow(gather, "_id long, numbers binary")
     offered = texts.join(answers, "_id").select("_id", "_h", "text", "numbers").mapInArrow(offer(method, n), "bucket int, kind int, data binary, sizes binary, texts binary")
     decided = offered.repartitionById(n, F.col("bucket")).mapInArrow(decide(method, n), "bucket int, data binary")
     found = decided.repartitionById(n, F.col("bucket")).mapInArrow(gather_spans, "_id long, spans binary")
-    return texts.join(found, "_id", "left").select("_id", "_h", "text", "spans")
+    return texts.join(found, "_id", "left").select(F.when(F.col("_null"), NULL_ID).otherwise(F.col("_id")).alias("_id"), "_h", "text", "spans")
 
 
 def own_spans(hashes: pa.Array, spans: pa.Array) -> list[list[tuple[int, int]]]:

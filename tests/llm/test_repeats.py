@@ -79,6 +79,15 @@ def test_awkward_rows(docs_of):
     check(rows, *both(docs_of(rows)))
 
 
+def test_many_null_ids(docs_of):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("w" + str(rng.randrange(99999)) for _ in range(n))
+    passage, other = prose(30), prose(30)
+    rows = [(None, prose(25) + " " + passage + " " + prose(3)) for _ in range(60)] + [(None, prose(9) + " " + other) for _ in range(20)]
+    rows += [(3, prose(4) + " " + passage), (4, other[:40]), (None, None), (None, rows[0][1])]
+    check(rows, *both(docs_of(rows)))
+
+
 def test_empty_table(docs_of):
     assert both(docs_of([])) == ([], [])
 
