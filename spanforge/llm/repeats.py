@@ -12,6 +12,11 @@ equal places.  Consecutive windows with one anchor form a run, a tenth or so as
 Hot passages: within a slice of rows an anchor or a context is sent once, for its smallest id; the slice's other
 documents that have it are known to repeat and bypass the bucket.  So a bucket gets a row for each slice and context
 and not for each document, and nothing is dropped, capped or sampled.
+
+Hot anchors: a phrase with other surroundings in every document has as many contexts as documents.  Anchors fall into
+classes, many to a bucket; one with more than a sixteenth of its bucket's contexts is hot, and step 1 marks its runs.
+A marked run goes to step 2 window by window, each under the hash of the whole window: equal windows still meet, because
+their anchors are in one class, and different ones spread over all buckets.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +40,12 @@ PLACE = np.uint64((1 << 24) - 1)
 #: From here on ids stand for null ids, told apart by their texts' hashes but equal in rank.
 NULLS = 2**63 - 2**40
 KEY = np.uint64((1 << 48) - 1)
+#: Classes of anchors to a bucket, the part of a bucket's contexts and their number above which a class is hot.
+CLASSES = 256
+HOT_PART = 16
+HOT_CONTEXTS = 4096
+#: Beside the number of a run: its anchor is hot.
+HOT = np.uint32(1 << 31)
 
 
 @dataclass
@@ -134,8 +146,21 @@ def spread(ids: np.ndarray, n: int) -> np.ndarray:
     return (mixed(ids.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
+def classes(key: np.ndarray, n: int) -> np.ndarray:
+    return (mixed(key) % np.uint64(n * CLASSES)).astype(np.uint32)
+
+
+def different(key: np.ndarray, edge: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Contexts of each anchor, told apart by what is at their two ends; key is sorted and sizes counts its equals."""
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    many = np.flatnonzero(sizes[group] > 1)
+    order = many[np.lexsort((edge[many], group[many]))]
+    again = np.flatnonzero((group[order][1:] == group[order][:-1]) & (edge[order][1:] == edge[order][:-1])) + 1
+    return (sizes - np.bincount(group[order[again]], minlength=len(sizes))).astype(np.uint32)
+
+
 def ask(method: Method, n: int) -> Callable:
-    """Rows (bucket, kind, data): anchors to look for elsewhere (kind 0: key, id, number) and runs known to repeat (kind 1: id, number)."""
+    """Rows (bucket, kind, data): anchors to look for elsewhere (kind 0: key, id, number, contexts) and runs known to repeat (kind 1: id, number, class)."""
 
     def run(batches):
         for batch in batches:
@@ -143,11 +168,13 @@ def ask(method: Method, n: int) -> Callable:
             ids = batch.column(0).to_numpy()
             found = []
             for a, b in text_slices(offsets, SLICE_BYTES):
-                row, number, _, _, key = runs(method.read(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), method.window, method.gram)
-                found.append((key & KEY, ids[a + row], number))
+                symbols = method.read(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                row, number, first, last, key = runs(symbols, method.window, method.gram)
+                edge = mixed(symbols.hashes[first]) ^ symbols.hashes[last + method.window - method.gram] ^ (last - first).astype(np.uint64)
+                found.append((key & KEY, ids[a + row], number, edge))
             if not found:
                 continue
-            key, at, number = (np.concatenate(x) for x in zip(*found))
+            key, at, number, edge = (np.concatenate(x) for x in zip(*found))
             if not len(key):
                 continue
             order = np.lexsort((at, key))
@@ -156,8 +183,10 @@ def ask(method: Method, n: int) -> Callable:
             sizes = np.diff(np.append(starts, len(key)))
             least, most = np.repeat(rank(at[starts]), sizes), np.repeat(rank(np.maximum.reduceat(at, starts)), sizes)
             asked, known = np.flatnonzero(rank(at) == least), np.flatnonzero(least != most)
-            out = [(b, 0, packed(key[asked[p]], delta(at[asked[p]]), number[asked[p]])) for b, p in split((key[asked] % np.uint64(n)).astype(np.int64))]
-            out += [(b, 1, packed(at[known[p]], number[known[p]])) for b, p in split(spread(at[known], n))]
+            load, of = np.zeros(len(key), np.uint32), classes(key, n)
+            load[starts] = different(key, edge[order], sizes)
+            out = [(b, 0, packed(key[asked[p]], delta(at[asked[p]]), number[asked[p]], load[asked[p]])) for b, p in split((of[asked] % np.uint32(n)).astype(np.int64))]
+            out += [(b, 1, packed(at[known[p]], number[known[p]], of[known[p]])) for b, p in split(spread(at[known], n))]
             yield rows_of(out, ["bucket", "kind", "data"], [pa.int32(), pa.int32(), pa.binary()])
 
     return run
@@ -172,41 +201,61 @@ def rows_of(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def answer(n: int) -> Callable:
-    """Rows (bucket, data), packed ids and run numbers: the runs whose anchor another document has too."""
+def answer(n: int, hot_contexts: int) -> Callable:
+    """Rows (bucket, kind, data), packed: the runs whose anchor another document has too (kind 0: id, number), those that
+    were known to (kind 1: id, number, class), and for every bucket the hot classes (kind 2)."""
 
     def run(batches):
-        asked, known = [], []
+        asked, known, out = [], [], []
         for batch in batches:
             for kind, data in zip(batch.column(1).to_pylist(), batch.column(2)):
                 if kind == 0:
-                    key, at, number = unpacked(data.as_buffer(), "u8", "i8", "u4")
-                    asked.append((key, np.cumsum(at), number))
+                    key, at, number, load = unpacked(data.as_buffer(), "u8", "i8", "u4", "u4")
+                    asked.append((key, np.cumsum(at), number, load))
                 else:
-                    known.append(tuple(unpacked(data.as_buffer(), "i8", "u4")))
+                    known.append(tuple(unpacked(data.as_buffer(), "i8", "u4", "u4")))
         if asked:
-            key, at, number = (np.concatenate(x) for x in zip(*asked))
+            key, at, number, load = (np.concatenate(x) for x in zip(*asked))
             order = np.argsort(key, kind="stable")
             key, at, number = key[order], at[order], number[order]
+            names, of = np.unique(classes(key, n), return_inverse=True)
+            loads = np.bincount(of, weights=load[order])
+            hot = loads > max(hot_contexts, loads.sum() / HOT_PART)
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             low, high = (rank(f.reduceat(at, starts)) for f in (np.minimum, np.maximum))
             shared = np.repeat(low != high, np.diff(np.append(starts, len(key))))
-            known.append((at[shared], number[shared]))
+            out += in_order(0, n, at[shared], number[shared] | np.where(hot[of[shared]], HOT, np.uint32(0)))
+            if hot.any():
+                out += [(b, 2, packed(names[hot])) for b in range(n)]
         if known:
-            at, number = (np.concatenate(x) for x in zip(*known))
-            order = np.lexsort((number, at))
-            at, number = at[order], number[order]
-            yield rows_of([(b, packed(delta(at[p]), number[p])) for b, p in split(spread(at, n))], ["bucket", "data"], [pa.int32(), pa.binary()])
+            out += in_order(1, n, *(np.concatenate(x) for x in zip(*known)))
+        if out:
+            yield rows_of(out, ["bucket", "kind", "data"], [pa.int32(), pa.int32(), pa.binary()])
 
     return run
 
 
+def in_order(kind: int, n: int, at: np.ndarray, number: np.ndarray, *more: np.ndarray) -> list[tuple]:
+    order = np.lexsort((number, at))
+    at, number, *more = (x[order] for x in (at, number, *more))
+    return [(b, kind, packed(delta(at[p]), number[p], *(x[p] for x in more))) for b, p in split(spread(at, n))]
+
+
 def gather(batches):
-    """Rows (_id, numbers): the candidate runs of each document of the bucket."""
-    parts = [unpacked(data.as_buffer(), "i8", "u4") for batch in batches for data in batch.column(1)]
+    """Rows (_id, numbers): the candidate runs of each document of the bucket, marked where their anchor is hot."""
+    parts, hot = [], [np.zeros(0, np.uint32)]
+    for batch in batches:
+        for kind, data in zip(batch.column(1).to_pylist(), batch.column(2)):
+            if kind == 2:
+                hot += unpacked(data.as_buffer(), "u4")
+            else:
+                at, *rest = unpacked(data.as_buffer(), "i8", *["u4"] * (1 + kind))
+                parts.append((np.cumsum(at), *rest))
     if not parts:
         return
-    at, number = np.concatenate([np.cumsum(x) for x, _ in parts]), np.concatenate([x for _, x in parts])
+    hot = np.concatenate(hot)
+    at = np.concatenate([x[0] for x in parts])
+    number = np.concatenate([x[1] if len(x) == 2 else x[1] | np.where(np.isin(x[2], hot), HOT, np.uint32(0)) for x in parts])
     order = np.lexsort((number, at))
     at, raw = at[order], number[order].astype("<u4").tobytes()
     bounds = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
@@ -229,12 +278,17 @@ def offer(method: Method, n: int) -> Callable:
                 symbols = method.read(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 row, number, first, last, key = runs(symbols, L, method.gram)
                 starts = np.append(np.searchsorted(row, np.arange(b - a)), len(row))
-                chosen = [np.unique(np.frombuffer(x, "<u4")).astype(np.int64) for x in numbers.slice(a, b - a).to_pylist()]
-                chosen = np.concatenate([x[x < z - y] + y for x, y, z in zip(chosen, starts[:-1], starts[1:])] or [np.zeros(0, np.int64)])
+                marked = [np.unique(np.frombuffer(x, "<u4")) for x in numbers.slice(a, b - a).to_pylist()]
+                in_row = [((x & ~HOT).astype(np.int64), (x & HOT) > 0) for x in marked]
+                chosen = np.concatenate([x[x < z - y] + y for (x, _), y, z in zip(in_row, starts[:-1], starts[1:])] or [np.zeros(0, np.int64)])
+                hot = np.concatenate([h[x < z - y] for (x, h), y, z in zip(in_row, starts[:-1], starts[1:])] or [np.zeros(0, bool)])
+                start, stop, chosen, hot = contexts_of(first[chosen], last[chosen], chosen, hot, L)
                 base = symbols.bounds[row[chosen]]
                 who = a + row[chosen]
-                for me, mark, p, q, k, z in zip(ids[who].tolist(), marks[who].tolist(), first[chosen].tolist(), (last[chosen] + L).tolist(), (key[chosen] & KEY).tolist(), base.tolist()):
+                for me, mark, p, q, k, h, z in zip(ids[who].tolist(), marks[who].tolist(), start.tolist(), stop.tolist(), (key[chosen] & KEY).tolist(), hot.tolist(), base.tolist()):
                     text = symbols.context(p, q)
+                    if h:
+                        k = xxhash.xxh64_intdigest(text) & int(KEY)
                     seen = first_of.setdefault(text, len(contexts))
                     if seen == len(contexts):
                         contexts.append(text)
@@ -265,6 +319,14 @@ def offer(method: Method, n: int) -> Callable:
     return run
 
 
+def contexts_of(first: np.ndarray, last: np.ndarray, run: np.ndarray, hot: np.ndarray, L: int) -> tuple[np.ndarray, ...]:
+    """(from, to, run, hot) of the contexts to send: one for a run, or one for each window of a run whose anchor is hot."""
+    many = np.where(hot, last - first + 1, 1)
+    of = np.repeat(np.arange(len(run)), many)
+    start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    return start, np.where(hot[of], start, last[of]) + L, run[of], hot[of]
+
+
 def joined(spans: np.ndarray) -> np.ndarray:
     """Rows (id, hash, from, to) with overlapping or touching spans of one (id, hash) as one."""
     if not len(spans):
@@ -386,7 +448,7 @@ def with_spans(docs: DataFrame, method: Method, id_col: str = "doc_id", text_col
     null = F.col("_id") == NULL_ID
     texts = keyed_texts(docs, id_col, text_col).select(F.when(null, NULLS + F.pmod("_h", F.lit(2**40))).otherwise(F.col("_id")).alias("_id"), "_h", "text", null.alias("_null"))
     asked = texts.select("_id", "text").mapInArrow(ask(method, n), "bucket int, kind int, data binary").repartitionById(n, F.col("bucket"))
-    answers = asked.mapInArrow(answer(n), "bucket int, data binary").repartitionById(n, F.col("bucket")).mapInArrow(gather, "_id long, numbers binary")
+    answers = asked.mapInArrow(answer(n, HOT_CONTEXTS), "bucket int, kind int, data binary").repartitionById(n, F.col("bucket")).mapInArrow(gather, "_id long, numbers binary")
     offered = texts.join(answers, "_id").select("_id", "_h", "text", "numbers").mapInArrow(offer(method, n), "bucket int, kind int, data binary, sizes binary, texts binary")
     decided = offered.repartitionById(n, F.col("bucket")).mapInArrow(decide(method, n), "bucket int, data binary")
     found = decided.repartitionById(n, F.col("bucket")).mapInArrow(gather_spans, "_id long, spans binary")

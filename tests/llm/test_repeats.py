@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanforge.llm import op4_suffix_buckets, op7_fm_index, repeats
@@ -88,6 +89,42 @@ def test_many_null_ids(docs_of):
     check(rows, *both(docs_of(rows)))
 
 
+def hot_rows(n):
+    """One phrase of eight words in every text, whole passages in some, and surroundings that nobody shares but copies."""
+    rng = random.Random(11)
+    prose = lambda k: " ".join("w" + str(rng.randrange(10**6)) for _ in range(k))
+    phrase, passage = "each of these eight words stands in everything", prose(16)
+    rows = [(i, f"{prose(9)} {phrase} {prose(9)}") for i in range(n)]
+    return rows + [(n + i, f"{prose(3)} {passage} {phrase} {prose(rng.randrange(2, 9))}") for i in range(n // 4)] + [(2 * n + i, rows[i][1]) for i in range(n // 10)]
+
+
+def test_hot_anchors(monkeypatch, docs_of):
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", 20)
+    rows = hot_rows(400)
+    check(rows, *both(docs_of(rows)))
+
+
+@pytest.mark.parametrize("method", [op4_suffix_buckets.METHOD, op7_fm_index.METHOD])
+def test_hot_anchors_spread(method):
+    """The contexts of a phrase that every text has don't meet in one bucket."""
+    n, rows = 16, hot_rows(3000)
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in part]), pa.array([t for _, t in part])], ["_id", "text"]) for part in (rows[a : a + 500] for a in range(0, len(rows), 500))]
+    asked = [r for b in repeats.ask(method, n)(iter(batches)) for r in b.to_pylist()]
+    widest = {}
+    for limit in (20, 10**9):
+        answers = [r for k in range(n) for b in repeats.answer(n, limit)(iter([pa.RecordBatch.from_pylist([r for r in asked if r["bucket"] == k])])) for r in b.to_pylist()]
+        found = {r["_id"]: r["numbers"] for k in range(n) for b in repeats.gather(iter([pa.RecordBatch.from_pylist([r for r in answers if r["bucket"] == k])])) for r in b.to_pylist()}
+        mine = [(i, 0, t, found[i]) for i, t in rows if i in found]
+        sizes = np.zeros(n, int)
+        for a in range(0, len(mine), 500):
+            columns = list(zip(*mine[a : a + 500]))
+            batch = pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3], pa.binary())], ["_id", "_h", "text", "numbers"])
+            for r in (r for b in repeats.offer(method, n)(iter([batch])) for r in b.to_pylist() if r["kind"] == 0):
+                sizes[r["bucket"]] += len(repeats.unpacked(r["sizes"], "u8", "u4")[0])
+        widest[limit] = sizes.max() / np.median(sizes)
+    assert widest[20] < 2 < widest[10**9]
+
+
 def test_empty_table(docs_of):
     assert both(docs_of([])) == ([], [])
 
