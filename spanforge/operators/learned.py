@@ -124,3 +124,16 @@ def item_registry(observations: DataFrame) -> DataFrame:
         F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), F.bit_or("source_bit").alias("sources"),
         *[F.sum(c).alias(c) for c in ("looted", "sold", "bought")],
     )
+
+
+def first_names(df: DataFrame, keys: list[str], name: str, order: list[str], most: int = 8) -> DataFrame:
+    """(keys, names): the first `most` names of each key in order of arrival, told apart without regard to case."""
+    once = df.where(F.col(name).isNotNull()).groupBy(*keys, F.lower(name).alias("_low")).agg(F.min(F.struct(*order, F.col(name).alias("_name"))).alias("_first"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[f"_first.{c}" for c in order], "_low"))
+    kept = once.withColumn("_nth", place).where(F.col("_nth") <= most)
+    return kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "_first._name"))), lambda x: x["_name"]).alias("names"))
+
+
+def observed_levels(considers: DataFrame, target: str = "target", level: str = "level") -> DataFrame:
+    """(target, levels): the distinct levels that considers showed, ascending; targets without one are left out."""
+    return considers.where(F.col(level).isNotNull() & F.col(target).isNotNull()).groupBy(target).agg(F.array_sort(F.collect_set(level)).alias("levels"))

@@ -128,3 +128,38 @@ def era_of(zones: DataFrame, bands: DataFrame, overrides: DataFrame) -> DataFram
     low = zones.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     placed = low.join(F.broadcast(bands), (F.col("low") >= F.col("first")) & (F.col("low") <= F.col("last")), "left")
     return placed.join(overrides.withColumnRenamed("era", "_own"), "key", "left").select("key", F.coalesce("_own", "era").alias("era"), (F.col("high") > F.col("last")).alias("spanning"))
+
+
+def shard_of(npc_id: Column) -> Column:
+    """The zone that an NPC's id belongs to."""
+    return F.floor(npc_id / 1000).cast("long")
+
+
+def browse_rows(index: DataFrame) -> DataFrame:
+    """Rows of build_index as they are listed: lowest and highest known level (null if none is known) and number of variants."""
+    known = F.filter(F.transform("variants", lambda v: v["level"]), lambda level: level.isNotNull())
+    return index.select("name", F.array_min(known).alias("min_level"), F.array_max(known).alias("max_level"), F.size("variants").cast("long").alias("variants"))
+
+
+def within_era(zone_era: Column, through: str | None, eras: list[str]) -> Column:
+    """Whether a zone's era is at most `through` in the order of eras; an unknown era on either side filters nothing."""
+    if through not in eras:
+        return F.lit(True)
+    return ~F.coalesce(zone_era.isin(eras[eras.index(through) + 1 :]), F.lit(False))
+
+
+def place_graph(maps: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places (place, display, maps, degree) and edges (a, b) in both directions.
+
+    maps (short, display, nth): the drawings in catalogue order; those of one display name are one place, which bears the
+    first one's name, and those without a display name take no part.  labels (short, destination): where a drawing's
+    labels lead; names meet by their letters and digits.  Labels that lead to no place or to their own are dropped.
+    """
+    named = maps.where(F.col("display").isNotNull())
+    places = named.groupBy("display").agg(F.min_by("short", "nth").alias("place"), F.count(F.lit(1)).alias("maps"))
+    here = named.join(places.select("display", "place"), "display").select("short", F.col("place").alias("a"))
+    there = places.select(zone_key(F.col("display")).alias("_key"), F.col("place").alias("b"))
+    one_way = labels.join(here, "short").withColumn("_key", zone_key(F.col("destination"))).join(there, "_key").where("a <> b").select("a", "b").distinct()
+    edges = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = edges.groupBy(F.col("a").alias("place")).agg(F.count(F.lit(1)).alias("degree"))
+    return places.join(degree, "place", "left").select("place", "display", "maps", F.coalesce("degree", F.lit(0)).alias("degree")), edges

@@ -103,3 +103,16 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
         return df
     return df.checkpoint()
+
+
+def level_as_of(rows: DataFrame, observed: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows (with s) and the level of their keys at s, from observed (keys, s, order, level, stated).
+
+    The last observation at or before s; before the first one its level, if it was stated (a listing) and not announced.
+    Observations without a positive level or with a null key don't count; levels of null are unknown.
+    """
+    real = observed.where("level > 0").dropna(subset=keys)
+    first = real.groupBy(*keys).agg(F.min_by(F.struct("level", "stated"), F.struct("s", *order)).alias("_first"))
+    known = as_of(rows, real, keys, order, ["level"]).withColumnRenamed("level", "_level").drop("as_of")
+    early = F.when(F.col("_first.stated"), F.col("_first.level"))
+    return known.join(first, keys, "left").select(*rows.columns, F.coalesce("_level", early).alias("level"))

@@ -466,6 +466,58 @@ def route_bfs(spark, d):
     return lookup.routes(inside.unionByName(nxt), start).select("node", "hops")
 
 
+@query("""WITH maps AS (SELECT s_name AS short, s_suppkey AS nth, CASE WHEN s_nationkey % 4 <> 0 THEN n_name END AS display FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  places AS (SELECT display, arg_min(short, nth) AS place, count(*) AS maps FROM maps WHERE display IS NOT NULL GROUP BY display),
+  labels AS (SELECT s_name AS short, n_name AS destination FROM supplier JOIN nation ON n_nationkey = (s_suppkey * 7) % 25),
+  way AS (SELECT p.place AS a, q.place AS b FROM labels JOIN maps USING (short) JOIN places p ON p.display = maps.display JOIN places q ON q.display = labels.destination WHERE p.place <> q.place),
+  edges AS (SELECT a, b FROM way UNION SELECT b, a FROM way)
+  SELECT place, display, maps, (SELECT count(*) FROM edges WHERE a = place) AS degree FROM places""")
+def place_degrees(spark, d):
+    supplier, nation = table(spark, d, "supplier"), table(spark, d, "nation")
+    maps = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_name").alias("short"), F.col("s_suppkey").alias("nth"), F.when(F.col("s_nationkey") % 4 != 0, F.col("n_name")).alias("display")
+    )
+    labels = supplier.join(nation, F.col("n_nationkey") == F.col("s_suppkey") * 7 % 25).select(F.col("s_name").alias("short"), F.lower("n_name").alias("destination"))
+    return lookup.place_graph(maps, labels)[0]
+
+
+@query(f"""WITH {E}, o AS (SELECT *, cents % 60 AS level, k % 2 = 0 AS stated FROM e WHERE k % 5 = 0 AND cents % 60 > 0),
+  first AS (SELECT user_id, level AS early, stated FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS i FROM o) WHERE i = 1),
+  seen AS (SELECT e.event_id, arg_max(o.level, (o.s, o.event_id)) AS level FROM e JOIN o ON o.user_id = e.user_id AND o.s <= e.s WHERE e.k % 5 <> 0 GROUP BY e.event_id)
+  SELECT event_id, user_id, coalesce(seen.level, CASE WHEN stated THEN early END) AS level
+  FROM e LEFT JOIN seen USING (event_id) LEFT JOIN first USING (user_id) WHERE k % 5 <> 0""")
+def level_as_of(spark, d):
+    e = events(spark, d)
+    observed = e.where("k % 5 = 0").select("user_id", "s", "event_id", (F.col("cents") % 60).alias("level"), (F.col("k") % 2 == 0).alias("stated"))
+    return segments.level_as_of(e.where("k % 5 <> 0").select("event_id", "user_id", "s"), observed, ["user_id"], ["event_id"]).select("event_id", "user_id", "level")
+
+
+@query(f"""WITH {E}, n AS (SELECT *, CASE WHEN k % 2 = 0 THEN upper(event_type) ELSE event_type END || k AS name FROM e),
+  once AS (SELECT user_id, lower(name) AS low, arg_min(name, (s, event_id)) AS name, min((s, event_id)) AS came FROM n GROUP BY user_id, low),
+  nth AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY came) AS i FROM once)
+  SELECT user_id, string_agg(name, ',' ORDER BY i) AS names FROM nth WHERE i <= 8 GROUP BY user_id""")
+def first_names(spark, d):
+    e = events(spark, d).withColumn("name", F.concat(F.when(F.col("k") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")), F.col("k")))
+    return learned.first_names(e, ["user_id"], "name", ["s", "event_id"]).select("user_id", F.array_join("names", ",").alias("names"))
+
+
+@query(f"WITH {E} SELECT event_type AS target, string_agg(DISTINCT k, ',' ORDER BY k) AS levels FROM e GROUP BY event_type")
+def observed_levels(spark, d):
+    e = events(spark, d).select(F.col("event_type").alias("target"), F.col("k").alias("level"))
+    return learned.observed_levels(e).select("target", F.array_join(F.transform("levels", lambda x: x.cast("string")), ",").alias("levels"))
+
+
+@query("""SELECT * FROM (SELECT arg_min(c_name, c_custkey) AS name, min(c_nationkey) FILTER (c_nationkey > 2) AS min_level, max(c_nationkey) FILTER (c_nationkey > 2) AS max_level, count(*) AS variants
+  FROM customer GROUP BY c_custkey // 7)""")
+def browse_levels(spark, d):
+    npcs = table(spark, d, "customer").select(
+        F.concat(F.lit("npc "), F.floor(F.col("c_custkey") / 7)).alias("key"), "c_name", F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") > 2, F.col("c_nationkey")).alias("level")
+    )
+    names = npcs.groupBy(F.col("key").alias("name")).agg(F.min_by("c_name", "id").alias("shown"))
+    rows = lookup.browse_rows(lookup.build_index(npcs.select(F.col("key").alias("name"), "id", "level")))
+    return rows.join(names, "name").select(F.col("shown").alias("name"), "min_level", "max_level", "variants")
+
+
 @query("""SELECT p_partkey, trim(regexp_replace(lower(trim(p_name)), '^(an|a|the)\\s+', '')) AS name_key, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS type_key FROM part""")
 def name_normalise(spark, d):
     return table(spark, d, "part").select("p_partkey", lookup.npc_key(F.col("p_name")).alias("name_key"), lookup.zone_key(F.col("p_type")).alias("type_key"))

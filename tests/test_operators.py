@@ -196,3 +196,14 @@ def test_merged_intervals_against_seconds(spark):
     got = sorted((r["k"], r["b"], r["e"]) for r in found)
     assert {k: {s for x, b, e in got if x == k for s in range(b, e + 1)} for k in want} == want
     assert all(a[0] != z[0] or z[1] > a[2] + 1 for a, z in zip(got, got[1:]))
+
+
+def test_era_filter_and_shards(spark):
+    from pyspark.sql import functions as F
+
+    from spanforge.operators import lookup
+
+    zones = spark.createDataFrame([("a", "old"), ("b", "mid"), ("c", "new"), ("d", None), ("e", "?")], "z string, era string")
+    kept = lambda through: sorted(r.z for r in zones.where(lookup.within_era(F.col("era"), through, ["old", "mid", "new"])).collect())
+    assert kept("mid") == ["a", "b", "d", "e"] and kept("new") == kept(None) == kept("x") == ["a", "b", "c", "d", "e"]
+    assert spark.range(22999, 23001).select(lookup.shard_of(F.col("id")).alias("s")).collect() == [(22,), (23,)]
