@@ -81,26 +81,74 @@ def harvest_kills(fights: DataFrame, watermark: str | None = None) -> DataFrame:
     return done.select(F.lower("name").alias("mob_key"), F.lower("zone").alias("zone_key"), "difficulty", "name", "zone", F.col("damage_total").alias("damage"), F.col("last_damage").alias("killed_at"))
 
 
+COUNTS = ("swings", "landed", "misses", "dodges", "parries", "blocks", "absorbs", "invulnerable", "total")
+AVOIDANCES = {"misses": "Miss", "dodges": "Dodge", "parries": "Parry", "blocks": "Block", "absorbs": "Absorb", "invulnerable": "Invulnerable"}
+QUANTILES = {"p10": 0.1, "median": 0.5, "p90": 0.9}
+
+
 def attack_tallies(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums, extremes and rates of attacks for each key; hits has amount, landed, spell, crit and outcome."""
-    swing = ~F.col("spell")
-    return hits.groupBy(*keys).agg(
-        F.count(F.when(swing, 1)).alias("swings"),
-        F.count(F.when(swing & F.col("landed"), 1)).alias("landed"),
-        F.sum(F.when(F.col("landed"), F.col("amount")).otherwise(0)).alias("total"),
-        F.max("amount").alias("max_hit"),
-        F.min(F.when(F.col("amount") > 0, F.col("amount"))).alias("min_hit"),
-        F.count(F.when(F.col("crit"), 1)).alias("crits"),
-    )
+    """(keys, skill, bucket, spell, counts, max_hit, min_hit): tallies of damage rows by skill and histogram bucket.
+
+    hits has damage_kind, sub_type and amount.  A skill is the sub type or, without one, the kind.  Only melee attempts
+    are swings; an attack lands if its amount is positive.  What didn't land has no bucket.  A skill with any spell
+    damage is a spell.  Null kinds count for nothing but their skill.
+    """
+    kind, amount = F.coalesce("damage_kind", F.lit("")), F.coalesce("amount", F.lit(0))
+    spell = kind.isin("DirectDamage", "DamageOverTime", "DamageShield", "Other")
+    landed = (spell | (kind == "Melee")) & (amount > 0)
+    skill = F.coalesce(F.nullif("sub_type", F.lit("")), "damage_kind").alias("skill")
+    return hits.groupBy(*keys, skill, F.when(landed, log_bucket(amount)).alias("bucket")).agg(
+        F.bool_or(spell).alias("spell"), F.count_if(~spell & (kind != "")).alias("swings"), F.count_if(landed).alias("landed"),
+        *[F.count_if(kind == k).alias(name) for name, k in AVOIDANCES.items()], F.sum(F.when(landed, amount).otherwise(0)).alias("total"),
+        F.max(F.when(landed, amount)).alias("max_hit"), F.min(F.when(landed, amount)).alias("min_hit"),
+    )
 
 
 def merge_tallies(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums add, maxima and non-zero minima carry over."""
-    return parts.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("swings", "landed", "total")], F.max("max_hit").alias("max_hit"), F.min(F.when(F.col("min_hit") > 0, F.col("min_hit"))).alias("min_hit"), F.sum("crits").alias("crits")
+    """Counts and histograms add, extremes carry over, a spell in any part is a spell; the parts' shape is kept."""
+    return parts.groupBy(*keys, "skill", "bucket").agg(
+        F.bool_or("spell").alias("spell"), *[F.sum(c).alias(c) for c in COUNTS], F.max("max_hit").alias("max_hit"), F.min("min_hit").alias("min_hit")
     )
 
 
+def tally_summary(tallies: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, counts, extremes, avg_hit, p10, median, p90) over a key's skills; without a hit these are 0.
+
+    Tallies add up by bucket first, so a key has 81 rows at most when its quantiles are ranked.
+    """
+    cells = tallies.groupBy(*keys, "bucket").agg(*[F.sum(c).alias(c) for c in COUNTS], F.max("max_hit").alias("max_hit"), F.min("min_hit").alias("min_hit"))
+    w = Window.partitionBy(*keys)
+    so_far = F.sum("landed").over(w.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = cells.withColumn("_so_far", so_far).withColumn("_n", F.sum("landed").over(w))
+    at = lambda p: F.min(F.when(F.col("_so_far") >= F.ceil(F.lit(p) * F.col("_n")), F.col("bucket")))
+    found = ranked.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in COUNTS], F.coalesce(F.max("max_hit"), F.lit(0)).alias("max_hit"), F.coalesce(F.min("min_hit"), F.lit(0)).alias("min_hit"),
+        *[F.coalesce(bucket_value(at(p)), F.lit(0)).alias(name) for name, p in QUANTILES.items()],
+    )
+    return found.withColumn("avg_hit", F.when(F.col("landed") > 0, F.col("total") / F.col("landed")).otherwise(0.0))
+
+
+def attack_estimates(tallies: DataFrame, keys: list[str], level: str) -> DataFrame:
+    """One row for each key: sizes and rates of its melee, its totals with spells, and a grade of the melee hits.
+
+    level is one of the keys.  A key with nothing but spells has zeros for its melee.
+    """
+    tallies = tallies.withColumn("spell", F.bool_or("spell").over(Window.partitionBy(*keys, "skill")))
+    # spells take part with nothing, so that their keys stay
+    melee = tallies.select(*keys, F.when(~F.col("spell"), F.col("bucket")).alias("bucket"), *[F.when(F.col("spell"), 0).otherwise(F.col(c)).alias(c) for c in COUNTS], *[F.when(~F.col("spell"), F.col(c)).alias(c) for c in ("max_hit", "min_hit")])
+    every = tallies.groupBy(*keys).agg(F.sum("landed").alias("all_landed"), F.sum("total").alias("all_total"), F.sum(F.when(F.col("spell"), F.col("total")).otherwise(0)).alias("spell_total"))
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
+    both = tally_summary(melee, keys).alias("m").join(every.alias("a"), same).select("m.*", "a.all_landed", "a.all_total", "a.spell_total")
+    rate = lambda c: F.when(F.col("swings") > 0, 100.0 * c / F.col("swings")).otherwise(0.0)
+    rates = {"hit_rate": F.col("landed"), "miss_rate": F.col("misses"), "dodge_rate": F.col("dodges"), "parry_rate": F.col("parries"), "block_rate": F.col("blocks"), "absorb_rate": F.col("absorbs") + F.col("invulnerable")}
+    return both.select("*", *[rate(c).alias(name) for name, c in rates.items()], attack_grade(F.col("landed"), F.col(level)).alias("grade"))
+
+
+def newest_evidence(df: DataFrame) -> DataFrame:
+    """Last seen first, then the one of most evidence, then by name whatever its case."""
+    return df.orderBy(F.desc("last_seen"), F.desc("landed"), F.lower("mob"))
+
+
 def first_arrivals(samples: DataFrame, keys: list[str], stamp: str, order: list[str]) -> DataFrame:
     """One sample for each key and fight start, the first to arrive; a second defender at the same key and start is dropped."""
     return samples.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, stamp).orderBy(*order))).where("_nth = 1").drop("_nth")

@@ -135,6 +135,32 @@ def kill_harvest(spark, d):
     return learned.harvest_kills(found).groupBy("mob_key").agg(F.count(F.lit(1)).alias("kills"), F.sum("damage").alias("damage"), F.max("killed_at").alias("newest"))
 
 
+_HITS = """, h AS (SELECT actor AS mob, CASE WHEN k % 2 = 0 THEN 50 END AS level, sub AS skill, dk, dk = 'DirectDamage' AS spell, CASE WHEN dk IN ('Melee', 'DirectDamage') AND amount > 0 THEN amount END AS hit FROM ev WHERE kind = 'Damage'),
+  b AS (SELECT *, least(greatest(floor(log2(hit) * 4), 0), 79) AS bucket FROM h),
+  t AS (SELECT mob, level, count(*) FILTER (NOT spell) AS swings, count(hit) FILTER (NOT spell) AS landed, coalesce(sum(hit) FILTER (NOT spell), 0) AS total, coalesce(max(hit) FILTER (NOT spell), 0) AS max_hit,
+    coalesce(min(hit) FILTER (NOT spell), 0) AS min_hit, count(*) FILTER (dk = 'Miss') AS misses, count(*) FILTER (dk = 'Dodge') AS dodges, coalesce(sum(hit), 0) AS all_total, coalesce(sum(hit) FILTER (spell), 0) AS spell_total FROM b GROUP BY ALL),
+  ranks AS (SELECT mob, level, bucket, row_number() OVER (PARTITION BY mob, level ORDER BY bucket) AS nth, count(*) OVER (PARTITION BY mob, level) AS n FROM b WHERE NOT spell AND hit IS NOT NULL),
+  qs AS (SELECT mob, level, min(bucket) FILTER (nth >= ceil(CAST(0.1 AS DOUBLE) * n)) AS q1, min(bucket) FILTER (nth >= ceil(CAST(0.5 AS DOUBLE) * n)) AS q5, min(bucket) FILTER (nth >= ceil(CAST(0.9 AS DOUBLE) * n)) AS q9 FROM ranks GROUP BY ALL)"""
+
+
+def _value(q: str) -> str:
+    return f"coalesce(CAST(round(pow(2.0, ({q} + 0.5) / 4)) AS BIGINT), 0)"
+
+
+@query(f"""{LOG}{_HITS} SELECT t.mob, CAST(t.level AS INTEGER) AS level, swings, landed, CAST(total AS BIGINT) AS total, CAST(max_hit AS BIGINT) AS max_hit, CAST(min_hit AS BIGINT) AS min_hit, CAST(all_total AS BIGINT) AS all_total,
+  CAST(spell_total AS BIGINT) AS spell_total, {_value("q1")} AS p10, {_value("q5")} AS median, {_value("q9")} AS p90, round(CASE WHEN swings > 0 THEN 100.0::DOUBLE * landed / swings ELSE 0 END, 6) AS hit_rate,
+  round(CASE WHEN swings > 0 THEN 100.0::DOUBLE * misses / swings ELSE 0 END, 6) AS miss_rate, round(CASE WHEN swings > 0 THEN 100.0::DOUBLE * dodges / swings ELSE 0 END, 6) AS dodge_rate,
+  CASE WHEN landed >= 200 AND t.level IS NOT NULL THEN 'High' WHEN landed >= 40 THEN 'Medium' ELSE 'Low' END AS grade FROM t LEFT JOIN qs ON t.mob = qs.mob AND t.level IS NOT DISTINCT FROM qs.level""")
+def attack_estimates(spark, d):
+    hits = typed_log(spark, d).where("kind = 'Damage'").select(F.col("actor").alias("mob"), F.when(F.col("modifiers") % 2 == 0, 50).alias("level"), "line_no", "damage_kind", "sub_type", "amount")
+    keys = ["mob", "level"]
+    # two harvests, merged
+    halves = [learned.attack_tallies(hits.where(F.col("line_no") % 2 == i), keys) for i in (0, 1)]
+    found = learned.attack_estimates(learned.merge_tallies(halves[0].unionByName(halves[1]), keys), keys, "level")
+    rates = [F.round(c, 6).alias(c) for c in ("hit_rate", "miss_rate", "dodge_rate")]
+    return found.select(*keys, "swings", "landed", "total", "max_hit", "min_hit", "all_total", "spell_total", "p10", "median", "p90", *rates, "grade")
+
+
 @query(f"""{LOG} SELECT line, actor LIKE 'A gnoll%' AS actor_npc, coalesce(target LIKE 'A gnoll%', false) AS target_npc, coalesce(target LIKE 'Raider%', false) AS target_player FROM ev WHERE kind = 'Damage'""")
 def identity_sides(spark, d):
     return fought(spark, d)[3].where("kind = 'Damage'").select(F.col("line_no").alias("line"), "actor_npc", "target_npc", "target_player")

@@ -207,3 +207,24 @@ def test_era_filter_and_shards(spark):
     kept = lambda through: sorted(r.z for r in zones.where(lookup.within_era(F.col("era"), through, ["old", "mid", "new"])).collect())
     assert kept("mid") == ["a", "b", "d", "e"] and kept("new") == kept(None) == kept("x") == ["a", "b", "c", "d", "e"]
     assert spark.range(22999, 23001).select(lookup.shard_of(F.col("id")).alias("s")).collect() == [(22,), (23,)]
+
+
+def test_attack_estimates_count_melee_alone(spark):
+    ddl = "mob string, level int, damage_kind string, sub_type string, amount long"
+    melee = [("a", 50, "Melee", "Bites", 16), ("a", 50, "Miss", "Bites", 0), ("a", 50, "Melee", "", 64), ("a", 50, "Absorb", None, 0)]
+    spells = [("a", 50, "DirectDamage", "Blaze", 1000), (None, None, "Other", "Fire", 5), ("b", None, "Melee", None, 0), ("b", None, None, None, None)]
+    parts = [learned.attack_tallies(spark.createDataFrame(p, ddl), ["mob", "level"]) for p in (melee, spells)]
+    merged = learned.merge_tallies(parts[0].unionByName(parts[1]), ["mob", "level"])
+    got = {r["mob"]: r for r in learned.attack_estimates(merged, ["mob", "level"], "level").collect()}
+    pick = lambda m, *names: tuple(got[m][n] for n in names)
+    names = ("swings", "landed", "total", "max_hit", "min_hit", "all_total", "spell_total", "hit_rate", "absorb_rate", "grade")
+    assert pick("a", *names) == (4, 2, 80, 64, 16, 1080, 1000, 50.0, 25.0, "Low")
+    assert pick("a", "p10", "median", "p90") == (17, 17, 70)
+    assert pick(None, *names) == (0, 0, 0, 0, 0, 5, 5, 0.0, 0.0, "Low")
+    assert pick("b", *names) == (1, 0, 0, 0, 0, 0, 0, 0.0, 0.0, "Low")
+    assert learned.attack_estimates(merged.limit(0), ["mob", "level"], "level").count() == 0
+
+
+def test_newest_evidence_order(spark):
+    df = spark.createDataFrame([("b", 1, 5), ("A", 1, 5), ("c", 1, 9), ("d", 2, 0)], "mob string, last_seen int, landed int")
+    assert [r["mob"] for r in learned.newest_evidence(df).collect()] == ["d", "c", "A", "b"]
