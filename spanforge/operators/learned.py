@@ -83,20 +83,23 @@ def harvest_kills(fights: DataFrame, watermark: str | None = None) -> DataFrame:
 
 COUNTS = ("swings", "landed", "misses", "dodges", "parries", "blocks", "absorbs", "invulnerable", "total")
 AVOIDANCES = {"misses": "Miss", "dodges": "Dodge", "parries": "Parry", "blocks": "Block", "absorbs": "Absorb", "invulnerable": "Invulnerable"}
+#: Skills of damage without a sub type; those of other kinds are "Other".
+UNNAMED = {"DamageShield": "Damage shield", "DirectDamage": "Spell", "DamageOverTime": "Damage over time", "Melee": "Melee"}
 QUANTILES = {"p10": 0.1, "median": 0.5, "p90": 0.9}
 
 
 def attack_tallies(hits: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, skill, bucket, spell, counts, max_hit, min_hit): tallies of damage rows by skill and histogram bucket.
 
-    hits has damage_kind, sub_type and amount.  A skill is the sub type or, without one, the kind.  Only melee attempts
+    hits has damage_kind, sub_type and amount.  A skill is the sub type or, without one, a name for the kind.  Only melee attempts
     are swings; an attack lands if its amount is positive.  What didn't land has no bucket.  A skill with any spell
-    damage is a spell.  Null kinds count for nothing but their skill.
+    damage is a spell.  A null kind counts for nothing.
     """
     kind, amount = F.coalesce("damage_kind", F.lit("")), F.coalesce("amount", F.lit(0))
     spell = kind.isin("DirectDamage", "DamageOverTime", "DamageShield", "Other")
     landed = (spell | (kind == "Melee")) & (amount > 0)
-    skill = F.coalesce(F.nullif("sub_type", F.lit("")), "damage_kind").alias("skill")
+    unnamed = F.coalesce(*[F.when(kind == k, name) for k, name in UNNAMED.items()], F.lit("Other"))
+    skill = F.coalesce(F.nullif("sub_type", F.lit("")), unnamed).alias("skill")
     return hits.groupBy(*keys, skill, F.when(landed, log_bucket(amount)).alias("bucket")).agg(
         F.bool_or(spell).alias("spell"), F.count_if(~spell & (kind != "")).alias("swings"), F.count_if(landed).alias("landed"),
         *[F.count_if(kind == k).alias(name) for name, k in AVOIDANCES.items()], F.sum(F.when(landed, amount).otherwise(0)).alias("total"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TICK = 6
@@ -50,3 +50,29 @@ def recognise(lines: DataFrame, emotes: DataFrame, owner: str) -> DataFrame:
     best = near.groupBy("session_id", "line_no", "ts").agg(F.max_by(F.struct("target", "spell", "emote", "candidates"), F.length("emote")).alias("b"))
     other = best.select("session_id", "line_no", "ts", F.lit("Landed").alias("kind"), "b.*")
     return mine.unionByName(other.join(mine.select("session_id", "line_no"), ["session_id", "line_no"], "left_anti"))
+
+
+def predicted_ends(rows: DataFrame, known: DataFrame, owner: str) -> DataFrame:
+    """(session_id, spell, b, e): buffs that never faded, up to the end that the owner's level at the cast gives them.
+
+    rows has session_id, line_no, s, kind, actor, cast_kind, spell and level; known is (name, formula, cap), one row a
+    name whatever its case.  A span opens with the owner's cast or a landing and closes with the spell's fading; later
+    opens of an open span change nothing.  The level comes from announcements before the cast that opened a span, and
+    stays known for the spell if a landing opens it again.  Spells that the owner never cast, or cast without a level,
+    permanent ones and those without a duration have no row.
+    """
+    kind = F.col("kind")
+    level = F.last(F.when(kind == "Level", F.col("level")), ignorenulls=True).over(Window.partitionBy("session_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    own = (kind == "Cast") & (F.col("cast_kind") == "Begin") & (F.lower("actor") == owner.lower())
+    own, closes = F.coalesce(own, F.lit(False)), kind == "WearOff"
+    heard = rows.where(own | kind.isin("Level", "Landed", "WearOff"))
+    marked = heard.select("session_id", F.lower("spell").alias("_key"), "line_no", "s", "spell", level.alias("_level"), own.alias("_own"), closes.alias("_close"), (kind == "Level").alias("_level_only")).where("_key is not null and not _level_only")
+    earlier = Window.partitionBy("session_id", "_key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    spans = marked.withColumn("_span", F.coalesce(F.count_if("_close").over(earlier), F.lit(0))).groupBy("session_id", "_key", "_span").agg(
+        F.min(F.when(~F.col("_close"), F.struct("line_no", "s", "spell", "_own", "_level"))).alias("_first"), F.bool_or("_close").alias("_closed")
+    )
+    cast = F.when(F.col("_first._own") & (F.col("_first._level") > 0), F.col("_span"))
+    last = spans.groupBy("session_id", "_key").agg(F.max_by("_first._level", cast).alias("_at"), F.max(F.when(~F.col("_closed"), F.col("_first"))).alias("_open"))
+    timed = last.where("_open is not null and _at is not null").join(known.select(F.lower("name").alias("_key"), "formula", "cap"), "_key")
+    lasts = duration(F.col("formula"), F.col("cap"), F.col("_at"))
+    return timed.where(lasts > 0).select("session_id", "_open.spell", F.col("_open.s").alias("b"), (F.col("_open.s") + lasts).alias("e"))

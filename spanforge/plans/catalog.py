@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import bucket, ratio, seconds
-from ..operators import feeds, intervals, learned, lookup, metrics, present, segments
+from ..operators import feeds, intervals, learned, lookup, metrics, present, segments, spells
 from ..streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,6 +357,24 @@ def union_feed(spark, d):
     return feeds.newest_first([bought, orders], [F.desc("s"), F.asc("feed"), F.asc("id")])
 
 
+@query(f"""WITH {E}, r AS (SELECT user_id AS session_id, event_id AS line, s, k, event_type AS t, 'Spell' || (k % 6) AS spell, CASE WHEN event_type = 'purchase' THEN cents % 60 + 1 END AS lv FROM e),
+  v AS (SELECT *, last_value(lv IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY line) AS level FROM r),
+  o AS (SELECT *, coalesce(sum(CASE WHEN t = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, spell ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span FROM v WHERE t IN ('view', 'click', 'error')),
+  g AS (SELECT session_id, spell, span, bool_or(t = 'error') AS closed, arg_min(s, line) FILTER (t <> 'error') AS b, arg_min(CASE WHEN t = 'view' AND level IS NOT NULL THEN level ELSE -1 END, line) FILTER (t <> 'error') AS level FROM o GROUP BY ALL),
+  p AS (SELECT session_id, spell, max(b) FILTER (NOT closed) AS b, arg_max(level, span) FILTER (level > 0) AS level FROM g GROUP BY ALL)
+  SELECT session_id, spell, CAST(b AS BIGINT) AS b, CAST(b + 6 * CASE right(spell, 1) WHEN '1' THEN level // 2 WHEN '2' THEN least(level // 2 + 5, 20) WHEN '3' THEN least(level * 30, 300) WHEN '4' THEN 50 ELSE 2 END AS BIGINT) AS e
+  FROM p WHERE b IS NOT NULL AND level IS NOT NULL AND right(spell, 1) <> '0' AND NOT (right(spell, 1) = '1' AND level < 2)""")
+def buff_ends(spark, d):
+    t, k = F.col("event_type"), F.col("k")
+    kind = F.when(t == "view", "Cast").when(t == "click", "Landed").when(t == "error", "WearOff").when(t == "purchase", "Level")
+    rows = events(spark, d).select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("line_no"), "s", kind.alias("kind"), F.lit("me").alias("actor"), F.lit("Begin").alias("cast_kind"),
+        F.concat(F.lit("Spell"), (k % 6).cast("string")).alias("spell"), (F.col("cents") % 60 + 1).alias("level"),
+    )
+    known = spark.createDataFrame([(f"spell{i}", 50 if i == 0 else i, cap) for i, cap in enumerate((0, 0, 20, 300, 0, 0))], "name string, formula int, cap int")
+    return spells.predicted_ends(rows, known, "Me")
+
+
 # --- learned indexes ----------------------------------------------------------------------------------------------
 
 

@@ -228,3 +228,16 @@ def test_attack_estimates_count_melee_alone(spark):
 def test_newest_evidence_order(spark):
     df = spark.createDataFrame([("b", 1, 5), ("A", 1, 5), ("c", 1, 9), ("d", 2, 0)], "mob string, last_seen int, landed int")
     assert [r["mob"] for r in learned.newest_evidence(df).collect()] == ["d", "c", "A", "b"]
+
+
+def test_predicted_ends_follow_the_cast(spark):
+    cast = lambda n, spell, who="Me": ("x", n, n * 10, "Cast", who, "Begin", spell, None)
+    other = lambda n, kind, spell=None, level=None: ("x", n, n * 10, kind, None, None, spell, level)
+    rows = [
+        cast(1, "Early"), other(2, "Level", level=10), cast(3, "Kept"), other(3, "Level", "Early", 10), cast(4, "kept"), cast(5, "Again"), other(6, "WearOff", "Again"), other(7, "Level", level=20), other(8, "Landed", "Again"),
+        cast(9, "Gone"), other(10, "WearOff", "gone"), cast(11, "Strange", "You"), other(12, "Landed", "Strange"), cast(13, "Always"), cast(14, None), other(15, "WearOff"),
+    ]
+    ddl = "session_id string, line_no long, s long, kind string, actor string, cast_kind string, spell string, level int"
+    known = spark.createDataFrame([(n, 50 if n == "ALWAYS" else 7, 0) for n in ("early", "kept", "again", "gone", "strange", "ALWAYS")], "name string, formula int, cap int")
+    assert rows_of(spells.predicted_ends(spark.createDataFrame(rows, ddl), known, "me")) == [("x", "Again", 80, 140), ("x", "Kept", 30, 90)]
+    assert spells.predicted_ends(spark.createDataFrame([], ddl), known, "me").count() == 0
