@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_packing, op2_langid, op3_line_rules, op4_suffix_buckets, op5_warc, op6_reply_trees, op7_fm_index, op8_telephony, op9_simhash, op10_trie_bpe
+from . import op1_packing, op2_langid, op3_line_rules, op4_suffix_buckets, op5_warc, op6_reply_trees, op7_fm_index, op8_telephony, op9_simhash, op10_trie_bpe, op13_divergence
 from .common import table
 
 
@@ -56,9 +56,13 @@ def op10_trie_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_trie_bpe.digests(op10_trie_bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_line_frequency, op4_suffix_dedup, op5_warc_index, op6_reply_paths, op7_fm_dedup, op8_telephony_audio, op9_simhash_groups, op10_trie_encoding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_line_frequency, op4_suffix_dedup, op5_warc_index, op6_reply_paths, op7_fm_dedup, op8_telephony_audio, op9_simhash_groups, op10_trie_encoding, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_frequency": op3_line_rules.ORACLE_SQL, "op6_reply_paths": op6_reply_trees.ORACLE_SQL}
+    return {"op3_line_frequency": op3_line_rules.ORACLE_SQL, "op6_reply_paths": op6_reply_trees.ORACLE_SQL, "op13_source_divergence": op13_divergence.ORACLE_SQL}
