@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_packing, op2_langid, op3_line_rules, op4_suffix_buckets, op5_warc, op6_reply_trees, op7_fm_index, op8_telephony, op9_simhash, op10_trie_bpe, op13_divergence
+from . import op1_packing, op2_langid, op3_line_rules, op4_suffix_buckets, op5_warc, op6_reply_trees, op7_fm_index, op8_telephony, op9_simhash, op10_trie_bpe, op11_minhash, op12_vector_codes, op13_divergence
 from .common import table
 
 
@@ -56,13 +56,33 @@ def op10_trie_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_trie_bpe.digests(op10_trie_bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary))
 
 
+def op11_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_minhash.minhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_partial_distance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_divergence.audit(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_best_fit_packing, op2_language_id, op3_line_frequency, op4_suffix_dedup, op5_warc_index, op6_reply_paths, op7_fm_dedup, op8_telephony_audio, op9_simhash_groups, op10_trie_encoding,
+    op11_minhash_groups, op12_partial_distance_codes, op13_source_divergence,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_line_frequency, op4_suffix_dedup, op5_warc_index, op6_reply_paths, op7_fm_dedup, op8_telephony_audio, op9_simhash_groups, op10_trie_encoding, op13_source_divergence)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_frequency": op3_line_rules.ORACLE_SQL, "op6_reply_paths": op6_reply_trees.ORACLE_SQL, "op13_source_divergence": op13_divergence.ORACLE_SQL}
+    return {
+        "op3_line_frequency": op3_line_rules.ORACLE_SQL,
+        "op6_reply_paths": op6_reply_trees.ORACLE_SQL,
+        "op11_minhash_groups": op11_minhash.ORACLE_SQL,
+        "op12_partial_distance_codes": op12_vector_codes.ORACLE_SQL,
+        "op13_source_divergence": op13_divergence.ORACLE_SQL,
+    }
