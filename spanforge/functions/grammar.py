@@ -19,9 +19,10 @@ from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import segments
 from ..sources.lines import scanned
 from .schema import FIELDS, MODIFIERS
 
@@ -531,15 +532,14 @@ def parse_text(raw: DataFrame, owner: Column | None = None, emu: bool = False, t
 def announced(events: DataFrame) -> DataFrame:
     """events without announcements; the next melee hit of the one announced last is critical.
 
-    One ordered stream a session, like everything that looks back in a log.
+    What was announced last is carried over stretches of a session, as one log may be the whole table.
     """
-    w = Window.partitionBy("session_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    call = F.col("kind") == "_Critical"
-    seen = events.withColumn("_call", F.sum(call.cast("int")).over(w)).withColumn("_name", F.last(F.when(call, F.col("actor")), ignorenulls=True).over(w))
-    melee = (F.col("kind") == "Damage") & (F.col("damage_kind") == "Melee") & (F.col("actor") == F.col("_name"))
-    nth = F.sum(F.coalesce(melee, F.lit(False)).cast("int")).over(Window.partitionBy("session_id", "_call").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    first = seen.withColumn("_nth", nth).withColumn("modifiers", F.when(melee & (F.col("_nth") == 1), F.col("modifiers").bitwiseOR(F.lit(MODIFIERS["Critical"]))).otherwise(F.col("modifiers")))
-    return first.where(~call).drop("_call", "_name", "_nth")
+    keys, order, call = ["session_id"], ["line_no"], F.col("kind") == "_Critical"
+    rows = segments.carried(segments.dealt(events, keys, order), keys, order, _call=("last", F.when(call, F.struct("line_no", "actor"))))
+    melee = rows.where((F.col("kind") == "Damage") & (F.col("damage_kind") == "Melee") & (F.col("actor") == F.col("_call.actor")))
+    first = melee.groupBy("session_id", F.col("_call.line_no").alias("_from")).agg(F.min("line_no").alias("line_no")).select("session_id", "line_no", F.lit(MODIFIERS["Critical"]).alias("_more"))
+    met = rows.where(~call).join(first, [*keys, *order], "left")
+    return met.withColumn("modifiers", F.when(F.col("_more").isNull(), F.col("modifiers")).otherwise(F.col("modifiers").bitwiseOR(F.col("_more")))).select(*events.columns)
 
 
 def instance_zone(c: Column) -> Column:

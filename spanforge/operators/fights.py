@@ -2,7 +2,9 @@
 
 A fight expires after more than 30 idle seconds once it has damage, after more than 60 before.  Cut a stream at every
 gap above 30 s: the fight before such a gap has damage exactly if the last piece has, because any piece with damage ends
-its fight at the gap after it.  So the stateful rule is two window passes.
+its fight at the gap after it.  So the stateful rule is two window passes, by session, zone stretch and enemy.  What looks
+over a whole session (zones, numbers of fights, chains) goes by stretches of it (`segments.carried`), as one log may be
+the whole table.
 """
 
 from __future__ import annotations
@@ -40,10 +42,10 @@ def engaged(sided: DataFrame) -> DataFrame:
 def with_zone(rows: DataFrame, events: DataFrame) -> DataFrame:
     """rows with zone and zone_change (how many zone lines came before), from the last zone line at or before each."""
     zones = events.where(F.col("kind") == "Zone").select("session_id", "line_no", "zone")
-    w = Window.partitionBy("session_id").orderBy("line_no", "_zone_line").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.withColumn("_zone_line", F.lit(1)).unionByName(zones.withColumn("_zone_line", F.lit(0)), allowMissingColumns=True)
-    last = F.last(F.when(F.col("_zone_line") == 0, F.struct("zone")), ignorenulls=True).over(w)
-    return both.withColumn("zone", last["zone"]).withColumn("zone_change", F.count(F.when(F.col("_zone_line") == 0, 1)).over(w)).where("_zone_line = 1").drop("_zone_line")
+    both = rows.withColumn("_zone_line", F.lit(1)).unionByName(zones.withColumn("_zone_line", F.lit(0)), allowMissingColumns=True).withColumnRenamed("zone", "_zone")
+    keys, order, line = ["session_id"], ["line_no", "_zone_line"], F.col("_zone_line") == 0
+    held = segments.carried(segments.dealt(both, keys, order), keys, order, _held=("last", F.when(line, F.struct("_zone"))), zone_change=("sum", line.cast("long")))
+    return held.withColumn("zone", F.col("_held._zone")).where(~line).drop("_zone_line", "_zone", "_held", "_part")
 
 
 def assigned(rows: DataFrame) -> DataFrame:
@@ -87,8 +89,8 @@ def fights(rows: DataFrame, players: DataFrame, pet_map: DataFrame, events: Data
     idle = F.col("_end") - F.col("last_activity")
     closed = F.col("dead") | (F.col("_zones") > F.col("zone_change")) | (idle > IDLE_UNDAMAGED) | (F.col("has_damage") & (idle > IDLE))
     real = real.join(ends, "session_id")
-    order = Window.partitionBy("session_id").orderBy("first_line")
-    return real.withColumn("closed", closed).withColumn("id", F.row_number().over(order)).withColumnRenamed("npc", "name").drop("_end", "_zones")
+    listed = segments.numbered(real.withColumn("closed", closed), ["session_id"], ["first_line", "npc"])
+    return listed.withColumn("id", F.col("id").cast("int")).withColumnRenamed("npc", "name").drop("_end", "_zones")
 
 
 def actor_totals(rows: DataFrame) -> DataFrame:
@@ -98,4 +100,4 @@ def actor_totals(rows: DataFrame) -> DataFrame:
 
 def pull_groups(found: DataFrame) -> DataFrame:
     """fights with chain: pulls less than 120 s apart belong together."""
-    return segments.chains(found, ["session_id"], ["begin", "id"], begin="begin", end="last_damage")
+    return segments.long_chains(found, ["session_id"], ["begin", "id"], begin="begin", end="last_damage")

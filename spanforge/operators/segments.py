@@ -97,6 +97,79 @@ def ranked(df: DataFrame, order: list[tuple[Column, bool]], name: str = "rank")
     return placed.join(F.broadcast(before.select("_part", "_before")), "_part").select(*df.columns, (F.col("_own") + F.col("_before")).cast("long").alias(name))
 
 
+#: Parts of a long stream for each shuffle partition; several meet in one task, which evens them out.
+PARTS = 8
+
+
+def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with _part: stretches of each key's order, as even as a sample makes them, in the order of their numbers.
+
+    For streams of which one key (a log) may hold most rows; order tells the rows of a key apart.  Stored, as parts must
+    not change between the passes over them.
+    """
+    n = PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def carried(rows: DataFrame, keys: list[str], order: list[str], **values: tuple[str, Column]) -> DataFrame:
+    """Rows of `dealt` with running values by key, as a window over a key's whole order would give them, without one.
+
+    name=(how, column): `last` is the last one that isn't null up to the row, `before` the last one before it, `sum` the
+    sum up to the row, `max_before` the largest before it.  Each part is read on its own; what parts carry over are a row
+    for each of them and key.
+    """
+    own = Window.partitionBy("_part", *keys).orderBy(*order)
+    upto, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    local, ends, over = {}, [], []
+    for name, (how, c) in values.items():
+        if how in ("last", "before"):
+            local[name] = F.last(c, ignorenulls=True).over(upto if how == "last" else before)
+            ends.append(F.max_by(c, F.when(c.isNotNull(), F.struct(*order))).alias(f"_c_{name}"))
+            over.append(F.last(f"_c_{name}", ignorenulls=True).over(earlier).alias(f"_b_{name}"))
+        elif how == "sum":
+            local[name] = F.sum(c).over(upto)
+            ends.append(F.sum(c).alias(f"_c_{name}"))
+            over.append(F.sum(f"_c_{name}").over(earlier).alias(f"_b_{name}"))
+        else:
+            local[name] = F.max(c).over(before)
+            ends.append(F.max(c).alias(f"_c_{name}"))
+            over.append(F.max(f"_c_{name}").over(earlier).alias(f"_b_{name}"))
+    carry = rows.groupBy("_part", *keys).agg(*ends).select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f"_c_{n}") for n in values], "_part", *keys).select("_p", *[f"_k_{k}" for k in keys], *over)
+    seen = rows.select("*", *[c.alias(f"_l_{n}") for n, c in local.items()])
+    same = [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
+    met = seen.join(carry, same, "left")
+    both = {n: F.coalesce(f"_l_{n}", f"_b_{n}") if how in ("last", "before") else F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_b_{n}", F.lit(0)) if how == "sum" else F.greatest(f"_l_{n}", f"_b_{n}") for n, (how, _) in values.items()}
+    return met.select(*rows.columns, *[c.alias(n) for n, c in both.items()])
+
+
+def long_sessions(df: DataFrame, keys: list[str], order: list[str], gap: int = PRESENCE_GAP, marker: Column | None = None) -> DataFrame:
+    """`sessions` of streams of which one key may hold most rows."""
+    rows = dealt(df, keys, order)
+    last = carried(rows, keys, order, _last=("before", F.col("s")))
+    new = F.col("_last").isNull() | (F.col("s") - F.col("_last") >= gap)
+    if marker is not None:
+        new = new | marker
+    return carried(last.withColumn("_new", new.cast("int")), keys, order, session=("sum", F.col("_new"))).drop("_part", "_last", "_new")
+
+
+def long_presence(df: DataFrame, keys: list[str], order: list[str], gap: int = PRESENCE_GAP, marker: Column | None = None) -> DataFrame:
+    """`presence` of streams of which one key may hold most rows."""
+    return long_sessions(df, keys, order, gap, marker).groupBy(*keys, "session").agg(F.min("s").alias("b"), F.max("s").alias("e"), F.count(F.lit(1)).alias("n"))
+
+
+def long_chains(df: DataFrame, keys: list[str], order: list[str], gap: int = CHAIN_GAP, begin: str = "b", end: str = "e") -> DataFrame:
+    """`chains` of intervals of which one key may hold most."""
+    so_far = carried(dealt(df, keys, order), keys, order, _so_far=("max_before", F.col(end)))
+    new = F.col("_so_far").isNull() | (F.col(begin) - F.col("_so_far") >= gap)
+    return carried(so_far.withColumn("_new", new.cast("int")), keys, order, chain=("sum", F.col("_new"))).drop("_part", "_so_far", "_new")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "id") -> DataFrame:
+    """df with the place of each row among its key's, from 1."""
+    return carried(dealt(df, keys, order), keys, order, **{name: ("sum", F.lit(1))}).drop("_part")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, in the cluster's checkpoint folder; as it is where there is none."""
     spark = df.sparkSession

@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar
-from ..functions.schema import FIELDS
+from ..functions.schema import FIELDS, MODIFIERS
 from ..functions.timeutil import moment, seconds
-from ..operators import fights, identity, learned, segments
+from ..operators import fights, identity, learned, metrics, segments
 from .catalog import E, events, query, r6
 from .query import Filter, QuerySpec, Scope, World, canned, compile_query, live_meter
 
 START = 1704067200
 OWNER = "Raider0"
 RAIDERS, PETS = 40, 5
+#: Modifiers of the hits whose k has this rest by this divisor.
+RARE = ((11, 0, "Assassinate"), (7, 3, "Headshot"), (13, 0, "FinishingBlow"), (17, 0, "SlayUndead"), (5, 2, "Strikethrough"), (8, 5, "DoubleBowShot"))
 
 #: The typed log in SQL; every query below begins with it.
 LOG = f"""WITH {E}, log AS (SELECT event_id AS line, {START} + (s - {START}) // 60 AS s, event_type AS t, k, cents, 'Raider' || (user_id % {RAIDERS}) AS raider,
@@ -29,9 +31,13 @@ LOG = f"""WITH {E}, log AS (SELECT event_id AS line, {START} + (s - {START}) //
       WHEN 'error' THEN CASE WHEN k < 80 THEN 'Damage' ELSE 'Stance' END ELSE CASE WHEN k < 40 THEN 'Experience' WHEN k < 70 THEN 'Faction' WHEN k < 90 THEN 'Consider' ELSE 'Zone' END END AS kind,
     CASE t WHEN 'click' THEN hitter WHEN 'purchase' THEN raider WHEN 'view' THEN raider WHEN 'error' THEN CASE WHEN k < 80 THEN gnoll ELSE '{OWNER}' END ELSE '{OWNER}' END AS actor,
     CASE t WHEN 'click' THEN gnoll WHEN 'purchase' THEN gnoll WHEN 'view' THEN CASE WHEN k < 60 THEN raider WHEN k >= 80 THEN gnoll END WHEN 'error' THEN CASE WHEN k < 80 THEN raider END ELSE CASE WHEN k BETWEEN 70 AND 89 THEN gnoll END END AS target,
-    CASE t WHEN 'click' THEN CASE WHEN k < 95 THEN 'Melee' ELSE 'Miss' END WHEN 'purchase' THEN CASE WHEN k < 90 THEN 'DirectDamage' END WHEN 'error' THEN CASE WHEN k < 40 THEN 'Melee' WHEN k < 60 THEN 'Miss' WHEN k < 80 THEN 'Dodge' END END AS dk,
-    CASE t WHEN 'click' THEN CASE k % 3 WHEN 0 THEN 'Slashes' WHEN 1 THEN 'Kicks' ELSE 'Shoots' END WHEN 'purchase' THEN CASE WHEN k < 90 THEN CASE k % 2 WHEN 0 THEN 'Blaze' ELSE 'Frost' END END WHEN 'error' THEN CASE WHEN k < 80 THEN 'Bites' END END AS sub,
-    CASE WHEN t = 'click' AND k >= 95 OR t = 'error' AND k BETWEEN 40 AND 79 THEN 0 ELSE cents END AS amount, cents + k AS potential, k & 127 AS mods, k % 2 = 0 AS even,
+    CASE t WHEN 'click' THEN CASE WHEN k < 95 THEN 'Melee' ELSE 'Miss' END WHEN 'purchase' THEN CASE WHEN k < 50 THEN 'DirectDamage' WHEN k < 75 THEN 'DamageOverTime' WHEN k < 90 THEN 'DamageShield' END
+      WHEN 'error' THEN CASE WHEN k < 40 THEN 'Melee' WHEN k < 60 THEN 'Miss' WHEN k < 64 THEN 'Parry' WHEN k < 68 THEN 'Block' WHEN k < 72 THEN 'Absorb' WHEN k < 76 THEN 'Invulnerable' WHEN k < 80 THEN 'Dodge' END END AS dk,
+    CASE t WHEN 'click' THEN CASE k % 3 WHEN 0 THEN 'Slashes' WHEN 1 THEN 'Kicks' ELSE 'Shoots' END WHEN 'purchase' THEN CASE WHEN k < 75 THEN CASE k % 2 WHEN 0 THEN 'Blaze' ELSE 'Frost' END END WHEN 'error' THEN CASE WHEN k < 80 THEN 'Bites' END END AS sub,
+    CASE WHEN t = 'click' AND k >= 95 OR t = 'error' AND k BETWEEN 40 AND 79 THEN 0 ELSE cents END AS amount, cents + k AS potential,
+    (k & 127) + CASE WHEN k % 11 = 0 THEN 512 ELSE 0 END + CASE WHEN k % 7 = 3 THEN 1024 ELSE 0 END + CASE WHEN k % 13 = 0 THEN 2048 ELSE 0 END + CASE WHEN k % 17 = 0 THEN 4096 ELSE 0 END
+      + CASE WHEN k % 5 = 2 THEN 128 ELSE 0 END + CASE WHEN k % 8 = 5 THEN 256 ELSE 0 END AS mods,
+    CASE WHEN t = 'purchase' AND k < 75 THEN CASE k % 3 WHEN 0 THEN 'fire' WHEN 1 THEN 'bane' END END AS school, k % 2 = 0 AS even,
     CASE k % 3 WHEN 0 THEN 'Begin' WHEN 1 THEN 'Interrupted' ELSE 'Fizzle' END AS ck, CASE k % 3 WHEN 0 THEN 'bold' WHEN 1 THEN 'calm' ELSE 'wild' END AS stance,
     k / 10.0 AS pct, k % 5 = 0 AS aa, k - 55 AS delta, k % 10 = 0 AS capped, 'Fen' || (k % 2) AS faction, 'Fang' || (k % 3) AS item, k % 4 + 1 AS qty, k * 10 AS copper FROM log)"""
 
@@ -48,15 +54,16 @@ def typed_log(spark: SparkSession, d: str) -> DataFrame:
     one = e.select(F.lit("log").alias("session_id"), F.col("event_id").alias("line_no"), (START + F.floor((F.col("s") - START) / 60)).alias("s"), kind.alias("kind"), t.alias("t"), "k", "cents", raider.alias("raider"), hitter.alias("hitter"), gnoll.alias("gnoll"))
     kind, t, amount, harm = F.col("kind"), F.col("t"), F.col("cents"), F.col("kind") == "Damage"
     missed = ((t == "click") & (k >= 95)) | ((t == "error") & k.between(40, 79))
-    third = lambda *names: F.when(k % 3 == 0, names[0]).when(k % 3 == 1, names[1]).otherwise(names[2])
+    third = lambda *names: F.when(k % 3 == 0, names[0]).when(k % 3 == 1, names[1]).otherwise(F.lit(names[2]))
     at = lambda name, value: F.when(kind == name, value)
     values = {
         "actor": F.when(t == "click", F.col("hitter")).when(t.isin("purchase", "view"), F.col("raider")).when((t == "error") & (k < 80), F.col("gnoll")).when(~kind.isin("Faction", "Zone"), OWNER),
         "target": F.when(t.isin("click", "purchase") | kind.isin("Consider"), F.col("gnoll")).when((t == "error") & (k < 80) | (kind == "Heal"), F.col("raider")),
         "amount": F.when(missed, 0).when(kind.isin("Damage", "Heal"), amount), "potential": at("Heal", amount + k),
-        "damage_kind": F.when(harm, F.when(t == "purchase", "DirectDamage").when(~missed, "Melee").when((t == "click") | (k < 60), "Miss").otherwise("Dodge")),
-        "sub_type": F.when(t == "click", third("Slashes", "Kicks", "Shoots")).when(harm & (t == "purchase"), F.when(k % 2 == 0, "Blaze").otherwise("Frost")).when(harm, "Bites"),
-        "modifiers": F.when(kind.isin("Damage", "Heal"), k.bitwiseAND(F.lit(127))), "is_spell": F.when(harm, F.lit(False)), "spell": F.when(kind.isin("Heal", "Cast"), "Mend"), "over_time": at("Heal", k % 2 == 0),
+        "damage_kind": F.when(harm, F.when(t == "purchase", F.when(k < 50, "DirectDamage").when(k < 75, "DamageOverTime").otherwise("DamageShield")).when(~missed, "Melee").when((t == "click") | (k < 60), "Miss").when(k < 64, "Parry").when(k < 68, "Block").when(k < 72, "Absorb").when(k < 76, "Invulnerable").otherwise("Dodge")),
+        "sub_type": F.when(t == "click", third("Slashes", "Kicks", "Shoots")).when(harm & (t == "purchase"), F.when(k < 75, F.when(k % 2 == 0, "Blaze").otherwise("Frost"))).when(harm, "Bites"),
+        "school": F.when(harm & (t == "purchase") & (k < 75), third("fire", "bane", None)),
+        "modifiers": F.when(kind.isin("Damage", "Heal"), k.bitwiseAND(F.lit(127)) + sum(F.when(k % n == rest, MODIFIERS[m]).otherwise(0) for n, rest, m in RARE)), "is_spell": F.when(harm, F.lit(False)), "spell": F.when(kind.isin("Heal", "Cast"), "Mend"), "over_time": at("Heal", k % 2 == 0),
         "cast_kind": at("Cast", third("Begin", "Interrupted", "Fizzle")), "stance": at("Stance", third("bold", "calm", "wild")), "zone": at("Zone", F.concat(F.lit("Fen"), (k % 3).cast("string"))), "welcome": at("Zone", k >= 98),
         "level": at("Consider", k), "attitude": at("Consider", F.lit("dubious")), "percent": at("Experience", k / 10.0), "party": at("Experience", k % 2 == 0), "aa_point": at("Experience", k % 5 == 0),
         "faction": at("Faction", F.concat(F.lit("Fen"), (k % 2).cast("string"))), "delta": at("Faction", k - 55), "better": at("Faction", k >= 55), "capped": at("Faction", k % 10 == 0),
@@ -135,7 +142,7 @@ def kill_harvest(spark, d):
     return learned.harvest_kills(found).groupBy("mob_key").agg(F.count(F.lit(1)).alias("kills"), F.sum("damage").alias("damage"), F.max("killed_at").alias("newest"))
 
 
-_HITS = """, h AS (SELECT actor AS mob, CASE WHEN k % 2 = 0 THEN 50 END AS level, sub AS skill, dk, dk = 'DirectDamage' AS spell, CASE WHEN dk IN ('Melee', 'DirectDamage') AND amount > 0 THEN amount END AS hit FROM ev WHERE kind = 'Damage'),
+_HITS = """, h AS (SELECT actor AS mob, CASE WHEN k % 2 = 0 THEN 50 END AS level, sub AS skill, dk, dk IN ('DirectDamage', 'DamageOverTime', 'DamageShield') AS spell, CASE WHEN dk IN ('Melee', 'DirectDamage', 'DamageOverTime', 'DamageShield') AND amount > 0 THEN amount END AS hit FROM ev WHERE kind = 'Damage'),
   b AS (SELECT *, least(greatest(floor(log2(hit) * 4), 0), 79) AS bucket FROM h),
   t AS (SELECT mob, level, count(*) FILTER (NOT spell) AS swings, count(hit) FILTER (NOT spell) AS landed, coalesce(sum(hit) FILTER (NOT spell), 0) AS total, coalesce(max(hit) FILTER (NOT spell), 0) AS max_hit,
     coalesce(min(hit) FILTER (NOT spell), 0) AS min_hit, count(*) FILTER (dk = 'Miss') AS misses, count(*) FILTER (dk = 'Dodge') AS dodges, coalesce(sum(hit), 0) AS all_total, coalesce(sum(hit) FILTER (spell), 0) AS spell_total FROM b GROUP BY ALL),
@@ -177,13 +184,14 @@ FIGHT_UNITS = ", units AS (SELECT id, npc AS name, b, e FROM fights)"
 MERGED_UNITS = f", fu AS (SELECT b, e FROM fights), units AS (SELECT row_number() OVER (ORDER BY b) AS id, b, e FROM ({MERGE.format('fu')}))"
 PRESENCE_UNITS = f"{PRESENCE}, units AS (SELECT row_number() OVER (ORDER BY b) AS id, b, e FROM ({MERGE.format('presence')}))"
 
-_LANDED = "(kind = 'Heal' OR kind = 'Damage' AND dk IN ('Melee', 'DirectDamage'))"
-_TRY = "kind = 'Damage' AND dk IN ('Melee', 'Miss', 'Dodge')"
+_LANDED = "(kind = 'Heal' OR kind = 'Damage' AND dk IN ('Melee', 'DirectDamage', 'DamageOverTime', 'DamageShield'))"
+_TRY = "kind = 'Damage' AND dk IN ('Melee', 'Miss', 'Dodge', 'Parry', 'Block', 'Absorb', 'Invulnerable')"
 _COUNTS = f"""coalesce(sum(amount) FILTER ({_LANDED}), 0) AS total, count(*) FILTER ({_LANDED}) AS hits, coalesce(max(amount) FILTER ({_LANDED}), 0) AS mx, coalesce(min(amount) FILTER ({_LANDED} AND amount > 0), 0) AS mn,
     count(*) FILTER ({_LANDED} AND mods & 1 <> 0) AS crits, count(*) FILTER ({_LANDED} AND mods & 2 <> 0) AS luckies, count(*) FILTER ({_LANDED} AND mods & 4 <> 0) AS twins,
     coalesce(sum(amount) FILTER ({_LANDED} AND mods & 1 <> 0), 0) AS crit_total, coalesce(sum(amount) FILTER ({_LANDED} AND mods & 2 <> 0), 0) AS lucky_total,
-    count(*) FILTER (dk = 'DirectDamage' AND mods & 4 <> 0) AS twin_dd, count(*) FILTER (dk = 'DirectDamage') AS spells, count(*) FILTER (dk = 'Melee') AS melee, count(*) FILTER ({_TRY}) AS tries,
-    count(*) FILTER (dk = 'Miss') AS misses, count(*) FILTER (dk = 'Dodge') AS dodges, count(*) FILTER (dk = 'Melee' AND sub IN ('Slashes', 'Bites')) AS regular,
+    count(*) FILTER (dk = 'DirectDamage' AND mods & 4 <> 0) AS twin_dd, count(*) FILTER (dk = 'DamageOverTime' AND mods & 4 <> 0) AS twin_dot, count(*) FILTER (dk IN ('DirectDamage', 'DamageOverTime')) AS spells, count(*) FILTER (dk = 'Melee') AS melee, count(*) FILTER ({_TRY}) AS tries,
+    count(*) FILTER (dk = 'Miss') AS misses, count(*) FILTER (dk = 'Dodge') AS dodges, count(*) FILTER (dk = 'Parry') AS parries, count(*) FILTER (dk = 'Block') AS blocks, count(*) FILTER (dk = 'Absorb') AS absorbs, count(*) FILTER (dk = 'Invulnerable') AS unhurt,
+    count(*) FILTER (dk = 'Melee' AND mods & 128 <> 0) AS strikes, count(*) FILTER (dk = 'Melee' AND mods & 256 <> 0) AS double_bows, count(*) FILTER (dk = 'Melee' AND sub = 'Shoots') AS bows, count(*) FILTER (dk = 'Melee' AND sub IN ('Slashes', 'Bites')) AS regular,
     count(*) FILTER (dk = 'Melee' AND mods & 8 <> 0) AS flurries, count(*) FILTER (dk = 'Melee' AND mods & 48 <> 0) AS rampages, count(*) FILTER (dk = 'Melee' AND mods & 64 <> 0) AS ripostes,
     coalesce(sum(potential - amount) FILTER (kind = 'Heal'), 0) AS extra, coalesce(max(potential) FILTER (kind = 'Heal'), 0) AS mxp, count(*) FILTER (kind = 'Heal' AND even) AS hots,
     count(*) FILTER (kind = 'Death') AS deaths, count(*) FILTER (kind = 'Cast' AND ck = 'Begin') AS casts, count(*) FILTER (kind = 'Cast' AND ck = 'Interrupted') AS breaks, count(*) FILTER (kind = 'Cast' AND ck = 'Fizzle') AS fizz,
@@ -204,9 +212,10 @@ def _whole(c: str) -> str:
 SQL_METRICS = {
     "total": _whole("total"), "hits": _whole("hits"), "maxHit": _whole("mx"), "minHit": _whole("mn"), "critHits": _whole("crits"), "luckyHits": _whole("luckies"), "twincastHits": _whole("twins"), "activeSeconds": _whole("active"), "raidSeconds": _whole("raid"),
     "dps": _per("total", "active"), "sdps": _per("total", "raid"), "pdps": _per("(total + extra)", "active"), "avgHit": _per("total", "hits"), "avgCrit": _per("(crit_total - lucky_total)", "(crits - luckies)"), "avgLucky": _per("lucky_total", "luckies"),
-    "critRate": _per("crits", "hits", "100.0"), "luckyRate": _per("luckies", "crits", "100.0"), "twincastRate": f"least(100.0, {_per('2 * twin_dd', 'spells', '100.0')})", "flurryRate": _per("flurries", "regular", "100.0"), "rampageRate": _per("rampages", "melee", "100.0"),
-    "riposteRate": _per("ripostes", "melee", "100.0"), "meleeHitRate": _per("melee", "tries", "100.0"), "meleeAccuracy": _per("melee", "(tries - dodges)", "100.0"), "undefendedRate": _per("(tries - misses - dodges)", "tries", "100.0"), "percentOfTotal": _per("total", "root_total", "100.0"),
-    "meleeAttempts": _whole("tries"), "misses": _whole("misses"), "dodges": _whole("dodges"), "extra": _whole("extra"), "potential": _whole("total + extra"), "maxPotentialHit": _whole("mxp"), "overhealRate": _per("extra", "(total + extra)", "100.0"), "hotHits": _whole("hots"),
+    "critRate": _per("crits", "hits", "100.0"), "luckyRate": _per("luckies", "crits", "100.0"), "twincastRate": f"least(100.0, {_per('(2 * twin_dd + twin_dot)', 'spells', '100.0')})", "flurryRate": _per("flurries", "regular", "100.0"), "rampageRate": _per("rampages", "melee", "100.0"),
+    "riposteRate": _per("ripostes", "melee", "100.0"), "meleeHitRate": _per("melee", "tries", "100.0"), "meleeAccuracy": _per("melee", "(tries - dodges - parries - blocks - absorbs - unhurt)", "100.0"), "undefendedRate": _per("(tries - misses - dodges - parries - blocks - absorbs - unhurt)", "tries", "100.0"), "percentOfTotal": _per("total", "root_total", "100.0"),
+    "meleeAttempts": _whole("tries"), "misses": _whole("misses"), "dodges": _whole("dodges"), "parries": _whole("parries"), "blocks": _whole("blocks"), "absorbs": _whole("absorbs"), "invulnerable": _whole("unhurt"),
+    "strikethroughRate": _per("strikes", "melee", "100.0"), "doubleBowRate": _per("double_bows", "bows", "100.0"), "extra": _whole("extra"), "potential": _whole("total + extra"), "maxPotentialHit": _whole("mxp"), "overhealRate": _per("extra", "(total + extra)", "100.0"), "hotHits": _whole("hots"),
     "deaths": _whole("deaths"), "casts": _whole("casts"), "interrupts": _whole("breaks"), "fizzles": _whole("fizz"), "xpPercent": "round(xp, 6)", "xpPerHour": _per("xp", "raid", "3600.0"), "xpGains": _whole("gains"), "aaPoints": _whole("aas"),
     "factionNet": _whole("net"), "factionUps": _whole("ups"), "factionDowns": _whole("downs"), "factionCapped": _whole("caps"), "loots": _whole("loots"), "platinum": "round(coin / 1000.0, 6)", "platPerHour": _per("coin", "raid", "3.6"), "considers": _whole("cons"), "conLevel": _whole("con"),
 }
@@ -237,13 +246,15 @@ def shown(rows: DataFrame) -> DataFrame:
     return rows.select("level", F.array_join("path", "/").alias("path"), "label", *[value(f).alias(f.name) for f in rows.schema.fields if f.name not in ("level", "path", "label", "rank")], "rank")
 
 
-HITS = ["total", "hits", "maxHit", "minHit", "critHits", "luckyHits", "twincastHits", "activeSeconds", "raidSeconds", "dps", "sdps", "avgHit", "avgCrit", "avgLucky", "critRate", "luckyRate", "twincastRate", "flurryRate", "rampageRate", "riposteRate", "meleeHitRate", "meleeAccuracy", "undefendedRate", "percentOfTotal", "meleeAttempts", "misses", "dodges"]
+#: The spell dimension of damage: the sub type or, without one, the outcome.
+SUB = "coalesce(sub, 'damageShield')"
+HITS = ["total", "hits", "maxHit", "minHit", "critHits", "luckyHits", "twincastHits", "activeSeconds", "raidSeconds", "dps", "sdps", "avgHit", "avgCrit", "avgLucky", "critRate", "luckyRate", "twincastRate", "flurryRate", "rampageRate", "riposteRate", "meleeHitRate", "meleeAccuracy", "undefendedRate", "percentOfTotal", "meleeAttempts", "misses", "dodges", "parries", "blocks", "absorbs", "invulnerable", "strikethroughRate", "doubleBowRate"]
 HEALS = ["total", "extra", "potential", "maxPotentialHit", "overhealRate", "hotHits", "hits", "pdps", "dps"]
 
 
-@query(tree_sql(LOG + FIGHTS + FIGHT_UNITS + DEALT, ["who", "sub"], HITS))
+@query(tree_sql(LOG + FIGHTS + FIGHT_UNITS + DEALT, ["who", SUB], HITS))
 def query_damage(spark, d):
-    return compiled(spark, d, QuerySpec("damage", groupBy=["player", "spell"], metrics=HITS))
+    return compiled(spark, d, QuerySpec("damage", groupBy=["player", "spell"], metrics=HITS, petRollup=False))
 
 
 TAKEN = ", r AS (SELECT ev.*, id AS unit, target AS who FROM ev JOIN units ON actor = name AND s BETWEEN b AND e WHERE kind = 'Damage')"
@@ -251,7 +262,7 @@ TAKEN = ", r AS (SELECT ev.*, id AS unit, target AS who FROM ev JOIN units ON ac
 
 @query(tree_sql(LOG + FIGHTS + FIGHT_UNITS + TAKEN, ["who", "actor"], HITS))
 def query_tanking(spark, d):
-    return compiled(spark, d, QuerySpec("tanking", groupBy=["player", "target"], metrics=HITS))
+    return compiled(spark, d, QuerySpec("tanking", groupBy=["player", "target"], metrics=HITS, petRollup=False))
 
 
 def _rows(kind: str, who: str) -> str:
@@ -260,7 +271,7 @@ def _rows(kind: str, who: str) -> str:
 
 @query(tree_sql(LOG + FIGHTS + MERGED_UNITS + _rows("Heal", "actor"), ["who", "target"], HEALS))
 def query_healing(spark, d):
-    return compiled(spark, d, QuerySpec("healing", groupBy=["player", "target"], metrics=HEALS))
+    return compiled(spark, d, QuerySpec("healing", groupBy=["player", "target"], metrics=HEALS, petRollup=False))
 
 
 CASTS = ["casts", "interrupts", "fizzles"]
@@ -268,12 +279,12 @@ CASTS = ["casts", "interrupts", "fizzles"]
 
 @query(tree_sql(LOG + FIGHTS + MERGED_UNITS + _rows("Cast", "actor"), ["who", "'Mend'"], CASTS))
 def query_casts(spark, d):
-    return compiled(spark, d, QuerySpec("casts", groupBy=["player", "spell"], metrics=CASTS))
+    return compiled(spark, d, QuerySpec("casts", groupBy=["player", "spell"], metrics=CASTS, petRollup=False))
 
 
 @query(tree_sql(LOG + FIGHTS + MERGED_UNITS + _rows("Death", "target"), ["who", "actor"], ["deaths"]))
 def query_deaths(spark, d):
-    return compiled(spark, d, canned("DeathLog"))
+    return compiled(spark, d, QuerySpec("deaths", groupBy=["player", "target"], metrics=["deaths"], petRollup=False))
 
 
 GAINS = ["xpPercent", "xpPerHour", "xpGains", "aaPoints"]
@@ -281,7 +292,7 @@ GAINS = ["xpPercent", "xpPerHour", "xpGains", "aaPoints"]
 
 @query(tree_sql(LOG + PRESENCE_UNITS + _rows("Experience", "actor"), ["CASE WHEN aa THEN 'AA point' WHEN even THEN 'party' ELSE 'solo' END"], GAINS))
 def query_experience(spark, d):
-    return compiled(spark, d, QuerySpec("experience", groupBy=["spell"], metrics=GAINS))
+    return compiled(spark, d, QuerySpec("experience", groupBy=["spell"], metrics=GAINS, petRollup=False))
 
 
 STANDING = ["factionNet", "factionUps", "factionDowns", "factionCapped"]
@@ -289,7 +300,7 @@ STANDING = ["factionNet", "factionUps", "factionDowns", "factionCapped"]
 
 @query(tree_sql(LOG + PRESENCE_UNITS + _rows("Faction", "faction"), ["who", "CASE WHEN capped THEN 'capped' WHEN delta >= 0 THEN 'up' ELSE 'down' END"], STANDING))
 def query_faction(spark, d):
-    return compiled(spark, d, QuerySpec("faction", groupBy=["player", "spell"], metrics=STANDING))
+    return compiled(spark, d, QuerySpec("faction", groupBy=["player", "spell"], metrics=STANDING, petRollup=False))
 
 
 LOOTS = ["loots", "platinum", "platPerHour"]
@@ -297,18 +308,18 @@ LOOTS = ["loots", "platinum", "platPerHour"]
 
 @query(tree_sql(LOG + PRESENCE_UNITS + _rows("Loot", "actor"), ["who", "item"], LOOTS))
 def query_loot(spark, d):
-    return compiled(spark, d, QuerySpec("loot", groupBy=["player", "spell"], metrics=LOOTS))
+    return compiled(spark, d, QuerySpec("loot", groupBy=["player", "spell"], metrics=LOOTS, petRollup=False))
 
 
 @query(tree_sql(LOG + PRESENCE_UNITS + _rows("Consider", "target"), ["who", "'dubious'"], ["considers", "conLevel"]))
 def query_considers(spark, d):
-    return compiled(spark, d, QuerySpec("considers", groupBy=["player", "spell"], metrics=["considers", "conLevel"]))
+    return compiled(spark, d, QuerySpec("considers", groupBy=["player", "spell"], metrics=["considers", "conLevel"], petRollup=False))
 
 
 OWNED = DEALT.replace("coalesce('Raider' || regexp_extract(actor, '^Rex(.*)$', 1), actor)", "CASE WHEN actor LIKE 'Rex%' THEN 'Raider' || substr(actor, 4) ELSE actor END")
-PET_LEVELS = """SELECT 0 AS level, '' AS parent, '' AS path, 'Total' AS label, rd.* FROM rd UNION ALL SELECT 1, '', owner, CASE WHEN owner IN (SELECT owner FROM lone) THEN owner ELSE owner || ' +Pets' END, rd.* FROM rd
-  UNION ALL SELECT 2, owner, owner || '/' || CASE WHEN owner IN (SELECT owner FROM lone) THEN sub ELSE actor END, CASE WHEN owner IN (SELECT owner FROM lone) THEN sub ELSE actor END, rd.* FROM rd
-  UNION ALL SELECT 3, owner || '/' || actor, owner || '/' || actor || '/' || sub, sub, rd.* FROM rd WHERE owner NOT IN (SELECT owner FROM lone)"""
+PET_LEVELS = f"""SELECT 0 AS level, '' AS parent, '' AS path, 'Total' AS label, rd.* FROM rd UNION ALL SELECT 1, '', owner, CASE WHEN owner IN (SELECT owner FROM lone) THEN owner ELSE owner || ' +Pets' END, rd.* FROM rd
+  UNION ALL SELECT 2, owner, owner || '/' || CASE WHEN owner IN (SELECT owner FROM lone) THEN {SUB} ELSE actor END, CASE WHEN owner IN (SELECT owner FROM lone) THEN {SUB} ELSE actor END, rd.* FROM rd
+  UNION ALL SELECT 3, owner || '/' || actor, owner || '/' || actor || '/' || {SUB}, {SUB}, rd.* FROM rd WHERE owner NOT IN (SELECT owner FROM lone)"""
 
 
 @query(tree_sql(LOG + FIGHTS + FIGHT_UNITS + OWNED + ", lone AS (SELECT owner FROM r GROUP BY owner HAVING min(actor) = owner AND max(actor) = owner)", [], ["total", "hits", "activeSeconds", "dps", "percentOfTotal"], PET_LEVELS))
@@ -316,9 +327,9 @@ def query_pet_rollup(spark, d):
     return compiled(spark, d, QuerySpec("damage", groupBy=["player", "spell"], metrics=["total", "hits", "activeSeconds", "dps", "percentOfTotal"], petRollup=True))
 
 
-@query(f"""{LOG}{FIGHTS}{FIGHT_UNITS}{DEALT} SELECT who AS path, CAST(s - (s + 62135596800) % 60 AS BIGINT) AS "at", CAST(sum(amount) AS BIGINT) AS value FROM r GROUP BY 1, 2""")
+@query(f"""{LOG}{FIGHTS}{FIGHT_UNITS}{DEALT} SELECT unnest(['', who]) AS path, CAST(s - (s + 62135596800) % 60 AS BIGINT) AS "at", CAST(sum(amount) AS BIGINT) AS value FROM r GROUP BY 1, 2""")
 def query_series(spark, d):
-    series = compile_query(world(spark, d), QuerySpec("damage", groupBy=["player"], metrics=["total"], bucketSeconds=60)).series
+    series = compile_query(world(spark, d), QuerySpec("damage", groupBy=["player"], metrics=["total"], bucketSeconds=60, petRollup=False)).series
     return series.select(F.array_join("path", "/").alias("path"), seconds("at").alias("at"), "value")
 
 
@@ -328,7 +339,7 @@ LOOSE = ", r AS (SELECT ev.*, id AS unit, actor AS who FROM ev JOIN units ON s B
 
 @query(tree_sql(LOG + ", units AS (SELECT 0 AS id, max(s) - 3599 AS b, max(s) AS e FROM ev)" + LOOSE, ["who"], SHORT))
 def query_scope_last(spark, d):
-    return compiled(spark, d, QuerySpec("damage", Scope(lastSeconds=3600), ["player"], SHORT))
+    return compiled(spark, d, QuerySpec("damage", Scope(lastSeconds=3600), ["player"], SHORT, petRollup=False))
 
 
 #: Two stretches of the log: one with fights, one before anything happened.
@@ -338,7 +349,7 @@ _RANGE_UNITS = f", ur AS (SELECT id, npc AS name, greatest(b, {START + 3600}) AS
 
 @query(tree_sql(LOG + FIGHTS + _RANGE_UNITS + DEALT, ["who"], SHORT))
 def query_scope_ranges(spark, d):
-    return compiled(spark, d, QuerySpec("damage", Scope(timeRanges=RANGES), ["player"], SHORT))
+    return compiled(spark, d, QuerySpec("damage", Scope(timeRanges=RANGES), ["player"], SHORT, petRollup=False))
 
 
 _TRIM = f""", fu AS (SELECT b, e FROM fights), mg AS (SELECT * FROM ({MERGE.format('fu')})), run AS (SELECT *, coalesce(sum(e - b + 1) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM mg),
@@ -348,7 +359,7 @@ _TRIM = f""", fu AS (SELECT b, e FROM fights), mg AS (SELECT * FROM ({MERGE.form
 
 @query(tree_sql(LOG + FIGHTS + _TRIM + DEALT, ["who"], SHORT))
 def query_scope_trim(spark, d):
-    return compiled(spark, d, QuerySpec("damage", Scope(skipFirstSeconds=300, maxSeconds=3600), ["player"], SHORT))
+    return compiled(spark, d, QuerySpec("damage", Scope(skipFirstSeconds=300, maxSeconds=3600), ["player"], SHORT, petRollup=False))
 
 
 _PLAYED = PRESENCE + ", ux AS (SELECT npc AS name, greatest(f.b, p.b) AS b, least(f.e, p.e) AS e FROM fights f JOIN presence p ON f.b <= p.e AND f.e >= p.b), units AS (SELECT name || ' ' || b || ' ' || e AS id, * FROM ux)"
@@ -356,21 +367,71 @@ _PLAYED = PRESENCE + ", ux AS (SELECT npc AS name, greatest(f.b, p.b) AS b, leas
 
 @query(tree_sql(LOG + FIGHTS + _PLAYED + DEALT, ["who"], SHORT))
 def query_scope_played(spark, d):
-    return compiled(spark, d, QuerySpec("damage", Scope(playedTimeOnly=True), ["player"], SHORT))
+    return compiled(spark, d, QuerySpec("damage", Scope(playedTimeOnly=True), ["player"], SHORT, petRollup=False))
 
 
 @query(tree_sql(LOG + FIGHTS + ", units AS (SELECT id, npc AS name, b, e FROM fights WHERE id IN (1, 3, 5))" + DEALT, ["who"], SHORT))
 def query_scope_fights(spark, d):
-    return compiled(spark, d, QuerySpec("damage", Scope(fightIds=[1, 3, 5]), ["player"], SHORT))
+    return compiled(spark, d, QuerySpec("damage", Scope(fightIds=[1, 3, 5]), ["player"], SHORT, petRollup=False))
 
 
-_FILTERED = DEALT[:-1] + " AND sub IN ('Blaze', 'Kicks') AND mods & 1 = 0 AND target <> 'A gnoll4')"
+_FILTERED = DEALT.replace("WHERE kind = 'Damage'", "WHERE kind = 'Damage' AND sub IN ('Blaze', 'Kicks') AND dk <> 'DamageShield' AND mods & 1024 <> 0 AND target <> 'A gnoll4'")
 
 
 @query(tree_sql(LOG + FIGHTS + FIGHT_UNITS + _FILTERED, ["target", "who"], SHORT))
 def query_filters(spark, d):
-    chosen = [Filter("spell", ["Blaze", "Kicks"]), Filter(flag="critical", exclude=True), Filter("target", ["A gnoll4"], exclude=True), Filter("player", [])]
-    return compiled(spark, d, QuerySpec("damage", groupBy=["target", "player"], metrics=SHORT, filters=chosen))
+    chosen = [Filter("spell", ["Blaze", "Kicks"]), Filter(flag="damageShield", exclude=True), Filter(flag="headshot"), Filter("target", ["A gnoll4"], exclude=True), Filter("player", [])]
+    return compiled(spark, d, QuerySpec("damage", groupBy=["target", "player"], metrics=SHORT, filters=chosen, petRollup=False))
+
+
+_UNFLAGGED = DEALT.replace("WHERE kind = 'Damage'", "WHERE kind = 'Damage' AND dk <> 'DamageShield' AND coalesce(school, '') <> 'bane' AND mods & (512 | 2048 | 4096) = 0")
+
+
+@query(tree_sql(LOG + FIGHTS + FIGHT_UNITS + _UNFLAGGED, ["who"], SHORT))
+def query_flags(spark, d):
+    """The summary that leaves out what a player can't compare: damage shields, bane and the rare strokes."""
+    left_out = [Filter(flag=f, exclude=True) for f in ("damageShield", "bane", "assassinate", "finishingBlow", "slayUndead")]
+    return compiled(spark, d, QuerySpec("damage", groupBy=["player"], metrics=SHORT, filters=left_out, petRollup=False))
+
+
+_KIND = "coalesce(school, lower(dk[1]) || dk[2:])"
+
+
+@query(tree_sql(LOG + FIGHTS + FIGHT_UNITS + DEALT.replace("WHERE kind = 'Damage'", "WHERE kind = 'Damage' AND dk IN ('Melee', 'DirectDamage', 'DamageOverTime', 'DamageShield')"), ["'Raider0'", _KIND], SHORT))
+def query_damage_types(spark, d):
+    landed = Filter("damageType", ["Miss", "Dodge", "Parry", "Block", "Absorb", "Invulnerable"], exclude=True)
+    return compiled(spark, d, QuerySpec("damage", groupBy=["character", "damageType"], metrics=SHORT, filters=[landed], petRollup=False))
+
+
+_LONE = ", lone AS (SELECT owner FROM r GROUP BY owner HAVING min(actor) = owner AND max(actor) = owner)"
+
+
+@query(tree_sql(LOG + FIGHTS + FIGHT_UNITS + OWNED + _LONE, [], list(metrics.DEFAULTS["damage"]), PET_LEVELS))
+def canned_damage_summary(spark, d):
+    return compiled(spark, d, canned("DamageSummary"))
+
+
+@query(tree_sql(LOG + FIGHTS + MERGED_UNITS + _rows("Heal", "actor"), ["who", "'Mend'"], list(metrics.DEFAULTS["healing"])))
+def canned_healing_summary(spark, d):
+    return compiled(spark, d, canned("HealingSummary"))
+
+
+@query(tree_sql(LOG + FIGHTS + FIGHT_UNITS + TAKEN, ["who", SUB], list(metrics.DEFAULTS["tanking"])))
+def canned_tanking_summary(spark, d):
+    return compiled(spark, d, canned("TankingSummary"))
+
+
+@query(f"""{LOG}{FIGHTS}{FIGHT_UNITS}{OWNED}{_LONE}, v AS (SELECT '' AS path, s, amount FROM r UNION ALL SELECT CASE WHEN owner IN (SELECT owner FROM lone) THEN owner ELSE owner || ' +Pets' END, s, amount FROM r
+    UNION ALL SELECT owner || '/' || actor, s, amount FROM r WHERE owner NOT IN (SELECT owner FROM lone))
+  SELECT replace(path, ' +Pets', '') AS path, CAST(s AS BIGINT) AS "at", CAST(sum(amount) AS BIGINT) AS value FROM v GROUP BY 1, 2""")
+def canned_dps_over_time(spark, d):
+    series = compile_query(world(spark, d), canned("DpsOverTime")).series
+    return series.select(F.array_join("path", "/").alias("path"), seconds("at").alias("at"), "value")
+
+
+@query(tree_sql(LOG + FIGHTS + MERGED_UNITS + _rows("Death", "target"), ["who", "actor"], ["deaths"]))
+def canned_death_log(spark, d):
+    return compiled(spark, d, canned("DeathLog"))
 
 
 _OPEN = ", chosen AS (SELECT id FROM fights WHERE NOT closed UNION ALL (SELECT id FROM fights WHERE NOT EXISTS (SELECT 1 FROM fights WHERE NOT closed) ORDER BY e DESC, id DESC LIMIT 1)), units AS (SELECT fights.id, npc AS name, b, e FROM fights JOIN chosen USING (id))"
@@ -400,7 +461,7 @@ _WITH_ENDS = DEALT.replace("id AS unit,", "id AS unit, b AS ub, e AS ue,")
 
 @query(LOG + FIGHTS + PRESENCE + FIGHT_UNITS + _WITH_ENDS + _STANCE)
 def query_stances(spark, d):
-    spec = QuerySpec("damage", groupBy=["stance"], metrics=["total", "stanceSeconds", "stanceDps", "stanceUptime"])
+    spec = QuerySpec("damage", groupBy=["stance"], metrics=["total", "stanceSeconds", "stanceDps", "stanceUptime"], petRollup=False)
     return compiled(spark, d, spec).select("path", "total", "stanceSeconds", "stanceDps", "stanceUptime")
 
 

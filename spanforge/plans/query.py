@@ -14,13 +14,15 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.schema import LANDED
 from ..functions.timeutil import bucket, moment, seconds
 from ..operators import intervals, metrics, segments
 
 HOUR = 3600
 NO_STANCE = "(no stance)"
 PROGRESSION = ("experience", "faction", "loot", "considers")
-FLAGS = {"critical": "Critical", "lucky": "Lucky", "twincast": "Twincast", "riposte": "Riposte", "rampage": "Rampage"}
+#: What a flag filter can ask of a damage row.
+FLAGS = ("damageShield", "bane", "headshot", "assassinate", "finishingBlow", "slayUndead")
 
 
 @dataclass
@@ -46,19 +48,21 @@ class Filter:
 class QuerySpec:
     source: str = "damage"
     scope: Scope = field(default_factory=Scope)
-    groupBy: list[str] = field(default_factory=list)
+    groupBy: list[str] = field(default_factory=lambda: ["player"])
     metrics: list[str] = field(default_factory=list)
     filters: list[Filter] = field(default_factory=list)
     bucketSeconds: int | None = None
-    petRollup: bool = False
+    petRollup: bool = True
 
     @classmethod
     def from_json(cls, text: str) -> QuerySpec:
-        raw = json.loads(text)
-        return cls(**{**raw, "scope": Scope(**(raw.get("scope") or {})), "filters": [Filter(**f) for f in raw.get("filters") or []]})
+        """What a client sent; what it left out or sent as null has its default."""
+        raw = {k: v for k, v in json.loads(text).items() if v is not None}
+        return cls(**{**raw, "scope": Scope(**raw.get("scope", {})), "filters": [Filter(**f) for f in raw.get("filters", [])]})
 
     def to_json(self) -> str:
-        lean = lambda x: {k: lean(v) for k, v in x.items() if v not in (None, [], {}) or (k == "fightIds" and v == [])} if isinstance(x, dict) else [lean(v) for v in x] if isinstance(x, list) else x
+        """The same text for equal queries; empty lists are kept where none of them means something else."""
+        lean = lambda x: {k: lean(v) for k, v in x.items() if v not in (None, [], {}) or (k in ("fightIds", "groupBy") and v == [])} if isinstance(x, dict) else [lean(v) for v in x] if isinstance(x, list) else x
         return json.dumps(lean(asdict(self)))
 
 
@@ -75,7 +79,7 @@ class World:
 
     def presence(self) -> DataFrame:
         login = (F.col("kind") == "Zone") & F.coalesce("welcome", F.lit(False))
-        return segments.presence(self.events, ["session_id"], ["s", "line_no"], marker=login).select("b", "e")
+        return segments.long_presence(self.events.select("session_id", "s", "line_no", "kind", "welcome"), ["session_id"], ["s", "line_no"], marker=login).select("b", "e")
 
 
 def sided(world: World) -> DataFrame:
@@ -172,13 +176,20 @@ def scoped(world: World, spec: QuerySpec, events: DataFrame) -> DataFrame:
 
 
 def kind_label() -> Column:
-    return F.col("damage_kind")
+    """The outcome of a hit in the client's spelling (directDamage); those that avoid one keep theirs (Miss)."""
+    kind = F.col("damage_kind")
+    return F.when(kind.isin(*LANDED), F.concat(F.lower(F.substring(kind, 1, 1)), F.expr("substring(damage_kind, 2)"))).otherwise(kind)
+
+
+def owner_of_who() -> Column:
+    """The owner of the pet that a row counts for, or that one itself."""
+    own = F.when(F.col("who") == F.col("actor"), F.col("_actor_owner")).when(F.col("who") == F.col("target"), F.col("_target_owner"))
+    return F.coalesce(own, F.col("who"))
 
 
 def own_side(owner: str) -> Column:
     """Whether the one that a row counts for is the log's owner or a pet of theirs, whose stance the log knows."""
-    mine = F.coalesce(F.when(F.col("who") == F.col("actor"), F.col("_actor_owner")).when(F.col("who") == F.col("target"), F.col("_target_owner")), "who")
-    return F.coalesce(F.lower(mine) == owner.lower(), F.lit(False)) | F.coalesce(F.lower("who") == owner.lower(), F.lit(False))
+    return F.coalesce(F.lower(owner_of_who()) == owner.lower(), F.lit(False)) | F.coalesce(F.lower("who") == owner.lower(), F.lit(False))
 
 
 def dimension(dim: str, source: str, owner: str) -> Column:
@@ -206,7 +217,10 @@ def dimension(dim: str, source: str, owner: str) -> Column:
 
 
 def flag(name: str) -> Column:
-    test = F.lower("school") == "bane" if name == "bane" else metrics.has(FLAGS[name]) if name in FLAGS else F.lit(False)
+    """Whether a row is of the flag's kind; only damage is.  An unknown flag is an error, as it would keep or drop everything."""
+    if name not in FLAGS:
+        raise ValueError(f"unknown flag {name!r}; there are {', '.join(FLAGS)}")
+    test = metrics.kind_is("DamageShield") if name == "damageShield" else F.lower("school") == "bane" if name == "bane" else metrics.has(name[0].upper() + name[1:])
     return (F.col("kind") == "Damage") & F.coalesce(test, F.lit(False))
 
 
@@ -242,7 +256,7 @@ def no_path() -> Column:
 @dataclass
 class Compiled:
     rows: DataFrame  # level, path, label, metrics, rank; level 0 is the total
-    series: DataFrame | None
+    series: DataFrame | None  # path, at, value of every node, the total's too
 
 
 def compile_query(world: World, spec: QuerySpec) -> Compiled:
@@ -255,7 +269,7 @@ def compile_query(world: World, spec: QuerySpec) -> Compiled:
         if f.flag:
             test = flag(f.flag)
         elif f.values:
-            key = F.coalesce("owner", "who") if f.dim == "player" and spec.petRollup else dimension(f.dim, spec.source, world.owner)
+            key = owner_of_who() if f.dim == "player" and spec.petRollup else dimension(f.dim, spec.source, world.owner)
             test = key.isin(*f.values)
         else:
             continue
@@ -263,7 +277,7 @@ def compile_query(world: World, spec: QuerySpec) -> Compiled:
     dims: list[str] = []
     for i, dim in enumerate(spec.groupBy):
         if dim == "player" and spec.petRollup:
-            rows = rows.withColumn(f"d{i}", F.coalesce(F.when(F.col("who") == F.col("actor"), F.col("owner")), "who")).withColumn(f"d{i}_actor", F.col("who"))
+            rows = rows.withColumn(f"d{i}", owner_of_who()).withColumn(f"d{i}_actor", F.col("who"))
             dims += [f"d{i}", f"d{i}_actor"]
         else:
             rows = rows.withColumn(f"d{i}", dimension(dim, spec.source, world.owner))
@@ -290,7 +304,10 @@ def compile_query(world: World, spec: QuerySpec) -> Compiled:
     series = None
     if spec.bucketSeconds and (value := series_value(spec.source)) is not None:
         keyed = rows.withColumn("at", bucket(F.col("s"), spec.bucketSeconds)).withColumn("_v", value)
-        series = keyed.groupBy(*dims, "at").agg(F.sum("_v").alias("value")).select(F.array(*dims).alias("path") if dims else no_path().alias("path"), moment(F.col("at")).alias("at"), "value")
+        small = keyed.groupBy(*dims, "at").agg(F.sum("_v").alias("value"))
+        for d in [d for d in dims if d.endswith("_actor")]:
+            small = flattened(small, dims, d)
+        series = nodes(small, dims).groupBy("path", "at").agg(F.sum("value").alias("value")).select("path", moment(F.col("at")).alias("at"), "value")
     return Compiled(ranked, series)
 
 
@@ -303,8 +320,8 @@ def flattened(base: DataFrame, dims: list[str], actor: str) -> DataFrame:
     return base.join(named, on).drop(*[f"_j_{k}" for k in upto])
 
 
-def leveled(base: DataFrame, dims: list[str], wanted: set[str], stances: bool) -> DataFrame:
-    """One row for each unit and node of the tree that it is in: path (empty for the total), label and the unit's counters."""
+def nodes(base: DataFrame, dims: list[str]) -> DataFrame:
+    """A row for each row and node of the tree that it is in, with path (empty for the total) and label."""
     steps, labels = [no_path()], [no_path()]
     for i, d in enumerate(dims):
         lone = F.col(f"{d}_lone") if d.endswith("_actor") else None
@@ -315,7 +332,12 @@ def leveled(base: DataFrame, dims: list[str], wanted: set[str], stances: bool) -
     placed = base.withColumn("_path", F.concat(*steps)).withColumn("_labels", F.concat(*labels))
     levels = placed.withColumn("_level", F.explode(F.sequence(F.lit(0), F.size("_path"))))
     path, label = F.slice("_path", 1, F.col("_level")), F.when(F.col("_level") == 0, F.lit("Total")).otherwise(F.get("_labels", F.col("_level") - 1))
-    keyed = levels.withColumn("path", path).withColumn("label", label)
+    return levels.withColumn("path", path).withColumn("label", label)
+
+
+def leveled(base: DataFrame, dims: list[str], wanted: set[str], stances: bool) -> DataFrame:
+    """One row for each unit and node of the tree: path, label and the unit's counters."""
+    keyed = nodes(base, dims)
     touched = [F.flatten(F.collect_set("touched")).alias("touched")] if stances else []
     return keyed.groupBy("path", "unit").agg(*metrics.merged(wanted), F.min("b").alias("b"), F.max("e").alias("e"), F.min("first_seen").alias("first_seen"), F.first("label").alias("label"), *touched)
 
@@ -324,20 +346,28 @@ def seconds_of_paths(stretches: DataFrame, name: str) -> DataFrame:
     return intervals.merge(stretches, ["path"]).groupBy("path").agg(intervals.total().alias(name))
 
 
-def canned(name: str) -> QuerySpec:
-    """The named queries that every session offers."""
-    return {
-        "DamageSummary": QuerySpec("damage", groupBy=["player", "spell"], petRollup=True),
-        "HealingSummary": QuerySpec("healing", groupBy=["player", "spell"]),
-        "TankingSummary": QuerySpec("tanking", groupBy=["player", "target"]),
-        "DpsOverTime": QuerySpec("damage", groupBy=["player"], metrics=["total", "dps"], bucketSeconds=1),
-        "DeathLog": QuerySpec("deaths", groupBy=["player", "target"]),
-    }[name]
+#: The queries that every session offers, by name.
+CANNED = {
+    "DamageSummary": {"source": "damage", "groupBy": ["player", "spell"]},
+    "HealingSummary": {"source": "healing", "groupBy": ["player", "spell"]},
+    "TankingSummary": {"source": "tanking", "groupBy": ["player", "spell"]},
+    "DpsOverTime": {"source": "damage", "groupBy": ["player"], "metrics": ["total", "dps", "sdps"], "bucketSeconds": 1},
+    "DeathLog": {"source": "deaths", "groupBy": ["player", "target"]},
+}
+
+
+def canned(name: str, fight_ids: list[int] | None = None, bucket_seconds: int | None = None) -> QuerySpec:
+    """A query of CANNED over some fights (all by default); bucket_seconds is for a series."""
+    spec = QuerySpec.from_json(json.dumps(CANNED[name]))
+    spec.scope.fightIds = fight_ids
+    if spec.bucketSeconds and bucket_seconds:
+        spec.bucketSeconds = bucket_seconds
+    return spec
 
 
 def live_meter(world: World) -> QuerySpec:
     """Damage by player over the fights that are open, or the last one."""
-    return QuerySpec("damage", Scope(openFights=True), ["player"], ["total", "dps", "sdps", "percentOfTotal"], petRollup=True)
+    return QuerySpec("damage", Scope(openFights=True), ["player"], ["total", "dps", "sdps", "percentOfTotal"])
 
 
 def with_seconds(events: DataFrame) -> DataFrame:

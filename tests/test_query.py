@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.schema import EVENT_DDL, FIELDS, MODIFIERS
 from spanforge.operators import metrics
-from spanforge.plans.query import Filter, QuerySpec, Scope, World, canned, compile_query, with_seconds
+from spanforge.plans.query import FLAGS, Filter, QuerySpec, Scope, World, CANNED, canned, compile_query, with_seconds
 
 T0 = 1710014400  # 2024-03-09 20:00:00
 
@@ -55,7 +55,7 @@ def result(compiled):
 
 
 def test_damage_by_player(world):
-    rows = result(compile_query(world, QuerySpec("damage", groupBy=["player"], metrics=["total", "hits", "critHits", "activeSeconds", "raidSeconds", "dps", "sdps", "percentOfTotal", "meleeAttempts", "misses"])))
+    rows = result(compile_query(world, QuerySpec("damage", groupBy=["player"], metrics=["total", "hits", "critHits", "activeSeconds", "raidSeconds", "dps", "sdps", "percentOfTotal", "meleeAttempts", "misses"], petRollup=False)))
     first, second = rows["Raider01",], rows["Raider02",]
     assert (first["total"], first["hits"], first["critHits"], first["activeSeconds"], first["raidSeconds"]) == (625, 4, 1, 7, 7)
     assert (second["total"], second["activeSeconds"]) == (100, 2)
@@ -76,6 +76,43 @@ def test_pets_count_for_owners(world):
     assert ("Raider01", "Crushes") in paths and ("Raider02", "Rex", "Bites") in paths and ("Raider01", "Raider01", "Crushes") not in paths
 
 
+def with_rows(spark, world, more):
+    import datetime
+
+    names = ["session_id", "line_no", "ts", "kind", *FIELDS]
+    rows = [tuple(datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=r["second"]) if n == "ts" else r.get(n) for n in names) for r in more]
+    return World(world.events.unionByName(with_seconds(spark.createDataFrame(rows, EVENT_DDL))), world.fights, world.pets, world.npcs, world.verified, world.owner)
+
+
+def test_flags_are_filters(spark, world):
+    """A damage shield, bane and rare strokes of Raider01; excluded or alone, by each flag."""
+    more = [hit(30, 5, "Raider01", "A dragon", 25, kind="DamageShield", sub=None), {**hit(31, 5, "Raider01", "A dragon", 7, kind="DirectDamage", sub="Ward"), "school": "bane"}]
+    strokes = {"headshot": "Headshot", "assassinate": "Assassinate", "finishingBlow": "FinishingBlow", "slayUndead": "SlayUndead"}
+    more += [hit(40 + i, 5, "Raider01", "A dragon", 1000 * 2**i, mods=MODIFIERS[m]) for i, m in enumerate(strokes.values())]
+    flagged = with_rows(spark, world, more)
+    total = lambda *filters: result(compile_query(flagged, QuerySpec("damage", metrics=["total", "hits"], filters=list(filters)))).get(("Raider01",))
+    every = 625 + 25 + 7 + 15000
+    assert total()["total"] == every and total()["hits"] == 10
+    own = {"damageShield": 25, "bane": 7, "headshot": 1000, "assassinate": 2000, "finishingBlow": 4000, "slayUndead": 8000}
+    assert set(own) == set(FLAGS)
+    for name, amount in own.items():
+        assert total(Filter(flag=name))["total"] == amount, name
+    assert total(*[Filter(flag=name, exclude=True) for name in own])["total"] == 625
+    with pytest.raises(ValueError, match="unknown flag"):
+        total(Filter(flag="critical"))
+
+
+def test_damage_types_by_school_and_outcome(spark, world):
+    more = [hit(30, 5, "Raider01", "A dragon", 25, kind="DamageShield", sub=None), {**hit(31, 5, "Raider01", "A dragon", 50, kind="DirectDamage", sub="Ward"), "school": "fire"}]
+    rows = result(compile_query(with_rows(spark, world, more), QuerySpec("damage", groupBy=["damageType"], metrics=["total"])))
+    assert {k[0]: r["total"] for k, r in rows.items() if k} == {"melee": 655, "directDamage": 100, "damageShield": 25, "fire": 50, "Miss": 0}
+
+
+def test_tanking_rolls_pets_up_too(spark, world):
+    rows = result(compile_query(with_rows(spark, world, [hit(30, 5, "A dragon", "Rex", 9)]), QuerySpec("tanking", groupBy=["player"], metrics=["total"])))
+    assert rows["Raider02",]["total"] == 9
+
+
 def test_tanking_healing_loot(world):
     assert result(compile_query(world, QuerySpec("tanking", groupBy=["player"], metrics=["total"])))["Raider01",]["total"] == 70
     heal = result(compile_query(world, QuerySpec("healing", groupBy=["player"])))["Cleric",]
@@ -87,13 +124,13 @@ def test_tanking_healing_loot(world):
 def test_filters_scope_and_series(world):
     only = compile_query(world, QuerySpec("damage", groupBy=["player"], metrics=["total"], filters=[Filter(dim="spell", values=["Frost"])]))
     assert set(result(only)) == {(), ("Raider02",)}
-    without = compile_query(world, QuerySpec("damage", groupBy=["player"], metrics=["total"], filters=[Filter(flag="critical", exclude=True)]))
-    assert result(without)["Raider01",]["total"] == 425
-    trimmed = compile_query(world, QuerySpec("damage", Scope(skipFirstSeconds=2, maxSeconds=3), ["player"], ["total"], bucketSeconds=2))
+    without = compile_query(world, QuerySpec("damage", groupBy=["player"], metrics=["total"], filters=[Filter("spell", ["Crushes"]), Filter(flag="damageShield", exclude=True)], petRollup=False))
+    assert result(without)["Raider01",]["total"] == 625
+    trimmed = compile_query(world, QuerySpec("damage", Scope(skipFirstSeconds=2, maxSeconds=3), ["player"], ["total"], bucketSeconds=2, petRollup=False))
     assert result(trimmed)["Raider02",]["total"] == 100 and ("Rex",) not in result(trimmed)
     series = {(tuple(r["path"]), r["at"].second): r["value"] for r in trimmed.series.collect()}
-    assert series == {(("Raider02",), 4): 100, (("Raider01",), 6): 0}
-    last = compile_query(world, QuerySpec("damage", Scope(lastSeconds=14), ["player"], ["total"]))
+    assert series == {((), 4): 100, ((), 6): 0, (("Raider02",), 4): 100, (("Raider01",), 6): 0}
+    last = compile_query(world, QuerySpec("damage", Scope(lastSeconds=14), ["player"], ["total"], petRollup=False))
     assert result(last)["Raider01",]["total"] == 325
     ranged = compile_query(world, QuerySpec("damage", Scope(timeRanges=[{"begin": "2024-03-09T20:00:03", "end": "2024-03-09T20:00:04"}]), ["player"], ["total"]))
     assert result(ranged)[()]["total"] == 260
@@ -122,9 +159,12 @@ def test_plan_has_no_single_task(spark, world):
 
 
 def test_spec_round_trip_and_canned():
-    spec = QuerySpec("damage", Scope(fightIds=[3], maxSeconds=60), ["player"], ["dps"], [Filter("player", ["A"], exclude=True)], 5, True)
+    spec = QuerySpec("damage", Scope(fightIds=[3], maxSeconds=60), ["player"], ["dps"], [Filter("player", ["A"], exclude=True)], 5, False)
     assert QuerySpec.from_json(spec.to_json()) == spec
-    assert canned("DeathLog").source == "deaths"
+    assert QuerySpec.from_json('{"source": "healing", "filters": null}') == QuerySpec("healing", groupBy=["player"], petRollup=True)
+    assert canned("DeathLog").source == "deaths" and canned("TankingSummary").groupBy == ["player", "spell"]
+    assert canned("DpsOverTime", [3], 6) == QuerySpec("damage", Scope(fightIds=[3]), ["player"], ["total", "dps", "sdps"], bucketSeconds=6)
+    assert all(canned(n).petRollup for n in CANNED)
     for ids in (None, [], [1]):
         spec = QuerySpec("loot", Scope(fightIds=ids))
         assert QuerySpec.from_json(spec.to_json()) == spec
