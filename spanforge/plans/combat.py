@@ -14,7 +14,9 @@ from ..functions import grammar
 from ..functions.schema import FIELDS, MODIFIERS
 from ..functions.timeutil import moment, seconds
 from ..operators import fights, identity, learned, metrics, segments
-from .catalog import E, events, query, r6
+from ..sources import tail
+from ..streaming import engagements, live
+from .catalog import E, ORACLES, events, query, r6
 from .query import Filter, QuerySpec, Scope, World, canned, compile_query, live_meter
 
 START = 1704067200
@@ -44,7 +46,12 @@ LOG = f"""WITH {E}, log AS (SELECT event_id AS line, {START} + (s - {START}) //
 
 def typed_log(spark: SparkSession, d: str) -> DataFrame:
     """The event rows of one session, with s."""
-    e, k, t = events(spark, d), F.col("k"), F.col("event_type")
+    return typed(events(spark, d))
+
+
+def typed(e: DataFrame) -> DataFrame:
+    """Events by roles, in a table or a stream, as event rows."""
+    k, t = F.col("k"), F.col("event_type")
     raider, gnoll = F.concat(F.lit("Raider"), (F.col("user_id") % RAIDERS).cast("string")), F.concat(F.lit("A gnoll"), (k % 10).cast("string"))
     hitter = F.when((t == "click") & (k % 7 == 0), F.concat(F.lit("Rex"), (F.col("user_id") % PETS).cast("string"))).otherwise(raider)
     kind = (
@@ -123,6 +130,26 @@ def fight_list(spark, d):
     return fought(spark, d)[2].select("id", "name", F.col("zone_change").cast("long").alias("zone_change"), "zone", "begin", "last_damage", "dead", "closed", "damage_total", "tanking_total")
 
 
+#: The events come to the stream in so many pieces, of so many files each.
+PIECES, FILES = 4, 2
+
+
+@query(f"""{LOG}{FIGHTS} SELECT first_line, npc AS name, CAST(z AS BIGINT) AS zone_change, (SELECT 'Fen' || (arg_max(k, line) % 3) FROM ev WHERE kind = 'Zone' AND ev.line < fights.first_line) AS zone,
+  CAST(b AS BIGINT) AS "begin", CAST(e AS BIGINT) AS last_damage, dead, closed, CAST(damage_total AS BIGINT) AS damage_total, CAST(tanking_total AS BIGINT) AS tanking_total FROM fights""")
+def stream_fights(spark, d):
+    """The fight list by the stateful stream, which gets the log piece by piece and carries open fights over."""
+    e = events(spark, d)
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    folder = live.folder_of(spark, "pieces")
+    piece = F.floor((F.col("event_id") - F.lit(low or 0)) * PIECES / F.lit((high or 0) - (low or 0) + 1))
+    for i in range(PIECES):
+        e.where(piece == i).repartition(FILES).write.mode("append").parquet(folder)
+    players, pets = evidence(spark)
+    sided = identity.with_sides(typed(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", FILES).parquet(folder)), players, identity.known_npcs(typed(e), players, pets), pets)
+    found = engagements.newest(live.stored(engagements.updates(sided, None), "fights"))
+    return found.select("first_line", "name", "zone_change", "zone", "begin", "last_damage", "dead", "closed", "damage_total", "tanking_total")
+
+
 @query(f"""{LOG}{FIGHTS}, o AS (SELECT id, b AS begin, CASE WHEN b - max(e) OVER (ORDER BY b, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 120 THEN 0 ELSE 1 END AS new FROM fights)
   SELECT CAST(id AS INTEGER) AS id, CAST(sum(new) OVER (ORDER BY begin, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chain FROM o""")
 def fight_chains(spark, d):
@@ -511,3 +538,19 @@ def log_line_parse(spark, d):
         F.shiftright("line_no", 12).alias("event_id"), seconds("ts").alias("s"), "kind", F.when(~F.col("kind").isin("Faction", "Zone"), F.col("actor")).alias("actor"), "target", "amount", "potential", "damage_kind", "sub_type", "modifiers", "quantity", "delta",
         F.when(F.col("kind") == "Chat", F.col("text")).alias("said"), "zone",
     )
+
+
+#: Bytes that a trigger takes of each log.
+TRIGGER_BYTES = 1 << 20
+
+
+@query(f"""SELECT kind, CAST(s // 3600 * 3600 AS BIGINT) AS "at", count(*) AS n, CAST(coalesce(sum(amount), 0) AS BIGINT) AS total FROM ({ORACLES["log_line_parse"]}) GROUP BY ALL""")
+def tail_totals(spark, d):
+    """The events as logs, followed byte range by byte range, parsed as they come, and totalled by hour."""
+    folder = live.folder_of(spark, "tail")
+    log_text(events(spark, d)).repartitionByRange(FILES * PIECES, "line_no").sortWithinPartitions("line_no").select("value").write.text(f"{folder}/logs")
+    tail.register(spark)
+    lines = spark.readStream.format("log_tail").option("glob", "part-*").option("maxBytes", TRIGGER_BYTES).option("journal", f"{folder}/journal").load(f"{folder}/logs")
+    found = live.stored(grammar.parse_text(lines.withColumn("session_id", F.col("file")), F.lit(OWNER)).select("kind", "ts", "amount"), "tailed", drain=True)
+    at = F.floor(seconds("ts") / 3600) * 3600
+    return found.groupBy("kind", at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).alias("total"))

@@ -48,6 +48,23 @@ def run_to_end(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
+def stored(stream: DataFrame, name: str, drain: bool = False) -> DataFrame:
+    """Every row that a stream emits for what is there now, as a table; a batch that runs again replaces what it wrote.
+
+    drain: for sources that end a trigger early; the query runs until nothing is left.  Otherwise it ends by itself.
+    """
+    folder = folder_of(stream.sparkSession, name)
+    mode = stream.writeStream.outputMode("append" if drain else "update")
+    made = mode.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")).option("checkpointLocation", f"{folder}/checkpoint")
+    if drain:
+        q = made.start()
+        q.processAllAvailable()
+        q.stop()
+    else:
+        made.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def bucketed_totals(spark: SparkSession, path: str) -> DataFrame:
     """Hourly counts and sums of each event type, by a stateful stream over the files."""
     rows = parquet_stream(spark, path).select("event_type", seconds("ts").alias("s"), F.round(F.col("value") * 100).cast("long").alias("cents"))
