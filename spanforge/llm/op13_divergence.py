@@ -1,7 +1,7 @@
 """Source divergence audit by sorted runs (operator 13): how far the sources of a language differ in their words.
 
-1. Each task counts the terms of its documents by (lang, source) and writes sorted partial runs (lang, term, source,
-   chunk, documents, occurrences); a chunk is one task's share of the documents, in place of the single documents, so the
+1. Each task counts the terms of its documents by (lang, source) and writes partial runs (lang, term, source, chunk,
+   documents, occurrences); a chunk is one task's share of the documents, in place of the single documents, so the
    most frequent term costs a row a source and chunk and not a row a document.
 2. The runs are dealt by (lang, term), sorted by (lang, term, source, chunk) and read once from front to back.  Run
    lengths give each term's document frequency in its language and its occurrences by source; a term that enough
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from .common import partitions, written
 SCALE, PRIOR = 1_000_000_000, 2
 MIN_DOCS, TOP_TERMS = 10, 10
 #: Entries (term of a source) that a task counts before it writes a chunk.
-CHUNK = 300_000
+CHUNK = 1_000_000
 #: Letters of ASCII in lower case, bytes above 0x7F as they are, all others a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 RUN = "lang string, term string, source string, chunk long, docs long, n long"
@@ -54,38 +55,30 @@ def terms(text: bytes) -> list[bytes]:
 
 
 def partial_runs(docs: DataFrame) -> DataFrame:
-    """One row for each (lang, term, source) and chunk of documents, sorted within the chunk."""
+    """One row for each (lang, term, source) and chunk of documents."""
 
     def rows(groups: dict, chunk: int) -> Iterator[pa.RecordBatch]:
-        found = sorted((lang, term, source, c) for (lang, source), (seen, _) in groups.items() for term, c in seen.items())
-        for a in range(0, len(found), 50_000):
-            part = found[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in part], pa.string()),
-                    pa.array([x[1] for x in part], pa.binary()).cast(pa.string()),
-                    pa.array([x[2] for x in part], pa.string()),
-                    pa.array(np.full(len(part), chunk, np.int64)),
-                    pa.array([x[3] for x in part], pa.int64()),
-                    pa.array([groups[x[0], x[2]][1][x[1]] for x in part], pa.int64()),
-                ],
-                ["lang", "term", "source", "chunk", "docs", "n"],
-            )
+        for (lang, source), (counts, again) in groups.items():
+            counts.pop(b"", None)
+            found, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+            seen = 1 + np.fromiter(map(again.get, found, repeat(0)), np.int64, len(found))
+            for a in range(0, len(found), 50_000):
+                part = pa.array(found[a : a + 50_000], pa.binary()).cast(pa.string())
+                same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(len(part), np.int64)))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(lang), part, same(source), pa.array(np.full(len(part), chunk)), pa.array(seen[a : a + 50_000]), pa.array(n[a : a + 50_000])], ["lang", "term", "source", "chunk", "docs", "n"])
 
     def run(batches):
-        task = TaskContext.get().partitionId()
+        # of each group: occurrences of its terms, and documents of a term after its first one
         groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        chunk, size = task << 32, 0
+        chunk, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                seen, counts = groups.setdefault((lang, source), (Counter(), Counter()))
+                counts, again = groups.setdefault((lang, source), (Counter(), Counter()))
                 words = terms(text.encode())
-                before = len(seen)
+                before = len(counts)
+                again.update(counts.keys() & set(words))
                 counts.update(words)
-                own = set(words)
-                own.discard(b"")
-                seen.update(own)
-                size += len(seen) - before
+                size += len(counts) - before
                 if size > CHUNK:
                     yield from rows(groups, chunk)
                     groups, chunk, size = {}, chunk + 1, 0
