@@ -5,16 +5,12 @@ At 0.8 two SimHash fingerprints differ in about 10 of 64 bits, in some pairs in
 
 1. Shingles have one global order, from rare to frequent by a table of SLOTS counters over all documents (its size
    doesn't depend on the corpus; collisions change the order, not the result), then by hash.
-2. A similar pair shares a shingle among the first fifth of both, its prefixes.  At the first shared one, what is left
-   of both is long enough for the overlap that 0.8 takes; a pair that fails this at every shared shingle isn't similar.
-3. First round: operator 9's links, and each posting of a shingle against the shingle's hub, which is the text with the
-   fewest rarer shingles of its own: in a group of edited copies, the original.  What is verified is contracted.
-4. Second round: the pairs of a shingle's texts that are still in different components.
+2. A similar pair shares a shingle among the first fifth of both, its prefixes: each of those shingles is a bucket.
+3. `stars` finds what the links within buckets connect: candidates in the shape of stars, confirmed on the full sets,
+   then pairs of a star's texts that share what sets them apart from its hub.  Operator 9's links are candidates too.
 
-Candidates link only after their shingle sets have been compared.  Texts of one shingle are never gathered whole:
-hubs are an aggregate and a join, and in the second round a shingle of more than CELL texts is compared in cells of
-two blocks of them.  A group of n texts costs n candidates in the first round; in the second, those of its texts that
-are unlike its hub are compared with the others inside the task, and only pairs that pass the filter leave it.
+Candidates link only after their shingle sets have been compared.  Texts of one bucket are never gathered, nor paired
+with each other; stored sets are compared and not texts.
 
 Defined cases: texts equal word by word (ASCII case aside) are one node; a text of fewer than five words is one shingle;
 texts without words are one node.
@@ -27,23 +23,17 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import components, op9_simhash
-from .common import keyed_texts, partitions, utf8, written
+from . import components, op9_simhash, stars
+from .common import keyed_texts, utf8, written
 from .op9_simhash import LOWER, majority, shingle_hashes
+from .op11_minhash import shingle_sets
 
-SHINGLE, SIMILAR = 5, 0.8
+SHINGLE, NUM, DEN = 5, 4, 5
 #: Counters of the frequency table, and the parts in which it is summed.
 SLOTS, PARTS = 1 << 21, 16
-#: Texts of a shingle that one task compares; beyond it they are compared block by block.
-CELL = 20000
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= SIMILAR * (len(a) + len(b) - both)
 
 
 def prefix_length(n: int) -> int:
@@ -125,95 +115,14 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return keyed_texts(docs).mapInArrow(run, "_id long, _h long, node long, n int, fp long, keys array<long>")
 
 
-def room(n: Column, at: Column, other_n: Column, other_at: Column) -> Column:
-    """Whether what is left from a shared shingle on can make two sets similar: the overlap takes 4/9 of both sizes."""
-    return 9 * F.least(n - at, other_n - other_at) >= 4 * (n + other_n)
-
-
-def shared_postings(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, at): the prefix shingles that two texts or more have in their prefixes."""
-    postings = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    return written(postings.join(shared, "key"), "near-postings")
-
-
-def hub_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each text with the hub of each shingle in its prefix."""
-    hubs = postings.groupBy("key").agg(F.min(F.struct("at", "node", "n")).alias("hub"))
-    met = postings.join(hubs, "key").where(F.col("node") != F.col("hub.node"))
-    return met.where(room(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-
-
 def link_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts that operator 9 links: fingerprints four bits apart at most, and equal ones."""
+    """Pairs (hub, node) of texts that operator 9 links: fingerprints four bits apart at most, and equal ones."""
     worded = nodes.where("n > 0")
     first = written(worded.groupBy("fp").agg(F.min("node").alias("hub")), "near-prints")
-    same = worded.join(first, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    same = worded.join(first, "fp").where("node <> hub").select("hub", "node")
     near = written(op9_simhash.links(first.select("fp")), "near-simhash")
     one, two = first.select(F.col("fp").alias("a"), F.col("hub").alias("x")), first.select(F.col("fp").alias("b"), F.col("hub").alias("y"))
-    return same.union(near.join(one, "a").join(two, "b").select("x", "y"))
-
-
-def rest_pairs(rooted: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts of a shingle that pass the filter and have different roots; postings have node, root, n, at, key."""
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high")
-    blocks = F.ceil(F.col("c") / CELL).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    cell = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, block).alias("x"), F.greatest(x, block).alias("y"))))
-    dealt = rooted.join(mixed.select("key", "c"), "key").select("key", "node", "root", "n", "at", cell.alias("cell")).select("key", "cell.x", "cell.y", "node", "root", "n", "at")
-
-    def run(frames):
-        # rows come sorted by (key, x, y); the last cell of a batch may go on in the next one
-        held = None
-        for pdf in frames:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            names = [pdf[c].to_numpy() for c in ("key", "x", "y")]
-            cut = (np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in names])) + 1).tolist()
-            held = pdf.iloc[cut[-1] if cut else 0 :]
-            yield compared(pdf, [0, *cut])
-        if held is not None and len(held):
-            yield compared(held, [0, len(held)])
-
-    def compared(pdf: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
-        node, root, n, at = (pdf[c].to_numpy().astype(np.int64) for c in ("node", "root", "n", "at"))
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s, e in zip(cuts, cuts[1:]):
-            own, left = root[s:e], n[s:e] - at[s:e]
-            names, sizes = np.unique(own, return_counts=True)
-            if len(names) < 2:
-                continue
-            # every pair of two roots has a text that isn't of the commonest one
-            common = own == names[sizes.argmax()]
-            place = np.arange(e - s)
-            for i in np.flatnonzero(~common).tolist():
-                near = (9 * np.minimum(left, left[i]) >= 4 * (n[s:e] + n[s + i])) & (own != own[i]) & (common | (place > i))
-                found = s + np.flatnonzero(near)
-                if len(found):
-                    out_a.append(np.minimum(node[found], node[s + i]))
-                    out_b.append(np.maximum(node[found], node[s + i]))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    width = 4 * partitions(rooted.sparkSession)
-    return dealt.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(run, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose texts are similar."""
-
-    def run(batches):
-        last, sets = None, None
-        for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            ta, tb = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(batch.num_rows):
-                if (x := a[i].as_py()) != last:
-                    last, sets = x, np.unique(shingle_hashes(ta[i].as_py().encode(), SHINGLE))
-                keep.append(similar(sets, np.unique(shingle_hashes(tb[i].as_py().encode(), SHINGLE))))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one, two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return same.union(near.join(one, "a").join(two, "b").select(F.greatest("x", "y").alias("hub"), F.least("x", "y").alias("node")))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -223,18 +132,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     counts = frequencies(first.where("part is not null").select("part", "data"))
     cut = prefixes(docs, counts).groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("k"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")])
     nodes = written(cut.select("node", "k._id", "k._h", "n", "fp", "keys"), "near-nodes")
-    postings = shared_postings(nodes)
 
-    def links(found: DataFrame) -> DataFrame:
-        pairs = written(found, "near-pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    def sets_of(wanted: DataFrame) -> DataFrame:
         places = nodes.select("node", "_id", "_h").join(wanted, "node", "left_semi")
-        texts = keyed_texts(docs).join(places, ["_id", "_h"]).select("node", "text").dropDuplicates(["node"])
-        return written(verified(pairs, texts), "near-links")
-
-    one = links(hub_pairs(postings).union(link_pairs(nodes)).distinct())
-    roots = components.roots(one)
-    rooted = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    two = links(rest_pairs(rooted))
-    roots = components.roots(one.union(two))
+        return shingle_sets(keyed_texts(docs).join(places, ["_id", "_h"]).dropDuplicates(["node"]))
+
+    postings = nodes.select("node", F.explode("keys").alias("key"))
+    roots = components.roots(stars.links(postings, sets_of, NUM, DEN, link_pairs(nodes)))
     return rows.select("_id", "_h", "node").join(roots, "node", "left").select("_id", "_h", F.coalesce("root", "node").alias("group"))
