@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Largest scaled component; squared differences of 2^54 leave room for the sum over 512 dimensions.
 LARGEST = 1 << 26
@@ -190,7 +192,7 @@ def digests(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     if books is None:
         empty = kept(vectors, id_col, vector_col, label_col).where(F.lit(False))
         return empty.select("id", F.lit("").alias("code"), *[F.lit(0).cast("long").alias(c) for c in ("error", "label_error")], F.lit("").alias("codebooks_sha256")).withColumnRenamed("id", id_col)
-    found = encode(vectors, books, id_col, vector_col, label_col)
+    found = written(encode(vectors, books, id_col, vector_col, label_col), "vector-codes")
     sums = found.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
     code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
     return found.join(sums, F.col("label").eqNullSafe(F.col("_label"))).select(F.col("id").alias(id_col), code.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))

@@ -12,12 +12,11 @@ from test_near_copies import brute_force
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracles(spark, sf, name):
     db = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want = db.execute(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, sf).toPandas()[list(want.columns)]
-    key = want.columns[0]
-    a, b = (x.sort_values(key).reset_index(drop=True) for x in (got, want))
+    a, b = (x.sort_values(list(want.columns)).reset_index(drop=True) for x in (got, want))
     assert len(a) == len(b) and (a.astype(str) == b.astype(str)).all().all()
 
 
