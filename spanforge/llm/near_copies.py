@@ -1,99 +1,37 @@
 """Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 At 0.8 two SimHash fingerprints differ in about 10 of 64 bits, in some pairs in 14 and more, and pigeonhole blocks for
-14 bits take thousands of masks a text.  So operator 9's links find the closest copies, and an exact filter the rest:
-
-1. Shingles have one global order, from rare to frequent by a table of SLOTS counters over all documents (its size
-   doesn't depend on the corpus; collisions change the order, not the result), then by hash.
-2. A similar pair shares a shingle among the first fifth of both, its prefixes: each of those shingles is a bucket.
-3. `stars` finds what the links within buckets connect: candidates in the shape of stars, confirmed on the full sets,
-   then pairs of a star's texts that share what sets them apart from its hub.  Operator 9's links are candidates too.
+14 bits take thousands of masks a text.  So operator 9's links find the closest copies, and operator 11's buckets (one
+permutation, 32 bands of 4 bins) the rest: two texts of similarity 0.8 share a bucket but in 5 of 10^8 cases, and in
+fewer the closer they are.  `stars` finds what the links within buckets connect: candidates in the shape of stars,
+confirmed on the full sets, then pairs of a star's texts that share what sets them apart from its hub.
 
 Candidates link only after their shingle sets have been compared.  Texts of one bucket are never gathered, nor paired
-with each other; stored sets are compared and not texts.
+with each other; stored sets are compared and not texts.  (Buckets by the rarest fifth of a set's shingles would miss no
+pair at all; they took 7.8 times the input on disk, beyond the check tool's limit.)
 
 Defined cases: texts equal word by word (ASCII case aside) are one node; a text of fewer than five words is one shingle;
-texts without words are one node.
+texts without words are one node; rows of one id and equal texts are alike; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components, op9_simhash, stars
 from .common import keyed_texts, utf8, written
 from .op9_simhash import LOWER, majority, shingle_hashes
-from .op11_minhash import shingle_sets
+from .op11_minhash import band_keys, shingle_sets, signature
 
 SHINGLE, NUM, DEN = 5, 4, 5
-#: Counters of the frequency table, and the parts in which it is summed.
-SLOTS, PARTS = 1 << 21, 16
-
-
-def prefix_length(n: int) -> int:
-    """Sets that share at least four fifths of both share one of so many first members."""
-    return n - (4 * n + 4) // 5 + 1
-
-
-def node_of(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(text.translate(LOWER).split()), 7)
-
-
-def slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % np.uint64(SLOTS)).astype(np.int64)
-
-
-def signed(x: list[int]) -> pa.Array:
-    return pa.array(np.array(x, np.uint64).view(np.int64))
-
-
-def rows_and_counts(docs: DataFrame) -> DataFrame:
-    """Rows (_id, _h, node): node names a normalised text; and rows (part, data): packed counters of shingles' documents."""
-
-    def run(batches):
-        counts = np.zeros(SLOTS, np.uint32)
-        for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            raw, node = data.tobytes(), []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                node.append(node_of(raw[a:b]))
-                np.add.at(counts, slots(np.unique(shingle_hashes(raw[a:b], SHINGLE))), 1)
-            n = len(node)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(node), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-        used = [(i, c) for i, c in enumerate(np.split(counts, PARTS)) if c.any()]
-        none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _ in used], pa.int32()), pa.array([zstandard.compress(c.tobytes(), 1) for _, c in used], pa.binary())], names)
-
-    names = ["_id", "_h", "node", "part", "data"]
-    return keyed_texts(docs).mapInArrow(run, "_id long, _h long, node long, part int, data binary")
-
-
-def frequencies(packed: DataFrame) -> np.ndarray:
-    """The counters of all tasks as one table of SLOTS entries."""
-
-    def run(frames):
-        sums: dict[int, np.ndarray] = {}
-        for pdf in frames:
-            for part, data in zip(pdf["part"], pdf["data"]):
-                own = np.frombuffer(zstandard.decompress(data), np.uint32)
-                sums[part] = sums[part] + own if part in sums else own
-        yield pd.DataFrame({"part": list(sums), "data": [zstandard.compress(x.tobytes(), 1) for x in sums.values()]})
-
-    out = np.zeros((PARTS, SLOTS // PARTS), np.uint32)
-    for r in packed.repartition(PARTS, "part").mapInPandas(run, "part int, data binary").collect():
-        out[r["part"]] = np.frombuffer(zstandard.decompress(r["data"]), np.uint32)
-    return out.ravel()
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(_id, _h, node, n, fp, keys): size, fingerprint and prefix of each row's shingles, rare ones first."""
-    table = docs.sparkSession.sparkContext.broadcast(counts)
+def sketches(docs: DataFrame) -> DataFrame:
+    """(_id, _h, node, n, fp, keys): what names a row's words, its set's size, fingerprint and buckets."""
 
     def run(batches):
         for batch in batches:
@@ -102,17 +40,15 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 every = shingle_hashes(raw[a:b], SHINGLE)
                 hashes = np.unique(every)
-                node.append(node_of(raw[a:b]))
+                node.append(xxhash.xxh3_128_digest(b" ".join(raw[a:b].translate(LOWER).split())))
                 n.append(len(hashes))
                 fp.append(majority(every))
-                # hashes are sorted and the sort is stable
-                order = np.argsort(table.value[slots(hashes)], kind="stable")
-                keys.append(hashes[order[: prefix_length(len(hashes))]].view(np.int64) if len(hashes) else np.zeros(0, np.int64))
-            bounds = np.cumsum([0, *map(len, keys)])
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(node), pa.array(n, pa.int32()), signed(fp), lists], ["_id", "_h", "node", "n", "fp", "keys"])
+                keys.append(band_keys(signature(hashes)) if len(hashes) else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
+            prints = pa.array(np.array(fp, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.binary()), pa.array(n, pa.int64()), prints, lists], ["_id", "_h", "node", "n", "fp", "keys"])
 
-    return keyed_texts(docs).mapInArrow(run, "_id long, _h long, node long, n int, fp long, keys array<long>")
+    return keyed_texts(docs).mapInArrow(run, "_id long, _h long, node binary, n long, fp long, keys array<long>")
 
 
 def link_pairs(nodes: DataFrame) -> DataFrame:
@@ -127,16 +63,14 @@ def link_pairs(nodes: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """(_id, _h, group): one row for each input row; rows of one group are linked by near copies."""
-    first = written(rows_and_counts(docs), "near-rows")
-    rows = first.where("part is null")
-    counts = frequencies(first.where("part is not null").select("part", "data"))
-    cut = prefixes(docs, counts).groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("k"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")])
-    nodes = written(cut.select("node", "k._id", "k._h", "n", "fp", "keys"), "near-nodes")
+    rows = written(sketches(docs), "near-rows")
+    least = F.min(F.struct("_id", "_h")).alias("k")
+    nodes = written(rows.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("n", "fp", "keys")]).select("node", "k._id", "k._h", "n", "fp", "keys"), "near-nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         places = nodes.select("node", "_id", "_h").join(wanted, "node", "left_semi")
         return shingle_sets(keyed_texts(docs).join(places, ["_id", "_h"]).dropDuplicates(["node"]))
 
-    postings = nodes.select("node", F.explode("keys").alias("key"))
-    roots = components.roots(stars.links(postings, sets_of, NUM, DEN, link_pairs(nodes)))
+    buckets = nodes.select("node", F.explode("keys").alias("key"))
+    roots = components.roots(stars.links(buckets, sets_of, NUM, DEN, link_pairs(nodes)))
     return rows.select("_id", "_h", "node").join(roots, "node", "left").select("_id", "_h", F.coalesce("root", "node").alias("group"))
