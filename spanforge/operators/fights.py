@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import segments
+from . import identity, segments
 
 IDLE, IDLE_UNDAMAGED = 30, 60
 CAST_MEMORY = 300
@@ -81,7 +81,7 @@ def fights(rows: DataFrame, players: DataFrame, pet_map: DataFrame, events: Data
         F.sum(F.when(damage & ~F.col("dealt"), F.col("amount")).otherwise(0)).alias("tanking_total"),
         F.count(F.when(~damage & ~F.col("ends"), 1)).alias("taunts"),
     )
-    real = found.join(players.select("session_id", F.col("name").alias("npc")), ["session_id", "npc"], "left_anti").join(pet_map.select(F.col("pet").alias("npc")), "npc", "left_anti")
+    real = found.join(players.select("session_id", F.col("name").alias("npc")), ["session_id", "npc"], "left_anti").join(identity.pets_as(pet_map, "npc", "_pet"), identity.by_pet(pet_map, "npc"), "left_anti")
     if events is None:
         ends = found.groupBy("session_id").agg(F.max("last_activity").alias("_end"), F.max("zone_change").alias("_zones"))
     else:

@@ -30,26 +30,34 @@ def verified(events: DataFrame, owners: DataFrame | None = None) -> DataFrame:
 
 
 def pets(events: DataFrame) -> DataFrame:
-    """(pet, owner): the last owner that a pet was mapped to, by leader lines, annotations or a possessive name."""
+    """(session_id, pet, owner): the last owner of each session that a pet was mapped to, by leader lines, annotations or a possessive name."""
     kind = F.col("kind")
     leader = F.regexp_extract(F.coalesce("text", F.lit("")), r"^My leader is (\w+)", 1)
     pairs = [
-        events.where((kind == "Chat") & (leader != "")).select("ts", "line_no", F.col("actor").alias("pet"), leader.alias("owner")),
-        *[events.where(F.col(f"{side}_owner").isNotNull()).select("ts", "line_no", F.col(side).alias("pet"), F.col(f"{side}_owner").alias("owner")) for side in ("actor", "target")],
-        *[events.where(F.col(side).rlike(POSSESSIVE_PET)).select("ts", "line_no", F.col(side).alias("pet"), F.regexp_extract(side, POSSESSIVE_PET, 1).alias("owner")) for side in ("actor", "target")],
+        events.where((kind == "Chat") & (leader != "")).select("session_id", "ts", "line_no", F.col("actor").alias("pet"), leader.alias("owner")),
+        *[events.where(F.col(f"{side}_owner").isNotNull()).select("session_id", "ts", "line_no", F.col(side).alias("pet"), F.col(f"{side}_owner").alias("owner")) for side in ("actor", "target")],
+        *[events.where(F.col(side).rlike(POSSESSIVE_PET)).select("session_id", "ts", "line_no", F.col(side).alias("pet"), F.regexp_extract(side, POSSESSIVE_PET, 1).alias("owner")) for side in ("actor", "target")],
     ]
     whole = pairs[0]
     for p in pairs[1:]:
         whole = whole.unionByName(p)
-    return whole.groupBy("pet").agg(F.max_by("owner", F.struct("ts", "line_no")).alias("owner"))
+    return whole.groupBy("session_id", "pet").agg(F.max_by("owner", F.struct("ts", "line_no")).alias("owner"))
+
+
+def by_pet(pet_map: DataFrame, side: str) -> list[str]:
+    """What pets are joined on: a map without sessions holds for all of them."""
+    return ["session_id", side] if "session_id" in pet_map.columns else [side]
+
+
+def pets_as(pet_map: DataFrame, side: str, mark: str) -> DataFrame:
+    return pet_map.withColumnRenamed("pet", side).select(*by_pet(pet_map, side), F.lit(True).alias(mark)).distinct()
 
 
 def known_npcs(events: DataFrame, players: DataFrame, pet_map: DataFrame) -> DataFrame:
     """(session_id, name, first_line): victims of nobody or of the players' side; a verified player is never one."""
     dead = events.where((F.col("kind") == "Death") & ~F.col("target").endswith(" pet"))
     side = players.select("session_id", F.col("name").alias("actor"), "first_line")
-    owned = pet_map.select(F.col("pet").alias("actor"), F.lit(True).alias("_pet"))
-    judged = dead.join(side, ["session_id", "actor"], "left").join(owned, "actor", "left")
+    judged = dead.join(side, ["session_id", "actor"], "left").join(pets_as(pet_map, "actor", "_pet"), by_pet(pet_map, "actor"), "left")
     killed = judged.where(F.col("actor").isNull() | (F.col("first_line") <= F.col("line_no")) | F.col("_pet"))
     found = killed.groupBy("session_id", F.col("target").alias("name")).agg(F.min("line_no").alias("first_line"))
     return found.join(players.select("session_id", "name"), ["session_id", "name"], "left_anti")
@@ -67,8 +75,8 @@ def with_sides(events: DataFrame, players: DataFrame, npcs: DataFrame, pet_map:
     for side in ("actor", "target"):
         p = players.select("session_id", F.col("name").alias(side), F.col("first_line").alias("_p"))
         n = npcs.select("session_id", F.col("name").alias(side), F.col("first_line").alias("_n"))
-        q = pet_map.select(F.col("pet").alias(side), F.lit(True).alias("_q"))
-        out = out.join(p, ["session_id", side], "left").join(n, ["session_id", side], "left").join(q, side, "left")
+        q = pets_as(pet_map, side, "_q")
+        out = out.join(p, ["session_id", side], "left").join(n, ["session_id", side], "left").join(q, by_pet(pet_map, side), "left")
         player = F.coalesce(F.col("_p") <= F.col("line_no"), F.lit(False))
         pet = F.coalesce(F.col("_q"), F.lit(False)) | F.coalesce(F.col(side).rlike(POSSESSIVE_PET), F.lit(False))
         npc = definitely_npc(F.col(side), F.coalesce(F.col("_n") < F.col("line_no"), F.lit(False)), player) & ~pet

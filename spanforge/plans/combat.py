@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import grammar
 from ..functions.schema import FIELDS, MODIFIERS
 from ..functions.timeutil import moment, seconds
-from ..operators import fights, identity, learned, metrics, segments
+from ..operators import feeds, fights, identity, intervals, learned, metrics, segments, timeline
 from ..sources import tail
 from ..streaming import engagements, live
 from .catalog import E, ORACLES, events, query, r6
-from .query import Filter, QuerySpec, Scope, World, canned, compile_query, live_meter
+from .query import Filter, QuerySpec, Scope, World, canned, compile_query, live_meter, sided, stance_spans
 
 START = 1704067200
 OWNER = "Raider0"
@@ -27,12 +27,14 @@ RARE = ((11, 0, "Assassinate"), (7, 3, "Headshot"), (13, 0, "FinishingBlow"), (1
 
 #: The typed log in SQL; every query below begins with it.
 LOG = f"""WITH {E}, log AS (SELECT event_id AS line, {START} + (s - {START}) // 60 AS s, event_type AS t, k, cents, 'Raider' || (user_id % {RAIDERS}) AS raider,
-    CASE WHEN event_type = 'click' AND k % 7 = 0 THEN 'Rex' || (user_id % {PETS}) ELSE 'Raider' || (user_id % {RAIDERS}) END AS hitter, 'A gnoll' || (k % 10) AS gnoll FROM e),
+    CASE WHEN event_type = 'click' AND k % 7 = 0 THEN 'Rex' || (user_id % {PETS}) ELSE 'Raider' || (user_id % {RAIDERS}) END AS hitter, 'A gnoll' || (k % 10) AS gnoll, 'Rex' || (user_id % {PETS}) AS pet, user_id % {PETS} AS pet_no FROM e),
   ev AS (SELECT line, s, k,
-    CASE t WHEN 'click' THEN 'Damage' WHEN 'purchase' THEN CASE WHEN k < 90 THEN 'Damage' ELSE 'Death' END WHEN 'view' THEN CASE WHEN k < 60 THEN 'Heal' WHEN k < 80 THEN 'Cast' ELSE 'Loot' END
-      WHEN 'error' THEN CASE WHEN k < 80 THEN 'Damage' ELSE 'Stance' END ELSE CASE WHEN k < 40 THEN 'Experience' WHEN k < 70 THEN 'Faction' WHEN k < 90 THEN 'Consider' ELSE 'Zone' END END AS kind,
-    CASE t WHEN 'click' THEN hitter WHEN 'purchase' THEN raider WHEN 'view' THEN raider WHEN 'error' THEN CASE WHEN k < 80 THEN gnoll ELSE '{OWNER}' END ELSE '{OWNER}' END AS actor,
-    CASE t WHEN 'click' THEN gnoll WHEN 'purchase' THEN gnoll WHEN 'view' THEN CASE WHEN k < 60 THEN raider WHEN k >= 80 THEN gnoll END WHEN 'error' THEN CASE WHEN k < 80 THEN raider END ELSE CASE WHEN k BETWEEN 70 AND 89 THEN gnoll END END AS target,
+    CASE t WHEN 'click' THEN 'Damage' WHEN 'purchase' THEN CASE WHEN k < 90 THEN 'Damage' ELSE 'Death' END WHEN 'view' THEN CASE WHEN k < 60 THEN 'Heal' WHEN k < 80 THEN 'Cast' WHEN k < 90 THEN 'Loot' WHEN k < 95 THEN 'WearOff' ELSE 'Landed' END
+      WHEN 'error' THEN CASE WHEN k < 80 THEN 'Damage' WHEN k < 90 THEN 'Stance' WHEN k < 94 THEN 'Taunt' WHEN k < 96 THEN 'Ability' WHEN k < 97 THEN 'Resist' ELSE 'Chat' END
+      ELSE CASE WHEN k < 40 THEN 'Experience' WHEN k < 70 THEN 'Faction' WHEN k < 86 THEN 'Consider' WHEN k < 90 THEN 'Level' ELSE 'Zone' END END AS kind,
+    CASE t WHEN 'click' THEN hitter WHEN 'purchase' THEN raider WHEN 'view' THEN CASE WHEN k < 90 THEN raider END WHEN 'error' THEN CASE WHEN k < 80 THEN gnoll WHEN k BETWEEN 90 AND 95 OR k >= 98 THEN raider WHEN k = 97 THEN pet ELSE '{OWNER}' END ELSE '{OWNER}' END AS actor,
+    CASE t WHEN 'click' THEN gnoll WHEN 'purchase' THEN gnoll WHEN 'view' THEN CASE WHEN k < 60 OR k >= 90 THEN raider WHEN k >= 80 THEN gnoll END WHEN 'error' THEN CASE WHEN k < 80 THEN raider WHEN k BETWEEN 90 AND 93 OR k = 96 THEN gnoll END ELSE CASE WHEN k BETWEEN 70 AND 85 THEN gnoll END END AS target,
+    CASE WHEN t = 'error' AND k = 97 THEN 'My leader is Raider' || pet_no END AS said, CASE WHEN t = 'view' AND k >= 60 OR t = 'error' AND k = 96 THEN 'Mend' END AS spell,
     CASE t WHEN 'click' THEN CASE WHEN k < 95 THEN 'Melee' ELSE 'Miss' END WHEN 'purchase' THEN CASE WHEN k < 50 THEN 'DirectDamage' WHEN k < 75 THEN 'DamageOverTime' WHEN k < 90 THEN 'DamageShield' END
       WHEN 'error' THEN CASE WHEN k < 40 THEN 'Melee' WHEN k < 60 THEN 'Miss' WHEN k < 64 THEN 'Parry' WHEN k < 68 THEN 'Block' WHEN k < 72 THEN 'Absorb' WHEN k < 76 THEN 'Invulnerable' WHEN k < 80 THEN 'Dodge' END END AS dk,
     CASE t WHEN 'click' THEN CASE k % 3 WHEN 0 THEN 'Slashes' WHEN 1 THEN 'Kicks' ELSE 'Shoots' END WHEN 'purchase' THEN CASE WHEN k < 75 THEN CASE k % 2 WHEN 0 THEN 'Blaze' ELSE 'Frost' END END WHEN 'error' THEN CASE WHEN k < 80 THEN 'Bites' END END AS sub,
@@ -55,24 +57,27 @@ def typed(e: DataFrame) -> DataFrame:
     raider, gnoll = F.concat(F.lit("Raider"), (F.col("user_id") % RAIDERS).cast("string")), F.concat(F.lit("A gnoll"), (k % 10).cast("string"))
     hitter = F.when((t == "click") & (k % 7 == 0), F.concat(F.lit("Rex"), (F.col("user_id") % PETS).cast("string"))).otherwise(raider)
     kind = (
-        F.when(t == "click", "Damage").when(t == "purchase", F.when(k < 90, "Damage").otherwise("Death")).when(t == "view", F.when(k < 60, "Heal").when(k < 80, "Cast").otherwise("Loot"))
-        .when(t == "error", F.when(k < 80, "Damage").otherwise("Stance")).otherwise(F.when(k < 40, "Experience").when(k < 70, "Faction").when(k < 90, "Consider").otherwise("Zone"))
+        F.when(t == "click", "Damage").when(t == "purchase", F.when(k < 90, "Damage").otherwise("Death")).when(t == "view", F.when(k < 60, "Heal").when(k < 80, "Cast").when(k < 90, "Loot").when(k < 95, "WearOff").otherwise("Landed"))
+        .when(t == "error", F.when(k < 80, "Damage").when(k < 90, "Stance").when(k < 94, "Taunt").when(k < 96, "Ability").when(k < 97, "Resist").otherwise("Chat"))
+        .otherwise(F.when(k < 40, "Experience").when(k < 70, "Faction").when(k < 86, "Consider").when(k < 90, "Level").otherwise("Zone"))
     )
-    one = e.select(F.lit("log").alias("session_id"), F.col("event_id").alias("line_no"), (START + F.floor((F.col("s") - START) / 60)).alias("s"), kind.alias("kind"), t.alias("t"), "k", "cents", raider.alias("raider"), hitter.alias("hitter"), gnoll.alias("gnoll"))
+    one = e.select(F.lit("log").alias("session_id"), F.col("event_id").alias("line_no"), (START + F.floor((F.col("s") - START) / 60)).alias("s"), kind.alias("kind"), t.alias("t"), "k", "cents", raider.alias("raider"), hitter.alias("hitter"), gnoll.alias("gnoll"), (F.col("user_id") % PETS).cast("string").alias("pet_no"))
     kind, t, amount, harm = F.col("kind"), F.col("t"), F.col("cents"), F.col("kind") == "Damage"
     missed = ((t == "click") & (k >= 95)) | ((t == "error") & k.between(40, 79))
     third = lambda *names: F.when(k % 3 == 0, names[0]).when(k % 3 == 1, names[1]).otherwise(F.lit(names[2]))
     at = lambda name, value: F.when(kind == name, value)
     values = {
-        "actor": F.when(t == "click", F.col("hitter")).when(t.isin("purchase", "view"), F.col("raider")).when((t == "error") & (k < 80), F.col("gnoll")).when(~kind.isin("Faction", "Zone"), OWNER),
-        "target": F.when(t.isin("click", "purchase") | kind.isin("Consider"), F.col("gnoll")).when((t == "error") & (k < 80) | (kind == "Heal"), F.col("raider")),
+        "actor": F.when(t == "click", F.col("hitter")).when((t == "purchase") | kind.isin("Heal", "Cast", "Loot", "Taunt", "Ability"), F.col("raider")).when((t == "error") & (k < 80), F.col("gnoll"))
+        .when(kind == "Chat", F.when(k == 97, F.concat(F.lit("Rex"), F.col("pet_no"))).otherwise(F.col("raider"))).when(~kind.isin("Faction", "Zone", "WearOff", "Landed", "Level"), OWNER),
+        "target": F.when(t.isin("click", "purchase") | kind.isin("Consider", "Taunt", "Resist"), F.col("gnoll")).when((t == "error") & (k < 80) | kind.isin("Heal", "WearOff", "Landed"), F.col("raider")),
+        "text": at("Chat", F.when(k == 97, F.concat(F.lit("My leader is Raider"), F.col("pet_no"))).otherwise("ready")), "channel": at("Chat", F.when(k == 97, "say").otherwise("group")), "ability": at("Ability", F.lit("Rest")), "success": at("Taunt", k % 2 == 0),
         "amount": F.when(missed, 0).when(kind.isin("Damage", "Heal"), amount), "potential": at("Heal", amount + k),
         "damage_kind": F.when(harm, F.when(t == "purchase", F.when(k < 50, "DirectDamage").when(k < 75, "DamageOverTime").otherwise("DamageShield")).when(~missed, "Melee").when((t == "click") | (k < 60), "Miss").when(k < 64, "Parry").when(k < 68, "Block").when(k < 72, "Absorb").when(k < 76, "Invulnerable").otherwise("Dodge")),
         "sub_type": F.when(t == "click", third("Slashes", "Kicks", "Shoots")).when(harm & (t == "purchase"), F.when(k < 75, F.when(k % 2 == 0, "Blaze").otherwise("Frost"))).when(harm, "Bites"),
         "school": F.when(harm & (t == "purchase") & (k < 75), third("fire", "bane", None)),
-        "modifiers": F.when(kind.isin("Damage", "Heal"), k.bitwiseAND(F.lit(127)) + sum(F.when(k % n == rest, MODIFIERS[m]).otherwise(0) for n, rest, m in RARE)), "is_spell": F.when(harm, F.lit(False)), "spell": F.when(kind.isin("Heal", "Cast"), "Mend"), "over_time": at("Heal", k % 2 == 0),
+        "modifiers": F.when(kind.isin("Damage", "Heal"), k.bitwiseAND(F.lit(127)) + sum(F.when(k % n == rest, MODIFIERS[m]).otherwise(0) for n, rest, m in RARE)), "is_spell": F.when(harm, F.lit(False)), "spell": F.when(kind.isin("Heal", "Cast", "WearOff", "Landed", "Resist"), "Mend"), "over_time": at("Heal", k % 2 == 0),
         "cast_kind": at("Cast", third("Begin", "Interrupted", "Fizzle")), "stance": at("Stance", third("bold", "calm", "wild")), "zone": at("Zone", F.concat(F.lit("Fen"), (k % 3).cast("string"))), "welcome": at("Zone", k >= 98),
-        "level": at("Consider", k), "attitude": at("Consider", F.lit("dubious")), "percent": at("Experience", k / 10.0), "party": at("Experience", k % 2 == 0), "aa_point": at("Experience", k % 5 == 0),
+        "level": F.when(kind == "Consider", k).when(kind == "Level", k - 60), "attitude": at("Consider", F.lit("dubious")), "percent": at("Experience", k / 10.0), "party": at("Experience", k % 2 == 0), "aa_point": at("Experience", k % 5 == 0),
         "faction": at("Faction", F.concat(F.lit("Fen"), (k % 2).cast("string"))), "delta": at("Faction", k - 55), "better": at("Faction", k >= 55), "capped": at("Faction", k % 10 == 0),
         "item": at("Loot", F.concat(F.lit("Fang"), (k % 3).cast("string"))), "source": at("Loot", F.col("gnoll")), "quantity": at("Loot", k % 4 + 1), "copper": at("Loot", k * 10),
     }
@@ -94,9 +99,9 @@ def fought(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     """(events, rows of fights, fights, sided events)."""
     log = typed_log(spark, d)
     players, pets = evidence(spark)
-    sided = identity.with_sides(log, players, identity.known_npcs(log, players, pets), pets)
-    rows = fights.assigned(fights.with_zone(fights.engaged(sided), log))
-    return log, rows, fights.fights(rows, players, pets, log), sided
+    both = identity.with_sides(log, players, identity.known_npcs(log, players, pets), pets)
+    rows = fights.assigned(fights.with_zone(fights.engaged(both), log))
+    return log, rows, fights.fights(rows, players, pets, log), both
 
 
 _worlds: dict[tuple[str, str], World] = {}
@@ -114,20 +119,23 @@ def world(spark: SparkSession, d: str) -> World:
 
 
 FIGHTS = """, zones AS (SELECT line FROM ev WHERE kind = 'Zone'),
-  m AS (SELECT line, s, CASE WHEN kind = 'Death' OR actor NOT LIKE 'A gnoll%' THEN target ELSE actor END AS npc, kind = 'Damage' AS damaging, kind = 'Death' AS ends, actor NOT LIKE 'A gnoll%' AS dealt, actor, target, amount,
-    (SELECT count(*) FROM zones z WHERE z.line <= ev.line) AS z FROM ev WHERE kind IN ('Damage', 'Death')),
+  m AS (SELECT line, s, CASE WHEN kind IN ('Death', 'Taunt') OR actor NOT LIKE 'A gnoll%' THEN target ELSE actor END AS npc, kind = 'Damage' AS damaging, kind = 'Death' AS ends, kind = 'Damage' AND actor NOT LIKE 'A gnoll%' AS dealt, actor, target, amount,
+    (SELECT count(*) FROM zones z WHERE z.line <= ev.line) AS z FROM ev WHERE kind IN ('Damage', 'Death', 'Taunt')),
   g AS (SELECT *, s - lag(s) OVER w AS gap, lag(ends) OVER w AS stop FROM m WINDOW w AS (PARTITION BY npc, z ORDER BY line)),
-  i AS (SELECT *, sum(CASE WHEN gap IS NULL OR stop OR gap > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY npc, z ORDER BY line ROWS UNBOUNDED PRECEDING) AS f FROM g),
-  fo AS (SELECT npc, z, f, min(line) AS first_line, min(s) AS b, max(s) AS e, bool_or(ends) AS dead, arg_min(ends, line) AS opened_by_death,
-    sum(CASE WHEN damaging AND dealt THEN amount ELSE 0 END) AS damage_total, sum(CASE WHEN damaging AND NOT dealt THEN amount ELSE 0 END) AS tanking_total FROM i GROUP BY npc, z, f),
-  fights AS (SELECT *, row_number() OVER (ORDER BY first_line) AS id,
-    dead OR (SELECT count(*) FROM zones) > z OR (SELECT max(s) FROM ev) - e > 30 AS closed FROM fo WHERE NOT opened_by_death)"""
+  pieces AS (SELECT *, sum(CASE WHEN gap IS NULL OR stop OR gap > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY npc, z ORDER BY line ROWS UNBOUNDED PRECEDING) AS piece FROM g),
+  hurt AS (SELECT *, bool_or(damaging) OVER (PARTITION BY npc, z, piece) AS hurt FROM pieces),
+  was AS (SELECT *, lag(hurt) OVER (PARTITION BY npc, z ORDER BY line) AS was_hurt FROM hurt),
+  i AS (SELECT *, sum(CASE WHEN gap IS NULL OR stop OR gap > 60 OR gap > 30 AND was_hurt THEN 1 ELSE 0 END) OVER (PARTITION BY npc, z ORDER BY line ROWS UNBOUNDED PRECEDING) AS f FROM was),
+  fo AS (SELECT npc, z, f, min(line) AS first_line, min(s) AS b, max(s) AS last_activity, max(s) FILTER (damaging OR ends) AS last_damage, bool_or(damaging) AS has_damage, bool_or(ends) AS dead, arg_min(ends, line) AS opened_by_death,
+    count(*) FILTER (NOT damaging AND NOT ends) AS taunts, sum(CASE WHEN damaging AND dealt THEN amount ELSE 0 END) AS damage_total, sum(CASE WHEN damaging AND NOT dealt THEN amount ELSE 0 END) AS tanking_total FROM i GROUP BY npc, z, f),
+  fights AS (SELECT *, greatest(b, coalesce(last_damage, b)) AS e, row_number() OVER (ORDER BY first_line) AS id,
+    dead OR (SELECT count(*) FROM zones) > z OR (SELECT max(s) FROM ev) - last_activity > 60 OR has_damage AND (SELECT max(s) FROM ev) - last_activity > 30 AS closed FROM fo WHERE NOT opened_by_death)"""
 
 
 @query(f"""{LOG}{FIGHTS} SELECT CAST(id AS INTEGER) AS id, npc AS name, CAST(z AS BIGINT) AS zone_change, (SELECT 'Fen' || (arg_max(k, line) % 3) FROM ev WHERE kind = 'Zone' AND ev.line < fights.first_line) AS zone,
-  CAST(b AS BIGINT) AS "begin", CAST(e AS BIGINT) AS last_damage, dead, closed, CAST(damage_total AS BIGINT) AS damage_total, CAST(tanking_total AS BIGINT) AS tanking_total FROM fights""")
+  CAST(b AS BIGINT) AS "begin", CAST(last_damage AS BIGINT) AS last_damage, CAST(last_activity AS BIGINT) AS last_activity, dead, closed, has_damage, taunts, CAST(damage_total AS BIGINT) AS damage_total, CAST(tanking_total AS BIGINT) AS tanking_total FROM fights""")
 def fight_list(spark, d):
-    return fought(spark, d)[2].select("id", "name", F.col("zone_change").cast("long").alias("zone_change"), "zone", "begin", "last_damage", "dead", "closed", "damage_total", "tanking_total")
+    return fought(spark, d)[2].select("id", "name", F.col("zone_change").cast("long").alias("zone_change"), "zone", "begin", "last_damage", "last_activity", "dead", "closed", "has_damage", "taunts", "damage_total", "tanking_total")
 
 
 #: The events come to the stream in so many pieces, of so many files each.
@@ -135,7 +143,7 @@ PIECES, FILES = 4, 2
 
 
 @query(f"""{LOG}{FIGHTS} SELECT first_line, npc AS name, CAST(z AS BIGINT) AS zone_change, (SELECT 'Fen' || (arg_max(k, line) % 3) FROM ev WHERE kind = 'Zone' AND ev.line < fights.first_line) AS zone,
-  CAST(b AS BIGINT) AS "begin", CAST(e AS BIGINT) AS last_damage, dead, closed, CAST(damage_total AS BIGINT) AS damage_total, CAST(tanking_total AS BIGINT) AS tanking_total FROM fights""")
+  CAST(b AS BIGINT) AS "begin", CAST(last_damage AS BIGINT) AS last_damage, CAST(last_activity AS BIGINT) AS last_activity, dead, closed, has_damage, taunts, CAST(damage_total AS BIGINT) AS damage_total, CAST(tanking_total AS BIGINT) AS tanking_total FROM fights""")
 def stream_fights(spark, d):
     """The fight list by the stateful stream, which gets the log piece by piece and carries open fights over."""
     e = events(spark, d)
@@ -145,12 +153,12 @@ def stream_fights(spark, d):
     for i in range(PIECES):
         e.where(piece == i).repartition(FILES).write.mode("append").parquet(folder)
     players, pets = evidence(spark)
-    sided = identity.with_sides(typed(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", FILES).parquet(folder)), players, identity.known_npcs(typed(e), players, pets), pets)
-    found = engagements.newest(live.stored(engagements.updates(sided, None), "fights"))
-    return found.select("first_line", "name", "zone_change", "zone", "begin", "last_damage", "dead", "closed", "damage_total", "tanking_total")
+    both = identity.with_sides(typed(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", FILES).parquet(folder)), players, identity.known_npcs(typed(e), players, pets), pets)
+    found = engagements.newest(live.stored(engagements.updates(both, None), "fights"))
+    return found.select("first_line", "name", "zone_change", "zone", "begin", "last_damage", "last_activity", "dead", "closed", "has_damage", "taunts", "damage_total", "tanking_total")
 
 
-@query(f"""{LOG}{FIGHTS}, o AS (SELECT id, b AS begin, CASE WHEN b - max(e) OVER (ORDER BY b, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 120 THEN 0 ELSE 1 END AS new FROM fights)
+@query(f"""{LOG}{FIGHTS}, o AS (SELECT id, b AS begin, CASE WHEN b - max(last_damage) OVER (ORDER BY b, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 120 THEN 0 ELSE 1 END AS new FROM fights)
   SELECT CAST(id AS INTEGER) AS id, CAST(sum(new) OVER (ORDER BY begin, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chain FROM o""")
 def fight_chains(spark, d):
     return fights.pull_groups(fought(spark, d)[2]).select("id", F.col("chain").cast("long").alias("chain"))
@@ -162,7 +170,7 @@ def fight_actor_totals(spark, d):
     return fights.actor_totals(fought(spark, d)[1]).groupBy("npc", "dealt", "actor").agg(F.sum("total").alias("total"), F.sum("hits").alias("hits"))
 
 
-@query(f"""{LOG}{FIGHTS} SELECT lower(npc) AS mob_key, CAST(count(*) AS BIGINT) AS kills, CAST(sum(damage_total) AS BIGINT) AS damage, CAST(max(e) AS BIGINT) AS newest FROM fights
+@query(f"""{LOG}{FIGHTS} SELECT lower(npc) AS mob_key, CAST(count(*) AS BIGINT) AS kills, CAST(sum(damage_total) AS BIGINT) AS damage, CAST(max(last_damage) AS BIGINT) AS newest FROM fights
   WHERE dead AND damage_total > 0 AND z > 0 GROUP BY 1""")
 def kill_harvest(spark, d):
     found = fought(spark, d)[2].withColumn("difficulty", F.lit(None).cast("int"))
@@ -195,9 +203,18 @@ def attack_estimates(spark, d):
     return found.select(*keys, "swings", "landed", "total", "max_hit", "min_hit", "all_total", "spell_total", "p10", "median", "p90", *rates, "grade")
 
 
-@query(f"""{LOG} SELECT line, actor LIKE 'A gnoll%' AS actor_npc, coalesce(target LIKE 'A gnoll%', false) AS target_npc, coalesce(target LIKE 'Raider%', false) AS target_player FROM ev WHERE kind = 'Damage'""")
+@query(f"""{LOG}, leaders AS (SELECT line, actor AS pet, regexp_extract(said, '^My leader is (.*)$', 1) AS owner FROM ev WHERE said LIKE 'My leader is %'),
+  known AS (SELECT name, min(line) AS first_line FROM (SELECT actor AS name, line FROM ev WHERE kind = 'Chat' AND said IS NULL UNION ALL SELECT owner, line FROM leaders) GROUP BY name),
+  pets AS (SELECT pet, arg_max(owner, line) AS owner FROM leaders GROUP BY pet)
+  SELECT line, actor LIKE 'A gnoll%' AS actor_npc, target LIKE 'A gnoll%' AS target_npc, coalesce(a.first_line <= line, false) OR actor IN (SELECT pet FROM pets) AS actor_player, coalesce(t.first_line <= line, false) OR target IN (SELECT pet FROM pets) AS target_player,
+    (SELECT owner FROM pets WHERE pet = actor) AS owner FROM ev LEFT JOIN known a ON a.name = actor LEFT JOIN known t ON t.name = target WHERE kind = 'Damage'""")
 def identity_sides(spark, d):
-    return fought(spark, d)[3].where("kind = 'Damage'").select(F.col("line_no").alias("line"), "actor_npc", "target_npc", "target_player")
+    """Sides as the log itself proves them: players by chat, pets and owners by what pets say, each from its line on."""
+    log = typed_log(spark, d)
+    players, pets = identity.verified(log), identity.pets(log)
+    both = identity.with_sides(log, players, identity.known_npcs(log, players, pets), pets).where("kind = 'Damage'")
+    owners = both.join(pets.select("session_id", F.col("pet").alias("actor"), F.col("owner")), ["session_id", "actor"], "left")
+    return owners.select(F.col("line_no").alias("line"), "actor_npc", "target_npc", "actor_player", "target_player", "owner")
 
 
 # --- the query description, compiled --------------------------------------------------------------------------------
@@ -461,7 +478,7 @@ def canned_death_log(spark, d):
     return compiled(spark, d, canned("DeathLog"))
 
 
-_OPEN = ", chosen AS (SELECT id FROM fights WHERE NOT closed UNION ALL (SELECT id FROM fights WHERE NOT EXISTS (SELECT 1 FROM fights WHERE NOT closed) ORDER BY e DESC, id DESC LIMIT 1)), units AS (SELECT fights.id, npc AS name, b, e FROM fights JOIN chosen USING (id))"
+_OPEN = ", chosen AS (SELECT id FROM fights WHERE NOT closed UNION ALL (SELECT id FROM fights WHERE NOT EXISTS (SELECT 1 FROM fights WHERE NOT closed) ORDER BY last_activity DESC, id DESC LIMIT 1)), units AS (SELECT fights.id, npc AS name, b, e FROM fights JOIN chosen USING (id))"
 _METER = ["total", "dps", "sdps", "percentOfTotal"]
 _METER_LEVELS = PET_LEVELS.partition("\n  UNION ALL SELECT 2")[0] + " UNION ALL SELECT 2, owner, owner || '/' || actor, actor, rd.* FROM rd WHERE owner NOT IN (SELECT owner FROM lone)"
 
@@ -492,6 +509,61 @@ def query_stances(spark, d):
     return compiled(spark, d, spec).select("path", "total", "stanceSeconds", "stanceDps", "stanceUptime")
 
 
+# --- feeds of a session ---------------------------------------------------------------------------------------------
+
+#: The merged fights as segments of a scope, from the second to the last day but one of the log.
+_SEGMENTS = f""", cut AS (SELECT min(b) + 3600 AS low, max(e) - 3600 AS high FROM fights), fu AS (SELECT greatest(b, low) AS b, least(e, high) AS e FROM fights, cut WHERE b <= high AND e >= low), seg AS ({MERGE.format("fu")}), lim AS (SELECT min(b) AS low, max(e) AS high FROM seg)"""
+
+
+def segments_of(w: World) -> DataFrame:
+    """The merged fights, without the first and the last hour of them."""
+    whole = w.fights.select(F.lit(0).alias("_k"), F.col("begin").alias("b"), F.greatest("last_damage", "begin").alias("e"))
+    cut = whole.agg((F.min("b") + 3600).alias("low"), (F.max("e") - 3600).alias("high"))
+    inside = whole.crossJoin(F.broadcast(cut)).where("b <= high and e >= low").select("_k", F.greatest("b", "low").alias("b"), F.least("e", "high").alias("e"))
+    return intervals.merge(inside, ["_k"]).select("b", "e")
+
+
+#: Spells of the timeline: Mend lasts level * 3 + 10 ticks, 60 at most.
+MEND = ("Mend", 10, 60)
+
+
+@query(f"""{LOG}{FIGHTS}{PRESENCE}{_SEGMENTS},
+  mark AS (SELECT line, s, target, kind = 'WearOff' AS c, kind = 'Cast' AS own, CASE WHEN kind = 'Cast' THEN (SELECT arg_max(l.k - 60, l.line) FROM ev l WHERE l.kind = 'Level' AND l.line < ev.line) END AS lv FROM ev
+    WHERE kind IN ('WearOff', 'Landed') OR kind = 'Cast' AND ck = 'Begin' AND actor = '{OWNER}'),
+  num AS (SELECT *, coalesce(sum(c::INT) OVER (ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM mark),
+  span AS (SELECT n, min(s) FILTER (NOT c) AS b, max(s) FILTER (c) AS e, max(target) FILTER (c) AS target, arg_min(own, line) FILTER (NOT c) AS own, arg_min(lv, line) FILTER (NOT c) AS lv FROM num GROUP BY n),
+  lvl AS (SELECT arg_max(lv, n) AS lv FROM span WHERE own AND lv > 0),
+  buff AS (SELECT target AS actor, 'Buff' AS item, b, e FROM span WHERE b IS NOT NULL AND e IS NOT NULL UNION ALL SELECT '{OWNER}', 'Buff', b, b + 6 * least(60, lvl.lv * 3 + 10) FROM span, lvl WHERE b IS NOT NULL AND e IS NULL AND lvl.lv IS NOT NULL),
+  st AS (SELECT s, arg_max(stance, line) AS held FROM ev WHERE kind = 'Stance' GROUP BY s), sp AS (SELECT held, s AS b, coalesce(lead(s) OVER (ORDER BY s) - 1, (SELECT max(s) FROM ev)) AS e FROM st
+    UNION ALL SELECT '(no stance)', (SELECT min(s) FROM ev), (SELECT min(s) FROM st) - 1 WHERE (SELECT min(s) FROM ev) < (SELECT min(s) FROM st)),
+  ins AS (SELECT line, ev.s, CASE kind WHEN 'Cast' THEN CASE ck WHEN 'Begin' THEN 'Cast' WHEN 'Interrupted' THEN 'Interrupt' ELSE 'Fizzle' END ELSE kind END AS item, CASE WHEN kind IN ('Death', 'Resist') THEN target ELSE actor END AS actor,
+    CASE kind WHEN 'Ability' THEN 'Rest' WHEN 'Death' THEN 'slain by ' || ev.actor ELSE 'Mend' END AS label FROM ev JOIN seg ON ev.s BETWEEN seg.b AND seg.e WHERE kind IN ('Cast', 'Ability', 'Death', 'Resist')),
+  cs AS (SELECT actor, s, least(s + 12, coalesce(lead(s) OVER (PARTITION BY actor ORDER BY s), s + 12)) AS until FROM (SELECT DISTINCT actor, s FROM ins WHERE item = 'Cast')),
+  did AS (SELECT cs.actor, cs.s, sum(amount) AS total FROM cs JOIN ev ON ev.kind = 'Heal' AND ev.actor = cs.actor AND ev.s >= cs.s AND ev.s < cs.until AND amount > 0 GROUP BY ALL)
+  SELECT actor, item, label, CAST(b AS BIGINT) AS b, CAST(e AS BIGINT) AS e, starts_before, ends_after, CAST(amount AS BIGINT) AS amount, effect FROM (
+    SELECT actor, item, 'Mend' AS label, greatest(b, low) AS b, least(e, high) AS e, b < low AS starts_before, e > high AS ends_after, NULL AS amount, NULL AS effect FROM buff, lim WHERE b <= high AND e >= low
+    UNION ALL SELECT '{OWNER}', 'Stance', held, greatest(sp.b, low, p.b), least(sp.e, high, p.e), sp.b < greatest(sp.b, low, p.b), sp.e > least(sp.e, high, p.e), NULL, NULL FROM sp, lim, presence p WHERE greatest(sp.b, low, p.b) <= least(sp.e, high, p.e)
+    UNION ALL SELECT target, 'Fade', 'Mend', e, NULL, false, false, NULL, NULL FROM span, lim WHERE b IS NULL AND e BETWEEN low AND high
+    UNION ALL SELECT ins.actor, item, label, ins.s, NULL, false, false, total, CASE WHEN total IS NOT NULL THEN 'Heal' END FROM ins LEFT JOIN did ON item = 'Cast' AND did.actor = ins.actor AND did.s = ins.s)""")
+def timeline_of_fights(spark, d):
+    w = world(spark, d)
+    known = spark.createDataFrame([MEND], "name string, formula int, cap int")
+    return timeline.timeline(w.events, segments_of(w), w.owner, stance_spans(w), w.presence(), known)
+
+
+_INCOMING = """, inc AS (SELECT ev.line, ev.s, actor AS attacker, target AS defender, CASE WHEN target LIKE 'Rex%' THEN 'Raider' || substr(target, 4) END AS owner, coalesce(sub, dk) AS attack, dk AS damage_kind, amount, mods AS modifiers,
+    (SELECT min(id) FROM fights f WHERE lower(f.npc) = lower(ev.actor) AND ev.s BETWEEN f.b AND f.last_damage) AS fight_id FROM ev JOIN seg ON ev.s BETWEEN seg.b AND seg.e WHERE kind = 'Damage' AND actor LIKE 'A gnoll%' AND target IN ('Raider1', 'Raider2', 'Raider3', 'Raider5'))"""
+
+
+@query(f"""{LOG}{FIGHTS}{_SEGMENTS}{_INCOMING} SELECT line AS line_no, CAST(s AS BIGINT) AS s, attacker, defender, owner, attack, damage_kind, CAST(amount AS BIGINT) AS amount, CAST(modifiers AS INTEGER) AS modifiers, false AS spell, CAST(fight_id AS INTEGER) AS fight_id,
+  (SELECT count(*) FROM inc) AS total FROM inc ORDER BY s DESC, line DESC LIMIT 200""")
+def incoming_hits(spark, d):
+    """The newest 200 hits on four raiders inside the scope, with how many there were."""
+    w = world(spark, d)
+    found = timeline.incoming(sided(w), segments_of(w), w.fights, w.pets, ["raider1", "Raider2", "RAIDER3", "Raider5"])
+    return feeds.tail(found, ["s", "line_no"]).select("line_no", "s", "attacker", "defender", "owner", "attack", "damage_kind", "amount", "modifiers", "spell", "fight_id", "total")
+
+
 # --- text and back --------------------------------------------------------------------------------------------------
 
 
