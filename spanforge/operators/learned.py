@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import segments
+
 KEPT_SAMPLES = 200
 CROWD_SECONDS = 20
 LEAST_CLEAN = 4
@@ -157,6 +159,66 @@ def first_arrivals(samples: DataFrame, keys: list[str], stamp: str, order: list[
     return samples.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, stamp).orderBy(*order))).where("_nth = 1").drop("_nth")
 
 
+#: What an attack record is kept by, and the fight starts that it remembers.
+ATTACK_KEY = ("mob_key", "zone_key", "difficulty", "tier", "defender_level")
+FIGHTS_PER_KEY = 500
+
+
+def harvest_attacks(sided: DataFrame, fights: DataFrame, levels: DataFrame | None = None, since: int | None = None) -> DataFrame:
+    """Tallies (as of `attack_tallies`) by ATTACK_KEY, stamp, fight, defender and skill: what closed fights' enemies did.
+
+    A sample is a fight and a defender that isn't an enemy; its hits are those of the fight's enemy (whatever its case)
+    from the fight's begin to its last damage.  Open fights, fights in no known zone and, with since, those that ended by
+    then are left out.  fights: id, name, begin, last_damage, closed, zone and, where known, difficulty and tier;
+    levels: (name, s, line_no, level, stated), from which the defender's level at the fight's begin is taken.
+    """
+    done = fights.where("closed and last_damage is not null and length(zone) > 0")
+    if since is not None:
+        done = done.where(F.col("last_damage") > since)
+    value = lambda c, kind: F.col(c).cast(kind) if c in fights.columns else F.lit(None).cast(kind)
+    own = done.select(F.lower("name").alias("mob_key"), F.lower("zone").alias("zone_key"), value("difficulty", "int").alias("difficulty"), value("tier", "string").alias("tier"), F.col("name").alias("mob"), F.col("id").alias("fight"), F.col("begin").alias("stamp"), F.col("begin").alias("b"), F.col("last_damage").alias("e"))
+    hits = sided.where((F.col("kind") == "Damage") & (F.length("actor") > 0) & ~F.coalesce("is_spell", F.lit(False)) & ~F.col("target_npc"))
+    named = hits.select(F.lower("actor").alias("mob_key"), F.col("target").alias("defender"), F.lower("target").alias("_d"), "line_no", "s", "damage_kind", "sub_type", "amount")
+    fields = ["zone_key", "difficulty", "tier", "mob", "fight", "stamp"]
+    met = segments.within(named, own, ["mob_key"], fields, 300).drop("b", "e")
+    sample = ["mob_key", *fields, "_d"]
+    first = met.groupBy(*sample).agg(F.min("line_no").alias("first_line"), F.min_by("defender", "line_no").alias("defender"))
+    if levels is None:
+        first = first.withColumn("defender_level", F.lit(None).cast("int"))
+    else:
+        at = first.withColumn("s", F.col("stamp")).withColumn("name", F.col("_d")).withColumn("line_no", F.lit(2**62))
+        first = segments.level_as_of(at, levels.withColumn("name", F.lower("name")), ["name"], ["line_no"]).withColumnRenamed("level", "defender_level").drop("s", "name", "line_no")
+    tallies = attack_tallies(met, sample)
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in sample]
+    both = tallies.alias("t").join(first.alias("f"), same)
+    return both.select(*[f"f.{c}" for c in (*ATTACK_KEY, "mob", "stamp", "fight", "defender", "first_line")], *[f"t.{c}" for c in tallies.columns if c not in sample])
+
+
+def merge_attacks(samples: DataFrame, fights: DataFrame | None = None, tallies: DataFrame | None = None, remembered: int = FIGHTS_PER_KEY) -> tuple[DataFrame, DataFrame]:
+    """(fights, tallies) after a harvest: (ATTACK_KEY, stamps) and tallies by ATTACK_KEY, skill and bucket.
+
+    A key counts one sample for each fight start: the first by fight and line, of new ones as of those it remembers.  It
+    remembers the newest starts; with so many of them, a start older than all is taken for one that has been counted.
+    Samples arrive by start, so what is accepted doesn't change which later ones are: merging twice is merging once.
+    """
+    key = list(ATTACK_KEY)
+    own = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in key]
+    starts = samples.groupBy(*key, "stamp").agg(F.min(F.struct("fight", "first_line")).alias("_one"))
+    if fights is not None:
+        held = fights.select(*key, "stamps")
+        met = starts.alias("n").join(held.alias("h"), own("n", "h"), "left").select("n.*", F.coalesce("h.stamps", F.expr("cast(array() as array<bigint>)")).alias("_held"))
+        full = F.size("_held") >= remembered
+        starts = met.where(~F.array_contains("_held", F.col("stamp")) & (~full | (F.col("stamp") >= F.array_min("_held")))).drop("_held")
+    taken = samples.alias("s").join(starts.alias("o"), [*own("s", "o"), F.col("s.stamp") == F.col("o.stamp"), F.col("s.fight") == F.col("o._one.fight"), F.col("s.first_line") == F.col("o._one.first_line")]).select("s.*")
+    shape = [*key, "skill", "bucket", "spell", *COUNTS, "max_hit", "min_hit"]
+    rows = taken.select(*shape) if tallies is None else taken.select(*shape).unionByName(tallies.select(*shape))
+    stamps = starts.select(*key, "stamp")
+    if fights is not None:
+        stamps = stamps.unionByName(fights.select(*key, F.explode("stamps").alias("stamp")))
+    kept = newest(stamps, key, [F.desc("stamp")], remembered).groupBy(*key).agg(F.sort_array(F.collect_list("stamp")).alias("stamps"))
+    return kept, merge_tallies(rows, key)
+
+
 ITEM_SUFFIX = r"( \(Exaltation\)| \+\d+)+$"
 
 

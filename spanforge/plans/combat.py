@@ -16,6 +16,7 @@ from ..functions.timeutil import moment, seconds
 from ..operators import feeds, fights, identity, intervals, learned, metrics, segments, timeline
 from ..sources import tail
 from ..streaming import engagements, live
+from .cache import Store, cached
 from .catalog import E, ORACLES, events, query, r6
 from .query import Filter, QuerySpec, Scope, World, canned, compile_query, live_meter, sided, stance_spans
 
@@ -97,25 +98,33 @@ def evidence(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 def fought(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(events, rows of fights, fights, sided events)."""
-    log = typed_log(spark, d)
+    log = records(spark, d)
     players, pets = evidence(spark)
     both = identity.with_sides(log, players, identity.known_npcs(log, players, pets), pets)
     rows = fights.assigned(fights.with_zone(fights.engaged(both), log))
     return log, rows, fights.fights(rows, players, pets, log), both
 
 
-_worlds: dict[tuple[str, str], World] = {}
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """The session's records, kept until the events change."""
+    store = Store(spark)
+    return store.table(f"records {d}", store.version_of(f"{d}/events.parquet"), lambda: typed_log(spark, d))
 
 
 def world(spark: SparkSession, d: str) -> World:
-    """The session that the queries ask; its fights are stored once an application, as a session keeps them."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _worlds:
-        log, _, found, _ = fought(spark, d)
-        players, pets = evidence(spark)
-        npcs = spark.createDataFrame([(x,) for x in names("A gnoll", 10)], "name string")
-        _worlds[key] = World(log, segments.cut(found.select("id", "name", "begin", "last_damage", "last_activity", "closed")), pets, npcs, players.select("name"), OWNER)
-    return _worlds[key]
+    """The session that the queries ask; its fights are kept like its records."""
+    store = Store(spark)
+    version = store.version_of(f"{d}/events.parquet")
+    log = records(spark, d)
+    players, pets = evidence(spark)
+
+    def found() -> DataFrame:
+        both = identity.with_sides(log, players, identity.known_npcs(log, players, pets), pets)
+        rows = fights.assigned(fights.with_zone(fights.engaged(both), log))
+        return fights.fights(rows, players, pets, log).select("id", "name", "begin", "last_damage", "last_activity", "closed")
+
+    npcs = spark.createDataFrame([(x,) for x in names("A gnoll", 10)], "name string")
+    return World(log, store.table(f"fights {d}", version, found), pets, npcs, players.select("name"), OWNER)
 
 
 FIGHTS = """, zones AS (SELECT line FROM ev WHERE kind = 'Zone'),
@@ -203,6 +212,29 @@ def attack_estimates(spark, d):
     return found.select(*keys, "swings", "landed", "total", "max_hit", "min_hit", "all_total", "spell_total", "p10", "median", "p90", *rates, "grade")
 
 
+_RAIDS = """, own AS (SELECT *, (SELECT 'fen' || (arg_max(k, line) % 3) FROM ev WHERE kind = 'Zone' AND ev.line < fights.first_line) AS zone FROM fights WHERE closed AND z > 0 AND last_damage IS NOT NULL),
+  raw AS (SELECT lower(actor) AS mob, own.zone, own.b AS stamp, own.id, target, line, sub AS skill, dk, CASE WHEN dk = 'Melee' AND amount > 0 THEN amount END AS hit FROM ev JOIN own ON actor = npc AND ev.s BETWEEN own.b AND own.last_damage WHERE kind = 'Damage' AND actor LIKE 'A gnoll%'),
+  smp AS (SELECT mob, zone, stamp, id, target, min(line) AS first_line FROM raw GROUP BY ALL), one AS (SELECT * FROM smp QUALIFY row_number() OVER (PARTITION BY mob, zone, stamp ORDER BY id, first_line) = 1),
+  b AS (SELECT raw.*, least(greatest(floor(log2(hit) * 4), 0), 79) AS bucket FROM raw JOIN one USING (mob, zone, stamp, id, target)),
+  t AS (SELECT mob, zone, count(DISTINCT stamp) AS starts, count(*) AS swings, count(hit) AS landed, coalesce(sum(hit), 0) AS total, coalesce(max(hit), 0) AS max_hit, coalesce(min(hit), 0) AS min_hit, count(*) FILTER (dk = 'Miss') AS misses, count(*) FILTER (dk = 'Parry') AS parries FROM b GROUP BY ALL),
+  ranks AS (SELECT mob, zone, bucket, row_number() OVER (PARTITION BY mob, zone ORDER BY bucket) AS nth, count(*) OVER (PARTITION BY mob, zone) AS n FROM b WHERE hit IS NOT NULL),
+  qs AS (SELECT mob, zone, min(bucket) FILTER (nth >= ceil(CAST(0.5 AS DOUBLE) * n)) AS q5, min(bucket) FILTER (nth >= ceil(CAST(0.9 AS DOUBLE) * n)) AS q9 FROM ranks GROUP BY ALL)"""
+
+
+@query(f"""{LOG}{FIGHTS}{_RAIDS} SELECT mob AS mob_key, zone AS zone_key, CAST(least(starts, 500) AS INTEGER) AS starts, swings, landed, CAST(total AS BIGINT) AS total, CAST(max_hit AS BIGINT) AS max_hit, CAST(min_hit AS BIGINT) AS min_hit, {_value("q5")} AS median, {_value("q9")} AS p90,
+  round(CASE WHEN swings > 0 THEN 100.0::DOUBLE * misses / swings ELSE 0 END, 6) AS miss_rate, round(CASE WHEN swings > 0 THEN 100.0::DOUBLE * parries / swings ELSE 0 END, 6) AS parry_rate, CASE WHEN landed >= 40 THEN 'Medium' ELSE 'Low' END AS grade FROM t LEFT JOIN qs USING (mob, zone)""")
+def attack_harvest(spark, d):
+    """From closed fights to estimates: harvested, merged, and merged again, which changes nothing."""
+    _, _, found, both = fought(spark, d)
+    samples = segments.cut(learned.harvest_attacks(both, found))
+    kept, tallies = (segments.cut(x) for x in learned.merge_attacks(samples))
+    kept, tallies = learned.merge_attacks(samples, kept, tallies)
+    key = list(learned.ATTACK_KEY)
+    sizes = learned.attack_estimates(tallies, key, "defender_level").join(kept.select("mob_key", "zone_key", F.size("stamps").alias("starts")), ["mob_key", "zone_key"])
+    rates = [F.round(c, 6).alias(c) for c in ("miss_rate", "parry_rate")]
+    return sizes.select("mob_key", "zone_key", "starts", "swings", "landed", "total", "max_hit", "min_hit", "median", "p90", *rates, "grade")
+
+
 @query(f"""{LOG}, leaders AS (SELECT line, actor AS pet, regexp_extract(said, '^My leader is (.*)$', 1) AS owner FROM ev WHERE said LIKE 'My leader is %'),
   known AS (SELECT name, min(line) AS first_line FROM (SELECT actor AS name, line FROM ev WHERE kind = 'Chat' AND said IS NULL UNION ALL SELECT owner, line FROM leaders) GROUP BY name),
   pets AS (SELECT pet, arg_max(owner, line) AS owner FROM leaders GROUP BY pet)
@@ -210,7 +242,7 @@ def attack_estimates(spark, d):
     (SELECT owner FROM pets WHERE pet = actor) AS owner FROM ev LEFT JOIN known a ON a.name = actor LEFT JOIN known t ON t.name = target WHERE kind = 'Damage'""")
 def identity_sides(spark, d):
     """Sides as the log itself proves them: players by chat, pets and owners by what pets say, each from its line on."""
-    log = typed_log(spark, d)
+    log = records(spark, d)
     players, pets = identity.verified(log), identity.pets(log)
     both = identity.with_sides(log, players, identity.known_npcs(log, players, pets), pets).where("kind = 'Damage'")
     owners = both.join(pets.select("session_id", F.col("pet").alias("actor"), F.col("owner")), ["session_id", "actor"], "left")
@@ -473,6 +505,16 @@ def canned_dps_over_time(spark, d):
     return series.select(F.array_join("path", "/").alias("path"), seconds("at").alias("at"), "value")
 
 
+@query(tree_sql(LOG + FIGHTS + FIGHT_UNITS + DEALT, ["target"], SHORT))
+def query_from_cache(spark, d):
+    """A result as the cache gives it the second time: read from its table, while the events are the same files."""
+    store, spec = Store(spark), QuerySpec("damage", groupBy=["target"], metrics=SHORT)
+    version = store.version_of(f"{d}/events.parquet")
+    for _ in range(2):
+        found = cached(store, spec, version, lambda s: compile_query(world(spark, d), s))
+    return shown(found.rows)
+
+
 @query(tree_sql(LOG + FIGHTS + MERGED_UNITS + _rows("Death", "target"), ["who", "actor"], ["deaths"]))
 def canned_death_log(spark, d):
     return compiled(spark, d, canned("DeathLog"))

@@ -9,6 +9,7 @@ byte where the line starts, so it grows through a file's life; value is the line
   start.  What the old one had left is read first if a file of the folder is the old one under another name (rotation).
 - A file that is gone is waited for.
 - Ranges are cut into splits of `splitBytes`; a split has the lines that start in it.
+- `begin` starts a batch of one file at that byte, the start of a line.
 - `maxBytes` bounds what a trigger takes of each file; `since` (2024-03-09T20:00:00) starts at the first line stamped
   then or later, found by bisection.
 
@@ -133,6 +134,7 @@ class Files:
         self.glob = options.get("glob", "*")
         self.split = int(options.get("splitbytes", options.get("splitBytes", 64 << 20)))
         self.most = int(options.get("maxbytes", options.get("maxBytes", 0)))
+        self.begin = int(options.get("begin", 0))
         self.since = datetime.fromisoformat(options["since"]) if options.get("since") else None
         self.journal_fs, self.journal_path = opened(options["journal"]) if options.get("journal") else (None, None)
         self.journal: dict[str, list[dict]] = self._loaded()
@@ -198,7 +200,7 @@ class Files:
                 if size is None:
                     del self.journal[name]
                     continue
-                start = seek_time(self.fs, name, size, self.since) if self.since else 0
+                start = seek_time(self.fs, name, size, self.since) if self.since else min(self.begin, size)
                 gens.append({"path": name, "head": "", "head_bytes": 0, "start": start, "seen": start, "end": None})
                 changed = True
             now = gens[-1]

@@ -30,14 +30,20 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
-def folder_of(spark: SparkSession, name: str) -> str:
-    """A folder of its own where driver and executors share one; a temporary one on one machine."""
+def root_of(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spanforge-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def folder_of(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one."""
+    return f"{root_of(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_to_end(df: DataFrame, name: str) -> DataFrame:
