@@ -11,6 +11,8 @@ Documents become token pieces of at most `capacity` tokens.  Packing needs their
    left is known for every range of sequences.
 4. Pieces that are left, the small ones above all, go longest first into the sequence with the least room that fits.
 
+Plans are made with several numbers of groups, and with step 4 alone; the one of fewest sequences counts.
+
 The plan is a table of ranges: ranks [from, to) of a length go to consecutive sequences.  Pieces find theirs by their
 rank within their length, counted in salted parts so that no common length gathers in one task.
 
@@ -43,7 +45,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SLICE_BYTES = 2_000_000
 #: Words that a worker keeps between slices; beyond it the store starts anew, so memory stays bounded.
 KEPT_WORDS = 400_000
-GROUPS = 32
+#: Group counts that plans are made with; the plan of fewest sequences counts.
+GROUPS = (32, 64, 128)
 #: Pieces longer than this share of the capacity are large.
 LARGE = 1 / 3
 #: Column generation ends once the relaxed problem is proven this close to its optimum.
@@ -177,7 +180,7 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), count
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1000) -> list[tuple[np.ndarray, int]]:
     """Configurations and whole numbers of uses that cover no more than the demand, near the optimum of the relaxed problem."""
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
@@ -202,7 +205,28 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> pd.DataFrame:
+def sequences(moves: pd.DataFrame) -> int:
+    return int((moves["sequence"] + moves["last"] - moves["first"]).max()) if len(moves) else 0
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> pd.DataFrame:
+    """The grouped plan of fewest sequences over several group counts, and step 4 alone where grouping gains nothing.
+
+    Few groups round lengths up by more, many leave more uses to rounding down; which weighs more depends on the lengths.
+    A plan is made from the histogram, so its cost doesn't depend on the corpus.
+    """
+    bound = -(-sum(n * c for n, c in counts.items()) // capacity)
+    best = None
+    for n, large in [*((g, LARGE) for g in groups), (1, 1.0)]:
+        found = grouped_plan(counts, capacity, n, large)
+        if best is None or sequences(found) < sequences(best):
+            best = found
+        if sequences(best) <= bound:
+            break
+    return best
+
+
+def grouped_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS[0], large: float = LARGE) -> pd.DataFrame:
     """Ranges (length, first, last, sequence): the piece of that length and rank r in [first, last) goes to sequence + r - first."""
     moves: list[tuple[int, int, int, int]] = []
     top = 0  # sequences so far
@@ -285,7 +309,7 @@ def left_over(total: int, used: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out + [(at, total)] * (at < total)
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """The pieces with their sequence_id and offset; pieces must be a written table (it is read more than once)."""
     spark = pieces.sparkSession
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(4 * partitions(spark))))
@@ -309,7 +333,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) ->
     return placed.withColumn("offset", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
 
 
-def packed_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, groups: int = GROUPS, keep_ids: bool = False) -> DataFrame:
+def packed_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, keep_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32, [ids,] sequence_id, offset) of all pieces of docs."""
     pieces = written(token_pieces(docs, vocabulary, id_col, text_col, capacity, keep_ids), "token-pieces")
     found = packed(pieces, capacity, groups)

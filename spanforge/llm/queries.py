@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import op1_packing, op2_langid, op3_line_rules, op4_suffix_buckets, op5_warc, op6_reply_trees, op7_fm_index, op8_telephony, op9_simhash, op10_trie_bpe, op11_minhash, op12_vector_codes, op13_divergence
 from .common import table
@@ -33,9 +34,10 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_reply_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probe = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    turn, says = F.col("id").alias("turn"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), turn, F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), says)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.union(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))
+    rows = rows.union(probe)
     return op6_reply_trees.digests(op6_reply_trees.formatted(op6_reply_trees.thread_messages(rows)))
 
 

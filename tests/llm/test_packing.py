@@ -54,6 +54,43 @@ def test_plan_covers_every_rank_once_within_capacity():
         assert len(fill) <= -(-sum(n * c for n, c in counts.items()) // 2048) * 1.6 + 1
 
 
+def best_fit_decreasing(lengths, capacity=2048):
+    """Plain best fit, piece by piece: the longest first, into the least room that fits."""
+    from bisect import bisect_left, insort
+
+    rooms, used = [], 0
+    for n in sorted(lengths, reverse=True):
+        i = bisect_left(rooms, n)
+        if i == len(rooms):
+            used += 1
+            room = capacity
+        else:
+            room = rooms.pop(i)
+        insort(rooms, room - n)
+    return used
+
+
+def martello_toth(lengths, capacity=2048):
+    """The bound L2: large pieces need sequences of their own, and others what their room can't hold."""
+    x, best = np.array(lengths), 0
+    for a in [0, *sorted(set(x[x <= capacity // 2].tolist()))[::10]]:
+        alone, half, small = x[x > capacity - a], x[(x <= capacity - a) & (x > capacity // 2)], x[(x <= capacity // 2) & (x >= a)]
+        more = int(small.sum()) - (len(half) * capacity - int(half.sum()))
+        best = max(best, len(alone) + len(half) + max(0, -(-more // capacity)))
+    return best
+
+
+def test_plans_are_no_worse_than_best_fit_and_near_the_bound():
+    rng = np.random.default_rng(1)
+    tight = {"uniform": rng.integers(1, 2049, 3000), "halves": rng.integers(683, 1366, 1500), "documents": np.clip(rng.lognormal(5.5, 1, 3000).astype(int), 1, 2048)}
+    loose = {"thirds": rng.integers(500, 901, 3000), "few": rng.choice([400, 600, 700, 900], 3000), "cut": np.concatenate([np.full(500, 2048), rng.integers(1, 400, 2000)])}
+    for name, lengths in {**tight, **loose}.items():
+        used = op1_packing.sequences(op1_packing.plan(dict(Counter(lengths.tolist()))))
+        assert used <= best_fit_decreasing(lengths.tolist()), name
+        if name in tight:
+            assert used <= 1.01 * martello_toth(lengths.tolist()), name
+
+
 def test_configurations_are_feasible():
     sizes, demand = np.array([1500, 900, 700, 690]), np.array([10, 12, 9, 9])
     left = demand.copy()
