@@ -91,26 +91,33 @@ def destinations(labels: DataFrame, keys: list[str], label: str = "label") -> Da
     return labels.select(*keys, F.explode(parts).alias("p")).select(*keys, F.trim("p").alias("destination")).where("length(destination) > 2")
 
 
-def routes(edges: DataFrame, start: str) -> DataFrame:
-    """(node, hops, via): fewest hops from start over undirected edges (a, b), and the neighbour before node in ordinal order.
+def routes(edges: DataFrame, start: str, allowed: DataFrame | None = None) -> DataFrame:
+    """(node, hops, via, path): the way of fewest hops from start over undirected edges (a, b), of equally short ones the
+    first in the ordinal order of its nodes; via is the node before the last.
 
-    One frontier join a hop, small against what is reached so far; it stops when nothing new is reached.
+    allowed (node): the nodes that a way may use, its ends included; without it, all.  One frontier join a hop, small
+    against what is reached so far; it stops when nothing new is reached.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    if allowed is not None:
+        for end in ("a", "b"):
+            both = both.join(allowed.select(F.col("node").alias(end)).distinct(), end, "left_semi")
     spark = edges.sparkSession
-    reached = spark.createDataFrame([(start, 0, None)], "node string, hops int, via string")
+    reached = spark.createDataFrame([(start, 0, [start])], "node string, hops int, path array<string>")
+    if allowed is not None:
+        reached = reached.join(allowed.select("node").distinct(), "node", "left_semi")
     frontier, hops = reached, 0
     while True:
         hops += 1
-        step = frontier.join(both, frontier.node == both.a).select(F.col("b").alias("node"), F.col("a").alias("via"))
-        fresh = step.join(reached.select("node"), "node", "left_anti").groupBy("node").agg(F.min("via").alias("via")).select("node", F.lit(hops).alias("hops"), "via")
-        frontier = cut(fresh)
+        step = frontier.join(both, frontier.node == both.a).select(F.col("b").alias("node"), "path")
+        fresh = step.join(reached.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        frontier = cut(fresh.select("node", F.lit(hops).alias("hops"), F.concat("path", F.array("node")).alias("path")))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
         if hops % 16 == 0:  # a long way's union of frontiers is kept shallow
             reached = cut(reached)
-    return reached
+    return reached.select("node", "hops", F.get("path", F.size("path") - 2).alias("via"), "path")
 
 
 def bounds(points: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .feeds import fuzzy
+
 #: Bucket widths to choose from, in seconds.
 WIDTHS = (1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600)
 MOST_POINTS = 1500
@@ -48,6 +50,70 @@ def top_and_other(df: DataFrame, label: str, value: str, n: int = 8) -> DataFram
     return told.where("_top").select(F.col(label).cast("string").alias(label), value).unionByName(rest.select(F.format_string("Other (%d)", "m").alias(label), value))
 
 
+def natural_key(label: Column) -> Column:
+    """Sorts labels as people do: runs of digits by their value, letters whatever their case."""
+    runs = F.filter(F.split(F.lower(F.coalesce(label, F.lit(""))), r"(?<=\d)(?=\D)|(?<=\D)(?=\d)"), lambda x: x != "")
+    value = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    return F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(F.length(value(x)).cast("string"), 4, "0"), value(x))).otherwise(F.concat(F.lit("1"), x)))
+
+
+def sort_tree(rows: DataFrame, key: str | None, descending: bool = True) -> DataFrame:
+    """rows (path, label, rank, metrics) with rank by a metric, or by name if key is null, among each node's siblings.
+
+    Ties keep their order, and a metric that a row lacks counts as 0.
+    """
+    by = natural_key(F.col("label")) if key is None else F.coalesce(F.col(key), F.lit(0))
+    parent = Window.partitionBy(F.size("path"), F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).orderBy(by.desc() if descending else by.asc(), "rank")
+    return rows.withColumn("rank", F.row_number().over(parent))
+
+
+def filter_tree(rows: DataFrame, query: str) -> DataFrame:
+    """Rows (path, label, ...) of a tree that a search leaves, with hit, open and score.
+
+    A hit keeps all that is below it, and whatever lies above hits stays as their context.  A row's score is what its
+    best way down to a hit adds up to: 200 and the match's own score for each hit on it.  Rows above a hit open by
+    themselves.  An empty query keeps all rows, without hits.  Each row looks at its own ancestors alone.
+    """
+    if not query.strip():
+        return rows.withColumn("hit", F.lit(False)).withColumn("open", F.lit(False)).withColumn("score", F.lit(0.0))
+    tree = rows.where(F.size("path") > 0)
+    hits = fuzzy(tree, "label", query).select("path", (F.col("score") + 200).alias("_own"))
+    upward = lambda df: df.withColumn("_up", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", F.lit(1), i))))
+    own = hits.select(F.col("path").alias("_up"), "_own")
+    met = upward(tree.select("path")).join(own, "_up", "left")
+    # of each row: what hits on its way add up to, with and without itself
+    sums = met.groupBy("path").agg(F.coalesce(F.sum("_own"), F.lit(0.0)).alias("_with"), F.coalesce(F.sum(F.when(F.col("_up") != F.col("path"), F.col("_own"))), F.lit(0.0)).alias("_without"), F.max(F.when(F.col("_up") == F.col("path"), F.lit(True))).alias("_row"))
+    hit_sums = sums.join(hits.select("path"), "path", "left_semi").select("path", "_with")
+    best = upward(hit_sums).groupBy(F.col("_up").alias("path")).agg(F.max("_with").alias("_best"), F.max(F.size("path")).alias("_deepest"))
+    marked = sums.select("path", "_with", "_without").join(best, "path", "left").join(hits, "path", "left")
+    kept = marked.where(F.col("_best").isNotNull() | (F.col("_without") > 0))
+    score = F.coalesce(F.col("_best") - F.col("_without"), F.lit(0.0))
+    return tree.join(kept, "path").select(*rows.columns, F.col("_own").isNotNull().alias("hit"), F.coalesce(F.col("_deepest") > F.size("path"), F.lit(False)).alias("open"), score.alias("score"))
+
+
+#: Bars of abilities, and attackers that have a segment of their own in each.
+MOST_BARS, MOST_SEGMENTS = 14, 8
+
+
+def ability_bars(rows: DataFrame, bars: int = MOST_BARS, segments: int = MOST_SEGMENTS) -> DataFrame:
+    """(bar, label, segment, attacker, total): the largest abilities as bars, cut into their attackers.
+
+    rows: (path, label, total) of a query by spell and player.  Abilities beyond the largest are one bar "Other (n)";
+    attackers beyond the overall largest are one segment "Other".  Both orders are kept as bar and segment, from 1; equal
+    sums go by name.
+    """
+    top = rows.where(F.size("path") == 1).select(F.element_at("path", 1).alias("_spell"), "label", "total")
+    parts = rows.where(F.size("path") == 2).select(F.element_at("path", 1).alias("_spell"), F.element_at("path", 2).alias("_who"), F.col("total").alias("_part"))
+    first = top.orderBy(F.desc("total"), "label").limit(bars).withColumn("bar", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("total"), "label")))
+    loud = parts.groupBy("_who").agg(F.sum("_part").alias("_all")).orderBy(F.desc("_all"), "_who").limit(segments)
+    loud = loud.withColumn("segment", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_all"), "_who"))).select("_who", "segment")
+    count = top.agg(F.count(F.lit(1)).alias("_n"))
+    placed = parts.join(F.broadcast(first.select("_spell", "label", "bar")), "_spell", "left").join(F.broadcast(loud), "_who", "left").crossJoin(F.broadcast(count))
+    name = F.coalesce("label", F.format_string("Other (%d)", F.col("_n") - bars))
+    who = F.when(F.col("segment").isNotNull(), F.col("_who")).otherwise("Other")
+    return placed.groupBy(F.coalesce("bar", F.lit(bars + 1)).alias("bar"), name.alias("label"), F.coalesce("segment", F.lit(segments + 1)).alias("segment"), who.alias("attacker")).agg(F.sum("_part").alias("total"))
+
+
 def drop_rates(drops: DataFrame, kills: DataFrame, source: str = "target", item: str = "item", victim: str = "victim") -> DataFrame:
     """(source, item, drops, kills, rate): drops of each source per hundred kills of it, whatever its case; 0 without kills."""
     got = drops.where(F.col(item).isNotNull()).groupBy(F.lower(source).alias("source"), item).agg(F.sum("quantity").alias("drops"))

@@ -474,14 +474,19 @@ def quartile_band(spark, d):
 
 
 @query("""WITH RECURSIVE ed AS (SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT a.n_name, b.n_name FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5),
-  two AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), walk(node, hops) AS (SELECT (SELECT min(n_name) FROM nation), 0 UNION SELECT two.b, hops + 1 FROM walk JOIN two ON two.a = walk.node WHERE hops < 12)
-  SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY node""")
+  two AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), ok AS (SELECT a AS node FROM two WHERE a NOT LIKE 'AS%' UNION SELECT b FROM two WHERE b NOT LIKE 'AS%'),
+  open AS (SELECT a, b FROM two SEMI JOIN ok ON a = ok.node SEMI JOIN ok k ON b = k.node), walk(node, hops) AS (SELECT (SELECT min(n_name) FROM nation), 0 UNION SELECT open.b, hops + 1 FROM walk JOIN open ON open.a = walk.node WHERE hops < 12),
+  near AS (SELECT node, min(hops) AS hops FROM walk GROUP BY node), way(node, hops, path) AS (SELECT node, hops, [node] FROM near WHERE hops = 0
+    UNION ALL SELECT n.node, n.hops, list_append(way.path, n.node) FROM way JOIN open ON open.a = way.node JOIN near n ON n.node = open.b AND n.hops = way.hops + 1)
+  SELECT node, CAST(hops AS INTEGER) AS hops, array_to_string(min(path), ' > ') AS path FROM way GROUP BY node, hops""")
 def route_bfs(spark, d):
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     inside = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("a"), F.col("r_name").alias("b"))
     nxt = nation.alias("x").join(nation.alias("y"), F.col("y.n_nationkey") == F.col("x.n_nationkey") + 5).select(F.col("x.n_name").alias("a"), F.col("y.n_name").alias("b"))
     start = nation.agg(F.min("n_name")).first()[0]
-    return lookup.routes(inside.unionByName(nxt), start).select("node", "hops")
+    edges = inside.unionByName(nxt)
+    allowed = edges.select(F.col("a").alias("node")).union(edges.select("b")).where("node not like 'AS%'")
+    return lookup.routes(edges, start, allowed).select("node", "hops", F.array_join("path", " > ").alias("path"))
 
 
 @query("""WITH maps AS (SELECT s_name AS short, s_suppkey AS nth, CASE WHEN s_nationkey % 4 <> 0 THEN n_name END AS display FROM supplier JOIN nation ON s_nationkey = n_nationkey),

@@ -7,13 +7,15 @@ The text of `log_text` is parsed back by `log_line_parse`.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar
 from ..functions.schema import FIELDS, MODIFIERS
 from ..functions.timeutil import moment, seconds
-from ..operators import feeds, fights, identity, intervals, learned, metrics, segments, timeline
+from ..operators import feeds, fights, identity, intervals, learned, metrics, present, segments, timeline
 from ..sources import tail
 from ..streaming import engagements, live
 from .cache import Store, cached
@@ -520,6 +522,42 @@ def canned_death_log(spark, d):
     return compiled(spark, d, canned("DeathLog"))
 
 
+_SEARCHES = ("e", "la")
+
+
+@query(f"""{LOG}{FIGHTS}{FIGHT_UNITS}{DEALT}, leaf AS (SELECT who, {SUB} AS sub FROM r GROUP BY ALL), q AS (SELECT unnest({list(_SEARCHES)}) AS q),
+  lab AS (SELECT q, who, NULL AS sub, who AS label FROM q, (SELECT DISTINCT who FROM leaf) UNION ALL SELECT q, who, sub, sub FROM q, leaf),
+  pos AS (SELECT *, strpos(lower(label), q) - 1 AS p FROM lab), own AS (SELECT *, CASE WHEN p >= 0 THEN 300 - least(p, 50) + CASE WHEN p = 0 OR NOT regexp_matches(lower(label)[p], '[a-z0-9]') THEN 20 ELSE 0 END END AS s FROM pos),
+  top AS (SELECT q, who, max(s) FILTER (sub IS NULL) AS s, max(s) FILTER (sub IS NOT NULL) AS c FROM own GROUP BY ALL)
+  SELECT q, own.who || coalesce('/' || sub, '') AS path, own.s IS NOT NULL AS hit, sub IS NULL AND top.c IS NOT NULL AS open, CAST(CASE WHEN sub IS NULL THEN coalesce(top.s, 0) + coalesce(top.c, 0) ELSE coalesce(own.s, 0) END AS DOUBLE) AS score
+    FROM own JOIN top USING (q, who) WHERE own.s IS NOT NULL OR top.s IS NOT NULL OR sub IS NULL AND top.c IS NOT NULL""")
+def fuzzy_tree(spark, d):
+    """Two searches over damage by player and spell: one that players and spells hold, one that narrows players to spells."""
+    rows = segments.cut(compile_query(world(spark, d), QuerySpec("damage", groupBy=["player", "spell"], metrics=["total"], petRollup=False)).rows)
+    found = [present.filter_tree(rows, q).select(F.lit(q).alias("q"), F.array_join("path", "/").alias("path"), "hit", "open", "score") for q in _SEARCHES]
+    return found[0].unionByName(found[1])
+
+
+@query(f"""{LOG}{FIGHTS}{FIGHT_UNITS}{DEALT}, leaf AS (SELECT {SUB} || ' ' || (line % 5) AS spell, who, sum(amount) AS total FROM r WHERE dk IN ('Melee', 'DirectDamage', 'DamageOverTime', 'DamageShield') GROUP BY ALL),
+  bars AS (SELECT spell, row_number() OVER (ORDER BY sum(total) DESC, spell) AS bar FROM leaf GROUP BY spell), loud AS (SELECT who, row_number() OVER (ORDER BY sum(total) DESC, who) AS segment FROM leaf GROUP BY who)
+  SELECT CAST(least(bar, 15) AS INTEGER) AS bar, CASE WHEN bar <= 14 THEN spell ELSE 'Other (' || ((SELECT count(*) FROM bars) - 14) || ')' END AS label, CAST(least(segment, 9) AS INTEGER) AS segment, CASE WHEN segment <= 8 THEN who ELSE 'Other' END AS attacker,
+    CAST(sum(total) AS BIGINT) AS total FROM leaf JOIN bars USING (spell) JOIN loud USING (who) GROUP BY ALL""")
+def ability_bars(spark, d):
+    """The fourteen largest abilities of the raid, cut into the eight largest attackers; spells come in five ranks here."""
+    w = world(spark, d)
+    ranked = w.events.withColumn("sub_type", F.when(F.col("kind") == "Damage", F.concat(F.coalesce("sub_type", F.lit("damageShield")), F.lit(" "), (F.col("line_no") % 5).cast("string"))).otherwise(F.col("sub_type")))
+    landed = Filter("damageType", ["Miss", "Dodge", "Parry", "Block", "Absorb", "Invulnerable"], exclude=True)
+    rows = compile_query(replace(w, events=ranked), QuerySpec("damage", groupBy=["spell", "player"], metrics=["total"], filters=[landed], petRollup=False)).rows
+    return present.ability_bars(rows)
+
+
+@query(tree_sql(LOG + FIGHTS + FIGHT_UNITS + DEALT, ["who", SUB], ["total"]).replace('PARTITION BY level, parent ORDER BY "total" DESC, first_line', "PARTITION BY level, parent ORDER BY regexp_replace(lower(label), '[0-9]+', ''), CAST(coalesce(nullif(regexp_extract(label, '[0-9]+'), ''), '0') AS INTEGER)"))
+def sorted_tree(spark, d):
+    """The damage tree by name at every level, numbers by value: Raider2 before Raider10."""
+    rows = compile_query(world(spark, d), QuerySpec("damage", groupBy=["player", "spell"], metrics=["total"], petRollup=False)).rows
+    return shown(present.sort_tree(rows, None, descending=False))
+
+
 _OPEN = ", chosen AS (SELECT id FROM fights WHERE NOT closed UNION ALL (SELECT id FROM fights WHERE NOT EXISTS (SELECT 1 FROM fights WHERE NOT closed) ORDER BY last_activity DESC, id DESC LIMIT 1)), units AS (SELECT fights.id, npc AS name, b, e FROM fights JOIN chosen USING (id))"
 _METER = ["total", "dps", "sdps", "percentOfTotal"]
 _METER_LEVELS = PET_LEVELS.partition("\n  UNION ALL SELECT 2")[0] + " UNION ALL SELECT 2, owner, owner || '/' || actor, actor, rd.* FROM rd WHERE owner NOT IN (SELECT owner FROM lone)"
