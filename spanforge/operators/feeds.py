@@ -71,28 +71,26 @@ def mentions(texts: DataFrame, names: DataFrame, id_cols: list[str], text_col: s
     """(ids, name, at): dictionary names in texts, longest first, never overlapping, each once a text.
 
     Words are trimmed of punctuation.  Names of several words match in any case; a name of one word matches in its own
-    case and not beside a capitalised word.  Texts' word runs, of each length that a name has, join the names by
-    equality, so the dictionary may grow.
+    case and not beside a capitalised word.  Words meet names by the names' first words, one short row a word whatever
+    the names' lengths; the rest of a candidate is compared in its text, which the few candidates come back to.
     """
     words = F.filter(F.transform(F.split(F.col(text_col), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
-    known = names.select(F.col(name_col).alias("name"), F.size(F.split(name_col, " ")).alias("_n"), F.lower(name_col).alias("_key")).distinct()
-    lengths = known.where("_n is not null").agg(F.sort_array(F.collect_set("_n")).alias("_lengths"))
-    cut = texts.select(*id_cols, words.alias("_w")).crossJoin(F.broadcast(lengths))
+    parts = F.split(name_col, " ")
+    known = names.select(F.col(name_col).alias("name"), F.size(parts).alias("n"), F.lower(name_col).alias("_key"), F.lower(F.get(parts, F.lit(0))).alias("_first")).where("name is not null").distinct()
+    cut = texts.select(*id_cols, words.alias("_w")).where(F.size("_w") > 0)
+    here = cut.select(*id_cols, F.posexplode("_w").alias("_at", "_word")).withColumn("_first", F.lower("_word"))
+    met = here.join(known, "_first").where((F.col("n") > 1) | (F.col("_word") == F.col("name")))
+    listed = met.groupBy(*id_cols).agg(F.collect_list(F.struct((-F.col("n")).alias("n"), (F.col("_at") + 1).alias("at"), "name", "_key")).alias("_met"))
     capital = lambda c: F.coalesce(c.rlike(r"^\p{Lu}"), F.lit(False))
-    # runs are built inside the row, so that a run's row doesn't carry the text
-    run = lambda n: lambda i: F.struct(
-        i.alias("at"), n.alias("_n"), F.array_join(F.slice("_w", i, n), " ").alias("_run"), (capital(F.get("_w", i - 2)) | capital(F.get("_w", i + n - 1))).alias("_beside")
-    )
-    fitting = F.filter("_lengths", lambda n: n <= F.size("_w"))
-    runs = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), run(n))))
-    here = cut.select(*id_cols, F.explode(runs).alias("_r")).select(*id_cols, "_r.*")
-    met = here.withColumn("_key", F.lower("_run")).join(known, ["_key", "_n"]).where((F.col("_n") > 1) | ((F.col("_run") == F.col("name")) & ~F.col("_beside")))
-    found = met.groupBy(*id_cols).agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("n"), "at", "name"))).alias("_found"))
+    whole = lambda m: (m["at"] - m["n"] - 1 <= F.size("_w")) & (F.lower(F.array_join(F.slice("_w", m["at"], -m["n"]), " ")) == m["_key"])
+    beside = lambda m: capital(F.get("_w", m["at"] - 2)) | capital(F.get("_w", m["at"]))
+    real = F.filter("_met", lambda m: whole(m) & ((m["n"] < -1) | ~beside(m)))
+    back = cut.join(listed, id_cols).select(*id_cols, F.sort_array(F.transform(real, lambda m: F.struct(m["n"].alias("n"), m["at"].alias("at"), m["name"].alias("name")))).alias("_found"))
     # greedy: keep a hit if its words are free; the accumulator holds hits kept so far, each name once
     free = lambda kept, hit: ~F.exists(kept, lambda k: ((hit["at"] < k["at"] - k["n"]) & (k["at"] < hit["at"] - hit["n"])) | (k["name"] == hit["name"]))
     empty = F.expr("cast(array() as array<struct<n: int, at: int, name: string>>)")
     kept = F.aggregate("_found", empty, lambda kept, hit: F.when(free(kept, hit), F.concat(kept, F.array(hit))).otherwise(kept))
-    return found.select(*id_cols, F.explode(kept).alias("k")).select(*id_cols, "k.name", "k.at")
+    return back.select(*id_cols, F.explode(kept).alias("k")).select(*id_cols, "k.name", "k.at")
 
 
 def token_score(low: Column, token: str) -> Column:

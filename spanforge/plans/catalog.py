@@ -565,12 +565,15 @@ def fuzzy_filter(spark, d):
 
 @query()
 def mention_scan(spark, d):
-    # the dictionary: every fifth word pair of the benchmark texts, a role that item names have in chat, and as often a
-    # name of one word and one of eight
+    return feeds.mentions(table(spark, d, "conversations").select("conv_id", "turn", "text"), mention_names(spark, d), ["conv_id", "turn"])
+
+
+def mention_names(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary: every fifth word pair of the benchmark texts, a role that item names have in chat, and as often a
+    name of one word and one of eight."""
     words = table(spark, d, "benchmark").select(F.split("text", r"\s+").alias("w"))
     at = words.select("w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)), F.lit(5))).alias("i")).select("w", "i", F.explode(F.array(*map(F.lit, (1, 2, 8)))).alias("n")).where("i + n - 1 <= size(w)")
-    names = at.select(F.trim(F.regexp_replace(F.array_join(F.slice("w", F.col("i"), F.col("n")), " "), r"[^\p{L}\p{N} ]", "")).alias("name")).where("name <> ''").distinct()
-    return feeds.mentions(table(spark, d, "conversations").select("conv_id", "turn", "text"), names, ["conv_id", "turn"])
+    return at.select(F.trim(F.regexp_replace(F.array_join(F.slice("w", F.col("i"), F.col("n")), " "), r"[^\p{L}\p{N} ]", "")).alias("name")).where("name <> ''").distinct()
 
 
 @query(f'WITH {E} SELECT event_type, s // 3600 * 3600 AS "at", count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM e GROUP BY 1, 2')
