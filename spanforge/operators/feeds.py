@@ -93,6 +93,32 @@ def mentions(texts: DataFrame, names: DataFrame, id_cols: list[str], text_col: s
     return back.select(*id_cols, F.explode(kept).alias("k")).select(*id_cols, "k.name", "k.at")
 
 
+def item_feed(events: DataFrame, stretches: DataFrame, registry: DataFrame) -> DataFrame:
+    """(line_no, nth, s, what, item, item_id, who, with_whom, text, quantity): items looted, traded and named in chat
+    inside the segments (b, e).
+
+    registry (name, id) is both the dictionary of chat and the source of ids, whatever a name's case.  nth tells the
+    names of one chat line apart.  `newest_first` by line_no and nth makes it the feed.
+    """
+    from . import learned
+    from .segments import within
+
+    inside = within(events, stretches.select("b", "e"), [], [], 3600)
+    kind, none = F.col("kind"), F.lit(None).cast("string")
+    first = F.lit(0).alias("nth")
+    loot = inside.where((kind == "Loot") & F.col("item").isNotNull()).select("line_no", first, "s", F.lit("Looted").alias("what"), learned.item_name(F.col("item")).alias("item"), F.col("actor").alias("who"), F.col("source").alias("with_whom"), none.alias("text"), "quantity")
+    trade = inside.where(kind == "Merchant").select("line_no", first, "s", F.when(F.col("sold"), "Sold").otherwise("Bought").alias("what"), learned.item_name(F.col("item")).alias("item"), F.lit("You").alias("who"), F.col("target").alias("with_whom"), none.alias("text"), "quantity")
+    said = inside.where(kind == "Chat")
+    named = mentions(said.select("line_no", "text"), registry, ["line_no"])
+    nth = F.row_number().over(Window.partitionBy("line_no").orderBy(F.desc(F.size(F.split("name", " "))), "at")) - 1
+    place = F.coalesce("custom_channel", "channel")
+    chat = named.withColumn("nth", nth).join(said.select("line_no", "s", "actor", place.alias("place"), "text"), "line_no")
+    chat = chat.select("line_no", "nth", "s", F.lit("Chat").alias("what"), F.col("name").alias("item"), F.col("actor").alias("who"), F.col("place").alias("with_whom"), "text", F.lit(1).alias("quantity"))
+    every = loot.unionByName(trade).unionByName(chat)
+    ids = registry.groupBy(F.lower("name").alias("_key")).agg(F.min("id").alias("item_id"))
+    return every.withColumn("_key", F.lower("item")).join(ids, "_key", "left").select("line_no", "nth", "s", "what", "item", "item_id", "who", "with_whom", "text", "quantity")
+
+
 def token_score(low: Column, token: str) -> Column:
     """Score of a token of lower-case letters in a lower-case name, null where its letters don't follow each other there.
 

@@ -101,3 +101,26 @@ def actor_totals(rows: DataFrame) -> DataFrame:
 def pull_groups(found: DataFrame) -> DataFrame:
     """fights with chain: pulls less than 120 s apart belong together."""
     return segments.long_chains(found, ["session_id"], ["begin", "id"], begin="begin", end="last_damage")
+
+
+def fight_info(found: DataFrame, rows: DataFrame, owner: str, pet_map: DataFrame, health: DataFrame | None = None) -> DataFrame:
+    """fights as lists show them: with group (the pull chain, from 0), difficulty and tier of an instanced zone, the mob's
+    estimated health there, and own_damage, what the log's owner and their pets dealt.
+
+    health: (mob_key, zone_key, difficulty, health).
+    """
+    from ..functions.grammar import instance_zone
+
+    grouped = pull_groups(found).withColumn("group", (F.col("chain") - 1).cast("int")).drop("chain")
+    zone = instance_zone(F.col("zone"))
+    placed = grouped.withColumn("_z", zone).withColumn("zone_base", F.col("_z.base")).withColumn("difficulty", F.col("_z.difficulty")).withColumn("tier", F.col("_z.tier")).drop("_z")
+    keys = ["session_id", "zone_change", "npc", "fight"]
+    own = F.lower("actor") == owner.lower()
+    pets = identity.pets_as(pet_map.where(F.lower("owner") == owner.lower()), "actor", "_mine")
+    mine = rows.where("damaging and dealt").join(pets, identity.by_pet(pet_map, "actor"), "left").where(own | F.col("_mine"))
+    dealt = mine.groupBy(*keys).agg(F.sum("amount").alias("own_damage")).withColumnRenamed("npc", "name")
+    out = placed.join(dealt, ["session_id", "zone_change", "name", "fight"], "left").withColumn("own_damage", F.coalesce("own_damage", F.lit(0)))
+    if health is None:
+        return out.withColumn("health", F.lit(None).cast("long"))
+    known = health.select(F.col("mob_key").alias("_m"), F.col("zone_key").alias("_k"), F.col("difficulty").alias("_d"), F.col("health").cast("long").alias("health"))
+    return out.join(known, (F.lower("name") == F.col("_m")) & (F.lower("zone_base") == F.col("_k")) & F.col("difficulty").eqNullSafe(F.col("_d")), "left").drop("_m", "_k", "_d")

@@ -155,6 +155,66 @@ def within_era(zone_era: Column, through: str | None, eras: list[str]) -> Column
     return ~F.coalesce(zone_era.isin(eras[eras.index(through) + 1 :]), F.lit(False))
 
 
+def zones_by_id(zones: DataFrame) -> DataFrame:
+    """(id, entries): the zone table's rows for each id, in its order; zones has nth, short, display, era and ids."""
+    return zones.select(F.explode("ids").alias("id"), F.struct("nth", "short", "display", "era").alias("e")).groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("entries"))
+
+
+def maps_of(names: DataFrame, zones: DataFrame) -> DataFrame:
+    """names (zone, as a log writes it) with maps: the drawings of that place in the table's order, none for an unknown one.
+
+    An instance goes by its base name; names meet by their letters and digits.
+    """
+    from ..functions.grammar import instance_zone
+
+    known = zones.where("display is not null").groupBy(zone_key(F.col("display")).alias("_key")).agg(F.sort_array(F.collect_list(F.struct("nth", "short"))).alias("_all"))
+    keyed = names.withColumn("_key", zone_key(instance_zone(F.col("zone"))["base"]))
+    return keyed.join(known, "_key", "left").withColumn("maps", F.coalesce(F.array_distinct(F.transform("_all", lambda m: F.lower(m["short"]))), F.expr("cast(array() as array<string>)"))).drop("_key", "_all")
+
+
+def mob_places(variants: DataFrame, zones: DataFrame, sites: DataFrame) -> DataFrame:
+    """(name, zone_id, place, short, maps, era, levels, ids): where each name is listed, by the zone that its ids belong to.
+
+    variants (name, id, level); zones as of `zones_by_id`; sites (short, long): the reference site's zones.  A place is
+    named by the table, else by the site; the site's row is found by any of the place's short names, else by its name.
+    A place that neither can name stays, without a name.
+    """
+    grouped = variants.groupBy("name", shard_of(F.col("id")).alias("zone_id")).agg(F.sort_array(F.collect_set("level")).alias("levels"), F.sort_array(F.collect_list("id")).alias("ids"))
+    table = zones_by_id(zones).select(F.col("id").alias("zone_id"), "entries")
+    known = grouped.select("zone_id").distinct().join(table, "zone_id")
+    first = F.col("entries")[0]
+    site = sites.select(F.lower("short").alias("_s"), F.col("short").alias("site_short"), F.col("long").alias("site_long"))
+    by_short = known.select("zone_id", F.posexplode("entries").alias("at", "e")).withColumn("_s", F.lower("e.short")).join(site, "_s").groupBy("zone_id").agg(F.min_by(F.struct("site_short", "site_long"), "at").alias("a"))
+    by_name = known.select("zone_id", zone_key(first["display"]).alias("_n")).join(sites.groupBy(zone_key(F.col("long")).alias("_n")).agg(F.min(F.struct(F.col("short").alias("site_short"), F.col("long").alias("site_long"))).alias("b")), "_n").select("zone_id", "b")
+    named = known.join(by_short, "zone_id", "left").join(by_name, "zone_id", "left").select("zone_id", "entries", F.coalesce("a", "b").alias("site"))
+    met = grouped.join(named, "zone_id", "left")
+    maps = F.coalesce(F.array_distinct(F.transform("entries", lambda e: F.lower(e["short"]))), F.expr("cast(array() as array<string>)"))
+    return met.select("name", "zone_id", F.coalesce(first["display"], F.col("site.site_long")).alias("place"), F.coalesce(F.col("site.site_short"), F.get(maps, F.lit(0))).alias("short"), maps.alias("maps"), first["era"].alias("era"), "levels", "ids")
+
+
+def zone_roster(details: DataFrame, zones: DataFrame) -> DataFrame:
+    """(short, id, name, level, rank): who is listed in each zone, by level (unknown last) and name.
+
+    details (id, name, level, places array<struct<short, long>>) come from the shards of a zone's ids, of which the first
+    that lists anybody counts; a listing belongs by the zone's short name or its name's letters and digits.
+    """
+    from pyspark.sql import Window
+
+    wanted = zones.select("short", "display", F.posexplode("ids").alias("at", "zone_id"))
+    listed = details.select("id", "name", "level", shard_of(F.col("id")).alias("zone_id"), F.explode("places").alias("p"))
+    met = wanted.join(listed, "zone_id").where((F.lower("p.short") == F.lower("short")) | (zone_key(F.col("p.long")) == zone_key(F.col("display"))))
+    one = met.select("short", "at", "id", "name", "level").distinct()
+    here = one.join(one.groupBy("short").agg(F.min("at").alias("at")), ["short", "at"])
+    order = Window.partitionBy("short").orderBy(F.col("level").asc_nulls_last(), F.lower("name"), "id")
+    return here.select("short", "id", "name", "level", F.row_number().over(order).alias("rank"))
+
+
+def in_band(index: DataFrame, low: int | None, high: int | None) -> int:
+    """How many names of build_index have a listing of a known level within the band; an open end holds all."""
+    fits = lambda v: v["level"].isNotNull() & ((v["level"] >= low) if low is not None else F.lit(True)) & ((v["level"] <= high) if high is not None else F.lit(True))
+    return index.where(F.exists("variants", fits)).count()
+
+
 def place_graph(maps: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Places (place, display, maps, degree) and edges (a, b) in both directions.
 

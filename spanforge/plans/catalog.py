@@ -576,6 +576,46 @@ def mention_names(spark: SparkSession, d: str) -> DataFrame:
     return at.select(F.trim(F.regexp_replace(F.array_join(F.slice("w", F.col("i"), F.col("n")), " "), r"[^\p{L}\p{N} ]", "")).alias("name")).where("name <> ''").distinct()
 
 
+#: Suppliers as NPCs whose id's thousands name a zone; nations as zones, the first of each region under the region's name too.
+_NPCS = """n AS (SELECT lower(p_brand) AS name, p_partkey % 25 * 1000 + p_partkey AS id, CASE WHEN p_size % 7 <> 0 THEN p_size END AS level FROM part),
+  z AS (SELECT n_nationkey AS nth, n_name AS short, CASE WHEN n_nationkey % 4 = 0 THEN r_name ELSE n_name END AS display, r_name AS era, [n_nationkey, n_nationkey + 1] AS ids FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def _npcs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    npcs = table(spark, d, "part").select(F.lower("p_brand").alias("name"), (F.col("p_partkey") % 25 * 1000 + F.col("p_partkey")).alias("id"), F.when(F.col("p_size") % 7 != 0, F.col("p_size")).cast("int").alias("level"))
+    key = F.col("n_nationkey").cast("long")
+    zones = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(key.alias("nth"), F.col("n_name").alias("short"), F.when(key % 4 == 0, F.col("r_name")).otherwise(F.col("n_name")).alias("display"), F.col("r_name").alias("era"), F.array(key, key + 1).alias("ids"))
+    return npcs, zones
+
+
+@query(f"""WITH {_NPCS}, site AS (SELECT n_name AS short, 'The ' || n_name AS long FROM nation WHERE n_nationkey % 3 = 0), byid AS (SELECT unnest(ids) AS zone_id, z.* FROM z),
+  ent AS (SELECT zone_id, arg_min(display, nth) AS display, arg_min(era, nth) AS era, list(lower(short) ORDER BY nth) AS maps FROM byid GROUP BY zone_id),
+  st AS (SELECT zone_id, arg_min(site.short, nth) AS sshort, arg_min(site.long, nth) AS slong FROM byid JOIN site ON lower(site.short) = lower(byid.short) GROUP BY zone_id),
+  g AS (SELECT name, id // 1000 AS zone_id, count(*) AS ids, list_sort(list(DISTINCT level) FILTER (level IS NOT NULL)) AS levels FROM n GROUP BY ALL)
+  SELECT name, zone_id, coalesce(display, slong) AS place, coalesce(sshort, maps[1]) AS short, array_to_string(coalesce(maps, []), ' ') AS maps, era, coalesce(array_to_string(levels, ' '), '') AS levels, ids FROM g LEFT JOIN ent USING (zone_id) LEFT JOIN st USING (zone_id)""")
+def mob_places(spark, d):
+    npcs, zones = _npcs(spark, d)
+    sites = table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("short"), F.concat(F.lit("The "), "n_name").alias("long"))
+    found = lookup.mob_places(npcs, zones, sites)
+    return found.select("name", "zone_id", "place", "short", F.array_join("maps", " ").alias("maps"), "era", F.array_join("levels", " ").alias("levels"), F.size("ids").cast("long").alias("ids"))
+
+
+@query(f"""WITH {_NPCS}, w AS (SELECT short, display, unnest(ids) AS zone_id, generate_subscripts(ids, 1) AS place FROM z),
+  met AS (SELECT w.short, place, id, name, level FROM w JOIN n ON id // 1000 = zone_id WHERE id % 3 <> 0 AND (id // 1000 % 2 = 0 OR w.short = (SELECT short FROM z z2 WHERE z2.nth = id // 1000))),
+  one AS (SELECT * FROM met SEMI JOIN (SELECT short, min(place) AS place FROM met GROUP BY short) f ON met.short = f.short AND met.place = f.place)
+  SELECT short, id, name, CAST(level AS INTEGER) AS level, CAST(row_number() OVER (PARTITION BY short ORDER BY level NULLS LAST, name, id) AS INTEGER) AS rank FROM one""")
+def zone_roster(spark, d):
+    """NPCs of even zones are listed in both zones that share an id, of odd ones in their own; every third is listed nowhere."""
+    npcs, zones = _npcs(spark, d)
+    home, own = lookup.shard_of(F.col("id")), zones.select("nth", F.col("short").alias("own"))
+    both = zones.select(F.explode("ids").alias("_zone"), "short").groupBy("_zone").agg(F.collect_list("short").alias("shorts"))
+    listed = npcs.withColumn("_home", home).join(own, F.col("_home") == F.col("nth")).join(both, F.col("_home") == F.col("_zone"))
+    shorts = F.when(F.col("id") % 3 == 0, F.expr("cast(array() as array<string>)")).when(F.col("_home") % 2 == 0, F.col("shorts")).otherwise(F.array("own"))
+    details = listed.select("id", "name", "level", F.transform(shorts, lambda x: F.struct(F.upper(x).alias("short"), F.lit("elsewhere").alias("long"))).alias("places"))
+    return lookup.zone_roster(details, zones)
+
+
 @query(f'WITH {E} SELECT event_type, s // 3600 * 3600 AS "at", count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM e GROUP BY 1, 2')
 def stream_equals_batch(spark, d):
     return live.bucketed_totals(spark, f"{d}/events.parquet")

@@ -73,7 +73,7 @@ def typed(e: DataFrame) -> DataFrame:
         "actor": F.when(t == "click", F.col("hitter")).when((t == "purchase") | kind.isin("Heal", "Cast", "Loot", "Taunt", "Ability"), F.col("raider")).when((t == "error") & (k < 80), F.col("gnoll"))
         .when(kind == "Chat", F.when(k == 97, F.concat(F.lit("Rex"), F.col("pet_no"))).otherwise(F.col("raider"))).when(~kind.isin("Faction", "Zone", "WearOff", "Landed", "Level"), OWNER),
         "target": F.when(t.isin("click", "purchase") | kind.isin("Consider", "Taunt", "Resist"), F.col("gnoll")).when((t == "error") & (k < 80) | kind.isin("Heal", "WearOff", "Landed"), F.col("raider")),
-        "text": at("Chat", F.when(k == 97, F.concat(F.lit("My leader is Raider"), F.col("pet_no"))).otherwise("ready")), "channel": at("Chat", F.when(k == 97, "say").otherwise("group")), "ability": at("Ability", F.lit("Rest")), "success": at("Taunt", k % 2 == 0),
+        "text": at("Chat", F.when(k == 97, F.concat(F.lit("My leader is Raider"), F.col("pet_no"))).otherwise("selling Fang1 and fang0")), "channel": at("Chat", F.when(k == 97, "say").otherwise("group")), "ability": at("Ability", F.lit("Rest")), "success": at("Taunt", k % 2 == 0),
         "amount": F.when(missed, 0).when(kind.isin("Damage", "Heal"), amount), "potential": at("Heal", amount + k),
         "damage_kind": F.when(harm, F.when(t == "purchase", F.when(k < 50, "DirectDamage").when(k < 75, "DamageOverTime").otherwise("DamageShield")).when(~missed, "Melee").when((t == "click") | (k < 60), "Miss").when(k < 64, "Parry").when(k < 68, "Block").when(k < 72, "Absorb").when(k < 76, "Invulnerable").otherwise("Dodge")),
         "sub_type": F.when(t == "click", third("Slashes", "Kicks", "Shoots")).when(harm & (t == "purchase"), F.when(k < 75, F.when(k % 2 == 0, "Blaze").otherwise("Frost"))).when(harm, "Bites"),
@@ -644,6 +644,35 @@ def incoming_hits(spark, d):
     return feeds.tail(found, ["s", "line_no"]).select("line_no", "s", "attacker", "defender", "owner", "attack", "damage_kind", "amount", "modifiers", "spell", "fight_id", "total")
 
 
+@query(f"""{LOG}{FIGHTS}{_SEGMENTS}, f AS (SELECT ev.line, CASE WHEN kind = 'Loot' THEN 'Looted' ELSE 'Chat' END AS what, CASE WHEN kind = 'Loot' THEN item ELSE 'Fang1' END AS item, ev.actor AS who, CASE WHEN kind = 'Loot' THEN target ELSE 'group' END AS with_whom,
+    CASE WHEN kind = 'Loot' THEN qty ELSE 1 END AS quantity, ev.s FROM ev JOIN seg ON ev.s BETWEEN seg.b AND seg.e WHERE kind = 'Loot' OR kind = 'Chat' AND said IS NULL)
+  SELECT line AS line_no, CAST(s AS BIGINT) AS s, what, item, CASE item WHEN 'Fang0' THEN 10 WHEN 'Fang1' THEN 11 END AS item_id, who, with_whom, CAST(quantity AS INTEGER) AS quantity FROM f ORDER BY line DESC LIMIT 200""")
+def item_feed(spark, d):
+    """Loot and chat about items inside the scope, the newest 200."""
+    w = world(spark, d)
+    registry = spark.createDataFrame([("Fang0", 10), ("Fang1", 11)], "name string, id int")
+    found = feeds.item_feed(w.events, segments_of(w), registry)
+    return feeds.newest_first([found], [F.desc("line_no"), F.desc("nth")]).select("line_no", "s", "what", "item", "item_id", "who", "with_whom", "quantity")
+
+
+_INFO = f"""{LOG}{FIGHTS}, o AS (SELECT id, b AS begin, CASE WHEN b - max(last_damage) OVER (ORDER BY b, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 120 THEN 0 ELSE 1 END AS new FROM fights),
+  ch AS (SELECT id, CAST(sum(new) OVER (ORDER BY begin, id ROWS UNBOUNDED PRECEDING) - 1 AS INTEGER) AS grp FROM o),
+  zf AS (SELECT *, (SELECT 'Fen' || (arg_max(k, line) % 3) FROM ev WHERE kind = 'Zone' AND ev.line < fights.first_line) AS zone FROM fights),
+  hp AS (SELECT lower(npc) AS m, lower(zone) AS zk, quantile_disc(damage_total, 0.5) AS health FROM zf WHERE dead AND has_damage AND damage_total > 0 AND zone IS NOT NULL GROUP BY ALL),
+  mine AS (SELECT npc, z, f, sum(amount) AS own FROM i WHERE damaging AND dealt AND actor IN ('Raider0', 'Rex0') GROUP BY ALL)"""
+
+
+@query(f"""{_INFO} SELECT CAST(zf.id AS INTEGER) AS id, npc AS name, grp AS "group", zone AS zone_base, CAST(health AS BIGINT) AS health, CAST(coalesce(own, 0) AS BIGINT) AS own_damage, closed FROM zf JOIN ch USING (id) LEFT JOIN mine USING (npc, z, f) LEFT JOIN hp ON lower(npc) = m AND lower(zone) = zk""")
+def fight_info(spark, d):
+    """The fight list as it is shown: pull chain, estimated health where the mob has been killed, and the owner's side's damage."""
+    _, rows, found, _ = fought(spark, d)
+    _, pets = evidence(spark)
+    kills = learned.harvest_kills(found.withColumn("difficulty", F.lit(None).cast("int")))
+    health = kills.groupBy("mob_key", "zone_key", "difficulty").agg(learned.nearest_rank("damage", 0.5).alias("health"))
+    info = fights.fight_info(found, rows, OWNER, pets, health)
+    return info.select("id", "name", "group", "zone_base", "health", "own_damage", "closed")
+
+
 # --- text and back --------------------------------------------------------------------------------------------------
 
 
