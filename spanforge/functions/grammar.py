@@ -477,14 +477,24 @@ def matched(line: Text, owners: Text, emu: bool) -> tuple[pa.Array, dict[str, pa
     return at.take(order), {name: pa.concat_arrays(parts).take(order) for name, parts in pieces.items()}
 
 
+#: Lines that no rule takes, on their way to the spell book.
+REST = "_Rest"
+
+
 def events_schema(lines: DataFrame) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
     return f"session_id {kinds['session_id']}, line_no {kinds['line_no']}, ts timestamp_ntz, kind string, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items())
 
 
-def events_batch(head: list[pa.Array], line: Text, owners: Text, emu: bool) -> pa.RecordBatch:
-    """Events of lines; head has their session_id, line_no and ts."""
+def events_batch(head: list[pa.Array], line: Text, owners: Text, emu: bool, rest: bool = False) -> pa.RecordBatch:
+    """Events of lines; head has their session_id, line_no and ts.  rest: lines without one are rows of kind REST."""
     at, fields = matched(line, owners, emu)
+    if rest:
+        other = pc.indices_nonzero(pc.invert(pc.is_in(pa.array(range(len(line)), pa.int32()), at))).cast(pa.int32())
+        n = len(other)
+        more = {"kind": pa.repeat(pa.scalar(REST), n), "text": line.take(other).cast(pa.string())}
+        fields = {name: pa.concat_arrays([c.cast(TYPES.get(name, pa.string())), more[name] if name in more else pa.nulls(n, TYPES[name])]) for name, c in fields.items()}
+        at = pa.concat_arrays([at.cast(pa.int32()), other])
     amount = fields["amount"]
     fine = pc.or_kleene(pc.is_null(amount), pc.and_kleene(pc.greater_equal(amount, 0), pc.less_equal(amount, 4294967295)))
     return pa.RecordBatch.from_arrays([*(x.take(at) for x in head), *fields.values()], ["session_id", "line_no", "ts", "kind", *FIELDS]).filter(fine)
@@ -494,19 +504,23 @@ def owner_of(lines: DataFrame, owner: Column | None) -> Column:
     return (owner if owner is not None else F.col("owner_name") if "owner_name" in lines.columns else F.lit("You")).cast("string").alias("owner")
 
 
-def parse(lines: DataFrame, owner: Column | None = None, emu: bool = False) -> DataFrame:
+def parse(lines: DataFrame, owner: Column | None = None, emu: bool = False, emotes: DataFrame | None = None, owner_name: str = "You") -> DataFrame:
     """Events of lines (session_id, line_no, ts, action), one for each recognised line.
 
     owner: the log owner's name, by default what session_id's file name says (column owner_name of lines, if there).
     emu: the grammar of emulator servers, whose criticals are announced on a line before the hit.
+    emotes: a spell book, in which lines that no rule takes are looked up; what lands on oneself lands on owner_name.
     """
+    rest = emotes is not None
 
     def run(batches):
         for b in batches:
-            yield events_batch([b.column(0), b.column(1), b.column(2)], b.column(3), b.column(4), emu)
+            yield events_batch([b.column(0), b.column(1), b.column(2)], b.column(3), b.column(4), emu, rest)
 
     picked = lines.where(F.length("action") >= 3).select("session_id", "line_no", "ts", "action", owner_of(lines, owner))
     events = picked.mapInArrow(run, events_schema(picked))
+    if rest:
+        events = with_emotes(events, emotes, owner_name)
     return announced(events) if emu else events
 
 
@@ -529,6 +543,15 @@ def parse_text(raw: DataFrame, owner: Column | None = None, emu: bool = False, t
     return announced(events) if emu else events
 
 
+def with_emotes(events: DataFrame, emotes: DataFrame, owner: str) -> DataFrame:
+    """events of which the rows of kind REST became what the spell book (`spells.book`) knows their emotes for, or went."""
+    from ..operators import spells
+
+    rest = events.where(F.col("kind") == REST).select("session_id", "line_no", "ts", F.col("text").alias("action"))
+    known = spells.recognise(rest, emotes, owner).drop("candidates")
+    return events.where(F.col("kind") != REST).unionByName(known, allowMissingColumns=True)
+
+
 def announced(events: DataFrame) -> DataFrame:
     """events without announcements; the next melee hit of the one announced last is critical.
 
