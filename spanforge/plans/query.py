@@ -82,14 +82,20 @@ class World:
         return segments.long_presence(self.events.select("session_id", "s", "line_no", "kind", "welcome"), ["session_id"], ["s", "line_no"], marker=login).select("b", "e")
 
 
+def name_table(world: World) -> DataFrame:
+    """(name, npc, known, owner): one row for each name that is known to be an enemy, a player or a pet."""
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = world.npcs.select("name", F.lit(True).alias("npc"), null("boolean").alias("known"), null("string").alias("owner"))
+    rows = rows.unionByName(world.verified.select("name", null("boolean").alias("npc"), F.lit(True).alias("known"), null("string").alias("owner")))
+    rows = rows.unionByName(world.pets.select(F.col("pet").alias("name"), null("boolean").alias("npc"), null("boolean").alias("known"), "owner"))
+    return rows.groupBy("name").agg(*[F.max(c).alias(c) for c in ("npc", "known", "owner")])
+
+
 def sided(world: World) -> DataFrame:
-    """Events with actor_npc, target_npc, target_player and the owner of the actor, by left joins on names."""
-    e = world.events
-    npcs, verified = world.npcs.select("name").distinct(), world.verified.select("name").distinct()
+    """Events with actor_npc, target_npc, target_player and the owner of the actor, by one left join on names a side."""
+    e, names = world.events, name_table(world)
     for side in ("actor", "target"):
-        e = e.join(npcs.select(F.col("name").alias(side), F.lit(True).alias(f"_{side}_npc")), side, "left")
-        e = e.join(verified.select(F.col("name").alias(side), F.lit(True).alias(f"_{side}_known")), side, "left")
-        e = e.join(world.pets.select(F.col("pet").alias(side), F.col("owner").alias(f"_{side}_owner")), side, "left")
+        e = e.join(names.select(F.col("name").alias(side), *[F.col(c).alias(f"_{side}_{c}") for c in ("npc", "known", "owner")]), side, "left")
         name = F.col(side)
         pet = F.col(f"_{side}_owner").isNotNull() | name.rlike(r"[`']s (pet|warder|familiar)$")
         known = F.coalesce(F.col(f"_{side}_known"), F.lit(False))
