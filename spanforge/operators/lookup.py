@@ -209,6 +209,27 @@ def zone_roster(details: DataFrame, zones: DataFrame) -> DataFrame:
     return here.select("short", "id", "name", "level", F.row_number().over(order).alias("rank"))
 
 
+#: Up to a player level, the largest level difference that is still green, and still light blue if any is.
+CON_COLOURS = (
+    (8, -4, None), (9, -6, -4), (13, -7, -5), (15, -7, -5), (17, -8, -6), (21, -9, -7), (25, -10, -8), (29, -11, -9), (31, -12, -9), (33, -13, -10), (37, -14, -11), (41, -16, -12),
+    (45, -17, -13), (49, -18, -14), (53, -19, -15), (55, -20, -15), (57, -21, -16), (59, -22, -16), (61, -23, -17), (63, -24, -17), (65, -25, -18), (67, -26, -18), (69, -27, -19), (None, -28, -19),
+)
+
+
+def con_colour(player: Column, mob: Column) -> Column:
+    """What a mob of a level looks like to a player of one: red, yellow, white, blue, lightblue or green."""
+    diff = mob - player
+    tier = lambda i: F.coalesce(*[F.when(player <= row[0] if row[0] is not None else F.lit(True), F.lit(row[i] if row[i] is not None else -(2**31))) for row in CON_COLOURS])
+    return (
+        F.when(diff == 0, "white").when(diff >= 3, "red").when(diff > 0, "yellow").when(diff <= tier(1), "green").when(diff <= tier(2), "lightblue").when(diff.isNotNull(), "blue")
+    )
+
+
+def standing_in(places: DataFrame, short: str) -> DataFrame:
+    """The rows of mob_places that a drawing shows, as the place's own short name or as one of its maps."""
+    return places.where((F.col("short") == short) | F.array_contains("maps", short))
+
+
 def in_band(index: DataFrame, low: int | None, high: int | None) -> int:
     """How many names of build_index have a listing of a known level within the band; an open end holds all."""
     fits = lambda v: v["level"].isNotNull() & ((v["level"] >= low) if low is not None else F.lit(True)) & ((v["level"] <= high) if high is not None else F.lit(True))

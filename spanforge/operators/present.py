@@ -122,6 +122,23 @@ def drop_rates(drops: DataFrame, kills: DataFrame, source: str = "target", item:
     return got.join(dead, "source", "left").select("source", item, "drops", n.alias("kills"), F.when(n > 0, 100.0 * F.col("drops") / n).otherwise(0.0).alias("rate"))
 
 
+def kill_totals(kills: DataFrame) -> DataFrame:
+    """(mob, kills, zones, last): of samples (mob, zone, samples, last_killed) by name, whatever its case, most killed first."""
+    rows = kills.groupBy(F.lower(F.trim("mob")).alias("_key")).agg(F.min("mob").alias("mob"), F.sum("samples").alias("kills"), F.sort_array(F.collect_set("zone")).alias("zones"), F.max("last_killed").alias("last"))
+    return rows.orderBy(F.desc("kills"), "mob").drop("_key")
+
+
+#: Fixed value: a lane of more bands than this is not drawn.
+LANE_MOST = 120
+
+
+def strips(spans: DataFrame, low: int, high: int, most: int = LANE_MOST) -> DataFrame:
+    """Spans (lane, label, b, e) that overlap the axis, without the lanes that have too many of them."""
+    met = spans.where((F.col("e") >= low) & (F.col("b") <= high))
+    few = met.groupBy("lane").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most).select("lane")
+    return met.join(few, "lane")
+
+
 def health_check(listed: Column, measured: Column) -> Column:
     share = measured / listed
     return F.when(share < 0.9, "low").when(share <= 1.35, "ok").otherwise("high")

@@ -576,7 +576,7 @@ def mention_names(spark: SparkSession, d: str) -> DataFrame:
     return at.select(F.trim(F.regexp_replace(F.array_join(F.slice("w", F.col("i"), F.col("n")), " "), r"[^\p{L}\p{N} ]", "")).alias("name")).where("name <> ''").distinct()
 
 
-#: Suppliers as NPCs whose id's thousands name a zone; nations as zones, the first of each region under the region's name too.
+#: Parts as NPCs, whose id's thousands name a zone; nations as zones, some under their region's name.
 _NPCS = """n AS (SELECT lower(p_brand) AS name, p_partkey % 25 * 1000 + p_partkey AS id, CASE WHEN p_size % 7 <> 0 THEN p_size END AS level FROM part),
   z AS (SELECT n_nationkey AS nth, n_name AS short, CASE WHEN n_nationkey % 4 = 0 THEN r_name ELSE n_name END AS display, r_name AS era, [n_nationkey, n_nationkey + 1] AS ids FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
@@ -601,6 +601,14 @@ def mob_places(spark, d):
     return found.select("name", "zone_id", "place", "short", F.array_join("maps", " ").alias("maps"), "era", F.array_join("levels", " ").alias("levels"), F.size("ids").cast("long").alias("ids"))
 
 
+@query(f"""WITH c(ceiling, green, light) AS (VALUES {', '.join(f"({a if a else 2**30}, {g}, {b if b else -2**30})" for a, g, b in lookup.CON_COLOURS)}), p AS (SELECT p_partkey, p_size + p_partkey % 40 AS player, (p_partkey * 7) % 90 + 1 AS mob FROM part),
+  t AS (SELECT p_partkey, player, mob, arg_min(green, ceiling) AS green, arg_min(light, ceiling) AS light FROM p JOIN c ON player <= ceiling GROUP BY ALL)
+  SELECT p_partkey, CASE WHEN mob = player THEN 'white' WHEN mob - player >= 3 THEN 'red' WHEN mob > player THEN 'yellow' WHEN mob - player <= green THEN 'green' WHEN mob - player <= light THEN 'lightblue' ELSE 'blue' END AS colour FROM t""")
+def con_colours(spark, d):
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") + F.col("p_partkey") % 40).alias("player"), (F.col("p_partkey") * 7 % 90 + 1).alias("mob"))
+    return p.select("p_partkey", lookup.con_colour(F.col("player"), F.col("mob")).alias("colour"))
+
+
 @query(f"""WITH {_NPCS}, w AS (SELECT short, display, unnest(ids) AS zone_id, generate_subscripts(ids, 1) AS place FROM z),
   met AS (SELECT w.short, place, id, name, level FROM w JOIN n ON id // 1000 = zone_id WHERE id % 3 <> 0 AND (id // 1000 % 2 = 0 OR w.short = (SELECT short FROM z z2 WHERE z2.nth = id // 1000))),
   one AS (SELECT * FROM met SEMI JOIN (SELECT short, min(place) AS place FROM met GROUP BY short) f ON met.short = f.short AND met.place = f.place)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOCUMENT_KEYS = ("dashboards", "settings", "pins", "recents", "triggers")
@@ -107,6 +107,12 @@ def read_events(spark: SparkSession, path: str, parser_version: int = 1) -> Data
     return spark.read.parquet(path).where(F.col("parser_version") == parser_version).drop("day", "parser_version")
 
 
-def stale(tables: DataFrame, days: int = 60) -> DataFrame:
-    """Cached sessions to sweep: the log is gone or nothing was read for so many days."""
-    return tables.where(~F.col("log_exists") | (F.col("last_used") < F.current_timestamp() - F.expr(f"INTERVAL {days} DAYS")))
+def stale(tables: DataFrame, days: int = 60, build: str | None = None) -> DataFrame:
+    """Cached sessions to sweep: the log is gone, nothing was read for so many days, or another build than this one's wrote
+    it and a newer cache of its log by another build is there (tables: log, log_exists, last_used and, with build, build)."""
+    old = ~F.col("log_exists") | (F.col("last_used") < F.current_timestamp() - F.expr(f"INTERVAL {days} DAYS"))
+    if build is None:
+        return tables.where(old)
+    foreign = (F.col("build") != build) & ~old
+    newest = Window.partitionBy("log", foreign).orderBy(F.desc("last_used"), "build")
+    return tables.withColumn("_nth", F.row_number().over(newest)).where(old | (foreign & (F.col("_nth") > 1))).drop("_nth")

@@ -2,10 +2,11 @@
 
 import pytest
 
-from spanforge.operators import feeds, fights, lookup
+from spanforge.operators import feeds, fights, lookup, present
 from spanforge.plans import frames
 from spanforge.plans.frames import Frame, Panel
 from spanforge.plans.query import Filter, Scope
+from spanforge.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +74,21 @@ def test_maps_by_display_name(spark):
 def test_names_in_a_band(spark):
     index = lookup.build_index(spark.createDataFrame([("a", 5, 1), ("a", 9, 2), ("b", None, 3), ("c", 20, 4)], "name string, level int, id int"))
     assert [lookup.in_band(index, *x) for x in ((6, 10), (None, 5), (10, None), (None, None))] == [1, 1, 1, 2]
+
+
+def test_colours_totals_lanes_and_pins(spark):
+    levels = spark.createDataFrame([(8, 8), (8, 11), (8, 9), (8, 4), (8, 5), (20, 11), (20, 13), (20, 14), (70, 42), (70, 51), (70, 52)], "player int, mob int")
+    assert [r[0] for r in levels.select(lookup.con_colour(levels.player, levels.mob)).collect()] == ["white", "red", "yellow", "green", "blue", "green", "lightblue", "blue", "green", "lightblue", "blue"]
+    kills = spark.createDataFrame([("A rat", "Fen", 3, 5), ("a rat ", "Keep", 2, 9), ("a bat", "Fen", 9, 1)], "mob string, zone string, samples long, last_killed long")
+    assert [(r["mob"].strip().lower(), r["kills"], r["zones"], r["last"]) for r in present.kill_totals(kills).collect()] == [("a bat", 9, ["Fen"], 1), ("a rat", 5, ["Fen", "Keep"], 9)]
+    spans = spark.createDataFrame([("zone", "a", 0, 5), ("zone", "b", 6, 9), ("level", "1", 0, 3), ("level", "2", 4, 4), ("level", "3", 5, 9)], "lane string, label string, b long, e long")
+    assert sorted(r["label"] for r in present.strips(spans, 4, 6, most=2).collect()) == ["2", "3", "a", "b"]
+    assert sorted(r["label"] for r in present.strips(spans, 0, 9, most=2).collect()) == ["a", "b"]
+    places = spark.createDataFrame([("x", "fen", ["fen"]), ("y", "keep", ["fen", "keep"]), ("z", None, [])], "name string, short string, maps array<string>")
+    assert sorted(r["name"] for r in lookup.standing_in(places, "fen").collect()) == ["x", "y"]
+
+
+def test_caches_to_sweep(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('a', true, current_timestamp(), 'me'), ('a', true, current_timestamp() - INTERVAL 1 DAY, 'old'), ('a', true, current_timestamp() - INTERVAL 2 DAYS, 'older'), ('b', false, current_timestamp(), 'me'), ('c', true, current_timestamp() - INTERVAL 90 DAYS, 'me') AS t(log, log_exists, last_used, build)")
+    assert sorted((r["log"], r["build"]) for r in files.stale(rows, build="me").collect()) == [("a", "older"), ("b", "me"), ("c", "me")]
+    assert sorted(r["log"] for r in files.stale(rows).collect()) == ["b", "c"]
