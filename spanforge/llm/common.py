@@ -54,10 +54,13 @@ def real_id(name: str) -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 
 
-def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _h, text): the id with null last, a hash of the text that tells rows of one id apart, and the text with null as empty."""
+def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(_id, _h, text): the id with null last, a hash of the text that tells rows of one id apart, and the text with null as empty.
+
+    keep: columns to carry along, the i-th as _keep_i.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(sort_id(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("text"))
+    return docs.select(sort_id(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -90,11 +90,12 @@ def smallest_ids(contexts: list[bytes], ids: np.ndarray, length: int) -> tuple[n
 METHOD = Method(LENGTH, GRAM, byte_symbols, smallest_ids)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
-    """(id, _h, n_bytes, spans, kept): the removed spans in bytes and the bytes that are left of each row's text.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, _h, n_bytes, spans, kept, *keep): the removed spans in bytes and the bytes that are left of each row's text.
 
-    as_text: what is left as a text; a character of which a part went goes whole.
+    as_text: what is left as a text; a character of which a part went goes whole.  keep: columns of docs to carry along.
     """
+    names = [f"_keep_{i}" for i in range(len(keep))]
 
     def run(batches):
         for batch in batches:
@@ -106,10 +107,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append((len(raw), [{"a": a, "b": b} for a, b in gone], "".join(x.decode(errors="ignore") for x in left) if as_text else b"".join(left)))
             n, gone, kept = zip(*out) if out else ((), (), ())
             span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(gone, span), pa.array(kept, pa.string() if as_text else pa.binary())], ["_id", "_h", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(gone, span), pa.array(kept, pa.string() if as_text else pa.binary()), *batch.columns[4:]], ["_id", "_h", "n_bytes", "spans", "kept", *names])
 
-    found = with_spans(docs, METHOD, id_col, text_col).mapInArrow(run, "_id long, _h long, n_bytes long, spans array<struct<a: long, b: long>>, kept " + ("string" if as_text else "binary"))
-    return found.select(real_id("_id").alias(id_col), "_h", "n_bytes", "spans", "kept")
+    rows = with_spans(docs, METHOD, id_col, text_col, keep)
+    schema = ["_id long, _h long, n_bytes long, spans array<struct<a: long, b: long>>, kept " + ("string" if as_text else "binary"), *(f"{n} {dict(rows.dtypes)[n]}" for n in names)]
+    found = rows.mapInArrow(run, ", ".join(schema))
+    return found.select(real_id("_id").alias(id_col), "_h", "n_bytes", "spans", "kept", *[F.col(n).alias(c) for n, c in zip(names, keep)])
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

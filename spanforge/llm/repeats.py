@@ -439,21 +439,23 @@ def gather_spans(batches):
         yield pa.RecordBatch.from_arrays([pa.array(spans[part[:-1], 0].copy()), pa.array([raw[24 * x : 24 * y] for x, y in zip(part[:-1].tolist(), part[1:].tolist())], pa.binary())], ["_id", "spans"])
 
 
-def with_spans(docs: DataFrame, method: Method, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _h, text, spans): each row with the packed spans of all rows of its id; those of its own hash are its own.
+def with_spans(docs: DataFrame, method: Method, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(_id, _h, text, spans, *keep): each row with the packed spans of all rows of its id; those of its own hash are its own.
 
     Rows of null id are looked up by their texts' hashes.  Ids of NULLS and above rank as null ids do.
     """
     n = partitions(docs.sparkSession)
     null = F.lit(NULLS).bitwiseOR(F.col("_h").bitwiseAND(F.lit(2**40 - 1)))
     # no column more than the first join needs and no id that might be null, or the second can't reuse its shuffle
-    texts = keyed_texts(docs, id_col, text_col).select(F.when(F.col("_id") == NULL_ID, null).otherwise(F.col("_id")).alias("_id"), "_h", "text")
+    every = keyed_texts(docs, id_col, text_col, keep)
+    kept = [c for c in every.columns if c not in ("_id", "_h", "text")]
+    texts = every.select(F.when(F.col("_id") == NULL_ID, null).otherwise(F.col("_id")).alias("_id"), "_h", "text", *kept)
     asked = texts.select("_id", "text").mapInArrow(ask(method, n), "bucket int, kind int, data binary").repartitionById(n, F.col("bucket"))
     answers = asked.mapInArrow(answer(n, HOT_CONTEXTS), "bucket int, kind int, data binary").repartitionById(n, F.col("bucket")).mapInArrow(gather, "_id long, numbers binary")
-    offered = texts.join(answers, "_id").select("_id", "_h", "text", "numbers").mapInArrow(offer(method, n), "bucket int, kind int, data binary, sizes binary, texts binary")
+    offered = texts.join(answers, "_id").select("_id", "_h", "text", "numbers", *kept).mapInArrow(offer(method, n), "bucket int, kind int, data binary, sizes binary, texts binary")
     decided = offered.repartitionById(n, F.col("bucket")).mapInArrow(decide(method, n), "bucket int, data binary")
     found = decided.repartitionById(n, F.col("bucket")).mapInArrow(gather_spans, "_id long, spans binary")
-    return texts.join(found, "_id", "left").select(F.when(F.col("_id") == null, NULL_ID).otherwise(F.col("_id")).alias("_id"), "_h", "text", "spans")
+    return texts.join(found, "_id", "left").select(F.when(F.col("_id") == null, NULL_ID).otherwise(F.col("_id")).alias("_id"), "_h", "text", "spans", *kept)
 
 
 def own_spans(hashes: pa.Array, spans: pa.Array) -> list[list[tuple[int, int]]]:

@@ -56,7 +56,7 @@ def beside_hub(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     nodes = pairs.join(dealt, "hub").select("hub", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(1).alias("is_node"), "node")
     hubs = dealt.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("is_node"), F.col("hub").alias("node"))
     rows = nodes.union(hubs).join(sets, "node").select("hub", "salt", "is_node", "node", "n", "hashes")
-    return rows.repartition(4 * partitions(pairs.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "is_node")
+    return rows.repartition(partitions(pairs.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "is_node")
 
 
 def met_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[np.ndarray], list[np.ndarray]]]:
