@@ -45,10 +45,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated byte strings go; a character of which a part went goes whole."""
-    found = op4_suffix_buckets.deduplicated(docs, as_text=True).withColumn("_id", sort_id("doc_id")).select("_id", "_h", F.col("kept").alias("text"))
-    rest = keyed(docs).dropDuplicates(["_id", "_h"]).select("doc_id", "lang", "source", "_id", "_h")
-    return found.join(rest, ["_id", "_h"]).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    """Repeated byte strings go; a character of which a part went goes whole.  Rows of one id and equal texts stay as they are."""
+    found = op4_suffix_buckets.deduplicated(docs, as_text=True, keep=("lang", "source"))
+    return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
