@@ -49,7 +49,10 @@ def one_per_level(npcs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ranked_search(df: DataFrame, key: str, query: str, limit: int, band: tuple[int, int] | None = None, level: str = "level") -> DataFrame:
-    """Rows whose key is, begins with or holds the query, in this order and then by key; an empty query needs a band."""
+    """Rows whose key is, begins with or holds the query, in this order, then by key and by the other columns from the left.
+
+    Rows of one key thus have one order, whatever the limit cuts; an empty query needs a band.
+    """
     query = query.strip().lower()
     if not query and band is None:
         return df.withColumn("rank", F.lit(0)).limit(0)
@@ -57,7 +60,7 @@ def ranked_search(df: DataFrame, key: str, query: str, limit: int, band: tuple[i
     found = df.withColumn("rank", rank).where("rank is not null")
     if band is not None:
         found = found.where(F.col(level).between(*band))
-    return found.orderBy("rank", key).limit(limit)
+    return found.orderBy("rank", key, *[c for c in df.columns if c != key]).limit(limit)
 
 
 def quartile_band(df: DataFrame, keys: list[str], value: str, least: int = 5) -> DataFrame:
