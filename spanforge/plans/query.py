@@ -291,7 +291,7 @@ def compile_query(world: World, spec: QuerySpec) -> Compiled:
     wanted = metrics.needed(names) | ({"total"} if "percentOfTotal" in names else set())
     touched = [F.collect_set(F.when(own_side(world.owner) & F.col("hb").isNotNull(), F.struct(F.col("hb").alias("b"), F.col("he").alias("e")))).alias("touched")] if stances else []
     # a group of one unit touches as many stances as were held in it
-    base = rows.groupBy(*dims, "unit").agg(*metrics.parts(wanted), F.min("s").alias("b"), F.max("s").alias("e"), F.min(F.struct("s", "line_no")).alias("first_seen"), *touched)
+    base = rows.groupBy(*dims, "unit").agg(*metrics.parts(wanted), F.min("s").alias("b"), F.max("s").alias("e"), F.min("line_no").alias("first_seen"), *touched)
     for d in [d for d in dims if d.endswith("_actor")]:
         base = flattened(base, dims, d)
     tree = segments.cut(leveled(base, dims, wanted, stances))
