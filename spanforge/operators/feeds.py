@@ -26,15 +26,28 @@ def newest_first(parts: list[DataFrame], order: list[Column], limit: int = FEED_
     return whole.orderBy(*order).limit(limit)
 
 
+#: Seconds of the stretches that fights are dealt to.
+MINUTE = 60
+
+
+def first_by_minute(fights: DataFrame) -> DataFrame:
+    """(_npc, _minute, _b, _e, id): the part of each enemy's minute that fights span, with the first of those that span it."""
+    spans = fights.select(F.lower("name").alias("_npc"), F.col("begin").alias("b"), F.col("last_damage").alias("e"), "id").where("b <= e")
+    dealt = spans.withColumn("_minute", F.explode(F.sequence(F.floor(F.col("b") / MINUTE), F.floor(F.col("e") / MINUTE))))
+    low = F.col("_minute") * MINUTE
+    return dealt.groupBy("_npc", "_minute", F.greatest("b", low).alias("_b"), F.least("e", low + (MINUTE - 1)).alias("_e")).agg(F.min("id").alias("id"))
+
+
 def fight_at(hits: DataFrame, fights: DataFrame, npc: str = "attacker") -> DataFrame:
-    """hits with fight_id: the first fight of that enemy (whatever its case) that spans the hit's second."""
-    from .segments import within
+    """hits with fight_id: the first fight of that enemy (whatever its case) that spans the hit's second.
 
+    An enemy's minute has few parts to look at, however many fights overlap in it.
+    """
     # equal hits are equal rows: each distinct one is looked up once
     named = hits.withColumn("_npc", F.lower(npc))
-    points = named.select("_npc", "s").distinct()
-    spans = fights.select(F.lower("name").alias("_npc"), F.col("begin").alias("b"), F.col("last_damage").alias("e"), "id")
-    found = within(points, spans, ["_npc"], ["id"]).groupBy("_npc", "s").agg(F.min("id").alias("fight_id"))
+    points = named.select("_npc", "s").distinct().withColumn("_minute", F.floor(F.col("s") / MINUTE))
+    met = points.join(first_by_minute(fights), ["_npc", "_minute"]).where("s between _b and _e")
+    found = met.groupBy("_npc", "s").agg(F.min("id").alias("fight_id"))
     return named.join(found, ["_npc", "s"], "left").drop("_npc")
 
 
