@@ -156,29 +156,28 @@ ROUTES = {
 }
 
 
-def scoped(world: World, spec: QuerySpec, events: DataFrame) -> DataFrame:
-    """The source's rows in the scope's units, with unit, ub and ue (its first and last second) and who they count for.
+def sources(world: World, spec: QuerySpec, events: DataFrame) -> list[tuple[DataFrame, DataFrame, list[str], int]]:
+    """The source's rows with who they count for, the units that they may fall in, and keys and width of their join.
 
-    Units that are fights join on the enemy's name and a stretch of five minutes; others are few or disjoint and join on
-    the hour.
+    Units are named ub and ue (their first and last second).  Units that are fights join on the enemy's name and a
+    stretch of five minutes; others are few or disjoint and join on the hour.
     """
     scope, source = spec.scope, spec.source
     spans = units(world, spec).withColumn("ub", F.col("b")).withColumn("ue", F.col("e"))
-    values = ["unit", "ub", "ue"]
     if source not in ("damage", "tanking"):
         kind, who = ROUTES[source]
-        return segments.within(events.where(F.col("kind") == kind), spans, [], values, HOUR).withColumn("who", who(world.owner))
-    hits = events.where("kind = 'Damage'")
+        return [(events.where(F.col("kind") == kind).withColumn("who", who(world.owner)), spans.drop("name"), [], HOUR)]
+    hits = events.where("kind = 'Damage' and actor is not null" if source == "damage" else "kind = 'Damage'")
     side, other = ("target", "actor") if source == "damage" else ("actor", "target")
+    hits = hits.withColumn("who", F.col(other))
     parts = []
     if not scope.lastSeconds:
         named = hits.withColumn("_name", F.col(side)).where("_name is not null")
-        parts.append(segments.within(named, spans.where("name is not null").withColumnRenamed("name", "_name"), ["_name"], values, 300).drop("_name"))
+        parts.append((named, spans.where("name is not null").withColumnRenamed("name", "_name"), ["_name"], 300))
     if scope.lastSeconds or scope.timeRanges:
         ranged = ~F.coalesce("target_player", F.lit(False)) & ~F.col("actor_npc") & ~F.coalesce("is_spell", F.lit(False)) if source == "damage" else F.col("actor_npc")
-        parts.append(segments.within(hits.where(ranged), spans.where("name is null").drop("name"), [], values, HOUR))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return (rows.where("actor is not null") if source == "damage" else rows).withColumn("who", F.col(other))
+        parts.append((hits.where(ranged), spans.where("name is null").drop("name"), [], HOUR))
+    return parts
 
 
 def kind_label() -> Column:
@@ -246,13 +245,13 @@ def stance_spans(world: World) -> DataFrame:
 
 
 def with_stance(world: World, rows: DataFrame) -> DataFrame:
-    """Rows of units with held and the stretch (hb, he) of it that they touch, within their unit and the play session."""
+    """rows with held and the stretch (hb, he) of it, within the play session, at their second."""
     key = lambda df: df.withColumn("_k", F.lit(0))
     pieces = intervals.intersect(key(stance_spans(world)), key(world.presence()), ["_k"]).withColumn("hb", F.col("b")).withColumn("he", F.col("e"))
     # a second that two play sessions share counts for the first
     first = segments.within(rows.select("s").distinct(), pieces, [], ["held", "hb", "he"], HOUR).groupBy("s").agg(F.min(F.struct("hb", "he", "held")).alias("p"))
     seconds_of = first.select("s", "p.held", "p.hb", "p.he")
-    return rows.join(seconds_of, "s", "left").withColumn("hb", F.greatest("hb", "ub")).withColumn("he", F.least("he", "ue"))
+    return rows.join(seconds_of, "s", "left")
 
 
 def no_path() -> Column:
@@ -268,30 +267,39 @@ class Compiled:
 def compile_query(world: World, spec: QuerySpec) -> Compiled:
     names = list(spec.metrics) or list(metrics.DEFAULTS[spec.source])
     stances = "stance" in spec.groupBy or any(f.dim == "stance" for f in spec.filters) or any(n.startswith("stance") for n in names)
-    rows = scoped(world, spec, sided(world))
-    if stances:
-        rows = with_stance(world, rows)
-    for f in spec.filters:
-        if f.flag:
-            test = flag(f.flag)
-        elif f.values:
-            key = owner_of_who() if f.dim == "player" and spec.petRollup else dimension(f.dim, spec.source, world.owner)
-            test = key.isin(*f.values)
-        else:
-            continue
-        rows = rows.where(~test if f.exclude else test)
+    wanted = metrics.needed(names) | ({"total"} if "percentOfTotal" in names else set())
+    value = series_value(spec.source) if spec.bucketSeconds else None
     dims: list[str] = []
     for i, dim in enumerate(spec.groupBy):
-        if dim == "player" and spec.petRollup:
-            rows = rows.withColumn(f"d{i}", owner_of_who()).withColumn(f"d{i}_actor", F.col("who"))
-            dims += [f"d{i}", f"d{i}_actor"]
-        else:
-            rows = rows.withColumn(f"d{i}", dimension(dim, spec.source, world.owner))
-            dims.append(f"d{i}")
-    wanted = metrics.needed(names) | ({"total"} if "percentOfTotal" in names else set())
-    touched = [F.collect_set(F.when(own_side(world.owner) & F.col("hb").isNotNull(), F.struct(F.col("hb").alias("b"), F.col("he").alias("e")))).alias("touched")] if stances else []
+        dims += [f"d{i}", f"d{i}_actor"] if dim == "player" and spec.petRollup else [f"d{i}"]
+
+    def by_second(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Counters by dims, keys and second: many units that overlap then meet seconds, not every row of them."""
+        if stances:
+            rows = with_stance(world, rows).withColumn("_own", own_side(world.owner))
+        for f in spec.filters:
+            if f.flag:
+                test = flag(f.flag)
+            elif f.values:
+                key = owner_of_who() if f.dim == "player" and spec.petRollup else dimension(f.dim, spec.source, world.owner)
+                test = key.isin(*f.values)
+            else:
+                continue
+            rows = rows.where(~test if f.exclude else test)
+        for i, dim in enumerate(spec.groupBy):
+            if dim == "player" and spec.petRollup:
+                rows = rows.withColumn(f"d{i}", owner_of_who()).withColumn(f"d{i}_actor", F.col("who"))
+            else:
+                rows = rows.withColumn(f"d{i}", dimension(dim, spec.source, world.owner))
+        summed = [F.sum(value).alias("_v")] if value is not None else []
+        return rows.groupBy(*dims, *keys, "s", *(["_own", "hb", "he"] if stances else [])).agg(*metrics.parts(wanted), F.min("line_no").alias("first_seen"), *summed)
+
+    met = [segments.within(by_second(found, keys), spans, keys, ["unit", "ub", "ue"], width).drop(*keys) for found, spans, keys, width in sources(world, spec, sided(world))]
+    rows = met[0] if len(met) == 1 else met[0].unionByName(met[1])
+    stretch = F.struct(F.greatest("hb", "ub").alias("b"), F.least("he", "ue").alias("e"))
+    touched = [F.collect_set(F.when(F.col("_own"), stretch)).alias("touched")] if stances else []
     # a group of one unit touches as many stances as were held in it
-    base = rows.groupBy(*dims, "unit").agg(*metrics.parts(wanted), F.min("s").alias("b"), F.max("s").alias("e"), F.min("line_no").alias("first_seen"), *touched)
+    base = rows.groupBy(*dims, "unit").agg(*metrics.merged(wanted), F.min("s").alias("b"), F.max("s").alias("e"), F.min("first_seen").alias("first_seen"), *touched)
     for d in [d for d in dims if d.endswith("_actor")]:
         base = flattened(base, dims, d)
     tree = segments.cut(leveled(base, dims, wanted, stances))
@@ -308,8 +316,8 @@ def compile_query(world: World, spec: QuerySpec) -> Compiled:
     parent = Window.partitionBy("level", F.slice("path", 1, F.greatest(F.col("level") - 1, F.lit(0)))).orderBy(F.desc(names[0]), "first_seen")
     ranked = valued.withColumn("rank", F.row_number().over(parent)).drop("first_seen")
     series = None
-    if spec.bucketSeconds and (value := series_value(spec.source)) is not None:
-        keyed = rows.withColumn("at", bucket(F.col("s"), spec.bucketSeconds)).withColumn("_v", value)
+    if value is not None:
+        keyed = rows.withColumn("at", bucket(F.col("s"), spec.bucketSeconds))
         small = keyed.groupBy(*dims, "at").agg(F.sum("_v").alias("value"))
         for d in [d for d in dims if d.endswith("_actor")]:
             small = flattened(small, dims, d)
