@@ -80,19 +80,28 @@ def attribute(casts: DataFrame, landings: DataFrame, keys: list[str], order: lis
     ).select(*keys, "_cast.*", "amount", "landed")
 
 
+#: Names that are sent to every task; a larger dictionary is shuffled with the words.
+BROADCAST_NAMES = 200_000
+
+
 def mentions(texts: DataFrame, names: DataFrame, id_cols: list[str], text_col: str = "text", name_col: str = "name") -> DataFrame:
     """(ids, name, at): dictionary names in texts, longest first, never overlapping, each once a text.
 
     Words are trimmed of punctuation.  Names of several words match in any case; a name of one word matches in its own
-    case and not beside a capitalised word.  Words meet names by the names' first words, one short row a word whatever
-    the names' lengths; the rest of a candidate is compared in its text, which the few candidates come back to.
+    case and not beside a capitalised word.  Words meet names by the names' first two words (or the only one, as it is
+    written), two short rows a word whatever the names' lengths; a dictionary of ordinary size goes to the words, so they
+    aren't shuffled.  The rest of a candidate is compared in its text, which the few candidates come back to.
     """
     words = F.filter(F.transform(F.split(F.col(text_col), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
     parts = F.split(name_col, " ")
-    known = names.select(F.col(name_col).alias("name"), F.size(parts).alias("n"), F.lower(name_col).alias("_key"), F.lower(F.get(parts, F.lit(0))).alias("_first")).where("name is not null").distinct()
+    probe = F.when(F.size(parts) > 1, F.concat_ws(" ", F.lower(F.get(parts, F.lit(0))), F.lower(F.get(parts, F.lit(1))))).otherwise(F.col(name_col))
+    known = names.select(F.col(name_col).alias("name"), F.size(parts).alias("n"), F.lower(name_col).alias("_key"), probe.alias("_probe")).where("name is not null").distinct()
+    if known.count() <= BROADCAST_NAMES:
+        known = F.broadcast(known)
     cut = texts.select(*id_cols, words.alias("_w")).where(F.size("_w") > 0)
-    here = cut.select(*id_cols, F.posexplode("_w").alias("_at", "_word")).withColumn("_first", F.lower("_word"))
-    met = here.join(known, "_first").where((F.col("n") > 1) | (F.col("_word") == F.col("name")))
+    pairs = F.transform("_w", lambda w, i: F.array(w, F.concat(F.lower(w), F.lit(" "), F.lower(F.get("_w", i + 1)))))
+    here = cut.select(*id_cols, F.posexplode(pairs).alias("_at", "_probes")).select(*id_cols, "_at", F.explode("_probes").alias("_probe"))
+    met = here.join(known, "_probe")
     listed = met.groupBy(*id_cols).agg(F.collect_list(F.struct((-F.col("n")).alias("n"), (F.col("_at") + 1).alias("at"), "name", "_key")).alias("_met"))
     capital = lambda c: F.coalesce(c.rlike(r"^\p{Lu}"), F.lit(False))
     whole = lambda m: (m["at"] - m["n"] - 1 <= F.size("_w")) & (F.lower(F.array_join(F.slice("_w", m["at"], -m["n"]), " ")) == m["_key"])
