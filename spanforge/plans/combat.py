@@ -114,7 +114,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def world(spark: SparkSession, d: str) -> World:
-    """The session that the queries ask; its fights are kept like its records."""
+    """The session that the queries ask; its fights are kept like its records, from the first query on that needs them."""
     store = Store(spark)
     version = store.version_of(f"{d}/events.parquet")
     log = records(spark, d)
@@ -126,7 +126,7 @@ def world(spark: SparkSession, d: str) -> World:
         return fights.fights(rows, players, pets, log).select("id", "name", "begin", "last_damage", "last_activity", "closed")
 
     npcs = spark.createDataFrame([(x,) for x in names("A gnoll", 10)], "name string")
-    return World(log, store.table(f"fights {d}", version, found), pets, npcs, players.select("name"), OWNER)
+    return World(log, lambda: store.table(f"fights {d}", version, found), pets, npcs, players.select("name"), OWNER)
 
 
 FIGHTS = """, zones AS (SELECT line FROM ev WHERE kind = 'Zone'),
@@ -597,7 +597,7 @@ _SEGMENTS = f""", cut AS (SELECT min(b) + 3600 AS low, max(e) - 3600 AS high FRO
 
 def segments_of(w: World) -> DataFrame:
     """The merged fights, without the first and the last hour of them."""
-    whole = w.fights.select(F.lit(0).alias("_k"), F.col("begin").alias("b"), F.greatest("last_damage", "begin").alias("e"))
+    whole = w.listed().select(F.lit(0).alias("_k"), F.col("begin").alias("b"), F.greatest("last_damage", "begin").alias("e"))
     cut = whole.agg((F.min("b") + 3600).alias("low"), (F.max("e") - 3600).alias("high"))
     inside = whole.crossJoin(F.broadcast(cut)).where("b <= high and e >= low").select("_k", F.greatest("b", "low").alias("b"), F.least("e", "high").alias("e"))
     return intervals.merge(inside, ["_k"]).select("b", "e")
@@ -640,7 +640,7 @@ _INCOMING = """, inc AS (SELECT ev.line, ev.s, actor AS attacker, target AS defe
 def incoming_hits(spark, d):
     """The newest 200 hits on four raiders inside the scope, with how many there were."""
     w = world(spark, d)
-    found = timeline.incoming(sided(w), segments_of(w), w.fights, w.pets, ["raider1", "Raider2", "RAIDER3", "Raider5"])
+    found = timeline.incoming(sided(w), segments_of(w), w.listed(), w.pets, ["raider1", "Raider2", "RAIDER3", "Raider5"])
     return feeds.tail(found, ["s", "line_no"]).select("line_no", "s", "attacker", "defender", "owner", "attack", "damage_kind", "amount", "modifiers", "spell", "fight_id", "total")
 
 

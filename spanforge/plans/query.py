@@ -8,6 +8,7 @@ whole key and unit, and rolls the small result up level by level.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
@@ -68,18 +69,29 @@ class QuerySpec:
 
 @dataclass
 class World:
-    """What a session offers to queries; events carry s, their second.  The dimension tables are one row a name."""
+    """What a session offers to queries; events carry s, their second.  The dimension tables are one row a name.
+
+    Fights may be given as a function that finds them, which queries that need none don't call.
+    """
 
     events: DataFrame
-    fights: DataFrame  # id, name, begin, last_damage, last_activity in seconds
+    fights: DataFrame | Callable[[], DataFrame]  # id, name, begin, last_damage, last_activity in seconds
     pets: DataFrame  # pet, owner
     npcs: DataFrame  # name
     verified: DataFrame  # name
     owner: str = "You"
 
+    def listed(self) -> DataFrame:
+        """The fights, found now if they haven't been."""
+        if not isinstance(self.fights, DataFrame):
+            self.fights = self.fights()
+        return self.fights
+
     def presence(self) -> DataFrame:
         login = (F.col("kind") == "Zone") & F.coalesce("welcome", F.lit(False))
-        return segments.long_presence(self.events.select("session_id", "s", "line_no", "kind", "welcome"), ["session_id"], ["s", "line_no"], marker=login).select("b", "e")
+        # of a second's rows that aren't logins the first says as much as all of them
+        few = self.events.groupBy("session_id", "s", F.when(login, F.col("line_no")).alias("_login")).agg(F.min("line_no").alias("line_no"))
+        return segments.long_presence(few, ["session_id"], ["s", "line_no"], marker=F.col("_login").isNotNull()).select("b", "e")
 
 
 def name_table(world: World) -> DataFrame:
@@ -112,8 +124,8 @@ def ranges_of(world: World, scope: Scope) -> DataFrame:
 
 def open_fights(world: World) -> DataFrame:
     """(id): all open fights, or the last one where none is open."""
-    now = world.fights.where("not closed").select("id")
-    last = world.fights.orderBy(F.desc("last_activity"), F.desc("id")).limit(1).select("id", F.lit(0).alias("_k"))
+    now = world.listed().where("not closed").select("id")
+    last = world.listed().orderBy(F.desc("last_activity"), F.desc("id")).limit(1).select("id", F.lit(0).alias("_k"))
     return now.unionByName(last.join(now.limit(1).select(F.lit(0).alias("_k")), "_k", "left_anti").select("id"))
 
 
@@ -124,16 +136,18 @@ def units(world: World, spec: QuerySpec) -> DataFrame:
     if scope.lastSeconds:
         last = world.events.agg(F.max("s").alias("e"))
         return last.where("e is not null").select(F.lit(0).cast("long").alias("unit"), none.alias("name"), (F.col("e") - (scope.lastSeconds - 1)).alias("b"), "e")
-    fights = world.fights.select("id", "name", F.col("begin").alias("b"), F.greatest("last_damage", "begin").alias("e"))
+    progression = source in PROGRESSION
+    if not progression or (not scope.timeRanges and (scope.fightIds is not None or scope.openFights)):
+        fights = world.listed().select("id", "name", F.col("begin").alias("b"), F.greatest("last_damage", "begin").alias("e"))
     if scope.timeRanges:
         ranges = ranges_of(world, scope)
         found = ranges.select("range", none.alias("name"), "b", "e")
-        if source not in PROGRESSION:
+        if not progression:
             met = fights.alias("f").join(F.broadcast(ranges).alias("r"), (F.col("f.b") <= F.col("r.e")) & (F.col("f.e") >= F.col("r.b")))
             cut = met.select("range", "name", F.greatest("f.b", "r.b").alias("b"), F.least("f.e", "r.e").alias("e"))
             found = cut.unionByName(found.join(cut.select("range").distinct(), "range", "left_anti"))
         found = found.drop("range")
-    elif source in PROGRESSION and scope.fightIds is None and not scope.openFights:
+    elif progression and scope.fightIds is None and not scope.openFights:
         found = world.presence().select(none.alias("name"), "b", "e")
     else:
         chosen = fights.join(open_fights(world), "id", "left_semi") if scope.openFights else fights.where(F.col("id").isin(*scope.fightIds)) if scope.fightIds else fights
