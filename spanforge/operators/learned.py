@@ -164,13 +164,25 @@ ATTACK_KEY = ("mob_key", "zone_key", "difficulty", "tier", "defender_level")
 FIGHTS_PER_KEY = 500
 
 
-def harvest_attacks(sided: DataFrame, fights: DataFrame, levels: DataFrame | None = None, since: int | None = None) -> DataFrame:
+def counted(named: DataFrame, own: DataFrame) -> DataFrame:
+    """Of fights that begin at once, the one that `merge_attacks` counts, and _who it counts of it, where no levels tell defenders apart.
+
+    A second of an enemy's hits is one row here, so fights that overlap meet seconds and not every hit in them.
+    """
+    hits = named.groupBy("mob_key", "s").agg(F.min("line_no").alias("_line"), F.min_by("_who", "line_no").alias("_who"))
+    met = segments.within(hits, own, ["mob_key"], ["zone_key", "difficulty", "tier", "stamp", "fight", "mob", "ends"], 60)
+    one = met.groupBy("mob_key", "zone_key", "difficulty", "tier", "stamp").agg(F.min(F.struct("fight", "_line", "_who", "mob", "ends")).alias("_one"))
+    return one.select("mob_key", "zone_key", "difficulty", "tier", "stamp", "_one.fight", "_one._who", "_one.mob", F.col("stamp").alias("b"), F.col("_one.ends").alias("e"))
+
+
+def harvest_attacks(sided: DataFrame, fights: DataFrame, levels: DataFrame | None = None, since: int | None = None, every: bool = True) -> DataFrame:
     """Tallies (as of `attack_tallies`) by ATTACK_KEY, stamp, fight, defender and skill: what closed fights' enemies did.
 
     A sample is a fight and a defender that isn't an enemy; its hits are those of the fight's enemy (whatever its case)
     from the fight's begin to its last damage.  Open fights, fights in no known zone and, with since, those that ended by
     then are left out.  fights: id, name, begin, last_damage, closed, zone and, where known, difficulty and tier;
-    levels: (name, s, line_no, level, stated), from which the defender's level at the fight's begin is taken.
+    levels: (name, s, line_no, level, stated), from which the defender's level at the fight's begin is taken.  Unless
+    every, samples that `merge_attacks` would leave out of this harvest aren't made, where there are no levels.
     """
     done = fights.where("closed and last_damage is not null and length(zone) > 0")
     if since is not None:
@@ -180,7 +192,11 @@ def harvest_attacks(sided: DataFrame, fights: DataFrame, levels: DataFrame | Non
     hits = sided.where((F.col("kind") == "Damage") & (F.length("actor") > 0) & ~F.coalesce("is_spell", F.lit(False)) & ~F.col("target_npc"))
     named = hits.select(F.lower("actor").alias("mob_key"), F.col("target").alias("defender"), F.lower("target").alias("_d"), "line_no", "s", "damage_kind", "sub_type", "amount")
     fields = ["zone_key", "difficulty", "tier", "mob", "fight", "stamp"]
-    met = segments.within(named, own, ["mob_key"], fields, 300).drop("b", "e")
+    if every or levels is not None:
+        met = segments.within(named, own, ["mob_key"], fields, 300).drop("b", "e")
+    else:
+        named = named.withColumn("_who", F.coalesce(F.concat(F.lit("+"), "_d"), F.lit("")))
+        met = segments.within(named, counted(named, own.withColumn("ends", F.col("e"))), ["mob_key", "_who"], fields, 300).drop("b", "e", "_who")
     sample = ["mob_key", *fields, "_d"]
     first = met.groupBy(*sample).agg(F.min("line_no").alias("first_line"), F.min_by("defender", "line_no").alias("defender"))
     if levels is None:

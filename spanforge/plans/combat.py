@@ -228,7 +228,7 @@ _RAIDS = """, own AS (SELECT *, (SELECT 'fen' || (arg_max(k, line) % 3) FROM ev
 def attack_harvest(spark, d):
     """From closed fights to estimates: harvested, merged, and merged again, which changes nothing."""
     _, _, found, both = fought(spark, d)
-    samples = segments.cut(learned.harvest_attacks(both, found))
+    samples = segments.cut(learned.harvest_attacks(both, found, every=False))
     kept, tallies = (segments.cut(x) for x in learned.merge_attacks(samples))
     kept, tallies = learned.merge_attacks(samples, kept, tallies)
     key = list(learned.ATTACK_KEY)

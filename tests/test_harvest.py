@@ -37,3 +37,17 @@ def test_merges_follow_the_plain_rule(spark):
         stamps, swings = replay(batches[: i + 1], 7)
         assert {(r["mob_key"], r["defender_level"]): r["stamps"] for r in kept.collect()} == stamps
         assert {(r["mob_key"], r["defender_level"]): r["swings"] for r in tallies.groupBy("mob_key", "defender_level").sum("swings").withColumnRenamed("sum(swings)", "swings").collect()} == swings
+
+
+def test_samples_that_count_are_made_alone(spark):
+    """Fights of one enemy that overlap and begin at once: the same records from what counts as from every sample."""
+    rng = random.Random(3)
+    begun = [(i, rng.choice(["A gnoll", "a gnoll", "a wolf"]), b := rng.randrange(300), b + rng.randrange(90), True, rng.choice(["Fen", "Keep"])) for i in range(1, 120)]
+    fights = spark.createDataFrame(begun, "id int, name string, begin long, last_damage long, closed boolean, zone string")
+    hits = [(line, rng.randrange(420), "Damage", rng.choice(["A gnoll", "A wolf"]), rng.choice(["Ann", "ANN", "Bob", None]), "Melee", "Bites", rng.randrange(50), False, False) for line in rng.sample(range(1000), 400)]
+    sided = spark.createDataFrame(hits, "line_no long, s long, kind string, actor string, target string, damage_kind string, sub_type string, amount long, is_spell boolean, target_npc boolean")
+    every, few = (segments.cut(learned.harvest_attacks(sided, fights, every=x)) for x in (True, False))
+    keys = few.select(*learned.ATTACK_KEY, "stamp")
+    assert few.select("fight").distinct().count() == keys.distinct().count() < every.select("fight").distinct().count()
+    for a, b in zip(learned.merge_attacks(every), learned.merge_attacks(few)):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
