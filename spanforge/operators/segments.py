@@ -105,10 +105,10 @@ def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """df with _part: stretches of each key's order, as even as a sample makes them, in the order of their numbers.
 
     For streams of which one key (a log) may hold most rows; order tells the rows of a key apart.  Stored, as parts must
-    not change between the passes over them.
+    not change between the passes over them; and stored before, as a deal by range reads its rows two or three times.
     """
     n = PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    return cut(cut(df).repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
 
 
 def carried(rows: DataFrame, keys: list[str], order: list[str], **values: tuple[str, Column]) -> DataFrame:

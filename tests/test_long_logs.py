@@ -76,3 +76,11 @@ def test_announced_criticals_over_stretches(spark):
         rows[i] = ("log", i, "_Critical", "P1", None, None)
     found = grammar.announced(spark.createDataFrame(rows, schema)).collect()
     assert len(found) == 296 and sorted(r["line_no"] for r in found if r["modifiers"]) == [13, 103, 253]
+
+
+def test_rows_are_stored_before_they_are_dealt(stream, monkeypatch):
+    """A deal by range reads its rows for a sample and again to deal them; what makes them runs once."""
+    stored, cut = [], segments.cut
+    monkeypatch.setattr(segments, "cut", lambda df: stored.append(df.columns) or cut(df))
+    segments.dealt(stream, ["k"], ["s", "line_no"])
+    assert stored == [stream.columns, [*stream.columns, "_part"]]
