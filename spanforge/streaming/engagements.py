@@ -163,6 +163,27 @@ class Session:
         return pd.DataFrame(rows, columns=names).astype({"last_damage": "Int64"})
 
 
+#: Rows that are Python objects at a time.
+STRETCH = 50_000
+
+
+def in_order(frames: Iterator[pd.DataFrame]) -> tuple[int, Iterator[Any]]:
+    """The latest second of a batch and its rows that have a role, by line; others move the clock and aren't kept."""
+    latest, kept = [], []
+    for frame in frames:
+        if len(frame):
+            latest.append(int(frame["s"].max()))
+        kept.append(frame[frame["role"].notna()])
+    rows = pd.concat(kept).sort_values("line_no", kind="stable")
+
+    def each() -> Iterator[Any]:
+        for at in range(0, len(rows), STRETCH):
+            part = rows.iloc[at : at + STRETCH]
+            yield from part.astype(object).where(part.notna(), None).itertuples(index=False)
+
+    return max(latest), each()
+
+
 def updates(sided: DataFrame, second: float | None = 1.0) -> DataFrame:
     """The fights (FIGHT) that each micro-batch, or a session's silence, changed, opened, closed or took back.
 
@@ -176,11 +197,10 @@ def updates(sided: DataFrame, second: float | None = 1.0) -> DataFrame:
             held.now += max(1, math.ceil((time.time() - state.get[1]) / second))
             arrived = time.time()
         else:
-            rows = pd.concat(list(frames)).sort_values("line_no", kind="stable")
-            rows = rows.astype(object).where(rows.notna(), None)
-            for r in rows[rows["role"].notna()].itertuples(index=False):
+            latest, rows = in_order(frames)
+            for r in rows:
                 held.line(r)
-            held.now = max(held.now, int(rows["s"].max()))
+            held.now = max(held.now, latest)
             arrived = time.time()
         held.expire(held.now)
         left = held.wait(held.now)

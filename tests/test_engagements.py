@@ -174,3 +174,13 @@ def test_a_replayed_batch_pushes_the_same(spark, tmp_path):
     # estimates that all rows depend on have changed
     assert sent(pushed.merge(rows((3, 1, False, "e")), 4, "health-2")) == (True, 3, [(2, 2, False, "d"), (3, 1, False, "e")])
     assert sent(pushed.merge(rows((3, 2, False, "f")), 5, "health-2")) == (False, 4, [(3, 2, False, "f")])
+
+
+def test_rows_without_a_role_move_the_clock_alone(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(engagements, "STRETCH", 3)
+    lines = random.Random(6).sample(range(40), 40)
+    frame = pd.DataFrame([(n, n * 2, None if n % 4 == 3 else "damage", None if n % 3 else "Ann") for n in lines], columns=["line_no", "s", "role", "actor"])
+    latest, rows = engagements.in_order(iter([frame[:17], frame[17:], frame[:0]]))
+    assert latest == 78 and [tuple(r) for r in rows] == [(n, n * 2, "damage", None if n % 3 else "Ann") for n in range(40) if n % 4 != 3]
