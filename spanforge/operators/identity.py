@@ -29,8 +29,8 @@ def verified(events: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     return seen.groupBy("session_id", "name").agg(F.min("line_no").alias("first_line"))
 
 
-def pets(events: DataFrame) -> DataFrame:
-    """(session_id, pet, owner): the last owner of each session that a pet was mapped to, by leader lines, annotations or a possessive name."""
+def _owned(events: DataFrame) -> DataFrame:
+    """(session_id, ts, line_no, pet, owner): each line that maps a pet to an owner, a leader line, an annotation or a possessive name."""
     kind = F.col("kind")
     leader = F.regexp_extract(F.coalesce("text", F.lit("")), r"^My leader is (\w+)", 1)
     pairs = [
@@ -41,7 +41,17 @@ def pets(events: DataFrame) -> DataFrame:
     whole = pairs[0]
     for p in pairs[1:]:
         whole = whole.unionByName(p)
-    return whole.groupBy("session_id", "pet").agg(F.max_by("owner", F.struct("ts", "line_no")).alias("owner"))
+    return whole
+
+
+def session_pets(events: DataFrame) -> DataFrame:
+    """(session_id, pet, owner): the last owner of each session that a pet was mapped to."""
+    return _owned(events).groupBy("session_id", "pet").agg(F.max_by("owner", F.struct("ts", "line_no")).alias("owner"))
+
+
+def pets(events: DataFrame) -> DataFrame:
+    """(pet, owner): the last owner that a pet was mapped to, for events of one session; `session_pets` keeps several apart."""
+    return _owned(events).groupBy("pet").agg(F.max_by("owner", F.struct("ts", "line_no", "session_id")).alias("owner"))
 
 
 def by_pet(pet_map: DataFrame, side: str) -> list[str]:

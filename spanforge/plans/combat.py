@@ -245,7 +245,7 @@ def attack_harvest(spark, d):
 def identity_sides(spark, d):
     """Sides as the log itself proves them: players by chat, pets and owners by what pets say, each from its line on."""
     log = records(spark, d)
-    players, pets = identity.verified(log), identity.pets(log)
+    players, pets = identity.verified(log), identity.session_pets(log)
     both = identity.with_sides(log, players, identity.known_npcs(log, players, pets), pets).where("kind = 'Damage'")
     owners = both.join(pets.select("session_id", F.col("pet").alias("actor"), F.col("owner")), ["session_id", "actor"], "left")
     return owners.select(F.col("line_no").alias("line"), "actor_npc", "target_npc", "actor_player", "target_player", "owner")
