@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR, DAY = 3600, 86400
+MINUTE, HOUR, DAY = 60, 3600, 86400
 
 
 def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,6 +67,56 @@ def intersect(left: DataFrame, right: DataFrame, keys: list[str], width: int = D
     return met.select(*[c for c in left.columns if c not in ("b", "e")], b.alias("b"), e.alias("e"))
 
 
+def covered(df: DataFrame, keys: list[str], width: int = MINUTE) -> DataFrame:
+    """(keys, b, e, n, lo, hi): disjoint pieces, each held by the same n intervals, which reach from lo to hi together.
+
+    Intervals are dealt to the buckets they touch, and those that begin or end together count as one: pieces follow the
+    seconds of a key, not how many intervals overlap there.
+    """
+    begin = F.col("_bucket") * width
+    dealt = df.where("b <= e").select(*keys, "b", "e", F.explode(F.sequence(F.floor(F.col("b") / width), F.floor(F.col("e") / width))).alias("_bucket"))
+    opens = F.struct(F.greatest("b", begin).alias("at"), F.lit(1).alias("n"), F.lit(None).cast("long").alias("lo"), F.col("e").cast("long").alias("hi"))
+    closes = F.struct((F.least("e", begin + (width - 1)) + 1).alias("at"), F.lit(-1).alias("n"), F.col("b").cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
+    marks = dealt.select(*keys, "_bucket", F.explode(F.array(opens, closes)).alias("m")).groupBy(*keys, "_bucket", F.col("m.at").alias("_at"))
+    marks = marks.agg(F.sum("m.n").alias("_n"), F.min("m.lo").alias("_lo"), F.max("m.hi").alias("_hi"))
+    key = Window.partitionBy(*keys, "_bucket")
+    upto = key.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    later = key.orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = marks.select(*keys, F.col("_at").alias("b"), (F.lead("_at").over(key.orderBy("_at")) - 1).alias("e"), F.sum("_n").over(upto).alias("n"), F.min("_lo").over(later).alias("lo"), F.max("_hi").over(upto).alias("hi"))
+    return pieces.where("n > 0")
+
+
+def covered_by_both(left: DataFrame, right: DataFrame, width: int = MINUTE) -> DataFrame:
+    """The pieces of all overlaps of left's intervals with right's, from the pieces (`covered`) of each; keys are left's."""
+    buckets = lambda b, e: F.explode(F.sequence(F.floor(b / width), F.floor(e / width)))
+    l = left.withColumn("_bucket", buckets(F.col("b"), F.col("e")))
+    r = right.select(*[F.col(c).alias(f"_{c}") for c in ("b", "e", "n", "lo", "hi")]).withColumn("_bucket", buckets(F.col("_b"), F.col("_e")))
+    b, e = F.greatest("b", "_b"), F.least("e", "_e")
+    met = l.join(r, "_bucket").where((b <= e) & (F.floor(b / width) == F.col("_bucket")))
+    keys = [c for c in left.columns if c not in ("b", "e", "n", "lo", "hi")]
+    return met.select(*keys, b.alias("b"), e.alias("e"), (F.col("n") * F.col("_n")).alias("n"), F.greatest("lo", "_lo").alias("lo"), F.least("hi", "_hi").alias("hi"))
+
+
+def reached(df: DataFrame, keys: list[str], width: int = HOUR) -> DataFrame:
+    """(keys, b, e): stretches (b, e, hi) of each key, where one goes on to the next that begins by its hi.
+
+    hi is the furthest that an interval around e reaches to, the same for all rows of a key's second.  So an hour's last
+    stretch may go on and its first may be reached, and only those, two an hour, are joined along the whole key.
+    """
+    def groups(rows: DataFrame, by: list[str]) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("b")
+        so_far = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        # peers of a second come into one group together
+        marked = rows.withColumn("_new", F.when(F.col("b") > so_far, 1).otherwise(0)).withColumn("_group", F.sum("_new").over(order))
+        return marked.groupBy(*by, "_group").agg(F.min("b").alias("b"), F.max("e").alias("e"), F.max("hi").alias("hi")).drop("_group")
+
+    inside = groups(df.select(*keys, "b", "e", "hi", F.floor(F.col("b") / width).alias("_hour")), [*keys, "_hour"])
+    hour = Window.partitionBy(*keys, "_hour").orderBy("b")
+    edge = F.lag("b").over(hour).isNull() | F.lead("b").over(hour).isNull()
+    apart = F.when(edge, F.lit(0)).otherwise(F.xxhash64("b"))
+    return groups(inside.select(*keys, "b", "e", "hi", apart.alias("_apart")), [*keys, "_apart"]).select(*keys, "b", "e")
+
+
 def add_all(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     whole = parts[0].select(*keys, "b", "e")
     for p in parts[1:]:

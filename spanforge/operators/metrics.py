@@ -244,6 +244,11 @@ def parts(names: set[str]) -> list[Column]:
     return [getattr(F, COUNTERS[n].how)(COUNTERS[n].over()).alias(n) for n in sorted(names & COUNTERS.keys())]
 
 
+def times(names: set[str], n: Column) -> dict[str, Column]:
+    """Counters of n copies of the same rows; the largest and smallest are those of one."""
+    return {c: F.col(c) * n for c in sorted(names & COUNTERS.keys()) if COUNTERS[c].how == "sum"}
+
+
 def merged(names: set[str], final: bool = False) -> list[Column]:
     """Counters as aggregates of counters; final ones are never null."""
     out = []

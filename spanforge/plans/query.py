@@ -2,7 +2,7 @@
 
 A query picks a source, a scope of seconds, dimensions to group by, metrics, filters, a bucket width and whether pets
 count for their owners.  The compiled plan joins events with scope units by bucketed equality, aggregates once by the
-whole key and unit, and rolls the small result up level by level.
+whole key and second, and rolls the small result up level by level.
 """
 
 from __future__ import annotations
@@ -130,12 +130,18 @@ def open_fights(world: World) -> DataFrame:
 
 
 def units(world: World, spec: QuerySpec) -> DataFrame:
-    """(unit, name, b, e): the stretches of seconds that count, with the fight's name where a unit is a fight."""
+    """(name, b, e, n, lo, hi): the seconds that count, with the fight's name where they are fights'.
+
+    The rows are pieces of `intervals.covered`: a row of the log in one counts n times, once for each unit (a fight, what
+    the scope leaves of it, a play session) that holds it, and these reach from lo to hi.  Units that overlap many times
+    over are not listed.
+    """
     scope, source = spec.scope, spec.source
     none = F.lit(None).cast("string")
+    alone = lambda found: found.select(none.alias("name"), "b", "e", F.lit(1).cast("long").alias("n"), F.col("b").alias("lo"), F.col("e").alias("hi"))
     if scope.lastSeconds:
         last = world.events.agg(F.max("s").alias("e"))
-        return last.where("e is not null").select(F.lit(0).cast("long").alias("unit"), none.alias("name"), (F.col("e") - (scope.lastSeconds - 1)).alias("b"), "e")
+        return alone(last.where("e is not null").select((F.col("e") - (scope.lastSeconds - 1)).alias("b"), "e"))
     progression = source in PROGRESSION
     if not progression or (not scope.timeRanges and (scope.fightIds is not None or scope.openFights)):
         fights = world.listed().select("id", "name", F.col("begin").alias("b"), F.greatest("last_damage", "begin").alias("e"))
@@ -152,15 +158,23 @@ def units(world: World, spec: QuerySpec) -> DataFrame:
     else:
         chosen = fights.join(open_fights(world), "id", "left_semi") if scope.openFights else fights.where(F.col("id").isin(*scope.fightIds)) if scope.fightIds else fights
         found = chosen.select("name", "b", "e")
-    found = found.withColumn("_k", F.lit(0))
-    if scope.playedTimeOnly:
-        found = intervals.intersect(found, world.presence().withColumn("_k", F.lit(0)), ["_k"])
-    if scope.skipFirstSeconds or scope.maxSeconds is not None:
-        union = intervals.merge(found, ["_k"])
-        found = intervals.intersect(found, intervals.trim(union, ["_k"], scope.skipFirstSeconds or 0, scope.maxSeconds), ["_k"])
-    if source not in ("damage", "tanking"):
-        found = intervals.merge(found, ["_k"]).select(none.alias("name"), "_k", "b", "e")
-    return found.select(F.xxhash64("name", "b", "e").alias("unit"), "name", "b", "e")
+    played = world.presence() if scope.playedTimeOnly else None
+    trimmed = bool(scope.skipFirstSeconds) or scope.maxSeconds is not None
+    by_fight = source in ("damage", "tanking")
+    if trimmed or not by_fight:
+        # of whole seconds the union of all overlaps is what the unions share
+        key = lambda df: intervals.merge(df.select("b", "e").withColumn("_k", F.lit(0)), ["_k"])
+        union = key(found) if played is None else intervals.intersect(key(found), key(played), ["_k"], HOUR)
+        if trimmed:
+            union = intervals.trim(union, ["_k"], scope.skipFirstSeconds or 0, scope.maxSeconds)
+        if not by_fight:
+            return alone(union)
+    pieces = intervals.covered(found, ["name"])
+    if played is not None:
+        pieces = intervals.covered_by_both(pieces, intervals.covered(played, []))
+    if trimmed:
+        pieces = intervals.covered_by_both(pieces, intervals.covered(union, []))
+    return pieces
 
 
 #: Kind of event and who it counts for, of the sources that aren't damage.
@@ -173,11 +187,11 @@ ROUTES = {
 def sources(world: World, spec: QuerySpec, events: DataFrame) -> list[tuple[DataFrame, DataFrame, list[str], int]]:
     """The source's rows with who they count for, the units that they may fall in, and keys and width of their join.
 
-    Units are named ub and ue (their first and last second).  Units that are fights join on the enemy's name and a
-    stretch of five minutes; others are few or disjoint and join on the hour.
+    Units are the pieces of `units`.  Those of fights join on the enemy's name and the minute, in which there are sixty at
+    most; others are few or disjoint and join on the hour.
     """
     scope, source = spec.scope, spec.source
-    spans = units(world, spec).withColumn("ub", F.col("b")).withColumn("ue", F.col("e"))
+    spans = units(world, spec)
     if source not in ("damage", "tanking"):
         kind, who = ROUTES[source]
         return [(events.where(F.col("kind") == kind).withColumn("who", who(world.owner)), spans.drop("name"), [], HOUR)]
@@ -187,7 +201,7 @@ def sources(world: World, spec: QuerySpec, events: DataFrame) -> list[tuple[Data
     parts = []
     if not scope.lastSeconds:
         named = hits.withColumn("_name", F.col(side)).where("_name is not null")
-        parts.append((named, spans.where("name is not null").withColumnRenamed("name", "_name"), ["_name"], 300))
+        parts.append((named, spans.where("name is not null").withColumnRenamed("name", "_name"), ["_name"], intervals.MINUTE))
     if scope.lastSeconds or scope.timeRanges:
         ranged = ~F.coalesce("target_player", F.lit(False)) & ~F.col("actor_npc") & ~F.coalesce("is_spell", F.lit(False)) if source == "damage" else F.col("actor_npc")
         parts.append((hits.where(ranged), spans.where("name is null").drop("name"), [], HOUR))
@@ -308,16 +322,21 @@ def compile_query(world: World, spec: QuerySpec) -> Compiled:
         summed = [F.sum(value).alias("_v")] if value is not None else []
         return rows.groupBy(*dims, *keys, "s", *(["_own", "hb", "he"] if stances else [])).agg(*metrics.parts(wanted), F.min("line_no").alias("first_seen"), *summed)
 
-    met = [segments.within(by_second(found, keys), spans, keys, ["unit", "ub", "ue"], width).drop(*keys) for found, spans, keys, width in sources(world, spec, sided(world))]
-    rows = met[0] if len(met) == 1 else met[0].unionByName(met[1])
-    stretch = F.struct(F.greatest("hb", "ub").alias("b"), F.least("he", "ue").alias("e"))
+    met = [segments.within(by_second(found, keys), spans, keys, ["n", "lo", "hi"], width).withColumn("_name", F.col(keys[0]) if keys else F.lit(None).cast("string")) for found, spans, keys, width in sources(world, spec, sided(world))]
+    rows = met[0] if len(met) == 1 else met[0].unionByName(met[1], allowMissingColumns=True)
+    # a second's rows count once for each unit that holds it
+    copies = metrics.times(wanted, F.col("n")) | ({"_v": F.col("_v") * F.col("n")} if value is not None else {})
+    rows = rows.withColumns(copies) if copies else rows
+    stretch = F.struct(F.greatest("hb", "lo").alias("b"), F.least("he", "hi").alias("e"))
     touched = [F.collect_set(F.when(F.col("_own"), stretch)).alias("touched")] if stances else []
-    # a group of one unit touches as many stances as were held in it
-    base = rows.groupBy(*dims, "unit").agg(*metrics.merged(wanted), F.min("s").alias("b"), F.max("s").alias("e"), F.min("first_seen").alias("first_seen"), *touched)
+    # seconds of a group are active up to the next that a unit holds with them; groups are cut at the hours
+    hour = Window.partitionBy(*dims, "_name", "_hour").orderBy("s")
+    stretches = rows.withColumn("_hour", F.floor(F.col("s") / HOUR)).withColumn("_new", F.when(F.col("s") > F.lag("hi").over(hour), 1).otherwise(0)).withColumn("_stretch", F.sum("_new").over(hour))
+    base = stretches.groupBy(*dims, "_name", "_hour", "_stretch").agg(*metrics.merged(wanted), F.min("s").alias("b"), F.max("s").alias("e"), F.max("hi").alias("hi"), F.min("first_seen").alias("first_seen"), *touched)
     for d in [d for d in dims if d.endswith("_actor")]:
         base = flattened(base, dims, d)
-    tree = segments.cut(leveled(base, dims, wanted, stances))
-    active = seconds_of_paths(tree.select("path", "b", "e"), "active")
+    tree = segments.cut(nodes(base, dims).select("path", "label", "_name", "b", "e", "hi", "first_seen", *sorted(wanted & metrics.COUNTERS.keys()), *(["touched"] if stances else [])))
+    active = seconds_of_paths(intervals.reached(tree, ["path", "_name"]), "active")
     whole = tree.groupBy("path").agg(*metrics.merged(wanted, final=True), F.min("first_seen").alias("first_seen"), F.max("label").alias("label")).join(active, "path")
     if stances:
         held = seconds_of_paths(tree.select("path", F.explode("touched").alias("t")).select("path", "t.b", "t.e"), "stance")
@@ -363,13 +382,6 @@ def nodes(base: DataFrame, dims: list[str]) -> DataFrame:
     return levels.withColumn("path", path).withColumn("label", label)
 
 
-def leveled(base: DataFrame, dims: list[str], wanted: set[str], stances: bool) -> DataFrame:
-    """One row for each unit and node of the tree: path, label and the unit's counters."""
-    keyed = nodes(base, dims)
-    touched = [F.flatten(F.collect_set("touched")).alias("touched")] if stances else []
-    return keyed.groupBy("path", "unit").agg(*metrics.merged(wanted), F.min("b").alias("b"), F.max("e").alias("e"), F.min("first_seen").alias("first_seen"), F.first("label").alias("label"), *touched)
-
-
 def seconds_of_paths(stretches: DataFrame, name: str) -> DataFrame:
     return intervals.merge(stretches, ["path"]).groupBy("path").agg(intervals.total().alias(name))
 
